@@ -43,6 +43,11 @@ def top_k_cosine(queries: DataFrame, corpus: DataFrame, *, id_col: str, vector_c
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def retrieve(queries: DataFrame, corpus: DataFrame, condition: str, **options) -> DataFrame:
+    """top_k_cosine among the rows of corpus that meet a condition on their metadata."""
+    return top_k_cosine(queries, corpus.filter(F.expr(condition)), **options)
+
+
 def chunks(docs: DataFrame, *, text: str = "text", size: int = 1500, overlap: int = 200, least: int = 50) -> DataFrame:
     """docs without its text, with chunk_index and chunk: windows of `size` characters that overlap; trimmed, and those
     under `least` characters dropped. A null or empty text has none."""

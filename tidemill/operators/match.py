@@ -1,6 +1,7 @@
 """Matching of fields to terms, by name and by evidence. Fields are rows, so an estate of any size is one join.
 
-Terms, synonyms and rules are small reference tables; Spark broadcasts them by their size.
+Terms, synonyms and rules are reference tables. Those that join by containment or pattern have no equi key and are
+broadcast; their size is checked first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,16 @@ from pyspark.sql import functions as F
 WEIGHTS = {"keyword": 0.30, "pattern": 0.25, "fingerprint": 0.25, "stat": 0.20}
 
 
+#: Most rows of a reference table that joins without an equi key.
+MOST_REFERENCE_ROWS = 100_000
+
+
+def _reference(df: DataFrame) -> DataFrame:
+    if df.limit(MOST_REFERENCE_ROWS + 1).count() > MOST_REFERENCE_ROWS:
+        raise ValueError(f"over {MOST_REFERENCE_ROWS} reference rows; join them in blocks")
+    return F.broadcast(df)
+
+
 def _plain(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
 
@@ -22,7 +33,7 @@ def keyword_scores(fields: DataFrame, synonyms: DataFrame) -> DataFrame:
     fields: table, column; synonyms: term, synonym.
     """
     f, s = _plain(F.col("column")), _plain(F.col("synonym"))
-    pairs = fields.join(F.broadcast(synonyms.limit(100_000)), f.contains(s) | s.contains(f))
+    pairs = fields.join(_reference(synonyms), f.contains(s) | s.contains(f))
     short, long_ = F.least(F.char_length(f), F.char_length(s)), F.greatest(F.char_length(f), F.char_length(s))
     return pairs.groupBy("table", "column", "term").agg(F.max(F.when(f == s, 1.0).otherwise(F.round(short / long_, 3))).alias("keyword"))
 
@@ -77,7 +88,7 @@ def name_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     pattern is a regular expression over the lower-case name; effect says what follows: information_type, pii_level, dq_rule,
     key_candidate or foreign_table.
     """
-    return fields.join(F.broadcast(rules.limit(10_000)), F.expr("lower(column) rlike pattern")).select("table", "column", "rule_id", "effect", "value", "confidence")
+    return fields.join(_reference(rules), F.expr("lower(column) rlike pattern")).select("table", "column", "rule_id", "effect", "value", "confidence")
 
 
 def application_matches(datasets: DataFrame, applications: DataFrame, top: int = 3) -> DataFrame:

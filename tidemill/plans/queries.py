@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text, vectors
 from ..operators import cdc, dedup, late, match, monitor, profile, quality, schema, scd
@@ -480,10 +480,10 @@ def monitor_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: day(c) for c in ("last_view", "last_error", "last_seen")})
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) AS events FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS events FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.count("*").alias("events")).select("event_type", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "events")
+    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.count("*").alias("events")).select("event_type", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), "events")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS events FROM events GROUP BY 1")
@@ -619,6 +619,111 @@ def sql_product(spark: SparkSession, d: str) -> DataFrame:
     return products.run_sql(spark, said, {"SOURCE": "_customer_product"}, {"least": 5})
 
 
+@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY 1")
+def quartiles(spark: SparkSession, d: str) -> DataFrame:
+    q = profile.quantiles(table(spark, d, "events"), "value", ("event_type",))
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
+
+
+@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
+def batch_samples(spark: SparkSession, d: str) -> DataFrame:
+    """One row per batch."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber")
+    return dedup.latest(rows, ("l_returnflag", "l_linestatus"), "l_orderkey DESC")
+
+
+@query("SELECT doc_id, TRY_CAST(substring(text, 1, 4) AS BIGINT) AS text, CAST(n_chars AS INTEGER) AS n_chars FROM documents WHERE lang <> 'de'")
+def type_overrides(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.expr("lang <> 'de'")).select("doc_id", F.substring("text", 1, 4).alias("text"), "n_chars")
+    return schema.apply_type_overrides(docs, {"text": "bigint", "n_chars": "int", "absent": "int"})
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates written in four shapes, read back to one."""
+    k = F.expr("o_orderkey % 4")
+    said = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 2, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    return table(spark, d, "orders").select("o_orderkey", text.to_iso_date(said).alias("iso"))
+
+
+@query("SELECT c_custkey, c_name, true AS hidden FROM customer")
+def encryption(spark: SparkSession, d: str) -> DataFrame:
+    key = F.lit("0123456789abcdef")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("plain"), text.encrypt(F.col("c_name"), key).alias("secret"))
+    return c.select("c_custkey", text.decrypt(F.col("secret"), key).alias("c_name"), (F.col("secret") != F.col("plain")).alias("hidden"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[^\\x20-\\x7E\\x{A0}-\\x{FF}]', '', 'g'), ' ') AS text FROM documents WHERE doc_id % 2 = 0")
+def cleaning(spark: SparkSession, d: str) -> DataFrame:
+    return text.trim_all(text.strip_non_printable(table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "text")))
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS lifetime FROM customer")
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    target = StructType([StructField("c_custkey", LongType()), StructField("segment", StringType()), StructField("lifetime", DoubleType())])
+    return schema.align(schema.apply_aliases(table(spark, d, "customer"), {"c_mktsegment": "segment"}), target)
+
+
+@query("""
+    SELECT * FROM (VALUES ('c_acctbal', 'not_null', 'true', 'term'), ('c_custkey', 'not_null', 'true', 'term'), ('c_custkey', 'unique', 'true', 'term'), ('c_mktsegment', 'not_null', 'false', 'field')) v("column", rule, value, origin),
+    (SELECT 'customer' AS "table" WHERE (SELECT count(*) FROM customer) > 0)""")
+def inherited_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of the columns of customer, matched to two terms; keys as the data shows them."""
+    p = profile.profile(table(spark, d, "customer"), ("c_custkey", "c_acctbal", "c_mktsegment"))
+    fields = p.select(F.lit("customer").alias("table"), "column", F.when(F.col("is_key") & (F.col("inferred_type") == "integer"), "id").otherwise("fact").alias("term"), F.lit(0.8).alias("confidence"), (F.col("is_key") & (F.col("inferred_type") == "integer")).alias("is_key"))
+    terms = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(r).alias("rule"), F.lit("true").alias("value")) for t, r in (("id", "unique"), ("id", "not_null"), ("fact", "unique"), ("fact", "not_null"))])))
+    own = spark.range(1).select(F.lit("customer").alias("table"), F.lit("c_mktsegment").alias("column"), F.lit("not_null").alias("rule"), F.lit("false").alias("value"))
+    return quality.inherit_rules(fields, terms, own)
+
+
+@query("SELECT strftime(max(ts), '%Y-%m-%d') AS latest, max(ts) >= TIMESTAMP '2024-01-30' - INTERVAL 48 HOURS AS fresh FROM events")
+def event_freshness(spark: SparkSession, d: str) -> DataFrame:
+    return quality.freshness(table(spark, d, "events"), "ts", AS_OF, 48).withColumn("latest", day("latest"))
+
+
+@query("SELECT e.n AS rows, 6 AS columns FROM (SELECT count(*) AS n FROM events) e")
+def table_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.table_stats(table(spark, d, "events"))
+
+
+@query("""
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+               FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND e.label % 2 = 0)
+    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return vectors.retrieve(e.filter("vec_id % 100 = 0"), e, "label % 2 = 0", id_col="vec_id", vector_col="embedding", k=3, max_queries=100_000).drop("score")
+
+
+@query("""
+    SELECT user_id, count(*) AS events, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 20""")
+def latest_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 users with the latest errors."""
+    e = table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("events"), F.max("ts").alias("at"))
+    return e.orderBy(F.desc("at"), "user_id").limit(20).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query()
+def trigram_vectors(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select("p_partkey", "p_name")
+    return names.select("p_partkey", vectors.trigram_vector(F.col("p_name"), 32).alias("vector"))
+
+
+@query()
+def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    out = dedup.with_row_hash(c)
+    n = c.count()
+    events = monitor.lineage_event(spark, "r", "bronze", ["landing.customer"], ["bronze.customer"], c.schema, out.schema, n, n, _T0)
+    events = events.unionByName(monitor.lineage_event(spark, "r", "silver", ["bronze.customer"], ["silver.customer"], out.schema, out.schema, n, n, _T1))
+    return monitor.lineage_graph(events)[0]
+
+
+@query()
+def suggested_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.suggest_rules(profile.profile(table(spark, d, "orders"), ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
