@@ -1,7 +1,7 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemill.functions import text, vectors
 from tidemill.operators import cdc, dedup, late, match, monitor, profile, quality, schema
@@ -91,7 +91,7 @@ def test_cleaning_and_masking(spark):
     assert (m.e, m.n, m.d, m.z, m.s) == ("j***@x.org", "******7890", "1990", None, "REDACTED")
     key = F.lit("0123456789abcdef")
     assert df.select(text.decrypt(text.encrypt(F.col("e"), key), key).alias("x")).collect()[0].x == "joe@x.org"
-    dates = spark.createDataFrame([("2024-01-02",), ("02/01/2024",), ("02-01-2024",), ("2024/01/02",), ("x",)], "d string")
+    dates = spark.createDataFrame([("2024-01-02",), ("02/01/2024",), ("02-01-2024",), ("2024-01-02T10:11",), ("x",)], "d string")
     assert [r[0] for r in dates.select(text.to_iso_date(F.col("d"))).collect()] == ["2024-01-02"] * 4 + [None]
 
 
@@ -105,15 +105,16 @@ def test_schema_changes_and_policies(spark):
     assert {(c.kind, c.column) for c in schema.diff(now, was)} == {("added", "c"), ("retyped", "a"), ("retyped", "d"), ("dropped", "b")}
     said = schema.decide(now, was, schema.SILVER)
     assert not said.violations and said.target["a"].dataType == LongType() and "b" in said.target.names and "c" in said.target.names
-    narrow = schema.decide(StructType([f("a", StringType())]), StructType([f("a", IntegerType())]), schema.SILVER)
+    narrow = schema.decide(StructType([f("a", StringType())]), StructType([f("a", BooleanType())]), schema.SILVER)
     assert [c.column for c in narrow.violations] == ["a"]
     assert schema.decide(now, was, schema.Policy.for_classification("pii")).violations
+    assert schema.widens("bigint", "string") and schema.widens("int", "decimal(12,2)") and not schema.widens("int", "decimal(10,2)") and not schema.widens("string", "bigint")
     assert schema.widens("decimal(10,2)", "decimal(12,3)") and not schema.widens("decimal(10,2)", "decimal(10,3)") and schema.widens("x", "y", ("x -> y",))
     df = spark.createDataFrame([("7",), ("x",)], "a string")
     aligned = schema.align(df, StructType([f("z", LongType()), f("a", IntegerType())]))
     assert aligned.dtypes == [("z", "bigint"), ("a", "int")] and rows(aligned) == [(None, None), (None, 7)]
     assert rows(schema.values_lost(df, StructType([f("a", IntegerType())]))) == [("a", 1)]
-    good, bad, said = schema.evolve(df, StructType([f("a", IntegerType())]), schema.SILVER)
+    good, bad, said = schema.evolve(df, StructType([f("a", BooleanType())]), schema.SILVER)
     assert good is None and bad.columns == ["a", "_quarantine_reason", "_schema_diff"]
     audit = schema.audit_rows(spark, said, "t", "silver", "r", AT)
     assert rows(schema.drift_report(audit)) == [("t", 1, 1, "CRITICAL", False)]
@@ -129,6 +130,8 @@ def test_profile_boundaries(spark):
     assert p["v"].inferred_type == "integer" and p["v"].nulls == 4 and p["v"].distinct_values == 2 and p["v"].values == ["1,000", "x"]
     assert p["e"].pattern == "email" and p["id"].is_key and not p["v"].is_reference
     assert rows(profile.top_values(df, ("v",), 1)) == [("v", "1,000", 7, 1)]
+    kinds = spark.createDataFrame([("y", "1.5", "2024-01-02T10:00:00Z"), ("No", "-2e3", "01/02/2024"), ("true", ".5", "01-02-2024")], "b string, f string, d string")
+    assert {r.column: r.inferred_type for r in profile.profile(kinds).collect()} == {"b": "boolean", "f": "decimal", "d": "date"}
     none = profile.profile(spark.createDataFrame([(None,)], "x string")).collect()[0]
     assert none.nulls == 1 and none.inferred_type == "string" and not none.is_key
     codes = spark.createDataFrame([("s", "X"), ("s", "y")], "code_set string, value string")
@@ -143,7 +146,7 @@ def test_matching(spark):
     scores = {(r.column, r.term): r.keyword for r in match.keyword_scores(fields, syn).collect()}
     assert scores["loan_id", "LOAN"] == 1.0 and scores["customer_pan", "PAN"] == 0.25
     best = {(r.column, r.term): r.score for r in match.synonym_matches(fields, syn).collect()}
-    assert best["loan_id", "LOAN"] == 0.95 and best["customer_pan", "PAN"] == 0.45
+    assert best["loan_id", "LOAN"] == 0.95 and best["customer_pan", "PAN"] == 0.45 and len(best) == 2
     prof = fields.withColumn("is_key", F.col("column") == "loan_id")
     assert rows(match.primary_key(prof)) == [("loans", "loan_id", True)]
     keys = spark.createDataFrame([("customers", "customer_id")], "table string, primary_key string")

@@ -10,14 +10,15 @@ NON_PRINTABLE = r"[^\x20-\x7E\xA0-\xFF]"
 CONTROL_ONLY = r"\p{Cntrl}"
 PATTERNS = {
     "pan": r"^[A-Z]{5}[0-9]{4}[A-Z]$",
-    "aadhaar": r"^\d{4}\s?\d{4}\s?\d{4}$",
-    "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
-    "phone": r"^[+]?[\d\s\-().]{7,15}$",
+    "aadhaar": r"^\d{12}$",
+    "email": r"^[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}$",
+    "phone": r"^[+]?\d{10,13}$",
     "credit_card": r"^\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}$",
     "ipv4": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
-    "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "uuid": r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$",
 }
-DATE_SHAPES = {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy", r"^\d{2}-\d{2}-\d{4}$": "dd-MM-yyyy", r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd"}
+#: Shapes of dates, and how the first ten characters are read.
+DATE_SHAPES = {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy", r"^\d{2}-\d{2}-\d{4}$": "dd-MM-yyyy", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}": "yyyy-MM-dd"}
 #: What an e-mail address looks like inside running text.
 EMAIL_IN_TEXT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -73,5 +74,5 @@ def decrypt(column: Column, key: Column) -> Column:
 
 def to_iso_date(column: Column) -> Column:
     """Dates of the four known shapes as yyyy-MM-dd; others null."""
-    tried = [F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(form))) for shape, form in DATE_SHAPES.items()]
+    tried = [F.when(column.rlike(shape), F.try_to_timestamp(F.substring(column, 1, 10), F.lit(form))) for shape, form in DATE_SHAPES.items()]
     return F.date_format(F.coalesce(*tried), "yyyy-MM-dd")

@@ -39,13 +39,16 @@ def keyword_scores(fields: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def synonym_matches(fields: DataFrame, synonyms: DataFrame, top: int = 3) -> DataFrame:
-    """table, column, term, score, rank: 0.95 for an equal name, else 0.9 times the share of name parts in common, from a half."""
+    """table, column, term, score, rank: 0.95 for an equal name, else, where one name holds the other, 0.9 times the share of
+    name parts in common (2 places), from a half. Only names with a part in common meet."""
     parts = lambda c: F.array_distinct(F.filter(F.split(_plain(F.col(c)), "_"), lambda p: p != ""))
     f = fields.select("table", "column", parts("column").alias("fp"), F.explode(parts("column")).alias("part"))
     s = synonyms.select("term", "synonym", parts("synonym").alias("sp"), F.explode(parts("synonym")).alias("part"))
     pairs = f.join(s, "part").select("table", "column", "fp", "term", "synonym", "sp").distinct()
     share = F.size(F.array_intersect("fp", "sp")) / F.greatest(F.size("fp"), F.size("sp"))
-    score = F.when(_plain(F.col("column")) == _plain(F.col("synonym")), 0.95).when(share >= 0.5, F.round(0.9 * share, 3))
+    name, synonym = _plain(F.col("column")), _plain(F.col("synonym"))
+    holds = name.contains(synonym) | synonym.contains(name)
+    score = F.when(name == synonym, 0.95).when(holds & (share >= 0.5), F.round(0.9 * share, 2))
     best = pairs.withColumn("score", score).filter("score IS NOT NULL").groupBy("table", "column", "term").agg(F.max("score").alias("score"))
     order = Window.partitionBy("table", "column").orderBy(F.desc("score"), "term")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -9,7 +9,7 @@ from ..functions.text import DATE_SHAPES, PATTERNS
 
 #: Texts that count as null, and how values look by type.
 NULL_TEXTS = ("", "null", "none", "na")
-INTEGER, DECIMAL, BOOLEAN = r"^[+-]?(\d+|\d{1,3}(,\d{3})+)$", r"^[+-]?\d*\.\d+$", r"^(?i:true|false|yes|no)$"
+INTEGER, DECIMAL, BOOLEAN = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"^(?i:true|false|yes|no|y|n)$"
 
 
 def long_form(df: DataFrame, columns: tuple[str, ...] = (), null_texts: tuple[str, ...] = NULL_TEXTS) -> DataFrame:
@@ -32,15 +32,17 @@ def profile(df: DataFrame, columns: tuple[str, ...] = (), *, null_texts: tuple[s
     """
     counted = long_form(df, columns, null_texts)
     v, n = F.col("value"), F.col("rows")
-    number = F.regexp_replace("value", ",", "").try_cast("double")
-    shapes = {"integer": v.rlike(INTEGER), "decimal": v.rlike(DECIMAL), "boolean": v.rlike(BOOLEAN), "date": v.rlike("|".join(DATE_SHAPES))}
+    plain, bare = F.trim("value"), F.regexp_replace(F.trim("value"), ",", "")
+    whole, dated = bare.rlike(INTEGER), plain.rlike("|".join(DATE_SHAPES))
+    number = F.when(bare.rlike(DECIMAL), bare.try_cast("double"))
+    shapes = {"integer": whole, "decimal": bare.rlike(DECIMAL) & ~whole, "boolean": plain.rlike(BOOLEAN), "date": dated}
     has = v.isNotNull()
     sums = counted.groupBy("column").agg(
         F.sum("rows").alias("rows"),
         F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"),
         F.count("value").alias("distinct_values"),
         *[F.coalesce(F.sum(F.when(shape, n)), F.lit(0)).alias(f"_t_{k}") for k, shape in shapes.items()],
-        *[F.coalesce(F.sum(F.when(v.rlike(p), n)), F.lit(0)).alias(f"_p_{k}") for k, p in PATTERNS.items()],
+        *[F.coalesce(F.sum(F.when(plain.rlike(p), n)), F.lit(0)).alias(f"_p_{k}") for k, p in PATTERNS.items()],
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
         F.round(F.sum(number * n) / F.sum(F.when(number.isNotNull(), n)), 3).alias("mean_number"),

@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Which types widen to which without loss.
-WIDENS = {"tinyint": ("smallint", "int", "bigint"), "smallint": ("int", "bigint"), "int": ("bigint", "double"), "bigint": ("double",), "float": ("double",), "date": ("timestamp",)}
+WIDENS = {
+    "tinyint": ("smallint", "int", "bigint"),
+    "smallint": ("int", "bigint"),
+    "int": ("bigint", "double", "string"),
+    "bigint": ("double", "string"),
+    "float": ("double",),
+    "double": ("string",),
+    "date": ("timestamp", "string"),
+    "timestamp": ("string",),
+}
+#: Digits that integers need, for decimals to hold them.
+DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 CONTROL_PREFIX = "_"
 
 
@@ -21,6 +32,8 @@ def widens(old: str, new: str, extra: tuple[str, ...] = ()) -> bool:
     if old == new or f"{old} -> {new}" in extra or new in WIDENS.get(old, ()):
         return True
     a, b = (re.fullmatch(r"decimal\((\d+),(\d+)\)", t) for t in (old, new))
+    if b and old in DIGITS:
+        return int(b[1]) - int(b[2]) >= DIGITS[old]
     return bool(a and b and int(b[2]) >= int(a[2]) and int(b[1]) - int(b[2]) >= int(a[1]) - int(a[2]))
 
 

@@ -642,7 +642,7 @@ def type_overrides(spark: SparkSession, d: str) -> DataFrame:
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     """Order dates written in four shapes, read back to one."""
     k = F.expr("o_orderkey % 4")
-    said = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 2, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    said = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 2, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"))
     return table(spark, d, "orders").select("o_orderkey", text.to_iso_date(said).alias("iso"))
 
 
