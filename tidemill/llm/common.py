@@ -65,5 +65,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def slices(batches, rows: int = 256):
+    """Batches of at most so many rows, for tasks whose output is as large as their input: neither side holds more at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def to_batch(columns: dict[str, tuple[pa.DataType, object]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for t, v in columns.values()], names=list(columns))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of, to_batch
+from .common import materialize, slices, texts_of, to_batch
 
 WIDTH = 64
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
@@ -127,7 +127,7 @@ def interleaved(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches):
             yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "items": (kind, [parse_sequence(t) for t in texts_of(batch, "html")])})
 
     return pages.select("doc_id", "html").mapInArrow(run, f"doc_id long, items array<{ITEM}>")
@@ -140,7 +140,7 @@ def media_pages(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pages, digests, stored, sizes = [], [], [], []
             for text in texts_of(batch):
                 n, payload = payload_of(text)
@@ -162,7 +162,7 @@ def media_features(store: DataFrame) -> DataFrame:
     """Digests and a feature of each row of a media store (digest, media), from the stored bytes. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             stored = batch.column(1).to_pylist()
             samples = [from_png(m) for m in stored]
             yield to_batch(
