@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,14 +83,14 @@ def _header(r: dict) -> bytes:
 def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = 1 << 30) -> DataFrame:
     """Writes the chunk table to archives in folder, one or more a partition; returns the written index: path, record, begin, end.
 
-    A chunk is in memory at a time, with the digest of what has passed, which must end at the one in the header. Files are
+    Each record is a gzip member of its own, so begin and end are offsets in the file and any record can be read alone. A chunk is in memory at a time, with the digest of what has passed, which must end at the one in the header. Files are
     named by attempt, and the index has only those of attempts that ended, so tasks may be lost and run again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
-        out, path, begin, digest, record = None, "", 0, None, 0
+        out, path, begin, digest, record, packer = None, "", 0, None, 0, None
         for batch in batches:
             index = []
             for k in range(batch.num_rows):
@@ -98,16 +99,16 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = 1 << 30)
                     if out is None or out.tell() >= archive_bytes:
                         if out is not None:
                             out.close()
-                        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
-                        path, out = f"{folder}/{name}", store.open_output_stream(f"{at}/{name}")
-                    begin, digest = out.tell(), hashlib.sha1()
-                    out.write(_header(r))
+                        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                        path, out = f"{folder}/{name}", store.open_output_stream(f"{at}/{name}", compression=None)
+                    begin, digest, packer = out.tell(), hashlib.sha1(), zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.write(packer.compress(_header(r)))
                 digest.update(r["data"])
-                out.write(r["data"])
+                out.write(packer.compress(r["data"]))
                 if r["chunk"] == r["n_chunks"] - 1:
                     if r["record_type"] == "response" and digest.hexdigest() != r["payload_digest"]:
                         raise ValueError(f"page {r['page_id']}: its chunks do not have its digest")
-                    out.write(b"\r\n\r\n")
+                    out.write(packer.compress(b"\r\n\r\n") + packer.flush())
                     index.append((path, record, begin, out.tell()))
                     record += 1
             yield to_batch({c: (t, [x[k] for x in index]) for k, (c, t) in enumerate([("path", pa.string()), ("record", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])})
@@ -135,16 +136,43 @@ def read_archives(index: DataFrame, *, chunk_bytes: int = CHUNK, span_bytes: int
     return spans.repartition("path", "span").mapInArrow(run, CHUNKS)
 
 
-def _lines(f) -> list[str]:
-    """The lines up to an empty one; f stands behind it afterwards."""
-    held, start = b"", f.tell()
-    while (end := held.find(b"\r\n\r\n")) < 0:
-        more = f.read(4096)
-        if not more:
-            raise ValueError("an archive ends within a header")
-        held += more
-    f.seek(start + end + 4)
-    return held[:end].decode().split("\r\n")
+class _Member:
+    """The bytes of one gzip member of a file, decompressed as they are read."""
+
+    def __init__(self, f, begin: int):
+        f.seek(begin)
+        self.f, self.z, self.held = f, zlib.decompressobj(31), b""
+
+    def _more(self) -> bool:
+        while not self.held and not self.z.eof:
+            data = self.z.unconsumed_tail or self.f.read(1 << 16)
+            self.held = self.z.decompress(data, CHUNK)
+            if not data and not self.held:
+                raise ValueError("an archive ends within a record")
+        return bool(self.held)
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n and self._more():
+            out.append(self.held[:n])
+            self.held, n = self.held[n:], n - len(out[-1])
+        return b"".join(out)
+
+    def lines(self) -> tuple[list[str], int]:
+        """The lines up to an empty one, and the bytes they take with it."""
+        head = b""
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                raise ValueError("an archive ends within a header")
+            head, self.held = head + self.held, b""
+        self.held = head[end + 4 :]
+        return head[:end].decode().split("\r\n"), end + 4
+
+    def end(self) -> int:
+        """The offset behind the member in the file."""
+        while self._more():
+            self.held = b""
+        return self.f.tell() - len(self.z.unused_data)
 
 
 def _span(f, begin: int, end: int, chunk_bytes: int, with_data: bool) -> Iterator[pa.RecordBatch]:
@@ -152,17 +180,15 @@ def _span(f, begin: int, end: int, chunk_bytes: int, with_data: bool) -> Iterato
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     rows, held = [], 0
     while begin < end:
-        f.seek(begin)
-        head = dict(line.split(": ", 1) for line in _lines(f)[1:])
-        block_at, length = f.tell(), int(head["Content-Length"])
-        _lines(f)  # the HTTP head
-        left = block_at + length - f.tell()
+        member = _Member(f, begin)
+        head = dict(line.split(": ", 1) for line in member.lines()[0][1:])
+        left = int(head["Content-Length"]) - member.lines()[1]  # less the HTTP head
         page = head["WARC-Record-ID"][len("<urn:x-page:") : -1]
         page = None if page == "null" else int(page)
         kind, chunk, done, digest = head["WARC-Type"], 0, 0, hashlib.sha1()
         refers = int(head["WARC-Refers-To"][len("<urn:x-page:") : -1]) if kind == "revisit" else None
         while True:
-            data = f.read(min(chunk_bytes, left - done))
+            data = member.read(min(chunk_bytes, left - done))
             if len(data) < min(chunk_bytes, left - done):
                 raise ValueError("an archive ends within a record")
             digest.update(data)
@@ -178,7 +204,7 @@ def _span(f, begin: int, end: int, chunk_bytes: int, with_data: bool) -> Iterato
             if last:
                 break
             chunk += 1
-        begin = block_at + length + 4
+        begin = member.end()
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=names)
 
 
