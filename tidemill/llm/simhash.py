@@ -284,8 +284,8 @@ def sketch_of(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def text_features(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (digest of the set of shingles), fp (of single words by count), sketch. Map only."""
+def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFrame:
+    """doc_id, node (digest of the set of shingles), fp (of single words by count ** damping), sketch. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,23 +296,25 @@ def text_features(docs: DataFrame, shingle: int) -> DataFrame:
                 counts = Counter(words)
                 own = np.fromiter(map(xxhash.xxh64_intdigest, counts, repeat(SEED)), dtype=np.uint64, count=len(counts))
                 node.append(hashlib.md5(kept.tobytes()).hexdigest())
-                fp.append(fingerprint(own, np.fromiter(counts.values(), dtype=np.int64, count=len(counts))))
+                weights = np.rint(64 * np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) ** damping)
+                fp.append(fingerprint(own, weights.astype(np.int64)))
                 sketch.append(sketch_of(kept))
             yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "node": (pa.string(), node), "fp": (pa.int64(), fp), "sketch": (pa.binary(), sketch)})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, fp long, sketch binary")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 4, margin: float = 0.03) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.03) -> DataFrame:
     """doc_id, component_id of near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more.
 
     Edits of a few words in a hundred change most bits' votes of shingles but few of single words: fingerprints of the
-    words by count, within `radius` bits, give the candidates of the trie join. The tasks check each candidate pair that
+    words, by damped count so that common words do not decide most bits, within `radius` bits give the candidates of the
+    trie join. The tasks check each candidate pair that
     is not joined yet by a 256-place sketch of the shingles, which for texts of a few hundred words holds them nearly
     all; its standard error at 0.8 is 0.025 for long ones, so pairs count from similarity - margin. Texts with equal sets
     of shingles are one node. Rows as in simhash_components.
     """
-    features = materialize(text_features(docs, shingle), "features")
+    features = materialize(text_features(docs, shingle, damping), "features")
     distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     distinct = materialize(distinct, "distinct")
     roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin))
@@ -326,9 +328,13 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat that doc_id one stays. Rows with a null doc_id stay only where their component has no other id,
     and then one of them.
     """
+    key, copy = "_key", "_copy"
+    while {key, copy} & set(docs.columns):
+        key, copy = "_" + key, "_" + copy
+    none = F.lit(-(1 << 63))
     found = near_duplicates(docs, **options)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.coalesce("component_id", F.lit(-(1 << 63))).alias("_key")).distinct()
-    kept = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(keep, "_key", "left_semi")
-    copies = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(*docs.columns)
+    keep = keep.select(F.coalesce("component_id", none).alias(key)).distinct()
+    kept = docs.withColumn(key, F.coalesce("doc_id", none)).join(keep, key, "left_semi")
+    copies = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return kept.withColumn(copy, F.row_number().over(copies)).filter(F.col(copy) == 1).select(*docs.columns)
