@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +54,11 @@ class NbSvm:
         """Dual coordinate descent for the hinge loss; classes weigh alike, rows have length 1."""
         w, bias, alpha = np.zeros(DIMS), 0.0, np.zeros(len(rows))
         share = np.array([(good[fit] == k).mean() for k in (0, 1)])
-        scaled = {i: (x := ratio[rows[i]]) / max(np.sqrt(x @ x), 1e-12) for i in fit}
         for _ in range(epochs):
             for i in rng.permutation(fit):
-                x, cells, y = scaled[i], rows[i], 1.0 if good[i] else -1.0
+                cells, y = rows[i], 1.0 if good[i] else -1.0
+                x = ratio[cells]
+                x /= max(np.sqrt(x @ x), 1e-12)
                 most = c / (2 * share[int(good[i])])
                 slope = y * (w[cells] @ x + bias) - 1
                 new = min(max(alpha[i] - slope / 2, 0.0), most)  # x @ x + 1, for the bias, is 2
@@ -106,9 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000) -> NbSvm:
             yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "quality": (pa.int32(), batch.column(2)), "cells": (pa.binary(), cells)})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int"))), "doc_id")  # max_rows ids at most
-    found = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, cells binary").toPandas()
-    found = found.sort_values(["doc_id", "cells"], ignore_index=True)
-    return NbSvm([np.frombuffer(b, dtype=np.int32) for b in found["cells"]], (found["quality"] == 1).to_numpy())
+    found = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, cells binary").toArrow()
+    order = sorted(range(found.num_rows), key=lambda i: (found["doc_id"][i].as_py(), zlib.crc32(found["cells"][i].as_buffer())))
+    cells = [np.frombuffer(found["cells"][i].as_buffer(), dtype=np.int32) for i in order]  # views of the one table
+    return NbSvm(cells, np.array([found["quality"][i].as_py() == 1 for i in order], dtype=bool))
 
 
 def scorer(model: NbSvm):
