@@ -128,7 +128,11 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(stats: DataFrame, labels: DataFrame, *, max_fit: int, max_good_rejected: float, trees: int, sample: int) -> tuple[IsolationForest, float]:
     """The forest, from at most max_fit rows labelled as good, and its threshold, from all labelled rows."""
     known = materialize(labelled(stats.filter("NOT base_failed"), labels).select("doc_id", "good", *feature_columns()), "labelled")
-    chosen = known.filter("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select(*FEATURES).toPandas()
+    good, place = known.filter("good = 1"), F.xxhash64("doc_id")
+    share = 2 * max_fit / max(good.count(), 1)
+    if share < 1:  # hashes are even: twice the rows wanted lie below, so no task sends rows that cannot be chosen
+        good = good.filter(place < int(share * 2**64) - 2**63)
+    chosen = good.orderBy(place, "doc_id").limit(max_fit).select(*FEATURES).toPandas()
     forest = IsolationForest(chosen.to_numpy(dtype=float), trees, sample)
     cells = known.groupBy("good", F.floor(scorer(forest)(*FEATURES) * CELLS).alias("cell")).count().collect()
     return forest, choose_threshold([(r["cell"], r["good"] == 1, r["count"]) for r in cells], max_good_rejected) / CELLS
