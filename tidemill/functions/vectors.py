@@ -16,14 +16,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside lambdas an expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trigram_vector(text: Column, dims: int = 128) -> Column:
     """Counts of character trigrams by hashed place, with length 1. Texts under three characters give zeros."""
-    low = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    places = F.transform(F.filter(grams, lambda g: F.char_length(g) == 3), lambda g: F.pmod(F.xxhash64(g), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    norm = F.sqrt(dot(counts, counts))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float"))
+
+    def counted(low: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1)))
+        grams = F.filter(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))), lambda g: F.char_length(g) == 3)
+        places = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(dims)))
+        return _let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(ps, lambda p: p == d)).cast("double")))
+
+    def scaled(counts: Column) -> Column:
+        return _let(F.sqrt(dot(counts, counts)), lambda norm: F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float")))
+
+    return _let(_let(F.lower(text), counted), scaled)
 
 
 def top_k_cosine(queries: DataFrame, corpus: DataFrame, *, id_col: str, vector_col: str, k: int, threshold: float | None = None, digits: int = 6, max_queries: int = 1000) -> DataFrame:
