@@ -1,0 +1,112 @@
+"""Pairs of texts whose whole sets of shingles have a Jaccard similarity of a bound or more: candidates by prefix and length bounds, then an exact check."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, slices, texts_of, to_batch
+
+#: Counters of shingles by their lower bits, dealt over so many rows.
+COUNTERS, PARTS = 1 << 20, 64
+#: (digest of the set, the set in ascending order) of a text.
+SetOf = Callable[[str], tuple[str, np.ndarray]]
+
+
+def permille(similarity: float) -> int:
+    """Bounds are compared in whole numbers."""
+    return round(1000 * similarity)
+
+
+def counters(docs: DataFrame, set_of: SetOf) -> np.ndarray:
+    """How many texts hold shingles of each counter: a fixed table, so it tells the common ones at any size of docs."""
+    width = COUNTERS // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in texts_of(batch):
+                np.add.at(total, (set_of(text)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+        if total.any():
+            yield to_batch({"part": (pa.int32(), range(PARTS)), "counts": (pa.binary(), [row.tobytes() for row in total.reshape(PARTS, width)])})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), dtype=np.int64)
+        if sums:
+            small = [np.minimum(s, (1 << 31) - 1).astype("<i4").tobytes() for s in sums.values()]
+            yield to_batch({"part": (pa.int32(), list(sums)), "counts": (pa.binary(), small)})
+
+    kind, out = "part int, counts binary", np.zeros((PARTS, width), dtype=np.int32)
+    for row in docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toLocalIterator():
+        out[row.part] = np.frombuffer(row.counts, dtype="<i4")
+    return out.reshape(-1)
+
+
+def prefixes(docs: DataFrame, set_of: SetOf, p: int) -> DataFrame:
+    """node, n, members: the rarest shingles of each distinct set, as many as each similar set has one of among its own."""
+    common = docs.sparkSession.sparkContext.broadcast(counters(docs, set_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, sizes, members = [], [], []
+            for text in texts_of(batch):
+                node, own = set_of(text)
+                if len(own):
+                    order = np.lexsort((own, common.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    members.append(own[order[: len(own) - -(-p * len(own) // 1000) + 1]].view(np.int64))
+            yield to_batch({"node": (pa.string(), nodes), "n": (pa.int64(), sizes), "members": (pa.list_(pa.int64()), members)})
+
+    rows = docs.select("text").mapInArrow(run, "node string, n long, members array<long>")
+    return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+
+
+def candidates(docs: DataFrame, set_of: SetOf, roots: DataFrame, similarity: float, hot: int = 1000) -> DataFrame:
+    """a, b (xxhash64 of nodes): every pair of sets of such a similarity, and some others, that do not lie under one root.
+
+    Sets that share enough share one of their rarest members, under any order of rarity that all follow. A member of
+    over `hot` prefixes is dealt over tasks by a salt on one side and repeated on the other.
+    """
+    p = permille(similarity)
+    rows = prefixes(docs, set_of, p).join(roots, "node", "left")
+    rows = rows.select(F.xxhash64("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "n", "members")
+    rows = materialize(rows, "prefixes").select("id", "root", "n", F.posexplode("members").alias("place", "member"))
+    many = materialize(rows.groupBy("member").count().filter(F.col("count") > hot), "hot-members")
+    rows = rows.join(many, "member", "left").withColumn("salts", F.coalesce(F.ceil(F.col("count") / hot), F.lit(1)).cast("int")).drop("count")
+    short = rows.filter(F.expr(f"place + (2 * {p} * n + {999 + p}) div {1000 + p} <= n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    long = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    least = f"({p} * (x.n + y.n) + {999 + p}) div {1000 + p}"
+    near = f"x.member = y.member AND x.salt = y.salt AND x.root <> y.root AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND 1000 * x.n >= {p} * y.n AND x.place + {least} <= x.n AND y.place + {least} <= y.n"
+    return short.alias("x").join(long.alias("y"), F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def exact(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, set_of: SetOf, similarity: float) -> DataFrame:
+    """a, b (nodes): the pairs (of xxhash64 of nodes) whose whole sets have such a similarity or more.
+
+    distinct: node, first (the least doc_id with that set). Only sets that are in a pair are made.
+    """
+    p, none = permille(similarity), F.lit(-(1 << 63))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = distinct.withColumn("id", F.xxhash64("node")).join(ids, "id", "left_semi").select(F.coalesce("first", none).alias("key")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [set_of(t) for t in texts_of(batch)]
+            yield to_batch({"node": (pa.string(), [n for n, _ in found]), "members": (pa.list_(pa.int64()), [s.view(np.int64) for _, s in found])})
+
+    own = docs.select(F.coalesce("doc_id", none).alias("key"), "text").join(wanted, "key", "left_semi").select("text")
+    sets = own.mapInArrow(run, "node string, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
+    sets = materialize(sets.withColumn("id", F.xxhash64("node")), "sets")
+    a, b = (sets.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"), F.col("members").alias(f"{c}_members")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("a_members", "b_members")).cast("long"))
+    alike = 1000 * F.col("shared") >= p * (F.size("a_members") + F.size("b_members") - F.col("shared"))
+    return materialize(both.filter(alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "exact")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import set_join
 from .common import materialize, texts_of, to_batch
 from .graph import connected_components
 
@@ -284,6 +286,12 @@ def sketch_of(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def shingle_set(text: str, n: int) -> tuple[str, np.ndarray]:
+    """Digest of the set of n-word shingles, and the set in ascending order."""
+    kept = np.unique(np.sort(shingle_hashes(words_of(text), n)))
+    return hashlib.md5(kept.tobytes()).hexdigest(), kept
+
+
 def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFrame:
     """doc_id, node (digest of the set of shingles), fp (of single words by count ** damping), sketch. Map only."""
 
@@ -292,10 +300,10 @@ def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFr
             node, fp, sketch = [], [], []
             for text in texts_of(batch):
                 words = words_of(text)
-                kept = np.unique(np.sort(shingle_hashes(words, shingle)))
+                digest, kept = shingle_set(text, shingle)
                 counts = Counter(words)
                 own = np.fromiter(map(xxhash.xxh64_intdigest, counts, repeat(SEED)), dtype=np.uint64, count=len(counts))
-                node.append(hashlib.md5(kept.tobytes()).hexdigest())
+                node.append(digest)
                 weights = np.rint(64 * np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) ** damping)
                 fp.append(fingerprint(own, weights.astype(np.int64)))
                 sketch.append(sketch_of(kept))
@@ -311,13 +319,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     words, by damped count so that common words do not decide most bits, within `radius` bits give the candidates of the
     trie join. The tasks check each candidate pair that
     is not joined yet by a 256-place sketch of the shingles, which for texts of a few hundred words holds them nearly
-    all; its standard error at 0.8 is 0.025 for long ones, so pairs count from similarity - margin. Texts with equal sets
-    of shingles are one node. Rows as in simhash_components.
+    all; its standard error at 0.8 is 0.025 for long ones, so pairs count from similarity - margin. Pairs beyond the
+    radius, or that the sketch refuses, are found by a join on the rarest shingles of each set and checked against the
+    whole sets, unless they are joined already. Texts with equal sets of shingles are one node. Rows as in
+    simhash_components.
     """
     features = materialize(text_features(docs, shingle, damping), "features")
     distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     distinct = materialize(distinct, "distinct")
-    roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin))
+    close = materialize(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin), "close")
+    set_of, first = partial(shingle_set, n=shingle), distinct.select("node", "first")
+    pairs = set_join.candidates(docs, set_of, connected_components(close), similarity)
+    roots = connected_components(close.unionByName(set_join.exact(pairs, docs, first, set_of, similarity)))
     named = components_of(distinct.select("node", "first"), "node", roots)
     return features.select("doc_id", "node").join(named, "node", "left").select("doc_id", "component_id")
 
