@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemill.llm import common, simhash
@@ -21,14 +22,14 @@ def jaccard(x, y):
     return len(x & y) / len(x | y)
 
 
-def pairs(words, low, high, count, rnd):
+def pairs(words, low, high, count, rnd, low_words=0):
     """Texts of so many words, and copies with some words replaced or added whose similarity lies from low to high."""
     vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 8))) for _ in range(3000)]
     out = []
     while len(out) < count:
         x = rnd.choices(vocabulary, k=words)
         y = x + rnd.choices(vocabulary, k=rnd.randint(0, 7))
-        for _ in range(rnd.randint(0, words // 40)):
+        for _ in range(rnd.randint(low_words, words // 40)):
             y[rnd.randrange(words)] = rnd.choice(vocabulary)
         x, y = " ".join(x), " ".join(y)
         if low <= jaccard(x, y) <= high:
@@ -50,3 +51,23 @@ def test_pairs_of_all_lengths_are_found(ready):
     got = components(ready, both)
     assert [k for k in range(len(both)) if got[2 * k] != got[2 * k + 1]] == []
     assert len(set(got.values())) == len(both)
+
+
+def test_links_are_decided_by_whole_sets(ready):
+    rnd = random.Random(8)
+    below = pairs(1000, 0.77, 0.799, 60, rnd, low_words=5)
+    above = pairs(1000, 0.8, 0.82, 60, rnd, low_words=5)
+    got = components(ready, below + above)
+    assert [jaccard(*pair) for k, pair in enumerate(below + above) if (got[2 * k] == got[2 * k + 1]) != (k >= len(below))] == []
+
+
+def test_spanning_edges_are_links():
+    rnd = np.random.default_rng(3)
+    i, j = rnd.integers(0, 200, 150), rnd.integers(0, 200, 150)
+    forest = simhash.Forest(200)
+    for k in range(0, 150, 50):
+        forest.join(i[k : k + 50], j[k : k + 50])
+    again, told = simhash.Forest(200), [pair for a, b in forest.edges for pair in zip(a.tolist(), b.tolist())]
+    assert set(told) <= set(zip(i.tolist(), j.tolist())) and len(told) == 200 - len(set(forest.root.tolist()))
+    again.join(*np.array(told).T)
+    assert np.array_equal(again.root, forest.root)

@@ -54,10 +54,11 @@ def fingerprint(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
 
 
 class Forest:
-    """Union-find over arrays; a root is the least index of its tree."""
+    """Union-find over arrays; a root is the least index of its tree. Of the pairs joined, edges are those that span the trees."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.edges = [(self.root[:0], self.root[:0])]
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
@@ -66,7 +67,11 @@ class Forest:
             if not apart.any():
                 return
             i, j = i[apart], j[apart]
-            np.minimum.at(self.root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(self.root, high, low)
+            hooked = np.flatnonzero(self.root[high] == low)
+            hooked = hooked[np.unique(high[hooked], return_index=True)[1]]
+            self.edges.append((i[hooked], j[hooked]))
             while not np.array_equal(jumped := self.root[self.root], self.root):
                 self.root = jumped
 
@@ -162,7 +167,7 @@ def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: f
 
     radius + 1 tries hold each fingerprint turned so that another of its blocks comes first; links agree in a first
     block, so each block value, the top of a trie, is worked on alone. Of each set of fingerprints that a task joins it
-    returns a star, so rows stay below radius + 2 for each fingerprint, however dense a group is.
+    returns a spanning tree of links, so rows stay below radius + 2 for each fingerprint, however dense a group is.
 
     Block values with over `hot` fingerprints are dealt out by pairs of nodes split_bits further down the trie: a
     fingerprint goes to the pairs of its node with each node within the radius.
@@ -235,9 +240,9 @@ def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: f
 
                 # ranges in tops need keys sorted as a whole: buckets follow one another by top, and by p, q within
                 trie_links(part, tops, radius, forest, verify)
-                moved = np.flatnonzero(forest.root != np.arange(len(part)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[x + moved])), nodes.take(pa.array(order[x + forest.root[moved]]))], names=["a", "b"])
+                i, j = (np.concatenate(side) for side in zip(*forest.edges))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[x + i])), nodes.take(pa.array(order[x + j]))], names=["a", "b"])
             at = stop
 
     keep = ["node", "block", "key", "top", "p", "q", *(["sketch"] if sketch else [])]
@@ -317,9 +322,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     Edits of a few words in a hundred change most bits' votes of shingles but few of single words: fingerprints of the
     words, by damped count so that common words do not decide most bits, within `radius` bits give the candidates of the
-    trie join. The tasks check each candidate pair that
-    is not joined yet by a 256-place sketch of the shingles, which for texts of a few hundred words holds them nearly
-    all; its standard error at 0.8 is 0.025 for long ones, so pairs count from similarity - margin. Pairs beyond the
+    trie join. Its tasks try each candidate pair that is not joined yet by a 256-place sketch of the shingles (standard
+    error at 0.8 for long texts 0.025) from similarity - margin. The sketch only proposes: a link counts if the whole sets
+    have the similarity, and what the sketch hides is found by the join below, which skips only links so checked. Pairs beyond the
     radius, or that the sketch refuses, are found by a join on the rarest shingles of each set and checked against the
     whole sets, unless they are joined already. Texts with equal sets of shingles are one node. Rows as in
     simhash_components.
@@ -327,8 +332,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     features = materialize(text_features(docs, shingle, damping), "features")
     distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     distinct = materialize(distinct, "distinct")
-    close = materialize(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin), "close")
     set_of, first = partial(shingle_set, n=shingle), distinct.select("node", "first")
+    close = links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin)
+    close = set_join.exact(close.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), docs, first, set_of, similarity)
     pairs = set_join.candidates(docs, set_of, connected_components(close), similarity)
     roots = connected_components(close.unionByName(set_join.exact(pairs, docs, first, set_of, similarity)))
     named = components_of(distinct.select("node", "first"), "node", roots)
