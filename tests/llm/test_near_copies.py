@@ -71,3 +71,15 @@ def test_spanning_edges_are_links():
     assert set(told) <= set(zip(i.tolist(), j.tolist())) and len(told) == 200 - len(set(forest.root.tolist()))
     again.join(*np.array(told).T)
     assert np.array_equal(again.root, forest.root)
+
+
+def test_equal_keys_are_told_apart_by_verify():
+    rng = np.random.default_rng(4)
+    keys = np.full(300, 12345, dtype=np.uint64)
+    kind = rng.integers(0, 5, 300)
+    forest = simhash.Forest(300)
+    simhash.trie_links(keys, [(0, 300, 0, 300, 12, 0)], 3, forest, lambda i, j: kind[i] == kind[j])
+    assert len(set(zip(kind.tolist(), forest.root.tolist()))) == 5 == len(set(forest.root.tolist()))
+    sides = simhash.Forest(300)
+    simhash.trie_links(keys, [(0, 150, 150, 300, 12, 0)], 3, sides, lambda i, j: kind[i] == kind[j])
+    assert len(set(zip(kind.tolist(), sides.root.tolist()))) == 5

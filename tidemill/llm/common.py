@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _REPO = str(Path(__file__).resolve().parents[2])
@@ -72,5 +74,34 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def whole_groups(batches, keys: list[str], rows: int = 1 << 16):
+    """Tables of about so many rows, cut where the values of keys change: batches sorted by keys, whose groups stay whole."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(group_starts(table, keys)[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        count = rows - max(rows, table.num_rows - cut)  # a group that goes on is looked at again when it has doubled
+    table = pa.Table.from_batches(held).combine_chunks() if held else None
+    if table is not None and table.num_rows:
+        yield table
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups of equal keys begin in a sorted table; its columns are one chunk each."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for key in keys:
+        column = table.column(key)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(table.num_rows - 1, 0))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def to_batch(columns: dict[str, tuple[pa.DataType, object]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for t, v in columns.values()], names=list(columns))

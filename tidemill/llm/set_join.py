@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of, to_batch
+from .common import group_starts, materialize, slices, texts_of, to_batch, whole_groups
 
 #: Counters of shingles by their lower bits, dealt over so many rows.
 COUNTERS, PARTS = 1 << 20, 64
-#: (digest of the set, the set in ascending order) of a text.
-SetOf = Callable[[str], tuple[str, np.ndarray]]
+#: (64-bit digest of the set, the set in ascending order) of a text.
+SetOf = Callable[[str], tuple[int, np.ndarray]]
 
 
 def permille(similarity: float) -> int:
@@ -29,16 +29,16 @@ def counters(docs: DataFrame, set_of: SetOf) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for text in texts_of(batch):
-                np.add.at(total, (set_of(text)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+            held = [set_of(text)[1] & np.uint64(COUNTERS - 1) for text in texts_of(batch)]
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
         if total.any():
-            yield to_batch({"part": (pa.int32(), range(PARTS)), "counts": (pa.binary(), [row.tobytes() for row in total.reshape(PARTS, width)])})
+            yield to_batch({"part": (pa.int32(), range(PARTS)), "counts": (pa.binary(), [row.astype("<i4").tobytes() for row in total.reshape(PARTS, width)])})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), dtype=np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), dtype="<i4").astype(np.int64)
         if sums:
             small = [np.minimum(s, (1 << 31) - 1).astype("<i4").tobytes() for s in sums.values()]
             yield to_batch({"part": (pa.int32(), list(sums)), "counts": (pa.binary(), small)})
@@ -49,64 +49,92 @@ def counters(docs: DataFrame, set_of: SetOf) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, set_of: SetOf, p: int) -> DataFrame:
-    """node, n, members: the rarest shingles of each distinct set, as many as each similar set has one of among its own."""
-    common = docs.sparkSession.sparkContext.broadcast(counters(docs, set_of))
+def shared_members(docs: DataFrame, set_of: SetOf, similarity: float, hot: int = 10_000) -> DataFrame:
+    """id, n, member, place: of the rarest shingles of each distinct set those that another set has among its own, written.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    As many are taken as each set of such a similarity has one of, under any order of rarity that all follow. A task
+    takes equal sets once. Members are dealt over tasks; one whose counter stands out by `hot` is dealt by a salt too, and
+    all its rows stay. Rows come sorted by member, so a task holds one group at a time.
+    """
+    p, told = permille(similarity), counters(docs, set_of)
+    usual = 3 * int(told.mean()) + hot
+    common = docs.sparkSession.sparkContext.broadcast(told)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
-            nodes, sizes, members = [], [], []
+            ids, sizes, places, members, salts = [], [], [], [], []
             for text in texts_of(batch):
                 node, own = set_of(text)
-                if len(own):
-                    order = np.lexsort((own, common.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    nodes.append(node)
-                    sizes.append(len(own))
-                    members.append(own[order[: len(own) - -(-p * len(own) // 1000) + 1]].view(np.int64))
-            yield to_batch({"node": (pa.string(), nodes), "n": (pa.int64(), sizes), "members": (pa.list_(pa.int64()), members)})
+                if len(own) and node not in seen:
+                    seen.add(node)
+                    count = common.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    order = np.lexsort((own, count))[: len(own) - -(-p * len(own) // 1000) + 1]
+                    ids.append(np.full(len(order), node, dtype=np.int64))
+                    sizes.append(np.full(len(order), len(own), dtype=np.int32))
+                    places.append(np.arange(len(order), dtype=np.int32))
+                    members.append(own[order].view(np.int64))
+                    salts.append(((node ^ node >> 32) % (1 + count[order].astype(np.int64) // usual)).astype(np.int32))
+            if ids:
+                yield to_batch({c: (t, np.concatenate(v)) for c, t, v in (("id", pa.int64(), ids), ("n", pa.int32(), sizes), ("member", pa.int64(), members), ("place", pa.int32(), places), ("salt", pa.int32(), salts))})
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["member"], 1 << 18):
+            table = table.take(pa.array(group_starts(table, ["member", "id"]))).combine_chunks()  # equal sets of several tasks
+            starts = group_starts(table, ["member"])
+            sizes = np.diff(np.r_[starts, table.num_rows])
+            hidden = np.bitwise_or.reduceat(table.column("salt").to_numpy() > 0, starts) if len(starts) else []
+            stay = np.repeat((sizes > 1) | hidden, sizes)
+            yield from table.filter(pa.array(stay)).drop_columns(["salt"]).to_batches()
+
+    rows = docs.select("text").mapInArrow(prefixes, "id long, n int, member long, place int, salt int")
+    dealt = rows.repartition("member", "salt").sortWithinPartitions("member", "id")
+    return materialize(dealt.mapInArrow(shared, "id long, n int, member long, place int"), "shared")
+
+
+def sets(docs: DataFrame, shared: DataFrame, distinct: DataFrame, set_of: SetOf) -> DataFrame:
+    """id, members: the whole sets of ids in shared, written. No other set has a similar one. distinct: node, first (the
+    least doc_id with that set)."""
+    none = F.lit(-(1 << 63))
+    wanted = shared.select(F.col("id").alias("node")).distinct()
+    keys = distinct.join(wanted, "node", "left_semi").select(F.coalesce("first", none).alias("key")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [set_of(t) for t in texts_of(batch)]
+            yield to_batch({"id": (pa.int64(), [n for n, _ in found]), "members": (pa.list_(pa.int64()), [s.view(np.int64) for _, s in found])})
 
-    rows = docs.select("text").mapInArrow(run, "node string, n long, members array<long>")
-    return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+    own = docs.select(F.coalesce("doc_id", none).alias("key"), "text").join(materialize(keys, "wanted"), "key", "left_semi").select("text")
+    return materialize(own.mapInArrow(run, "id long, members array<long>").groupBy("id").agg(F.first("members").alias("members")), "sets")
 
 
-def candidates(docs: DataFrame, set_of: SetOf, roots: DataFrame, similarity: float, hot: int = 1000) -> DataFrame:
-    """a, b (xxhash64 of nodes): every pair of sets of such a similarity, and some others, that do not lie under one root.
+def pairs_apart(shared: DataFrame, roots: DataFrame, similarity: float, every: bool, hot: int = 2000) -> DataFrame:
+    """a, b: pairs of ids that share a member and meet the bounds of such a similarity, under different roots.
 
-    Sets that share enough share one of their rarest members, under any order of rarity that all follow. A member of
-    over `hot` prefixes is dealt over tasks by a salt on one side and repeated on the other.
+    Without `every` each root sends one of its sets to a member; with it, all pairs come. The sets of a member's largest
+    root do not meet each other, so a large group of copies costs no more rows than it has; a member of many rows is
+    dealt over tasks by a salt on one side that is repeated on the other.
     """
     p = permille(similarity)
-    rows = prefixes(docs, set_of, p).join(roots, "node", "left")
-    rows = rows.select(F.xxhash64("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("root"), "n", "members")
-    rows = materialize(rows, "prefixes").select("id", "root", "n", F.posexplode("members").alias("place", "member"))
-    many = materialize(rows.groupBy("member").count().filter(F.col("count") > hot), "hot-members")
-    rows = rows.join(many, "member", "left").withColumn("salts", F.coalesce(F.ceil(F.col("count") / hot), F.lit(1)).cast("int")).drop("count")
-    short = rows.filter(F.expr(f"place + (2 * {p} * n + {999 + p}) div {1000 + p} <= n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    long = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    rows = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if not every:
+        rows = rows.groupBy("member", "root").agg(F.min(F.struct("place", "id", "n")).alias("s")).select("s.*", "member", "root")
+    rows = materialize(rows, "rooted-members")
+    per = rows.groupBy("member", "root").agg(F.count("*").alias("own"))
+    mixed = per.groupBy("member").agg(F.sum("own").alias("total"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = materialize(mixed.select("member", "largest", F.ceil(F.col("total") / hot).cast("int").alias("salts")), "mixed")
+    rows = materialize(rows.join(mixed, "member"), "apart")
+    few = rows.filter("root <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    all_ = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     least = f"({p} * (x.n + y.n) + {999 + p}) div {1000 + p}"
-    near = f"x.member = y.member AND x.salt = y.salt AND x.root <> y.root AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND 1000 * x.n >= {p} * y.n AND x.place + {least} <= x.n AND y.place + {least} <= y.n"
-    return short.alias("x").join(long.alias("y"), F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
+    near = f"x.member = y.member AND x.salt = y.salt AND x.root <> y.root AND 1000 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) AND x.place + {least} <= x.n AND y.place + {least} <= y.n"
+    return few.alias("x").join(all_.alias("y"), F.expr(near)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-def exact(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, set_of: SetOf, similarity: float) -> DataFrame:
-    """a, b (nodes): the pairs (of xxhash64 of nodes) whose whole sets have such a similarity or more.
-
-    distinct: node, first (the least doc_id with that set). Only sets that are in a pair are made.
-    """
-    p, none = permille(similarity), F.lit(-(1 << 63))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = distinct.withColumn("id", F.xxhash64("node")).join(ids, "id", "left_semi").select(F.coalesce("first", none).alias("key")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [set_of(t) for t in texts_of(batch)]
-            yield to_batch({"node": (pa.string(), [n for n, _ in found]), "members": (pa.list_(pa.int64()), [s.view(np.int64) for _, s in found])})
-
-    own = docs.select(F.coalesce("doc_id", none).alias("key"), "text").join(wanted, "key", "left_semi").select("text")
-    sets = own.mapInArrow(run, "node string, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
-    sets = materialize(sets.withColumn("id", F.xxhash64("node")), "sets")
-    a, b = (sets.select(F.col("id").alias(c), F.col("node").alias(f"{c}_node"), F.col("members").alias(f"{c}_members")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("a_members", "b_members")).cast("long"))
-    alike = 1000 * F.col("shared") >= p * (F.size("a_members") + F.size("b_members") - F.col("shared"))
-    return materialize(both.filter(alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "exact")
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs whose whole sets have such a similarity or more, written. A pair that sets lacks has none."""
+    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_members")) for c in "ab")
+    both = materialize(pairs.select("a", "b").distinct(), "pairs").join(a, "a").join(b, "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("a_members", "b_members")).cast("long"))
+    alike = 1000 * F.col("shared") >= permille(similarity) * (F.size("a_members") + F.size("b_members") - F.col("shared"))
+    return materialize(both.filter(alike).select("a", "b"), "similar")

@@ -6,22 +6,22 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import materialize, texts_of, to_batch
+from .common import group_starts, materialize, texts_of, to_batch, whole_groups
 from .graph import connected_components
 
 SEED = 42
-#: Places of a similarity sketch, two bytes each.
-PLACES = 256
-_EMPTY = 0xFFFF
+#: Places of a similarity sketch, a byte each.
+PLACES = 128
+_LONG = pa.int64()
 #: A trie node pair is compared fingerprint by fingerprint once it has no more pairs than this.
 LEAF_PAIRS = 64
 #: Node pairs, and pairs of fingerprints, that are held at once.
@@ -82,9 +82,15 @@ def trie_links(keys: np.ndarray, tops: list[tuple[int, int, int, int, int, int]]
     keys: sorted uint64. A trie node is a range of keys with equal upper bits. tops: (from, to, from, to, depth,
     differing bits) of node pairs; a node paired with itself stands for the pairs inside it. Node pairs go down a bit at
     a time, both halves with both halves; a pair of unlike halves adds a differing bit, and what exceeds the radius goes.
-    So do node pairs that lie within one tree of the forest already: their links add nothing. verify says of pairs of
-    indices which count as links.
+    So do node pairs that lie within one tree of the forest already: their links add nothing. Neighbours in the order of
+    keys are tried first, so dense groups are one tree before any node pair goes down. verify says of pairs of indices
+    which count as links.
     """
+    inside = np.zeros(len(keys), dtype=bool)
+    for a, b, c, d, _, _ in tops:
+        inside[a : b - 1] |= a == c
+    i = np.flatnonzero(inside)
+    _try(keys, i, i + 1, radius, forest, verify)
     ones: dict[int, np.ndarray] = {}
     stack = []
     by_depth: dict[int, list] = {}
@@ -103,11 +109,15 @@ def trie_links(keys: np.ndarray, tops: list[tuple[int, int, int, int, int, int]]
         joined = (change[b - 1] == change[a]) & (change[d - 1] == change[c]) & (forest.root[a] == forest.root[c])
         nodes = nodes[:, (bits <= radius) & ~joined]
         a, b, c, d, bits = nodes
-        leaf = ((b - a) * (d - c) <= LEAF_PAIRS) | (depth >= 64)
+        leaf = (b - a) * (d - c) <= LEAF_PAIRS
         if leaf.any():
             _compare(keys, nodes[:, leaf], radius, forest, verify)
             nodes = nodes[:, ~leaf]
             a, b, c, d, bits = nodes
+        if depth >= 64:
+            for a, b, c, d, _ in nodes.T.tolist():
+                _across(keys, a, b, c, d, radius, forest, verify)
+            continue
         if not nodes.shape[1]:
             continue
         if depth not in ones:
@@ -127,6 +137,21 @@ def trie_links(keys: np.ndarray, tops: list[tuple[int, int, int, int, int, int]]
             stack.append((depth + 1, down))
 
 
+def _try(keys, i, j, radius, forest, verify) -> None:
+    """Joins those of the pairs i, j that lie within the radius and count as links."""
+    near = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= radius)
+    i, j = i[near], j[near]
+    step = CHUNK // 8 if verify else CHUNK
+    for k in range(0, len(i), step):
+        x, y = i[k : k + step], j[k : k + step]
+        if verify:
+            apart = forest.root[x] != forest.root[y]
+            x, y = x[apart], y[apart]
+            same = verify(x, y)
+            x, y = x[same], y[same]
+        forest.join(x, y)
+
+
 def _compare(keys, nodes, radius, forest, verify) -> None:
     a, b, c, d, _ = nodes
     sizes = (b - a) * (d - c)
@@ -137,116 +162,116 @@ def _compare(keys, nodes, radius, forest, verify) -> None:
         own = sizes[at:stop]
         place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         width = np.repeat((d - c)[at:stop], own)
-        i = np.repeat(a[at:stop], own) + place // width
-        j = np.repeat(c[at:stop], own) + place % width
-        near = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= radius)
-        i, j = i[near], j[near]
-        for k in range(0, len(i), CHUNK // 8 if verify else CHUNK):
-            x, y = i[k : k + (CHUNK // 8 if verify else CHUNK)], j[k : k + (CHUNK // 8 if verify else CHUNK)]
-            if verify:
-                apart = forest.root[x] != forest.root[y]
-                x, y = x[apart], y[apart]
-                same = verify(x, y)
-                x, y = x[same], y[same]
-            forest.join(x, y)
+        _try(keys, np.repeat(a[at:stop], own) + place // width, np.repeat(c[at:stop], own) + place % width, radius, forest, verify)
         at = stop
 
 
+def _across(keys, a: int, b: int, c: int, d: int, radius, forest, verify) -> None:
+    """Two large nodes at the end of the trie, all keys of each alike: only what lies in different trees is compared.
+
+    Each key of the side's smaller trees meets the other side once; keys of the largest tree need not meet each other.
+    """
+    roots, counts = np.unique(forest.root[np.r_[a:b, c:d]], return_counts=True)
+    largest = roots[counts.argmax()]
+    left, right = np.arange(a, b), np.arange(c, d)
+    for few, all_ in ((left[forest.root[a:b] != largest], right), (right[forest.root[c:d] != largest], left)):
+        for i in few.tolist():
+            other = all_[forest.root[all_] != forest.root[i]]
+            _try(keys, np.full(len(other), i), other, radius, forest, verify)
+
+
 def block_bits(radius: int) -> list[tuple[int, int]]:
     """(first bit from the top, width) of radius + 1 blocks: fingerprints within radius bits agree in one of them at least."""
     edges = [64 * k // (radius + 1) for k in range(radius + 2)]
     return [(x, y - x) for x, y in zip(edges, edges[1:])]
 
 
-def _turn(fp: np.ndarray, by: int) -> np.ndarray:
-    return fp if not by else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
-
-
-def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: float = 0.0, hot: int = 100_000, split_bits: int = 6) -> DataFrame:
+#: Bits of the trie that a hot node is split by at once.
+SPLIT = 6
+
+
+def _split(rows: DataFrame, hot: DataFrame, radius: int) -> DataFrame:
+    """rows with those of hot buckets dealt to buckets SPLIT bits further down: a key goes to the pairs of its node with
+    each node within what is left of the radius."""
+    rows = rows.join(hot.withColumn("_hot", F.lit(True)), "bucket", "left")
+    masks = sorted((m for m in range(1 << SPLIT) if m.bit_count() <= radius), key=int.bit_count)
+    left = F.lit(radius) - F.col("used")
+    fit = F.filter(F.array(*map(F.lit, masks)), lambda m: F.bit_count(m) <= left)
+    rows = rows.withColumn("_m", F.explode(F.when(F.col("_hot"), fit).otherwise(F.array(F.lit(-1)))))
+    mine = F.expr(f"cast(shiftrightunsigned(shiftleft(key, depth), {64 - SPLIT}) as int)")
+    apart = mine.bitwiseXOR(F.col("_m"))
+    p = F.when(F.col("same"), F.least(mine, apart)).when(F.col("side") == 0, mine).otherwise(apart)
+    q = F.when(F.col("same"), F.greatest(mine, apart)).when(F.col("side") == 0, apart).otherwise(mine)
+    deeper = F.col("_m") >= 0
+    changed = {
+        "bucket": F.when(deeper, F.concat_ws("/", "bucket", F.concat_ws("-", p.cast("string"), q.cast("string")))).otherwise(F.col("bucket")),
+        "side": F.when(deeper & F.col("same"), (mine != p).cast("int")).otherwise(F.col("side")),
+        "used": F.when(deeper, F.col("used") + F.bit_count("_m")).otherwise(F.col("used")),
+        "depth": F.when(deeper, F.col("depth") + SPLIT).otherwise(F.col("depth")),
+        "same": F.when(deeper, F.col("same") & (F.col("_m") == 0)).otherwise(F.col("same")),
+    }
+    return rows.withColumns(changed).drop("_hot", "_m")
+
+
+def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: float = 0.0, hot: int = 100_000) -> DataFrame:
     """a, b: edges that join all prints (node, fp, and sketch if asked) within radius bits, and nothing else.
 
     radius + 1 tries hold each fingerprint turned so that another of its blocks comes first; links agree in a first
-    block, so each block value, the top of a trie, is worked on alone. Of each set of fingerprints that a task joins it
+    block, so each block value, the top of a trie, is a bucket of its own. Of each set of fingerprints that a task joins it
     returns a spanning tree of links, so rows stay below radius + 2 for each fingerprint, however dense a group is.
 
-    Block values with over `hot` fingerprints are dealt out by pairs of nodes split_bits further down the trie: a
-    fingerprint goes to the pairs of its node with each node within the radius.
+    Buckets of over `hot` rows are dealt out by pairs of nodes further down the trie, and those again, as deep as the
+    keys go. Rows come sorted, so a task holds one bucket at a time.
     """
-    blocks = block_bits(radius)
     fp = F.col("fp")
 
     def turned(by: int):
         return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
-    rows = prints.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), turned(by).alias("key"), F.shiftrightunsigned(turned(by), 64 - w).alias("top")) for k, (by, w) in enumerate(blocks)])).alias("_t")).select("*", "_t.*").drop("_t")
-    large = materialize(rows.groupBy("block", "top").count().filter(F.col("count") > hot).drop("count"), "hot")
-    none = F.lit(-1).cast("long")
-    if large.isEmpty():
-        rows = rows.select("*", none.alias("p"), none.alias("q"))
-    else:
-        rows = rows.join(large.withColumn("is_hot", F.lit(True)), ["block", "top"], "left")
-        width = F.element_at(F.array(*[F.lit(w) for _, w in blocks]), F.col("block") + 1)
-        mine = F.expr(f"shiftrightunsigned(shiftleft(key, _w), {64 - split_bits})")
-        masks = [sum(1 << x for x in c) for n in range(radius + 1) for c in combinations(range(split_bits), n)]
-        other = F.explode(F.when(F.col("is_hot"), F.array(*[F.lit(m).cast("long") for m in masks])).otherwise(F.array(none)))
-        rows = rows.withColumn("_w", width).withColumn("_p", mine).withColumn("_m", other)
-        apart = F.col("_p").bitwiseXOR(F.col("_m"))
-        rows = rows.withColumn("p", F.when(F.col("_m") >= 0, F.least("_p", apart)).otherwise(none)).withColumn("q", F.when(F.col("_m") >= 0, F.greatest("_p", apart)).otherwise(none)).drop("_w", "_p", "_m", "is_hot")
+    tops = [F.struct(F.concat_ws(":", F.lit(str(k)), F.hex(F.shiftrightunsigned(turned(by), 64 - w))).alias("bucket"), turned(by).alias("key"), F.lit(w).alias("depth")) for k, (by, w) in enumerate(block_bits(radius))]
+    rows = prints.select("node", *(["sketch"] if sketch else []), F.explode(F.array(*tops)).alias("_t")).select("*", "_t.*").drop("_t")
+    rows = rows.select("*", F.lit(0).alias("used"), F.lit(0).alias("side"), F.lit(True).alias("same"))
+    for _ in range(64 // SPLIT):
+        large = materialize(rows.filter(F.col("depth") + SPLIT <= 64).groupBy("bucket").count().filter(F.col("count") > hot).drop("count"), "hot")
+        if large.isEmpty():
+            break
+        rows = _split(rows, large, radius)
     kind = dict(prints.dtypes)["node"]
-    widths = [w for _, w in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        get = lambda c: table.column(c).to_numpy()
-        block, key, p, q = get("block"), get("key").view(np.uint64), get("p"), get("q")
-        order = np.lexsort((key, q, p, get("top"), block))
-        block, key, p, q = block[order], key[order], p[order], q[order]
-        top = key >> np.array([64 - w for w in widths], dtype=np.uint64)[block]
-        new = np.r_[True, (block[1:] != block[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (top[1:] != top[:-1])]
-        bounds = np.r_[np.flatnonzero(new), len(key)]
-        nodes = table.column("node").combine_chunks()
-        if sketch:
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, PLACES)
-        # Groups of buckets are worked on together; a bucket is never cut.
-        at = 0
-        while at < len(bounds) - 1:
-            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK)) - 1)
-            stop = min(stop, len(bounds) - 1)
-            lo, hi = bounds[at], bounds[stop]
-            for own in np.unique(block[lo:hi]):
-                x, y = lo + np.searchsorted(block[lo:hi], own), lo + np.searchsorted(block[lo:hi], own, side="right")
-                width, part, tops = widths[own], key[x:y], []
-                for s, e in zip(bounds[at:stop], bounds[at + 1 : stop + 1]):
-                    if not x <= s < y or e - s < 2:
-                        continue
-                    s, e = s - x, e - x
-                    if p[s + x] == q[s + x]:
-                        tops.append((s, e, s, e, width + (split_bits if p[s + x] >= 0 else 0), 0))
-                    else:
-                        m = s + np.searchsorted((part[s:e] << np.uint64(width)) >> np.uint64(64 - split_bits), np.uint64(q[s + x]))
-                        if s < m < e:
-                            tops.append((s, m, m, e, width + split_bits, int(p[s + x] ^ q[s + x]).bit_count()))
-                if not tops:
+        for table in whole_groups(batches, ["bucket"]):
+            bounds = np.r_[group_starts(table, ["bucket"]), table.num_rows]
+            get = lambda c: table.column(c).to_numpy()
+            keys, depth, used, side, same = get("key").view(np.uint64), get("depth"), get("used"), get("side"), get("same")
+            found = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if e - s < 2:
                     continue
-                forest, verify = Forest(len(part)), None
-                if sketch:
-                    mine = sketches[order[x:y]]
-
-                    def verify(i, j, mine=mine):
-                        u, v = mine[i], mine[j]
-                        return (u == v).sum(axis=1) - (both := ((u == _EMPTY) & (v == _EMPTY)).sum(axis=1)) >= similarity * (PLACES - both)
-
-                # ranges in tops need keys sorted as a whole: buckets follow one another by top, and by p, q within
-                trie_links(part, tops, radius, forest, verify)
-                i, j = (np.concatenate(side) for side in zip(*forest.edges))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[x + i])), nodes.take(pa.array(order[x + j]))], names=["a", "b"])
-            at = stop
-
-    keep = ["node", "block", "key", "top", "p", "q", *(["sketch"] if sketch else [])]
-    return rows.select(*keep).repartition("block", "top", "p", "q").mapInArrow(run, f"a {kind}, b {kind}")
+                m = s + int(np.searchsorted(side[s:e], 1))
+                if same[s]:
+                    found.append((s, e, s, e, int(depth[s]), int(used[s])))
+                elif s < m < e:
+                    found.append((s, m, m, e, int(depth[s]), int(used[s])))
+            if not found:
+                continue
+            forest, verify = Forest(table.num_rows), None
+            if sketch:
+                flat = table.column("sketch").chunk(0)
+                own = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[flat.offset * PLACES :][: table.num_rows * PLACES].reshape(-1, PLACES)
+
+                def verify(i, j, own=own):
+                    u, v = own[i], own[j]
+                    return (u == v).sum(axis=1) - (both := ((u == 0) & (v == 0)).sum(axis=1)) >= similarity * (PLACES - both)
+
+            trie_links(keys, found, radius, forest, verify)
+            i, j = (np.concatenate(side) for side in zip(*forest.edges))
+            if len(i):
+                nodes = table.column("node").chunk(0)
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i)), nodes.take(pa.array(j))], names=["a", "b"])
+
+    # One bucket's keys may follow another's in a task: trie_links needs order inside each range only.
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "side", "key")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -275,85 +300,104 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
 
 
 def components_of(distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
-    """key, component_id: the least `first` among the keys with one root; keys without a root stand alone."""
-    rooted = distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    """key, component_id: the least `first` among the keys with one root; keys without a root stand alone.
+
+    What is least of each root is written before it is joined, so a root of many keys is a skewed join and no hot task.
+    """
+    rooted = materialize(distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return materialize(rooted.join(least, "root").select(key, "component_id"), "components")
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash: hashes fall to PLACES places by their upper bits, each keeps the least of the next 16 bits."""
-    out = np.full(PLACES, _EMPTY, dtype="<u2")
-    if len(hashes):
-        place, value = (hashes >> np.uint64(56)).astype(np.int64), ((hashes >> np.uint64(40)) & np.uint64(0xFFFF)).astype("<u2")
-        np.minimum.at(out, place, np.minimum(value, _EMPTY - 1))
+def sketch_of(kept: np.ndarray) -> bytes:
+    """One-permutation MinHash of a sorted set of hashes: of those with equal upper bits the least one gives a byte; 0: none."""
+    out = np.zeros(PLACES, dtype=np.uint8)
+    place = (kept >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(kept) else []
+    out[place[first]] = 1 + (kept[first] & np.uint64(0xFF)) % np.uint64(255)
     return out.tobytes()
 
 
-def shingle_set(text: str, n: int) -> tuple[str, np.ndarray]:
-    """Digest of the set of n-word shingles, and the set in ascending order."""
-    kept = np.unique(np.sort(shingle_hashes(words_of(text), n)))
-    return hashlib.md5(kept.tobytes()).hexdigest(), kept
+def shingle_set(text: str, n: int) -> tuple[int, np.ndarray]:
+    """A 64-bit digest of the set of n-word shingles, and the set in ascending order."""
+    kept = np.unique(shingle_hashes(words_of(text), n))
+    return int.from_bytes(hashlib.md5(kept.tobytes()).digest()[:8], "little", signed=True), kept
 
 
 def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFrame:
-    """doc_id, node (digest of the set of shingles), fp (of single words by count ** damping), sketch. Map only."""
+    """doc_id, text_key, node (digest of the set of shingles), fp (of single words by count ** damping), sketch. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, sketch = [], [], []
             for text in texts_of(batch):
-                words = words_of(text)
                 digest, kept = shingle_set(text, shingle)
-                counts = Counter(words)
+                counts = Counter(words_of(text))
                 own = np.fromiter(map(xxhash.xxh64_intdigest, counts, repeat(SEED)), dtype=np.uint64, count=len(counts))
                 node.append(digest)
                 weights = np.rint(64 * np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) ** damping)
                 fp.append(fingerprint(own, weights.astype(np.int64)))
                 sketch.append(sketch_of(kept))
-            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "node": (pa.string(), node), "fp": (pa.int64(), fp), "sketch": (pa.binary(), sketch)})
+            yield to_batch({"doc_id": (_LONG, batch.column(0)), "text_key": (_LONG, batch.column(1)), "node": (_LONG, node), "fp": (_LONG, fp), "sketch": (pa.binary(), sketch)})
+
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, sketch binary")
+
+
+def text_key():
+    """A 64-bit digest of a row's text and of whether it has a doc_id; with the doc_id it says which rows are the same."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, fp long, sketch binary")
+def grouped(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node of every row; node, root of every set with a near copy): see near_duplicates."""
+    features = materialize(text_features(docs, shingle, damping), "features")
+    distinct = materialize(features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
+    set_of = partial(shingle_set, n=shingle)
+    close = links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin)
+    shared = set_join.shared_members(docs, set_of, similarity)
+    sets = set_join.sets(docs, shared, distinct.select("node", "first"), set_of)
+    found = set_join.similar(close, sets, similarity)
+    for every in (False, True):
+        pairs = set_join.pairs_apart(shared, connected_components(found), similarity, every)
+        found = found.unionByName(set_join.similar(pairs, sets, similarity))
+    return features, connected_components(found)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.03) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, component_id of near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more.
 
     Edits of a few words in a hundred change most bits' votes of shingles but few of single words: fingerprints of the
-    words, by damped count so that common words do not decide most bits, within `radius` bits give the candidates of the
-    trie join. Its tasks try each candidate pair that is not joined yet by a 256-place sketch of the shingles (standard
-    error at 0.8 for long texts 0.025) from similarity - margin. The sketch only proposes: a link counts if the whole sets
-    have the similarity, and what the sketch hides is found by the join below, which skips only links so checked. Pairs beyond the
-    radius, or that the sketch refuses, are found by a join on the rarest shingles of each set and checked against the
-    whole sets, unless they are joined already. Texts with equal sets of shingles are one node. Rows as in
-    simhash_components.
+    words, by damped count so that common words do not decide most bits, within `radius` bits are the candidates of the
+    trie join. Its tasks try each candidate pair that is not joined yet by a 128-place sketch of the shingles, from
+    similarity - margin. That only proposes: a link counts if the whole sets have the similarity.
+
+    Trie and sketch leave pairs out, more so of short texts and where a stretch was added or cut off. These are found by a
+    join on the rarest shingles of each set, among sets that are not in one component yet, and checked in the same way;
+    so no link between two sets is lost. Texts with equal sets of shingles are one node, told apart by 64-bit digests.
+
+    Options and their defaults are those of grouped. Rows as in simhash_components: null and empty texts have the empty
+    set and are copies of one another; a null doc_id is never a component_id unless its component has no other (then
+    null); rows that repeat a doc_id each get a row; an empty table gives an empty result; other columns are not read.
     """
-    features = materialize(text_features(docs, shingle, damping), "features")
-    distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    distinct = materialize(distinct, "distinct")
-    set_of, first = partial(shingle_set, n=shingle), distinct.select("node", "first")
-    close = links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin)
-    close = set_join.exact(close.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), docs, first, set_of, similarity)
-    pairs = set_join.candidates(docs, set_of, connected_components(close), similarity)
-    roots = connected_components(close.unionByName(set_join.exact(pairs, docs, first, set_of, similarity)))
-    named = components_of(distinct.select("node", "first"), "node", roots)
-    return features.select("doc_id", "node").join(named, "node", "left").select("doc_id", "component_id")
+    features, roots = grouped(docs, **options)
+    distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"))
+    return features.select("doc_id", "node").join(components_of(distinct, "node", roots), "node", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each component the row with the least doc_id stays, all columns as they were.
+    """docs with one row of each component of near copies, all columns as they were.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id stay only where their component has no other id,
-    and then one of them.
+    The row with the least doc_id stays; a row with a null doc_id only where its component has no other, and of several
+    texts with that id (or null) one. Rows of other components all stay, whatever their ids: null and repeated doc_ids are
+    no copies by themselves. Null and empty texts are one component; an empty table gives an empty result.
     """
-    key, copy = "_key", "_copy"
-    while {key, copy} & set(docs.columns):
-        key, copy = "_" + key, "_" + copy
-    none = F.lit(-(1 << 63))
-    found = near_duplicates(docs, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.coalesce("component_id", none).alias(key)).distinct()
-    kept = docs.withColumn(key, F.coalesce("doc_id", none)).join(keep, key, "left_semi")
-    copies = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-    return kept.withColumn(copy, F.row_number().over(copies)).filter(F.col(copy) == 1).select(*docs.columns)
+    none, key, text = F.lit(-(1 << 63)), "_key", "_text_key"
+    while {key, text} & set(docs.columns):
+        key, text = "_" + key, "_" + text
+    features, roots = grouped(docs, **options)
+    rooted = features.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("s"))
+    keep = materialize(keep.select(F.coalesce("s.doc_id", none).alias(key), F.col("s.text_key").alias(text)), "keep")
+    # Equal rows meet in their own task first, so that many copies of one row are no hot group behind the exchange.
+    own = docs.withColumns({key: F.coalesce("doc_id", none), text: text_key()}).dropDuplicates([key, text])
+    return own.join(keep, [key, text], "left_semi").select(*docs.columns)
