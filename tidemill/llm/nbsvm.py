@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, to_batch
+from .common import materialize, slices, texts_of, to_batch
 
 #: Cells that n-grams are hashed to.
 DIMS = 1 << 18
@@ -67,7 +66,7 @@ class NbSvm:
                     w[cells] += step * x
                     bias += step
                     alpha[i] = new
-        self.weights, self.ratio, self.bias = w * ratio, ratio, bias
+        self.weights, self.ratio, self.bias, self.alpha = w * ratio, ratio, bias, alpha
         self.squares = ratio * ratio
 
     def margin(self, cells: np.ndarray) -> float:
@@ -97,21 +96,36 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000) -> NbSvm:
-    """Fits on at most max_rows labelled rows that are not held out, chosen by a hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells: int = 40_000_000) -> NbSvm:
+    """Fits on at most max_rows labelled rows that are not held out, whose n-grams are max_cells cells at most (4 bytes each).
+
+    Rows are chosen by a hash of doc_id, in its order, one for each doc_id (of texts that repeat an id the one with the
+    least hash). They are counted first: what reaches the driver is a number, then the sizes of max_rows rows, then the
+    rows that fit into max_cells. Of ids that repeat in labels the least label counts; null ids and labels are left out.
+    """
     own = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    own = materialize(own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    place = F.xxhash64("doc_id")
+    share = 2 * max_rows / max(own.count(), 1)
+    if share < 1:  # hashes are even: twice the rows wanted lie below, so no task sends rows that cannot be chosen
+        own = own.filter(place < int(share * 2**64) - 2**63)
+    chosen = own.orderBy(place, "doc_id").limit(max_rows).select("doc_id", F.col("quality").cast("int").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [ngrams(t).tobytes() for t in texts_of(batch)]
-            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "quality": (pa.int32(), batch.column(2)), "cells": (pa.binary(), cells)})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int"))), "doc_id")  # max_rows ids at most
-    found = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, cells binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["doc_id"][i].as_py(), zlib.crc32(found["cells"][i].as_buffer())))
-    cells = [np.frombuffer(found["cells"][i].as_buffer(), dtype=np.int32) for i in order]  # views of the one table
-    return NbSvm(cells, np.array([found["quality"][i].as_py() == 1 for i in order], dtype=bool))
+        for batch in slices(batches):
+            cells = [ngrams(t) for t in texts_of(batch)]
+            columns = {"doc_id": (pa.int64(), batch.column(0)), "quality": (pa.int32(), batch.column(2)), "n": (pa.int64(), [len(c) for c in cells])}
+            yield to_batch(columns | {"cells": (pa.binary(), [c.tobytes() for c in cells])})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
+    once = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
+    rows = materialize(once.mapInArrow(run, "doc_id long, quality int, n long, cells binary"), "fit-rows")
+    sizes = rows.select("doc_id", "n").orderBy(place, "doc_id").limit(max_rows).toPandas()
+    ids = sizes["doc_id"][sizes["n"].cumsum() <= max_cells]
+    found = rows.filter(F.col("doc_id").isin(ids.tolist())).toArrow() if len(ids) else rows.limit(0).toArrow()
+    order = np.argsort(found["doc_id"].to_numpy())
+    cells = [np.frombuffer(found["cells"][int(i)].as_buffer(), dtype=np.int32) for i in order]  # views of the one table
+    return NbSvm(cells, np.array([found["quality"][int(i)].as_py() == 1 for i in order], dtype=bool))
 
 
 def scorer(model: NbSvm):
@@ -123,20 +137,25 @@ def scorer(model: NbSvm):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells: int = 40_000_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
-    Learns labels.quality from at most max_rows labelled rows outside the held-out third; a score sees the whole text and
+    Learns labels.quality from at most max_rows labelled rows (max_cells of n-grams) outside the held-out third; a score sees the whole text and
     nothing else. Scoring is map only. Null and empty texts are scored by the model's bias; a null doc_id is not held out;
     of ids that repeat in labels the least label counts; rows that repeat a doc_id each get a row; without labels all
     scores are 0.5; an empty table gives an empty result; other columns are not read.
     """
-    model = fit(docs, labels, max_rows=max_rows)
+    model = fit(docs, labels, max_rows=max_rows, max_cells=max_cells)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000) -> DataFrame:
-    """Rows of docs that the classifier does not reject (score 0.5 or more), all columns as they were. Map only after the fit."""
-    model = fit(docs, labels, max_rows=max_rows)
+def keep_good(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells: int = 40_000_000) -> DataFrame:
+    """Rows of docs that the classifier does not reject (score 0.5 or more), all columns as they were. Map only after the fit.
+
+    Null and empty texts are judged by the model's bias; rows that repeat a doc_id are judged each by its own text; without
+    labels, or with labels of good rows only, all rows stay; with labels of bad rows only none does; an empty table gives
+    an empty result. Other columns, whatever their names, are not read.
+    """
+    model = fit(docs, labels, max_rows=max_rows, max_cells=max_cells)
     return docs.filter(scorer(model)("text") >= 0.5)

@@ -126,7 +126,10 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, max_fit: int, max_good_rejected: float, trees: int, sample: int) -> tuple[IsolationForest, float]:
-    """The forest, from at most max_fit rows labelled as good, and its threshold, from all labelled rows."""
+    """The forest, from at most max_fit rows labelled as good, and its threshold, from all labelled rows.
+
+    Rows that repeat a doc_id count each; null ids and labels are left out; without rows nothing is ever found unusual.
+    """
     known = materialize(labelled(stats.filter("NOT base_failed"), labels).select("doc_id", "good", *feature_columns()), "labelled")
     good, place = known.filter("good = 1"), F.xxhash64("doc_id")
     share = 2 * max_fit / max(good.count(), 1)
@@ -189,7 +192,9 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame, *, max_fit: int = 20_000,
     """Rows of docs that quality_rules keeps, all columns as they were.
 
     The forest and its threshold come from statistics of all rows, of which only those of labelled rows are joined; the
-    verdict is then taken row by row from the text, so texts are not shuffled.
+    verdict is then taken row by row from the text, so texts are not shuffled. Null and empty texts go; rows that repeat a
+    doc_id are judged each by its own text; without labels only the base rules count; an empty table gives an empty result;
+    other columns, whatever their names, are not read.
     """
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words").alias("base_failed")
     forest, threshold = fit(rule_stats(docs).select("*", failed), labels, max_fit=max_fit, max_good_rejected=max_good_rejected, trees=trees, sample=sample)
