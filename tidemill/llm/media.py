@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, texts_of, to_batch
 
 WIDTH = 64
-ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
+ITEM = "struct<position: int, kind: string, text: string, src: string, digest: string, caption: string>"
+_ITEMS = pa.list_(pa.struct([("position", pa.int32()), *[(c, pa.string()) for c in ("kind", "text", "src", "digest", "caption")]]))
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -72,87 +73,143 @@ def feature_of(samples: bytes) -> str:
     return ";".join(f"{v:.6f}" for v in numbers) + ";" + np.packbits(bits).tobytes().hex()
 
 
+#: Tags that begin a new item of text, and tags that refer to media.
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th br hr title section article header footer blockquote pre figure figcaption script style".split())
+MEDIA = frozenset("img video audio source".split())
+
+
 class _Sequence(HTMLParser):
-    """Texts of paragraphs and references of images, in order; a figure's caption goes to its image."""
+    """Texts of paragraphs and references of media, in order; a figure's caption goes to its media, before or behind it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.where, self.figure = "", None
+        self.skip, self.caption = False, False
+        self.figure: list[int] | None = None  # media of the open figure
+        self.said: str | None = None  # its caption
 
     def _flush(self) -> None:
         text = "".join(self.text)
         self.text = []
-        if self.where == "caption" and self.figure is not None:
-            self.items[self.figure]["caption"] = text
-        elif self.where != "skip" and text.strip():
+        if self.skip or not text.strip():
+            return
+        if self.caption and self.figure is not None:
+            self.said = text if self.said is None else self.said + text
+        else:
             self._add("text", text=text)
 
-    def _add(self, kind: str, text: str | None = None, digest: str | None = None, caption: str | None = None) -> None:
-        self.items.append({"position": len(self.items), "kind": kind, "text": text, "digest": digest, "caption": caption})
+    def _add(self, kind: str, text: str | None = None, src: str | None = None, caption: str | None = None) -> None:
+        digest = src.removeprefix("sha256:") if src is not None and src.startswith("sha256:") else None
+        self.items.append({"position": len(self.items), "kind": kind, "text": text, "src": src, "digest": digest, "caption": caption})
+
+    def _end_figure(self) -> None:
+        if self.figure and self.said is not None:
+            for k in self.figure:
+                self.items[k]["caption"] = self.said
+        elif self.said is not None:
+            self._add("text", text=self.said)
+        self.figure, self.said = None, None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("p", "figure", "figcaption", "img", "script", "style", "div", "h1", "h2", "h3", "li", "br", "title"):
+        if tag in BLOCKS or tag in MEDIA:
             self._flush()
-            self.where = {"figcaption": "caption", "script": "skip", "style": "skip"}.get(tag, "" if tag in ("p", "figure", "div") else self.where)
+        if tag in BLOCKS:
+            self.skip, self.caption = tag in ("script", "style"), tag == "figcaption"
         if tag == "figure":
-            self.figure = None
-        if tag == "img":
+            self._end_figure()
+            self.figure = []
+        if tag in MEDIA:
             own = dict(attrs)
-            source = own.get("src") or ""
-            self._add("media", digest=source.removeprefix("sha256:") if source.startswith("sha256:") else None, caption=own.get("alt"))
-            self.figure = len(self.items) - 1
+            source = own.get("src")
+            if source is None and tag in ("video", "audio"):
+                return  # its sources follow
+            self._add("media", src=source, caption=own.get("alt"))
+            if self.figure is not None:
+                self.figure.append(len(self.items) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("p", "figure", "figcaption", "script", "style", "div", "h1", "h2", "h3", "li", "title"):
+        if tag in BLOCKS:
             self._flush()
-            self.where = ""
+            self.skip = self.caption = False
+        if tag == "figure":
+            self._end_figure()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration such as <![foo bar]> is passed over, whatever is in it."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def parse_sequence(source: str) -> list[dict]:
-    """Items (position, kind, text, digest, caption) of a page: kind text or media, positions from 0 without gaps."""
+    """Items (position, kind, text, src, digest, caption) of a page: kind text or media, positions from 0 without gaps.
+
+    Any markup is taken as it comes: unclosed and crossed tags, and declarations that the parser knows nothing of, lose no
+    text but their own. Media outside a figure keep their alternative text as caption; a figure's caption goes to all of
+    its media, or is a text where it has none.
+    """
     parser = _Sequence()
-    parser.feed(source)
-    parser.close()
+    try:
+        parser.feed(source)
+        parser.close()
+    except (AssertionError, ValueError):  # markup that the parser itself gives up on: what is left of it is text
+        parser.text.append(parser.rawdata)
     parser._flush()
+    parser._end_figure()
     return parser.items
 
 
 def interleaved(pages: DataFrame) -> DataFrame:
-    """doc_id, items (array of ITEM) of pages (doc_id, html). Map only. Null html has no items."""
+    """doc_id, items (array of ITEM) of pages (doc_id, html). Map only.
+
+    Null and empty html have no items; a null doc_id stays null; repeated rows are pages of their own; an empty table gives
+    an empty result; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
         for batch in slices(batches):
-            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "items": (kind, [parse_sequence(t) for t in texts_of(batch, "html")])})
+            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "items": (_ITEMS, [parse_sequence(t) for t in texts_of(batch, "html")])})
 
     return pages.select("doc_id", "html").mapInArrow(run, f"doc_id long, items array<{ITEM}>")
 
 
-def media_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, html, digest, media, n_bytes: each text as an image, and a page that refers to it by digest.
+def page_of(text: str, digest: str, caption: str) -> str:
+    """A page of a text's lines, each a paragraph, with a figure behind the middle one."""
+    lines = text.split("\n")
+    middle = (len(lines) + 1) // 2
+    parts = [f"<p>{html.escape(line, quote=False)}</p>" for line in lines]
+    parts.insert(middle, f'<figure><img src="sha256:{digest}"><figcaption>{caption}</figcaption></figure>')
+    return "\n".join(parts)
 
-    A page has the text's first line as a heading, and a figure whose caption is the number of bytes. Map only.
-    """
+
+def media_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, html: a page of each text (page_of) that refers to the text's image by digest; the caption is its number of
+    bytes. Map only; rows as in media_columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pages, digests, stored, sizes = [], [], [], []
+            pages = []
             for text in texts_of(batch):
                 n, payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
-                heading = html.escape(text.split("\n", 1)[0])
-                pages.append(f'<p>{heading}</p><figure><img src="sha256:{digest}"><figcaption>{n}</figcaption></figure>')
-                digests.append(digest)
-                stored.append(to_png(payload))
-                sizes.append(n)
-            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "html": (pa.string(), pages), "digest": (pa.string(), digests), "media": (pa.binary(), stored), "n_bytes": (pa.int64(), sizes)})
+                pages.append(page_of(text, hashlib.sha256(payload).hexdigest(), str(n)))
+            yield to_batch({"doc_id": (pa.int64(), batch.column(0)), "html": (pa.string(), pages)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, html string")
+
+
+def media_store(docs: DataFrame) -> DataFrame:
+    """digest, media: each text as an image, keyed by the SHA-256 of its payload. Map only; rows as in media_columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            payloads = [payload_of(text)[1] for text in texts_of(batch)]
+            digests = [hashlib.sha256(p).hexdigest() for p in payloads]
+            yield to_batch({"digest": (pa.string(), digests), "media": (pa.binary(), [to_png(p) for p in payloads])})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, html string, digest string, media binary, n_bytes long")
+    return docs.select("text").mapInArrow(run, "digest string, media binary")
 
 
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -181,25 +238,33 @@ def media_features(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, resolved: DataFrame) -> DataFrame:
-    """sequences' media items, one row each, with the columns of resolved (digest, ...) joined by digest.
+    """One row per item of sequences (doc_id, items): doc_id, n_items, the columns of ITEM, and those of resolved (digest, ...).
 
-    Position and caption stay with their item; an item without a digest, or with one that resolved lacks, has nulls.
+    All items come: ordered by position they are the document. Media are joined by digest, which for a store of payloads
+    brings the payload and for features these; position and caption stay with their item. Texts are not moved. Text items,
+    and media without a digest or with one that resolved lacks, have nulls. A sequence without items gives no rows; rows
+    that repeat a doc_id give theirs each; resolved has one row per digest.
     """
-    items = sequences.select("doc_id", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
-    return items.select("doc_id", "item.position", "item.caption", "item.digest").join(resolved, "digest", "left")
+    kept = ("position", "kind", "text", "src", "digest", "caption")
+    items = sequences.select("doc_id", F.size("items").alias("n_items"), F.explode("items").alias("item"))
+    items = items.select("doc_id", "n_items", *[f"item.{c}" for c in kept])
+    found = items.filter("kind = 'media'").join(resolved, "digest", "left")
+    return items.filter("kind <> 'media'").unionByName(found, allowMissingColumns=True)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, then FEATURES without digest, position: the image of every row of docs, resolved through its page.
+    """doc_id, n_bytes, then FEATURES without digest, n_items, position: the image of every row of docs, resolved through
+    the page of its whole text.
 
     Images are written once, in the tasks that make them, to a store in the shared folder; its rows are keyed by digest and
     equal ones are equal throughout. Each is read back where it lies; of a digest's features, a few numbers, one row stays,
     and the pages' references join those. So bytes of media never move between tasks, and copies of one text never meet.
 
-    Null and empty texts are WIDTH zero bytes. n_bytes is the caption that the page carries; a null doc_id stays null; rows
-    that repeat a doc_id each get a row; an empty table gives an empty result; other columns are not read.
+    Null and empty texts are WIDTH zero bytes. n_bytes is the caption that the page carries, n_items counts the page's
+    paragraphs and its image, position is the image's place among them; a null doc_id stays null; rows that repeat a doc_id
+    each get a row; an empty table gives an empty result; other columns are not read.
     """
-    store = materialize(media_pages(docs), "media")
+    store = materialize(media_store(docs), "media")
     found = media_features(store).groupBy("digest").agg(*[F.min(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
-    rows = resolve(interleaved(store), materialize(found, "media-features"))
-    return rows.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")
+    rows = resolve(interleaved(media_pages(docs)), materialize(found, "media-features")).filter("kind = 'media'")
+    return rows.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position")
