@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import UNUSUAL, byte_letters, library
+from .byte_bpe import UNUSUAL, byte_letters, check_ranks, library
 from .common import texts_of, to_batch
 
-#: Words whose ids a worker remembers; beyond it begins anew. Only speed depends on it.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers; beyond it begins anew. Words of over LONGEST characters are not remembered, so that
+#: the memory is bounded in bytes too. Only speed depends on both.
+REMEMBERED, LONGEST = 800_000, 48
 #: The file's own split, for characters on which Python's classes and Unicode's categories agree.
 USUAL_WORD = re.compile(r"""'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
 _IDS: dict[str, dict[str, tuple[int, ...]]] = {}
@@ -36,6 +37,7 @@ class WordBpe:
         self.inner, self.final = [vocab[c] for c in letters], [vocab[c + end] for c in letters]
         split = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
         self.by_rank = [(vocab[a], vocab[b], vocab[a + b]) for a, b in split]
+        check_ranks(self.by_rank, {*self.inner, *self.final}, path)
         self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.by_rank)}
         self.tokens = {i: t for t, i in (vocab | self.special).items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -130,8 +132,9 @@ def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     found = [list(map(known.get, words)) for words in split]
     new = list({w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None})
     if new:
-        known.update(zip(new, merge_words(bpe, [w.encode() for w in new])))
-        found = [list(map(known.get, words)) if None in ids else ids for words, ids in zip(split, found)]
+        made = dict(zip(new, merge_words(bpe, [w.encode() for w in new])))
+        known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
+        found = [[made[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
     return [list(chain.from_iterable(ids)) for ids in found]
 
 

@@ -29,6 +29,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def check_ranks(merges: list[tuple[int, int, int]], letters: set[int], path: str) -> None:
+    """Merging rank by rank is right only if each merge's parts are letters or made by merges of lower ranks."""
+    made = set(letters)
+    for rank, (left, right, whole) in enumerate(merges):
+        if left not in made or right not in made:
+            raise ValueError(f"{path}: merge {rank} has a part that no lower rank makes")
+        made.add(whole)
+
+
 class ByteBpe:
     """A tokenizer file's vocabulary. pairs: sorted keys left * size + right; ranks, merged: by place in pairs."""
 
@@ -41,6 +50,7 @@ class ByteBpe:
         self.token_bytes = {i: bytes(of_byte[c] for c in t) for t, i in vocab.items()}
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], dtype=np.int64)
         split = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
+        check_ranks([(vocab[a], vocab[b], vocab[a + b]) for a, b in split], set(self.byte_ids.tolist()), path)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in split], dtype=np.int64)
         order = np.argsort(keys)
         self.pairs, self.ranks = keys[order], order.astype(np.int64)

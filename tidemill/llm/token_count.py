@@ -12,8 +12,9 @@ from . import byte_bpe
 from .common import texts_of, to_batch
 
 _NONE = np.iinfo(np.int64).max
-#: Counts that a worker remembers; beyond it begins anew. Only speed depends on it.
-REMEMBERED = 800_000
+#: Counts that a worker remembers; beyond it begins anew. Words of over LONGEST characters are not remembered, so that
+#: the memory is bounded in bytes too. Only speed depends on both.
+REMEMBERED, LONGEST = 800_000, 48
 _COUNTS: dict[str, dict[str, int]] = {}
 
 
@@ -94,8 +95,9 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     found = [list(map(known.get, words)) for words in split]
     new = list({w for words, ns in zip(split, found) if None in ns for w, n in zip(words, ns) if n is None})
     if new:
-        known.update(zip(new, surviving(bpe, [w.encode() for w in new]).tolist()))
-        found = [list(map(known.get, words)) if None in ns else ns for words, ns in zip(split, found)]
+        made = dict(zip(new, surviving(bpe, [w.encode() for w in new]).tolist()))
+        known.update((w, n) for w, n in made.items() if len(w) <= LONGEST)
+        found = [[made[w] if n is None else n for w, n in zip(words, ns)] if None in ns else ns for words, ns in zip(split, found)]
     return [sum(ns) + n for ns, n in zip(found, specials)]
 
 

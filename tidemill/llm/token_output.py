@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import materialize, new_path, texts_of, to_batch
 from .packing import token_ids
@@ -140,10 +141,12 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, *, siz
     return materialize(docs.select("doc_id", "text").mapInArrow(run, SHARD), "shards")
 
 
-def read_token_shards(shards: DataFrame) -> DataFrame:
+def read_token_shards(shards: DataFrame, partition_bytes: int = 128 << 20) -> DataFrame:
     """One row per segment, all from the files: doc_id, doc_tokens, start, length, sequence_id, offset, position_reset, ids_crc32.
 
-    ids_crc32 is of the ids as little-endian unsigned 32-bit integers. One shard is in memory at a time.
+    ids_crc32 is of the ids as little-endian unsigned 32-bit integers. One shard is in memory at a time;
+    a task reads shards of about partition_bytes, one after another. A shard without segments gives no rows; so does an
+    empty table of shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +171,9 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                     }
                 )
 
-    n = max(shards.count(), 1)
-    return shards.repartition(n, "path").mapInArrow(run, PIECE)
+    stored = shards.agg(F.sum(F.col("sequences") * F.col("size") * F.col("id_bytes"))).first()[0] or 0
+    tasks = max(-(-stored // partition_bytes), shards.sparkSession.sparkContext.defaultParallelism)
+    return shards.repartition(tasks).mapInArrow(run, PIECE)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, block_tokens: int = 2_000_000) -> DataFrame:
