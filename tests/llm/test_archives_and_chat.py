@@ -78,26 +78,87 @@ def test_chat_round_trip(spark, budget):
     assert chat.conversation_digests(chat.format_windows(df.limit(0))).count() == 0
 
 
+def history(windows, conv):
+    return [(w.span, w.n_repeated, w.formatted) for w in windows.filter(f"conv_id = {conv}").orderBy("span").collect()]
+
+
+def test_windows_do_not_depend_on_how_rows_are_dealt(spark):
+    own = [(1, k * 1000, "system" if k == 0 else ["user", "assistant"][k % 2], f"turn {k} " + "word " * (k * 7 % 40)) for k in range(700)]
+    own += [(2, None, "user", f"t{k:04d} " + "x " * (k % 9)) for k in range(700)]
+    df = spark.createDataFrame(own, CHAT)
+    few = chat.format_windows(df.repartition(1), budget=200, history_turns=3, history_tokens=60)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = chat.format_windows(df.repartition(9), budget=200, history_turns=3, history_tokens=60)
+        assert common.materialize(many, "many").filter("conv_id = 1").count() > 20
+        got = [history(many, c) for c in (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [history(few, c) for c in (1, 2)]
+    turns = sorted(own[:700], key=lambda r: r[1])
+    tokens = [len(x[3].split()) + sum(c.isdigit() for w in x[3].split() for c in w) - sum(w.isdigit() for w in x[3].split()) + 4 for x in turns]
+    spans = [w[0] for w in got[0]]
+    for span, repeated, formatted in got[0][1:]:  # the longest run of turns before the first that fits, and the system turn
+        fits, at = 0, span - 2
+        while fits < 3 and at - fits >= 1 and sum(tokens[at - fits : at + 1]) <= min(60, 200 - tokens[0] - tokens[span - 1]):
+            fits += 1
+        assert repeated == 1 + fits and formatted.startswith("<|im_start|>system\nturn 0 ") and len(spans) == len(set(spans))
+
+
 def test_chat_runs_no_python(spark):
     plan = chat.conversation_digests(chat.format_windows(spark.createDataFrame([], CHAT)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_feature(p):
+    """The feature as plain loops."""
+    n, mean = len(p), sum(p) / len(p)
+    numbers = [mean, (sum((x - mean) ** 2 for x in p) / n) ** 0.5, sum(abs(a - b) for a, b in zip(p, p[1:])) / (n - 1), *[sum(x >> 5 == k for x in p) / n for k in range(8)]]
+    rows = [[sum(p[r * 64 + c * 8 : r * 64 + c * 8 + 8]) / 8 for c in range(8)] for r in range(n // 64)]
+    bands, k = min(8, len(rows)), 0
+    sizes = [len(rows) // bands + (i < len(rows) % bands) for i in range(bands)]
+    small = []
+    for size in sizes:
+        small += [sum(rows[k + i][c] for i in range(size)) / size for c in range(8)]
+        k += size
+    middle = sum(small) / len(small)
+    bits = "".join("1" if v > middle else "0" for v in small).ljust(64, "0")
+    return ";".join(f"{v:.6f}" for v in numbers) + f";{int(bits, 2):016x}"
+
+
 def test_media_columns(spark):
     common.workers_import_this(spark)
-    own = [(None, None), (1, ""), (1, "x" * 64), (2, "<p>&amp;<img src='x'>\n</figure>"), (3, "é" * 70), (4, "é" * 70), (5, "\x00\r\n")]
+    own = [(None, None), (1, ""), (1, "x" * 64), (2, "<p>&amp;<img src='x'>\n</figure>"), (3, "é" * 70), (4, "é" * 70), (5, "\x00\r\n"), (6, "one\n\ntwo\nthree & <![foo bar]>\n" * 30), (7, "long line\n" * 20_000)]
     got = media.media_columns(spark.createDataFrame([(*r, "f") for r in own], "doc_id long, text string, feature string")).collect()
     want = Counter()
     for d, t in own:
         b = (t or "").encode()
         p = b + bytes((-len(b)) % 64 or (0 if b else 64))
-        want[d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter(tuple(r)[:5] for r in got) == want
+        lines = (t or "").split("\n")
+        behind = sum(bool(x.strip()) for x in lines[: (len(lines) + 1) // 2])
+        want[d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), plain_feature(p) if len(p) < 9000 else None, 1 + sum(bool(x.strip()) for x in lines), behind] += 1
+    assert Counter((*tuple(r)[:5], r.feature if r.payload_bytes < 9000 else None, r.n_items, r.position) for r in got) == want
     same = [tuple(r)[1:] for r in got if r.doc_id in (3, 4)]
     assert same[0] == same[1]
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_odd_markup_loses_no_text(spark):
+    import random
+
+    assert [i["text"] for i in media.parse_sequence("<p>a</p><![foo bar]>x")] == ["a", "x"]
+    figure = media.parse_sequence("<figure><figcaption>before</figcaption><img src=u alt=z></figure>")
+    assert [(i["kind"], i["src"], i["caption"]) for i in figure] == [("media", "u", "before")]
+    assert [(i["kind"], i["src"]) for i in media.parse_sequence("<video><source src=v.mp4></video><audio src=a.ogg>")] == [("media", "v.mp4"), ("media", "a.ogg")]
+    rnd = random.Random(1)
+    parts = ["<", "!", "[", "]", ">", "p", "<img src=x>", "<figure>", "</", "-", "--", "doctype", "CDATA", " ", "a", "&", "&#1", "<figcaption>", "\n", "?", "<script>", "'", '"', "\x00"]
+    for _ in range(3000):
+        items = media.parse_sequence("".join(rnd.choices(parts, k=rnd.randint(1, 25))))
+        assert [i["position"] for i in items] == list(range(len(items)))
+
+
 def test_png_round_trip_and_damage():
     payload = bytes(range(256)) * 3
     stored = media.to_png(payload)
@@ -111,6 +172,8 @@ def test_sequences_keep_positions_and_captions(spark):
     source = "<h1>T</h1><p>a &amp; b<figure><img src='sha256:ab' alt='z'><figcaption>cap</figcaption></figure>tail<script>var x='<p>'</script><img src=http://x><p>end"
     items = media.parse_sequence(source)
     assert [(i["position"], i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [(0, "text", "T", None, None), (1, "text", "a & b", None, None), (2, "media", None, "ab", "cap"), (3, "text", "tail", None, None), (4, "media", None, None, None), (5, "text", "end", None, None)]
+    assert [i["src"] for i in items if i["kind"] == "media"] == ["sha256:ab", "http://x"]
     seq = media.interleaved(spark.createDataFrame([(1, source), (2, None)], "doc_id long, html string"))
     known = spark.createDataFrame([("ab", 5)], "digest string, n long")
-    assert sorted((r.position, r.caption, r.n) for r in media.resolve(seq, known).collect()) == [(2, "cap", 5), (4, None, None)]
+    rows = sorted(media.resolve(seq, known).collect(), key=lambda r: r.position)
+    assert [(r.doc_id, r.n_items, r.position, r.text, r.caption, r.n) for r in rows] == [(1, 6, 0, "T", None, None), (1, 6, 1, "a & b", None, None), (1, 6, 2, None, "cap", 5), (1, 6, 3, "tail", None, None), (1, 6, 4, None, None, None), (1, 6, 5, "end", None, None)]

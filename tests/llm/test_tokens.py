@@ -16,7 +16,8 @@ ODD = ["", "a", "a" * 1000, "<|endoftext|>x<|endoftext|> y <|startoftext|>", "
 def texts():
     rnd = random.Random(3)
     more = ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0xA0, 0x250), rnd.randrange(0x300, 0x600), rnd.randrange(0x2000, 0x2070)])) for _ in range(150)) for _ in range(60)]
-    return ODD + more + ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABC <|>'_-é\n0²", k=8000))]
+    long = " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, 70))) for _ in range(8000)) + "z" * 20_000
+    return ODD + more + [long] + ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABC <|>'_-é\n0²", k=8000))]
 
 
 @pytest.fixture
@@ -139,3 +140,8 @@ def test_token_shards_round_trip(spark, docs):
     check(rows, wanted(docs), 64)
     assert all(r.position_reset == r.start for r in rows)
     assert token_output.token_output(docs.limit(0), BYTE).count() == 0
+
+
+def test_ranks_must_build_on_lower_ones():
+    with pytest.raises(ValueError, match="merge 0 has a part"):
+        byte_bpe.check_ranks([(5, 1, 6), (1, 2, 5)], {1, 2}, "file")

@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, common, media, nbsvm, packing, quality_rules, simhash, token_count, token_output, warc
+from . import pipeline as stages
+from .pipeline import BYTE_BPE, table
 
-BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +62,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 _QUERIES = [op1_token_output, op2_bpe, op3_warc, op4_chat, op5_simhash, op6_quality_rules, op7_nbsvm, op8_token_counts, op9_packing, op10_media, pipeline]
