@@ -1,48 +1,5 @@
-"""From raw documents to packed sequences: classifier, rules, near-duplicates, packing.
+"""The document pipeline: classifier, rules, near-duplicates, packing. Its stages are in tidemill.llm.pipeline."""
 
-Each stage works on all that its predecessor kept, and is written before the next one reads it.
-"""
+from tidemill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tidemill.llm import common, nbsvm, packing, quality_rules, simhash
-from tidemill.llm.queries import BYTE_BPE, table
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    common.workers_import_this(spark)
-    return nbsvm.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not anomalous."""
-    common.workers_import_this(spark)
-    return quality_rules.keep_by_rules(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies the document with the least doc_id."""
-    common.workers_import_this(spark)
-    return simhash.drop_near_duplicates(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens, with their ids."""
-    common.workers_import_this(spark)
-    return packing.pack_online(docs, BYTE_BPE)
-
-
-STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("simhash near-dedup", near_duplicates), ("packing", pack)]
-
-#: The classifier, the forest and the tokenizer are not SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
