@@ -23,6 +23,12 @@ DATE_SHAPES = {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\d{2}/\d{2}/\d{4}$": "dd
 EMAIL_IN_TEXT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
+def holds(column: Column, pattern: str) -> Column:
+    """Whether a text holds a pattern; null does not. Texts without an @ are not searched for what needs one."""
+    found = column.rlike(pattern)
+    return F.coalesce(column.contains("@") & found if "@" in pattern else found, F.lit(False))
+
+
 def _strings(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind == "string" and not c.startswith("_")]
 

@@ -16,6 +16,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """v with length 1, in doubles; zeros stay zeros."""
+    return _let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))))
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once: inside lambdas an expression would be computed for each element."""
     return F.transform(F.array(value), body)[0]
@@ -36,21 +41,26 @@ def trigram_vector(text: Column, dims: int = 128) -> Column:
     return _let(_let(F.lower(text), counted), scaled)
 
 
-def top_k_cosine(queries: DataFrame, corpus: DataFrame, *, id_col: str, vector_col: str, k: int, threshold: float | None = None, digits: int = 6, max_queries: int = 1000) -> DataFrame:
+def top_k_cosine(queries: DataFrame, corpus: DataFrame, *, id_col: str, vector_col: str, k: int, threshold: float | None = None, digits: int = 6, block: int = 1000) -> DataFrame:
     """query_id, id, score, rank: the k most similar rows of corpus for each query, by rounded score, then id.
 
-    queries is a stated set of at most max_queries vectors, which is checked and then broadcast, so the corpus is read
-    once and its vectors are not shuffled; only scores are.
+    queries is a stated set, which is counted and met in blocks of about `block` vectors: a block is broadcast, so the corpus
+    is read once for each and its vectors are not shuffled; only scores are, less those that a task's own best k leave
+    behind. Vectors are scaled to length 1 once for each side.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"over {max_queries} query vectors; search in blocks")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"))
-    pairs = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), digits).alias("score"))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector_col)).alias("qv"))
+    c = corpus.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
+    order, found = Window.partitionBy("query_id").orderBy(F.desc("score"), "id"), None
+    for b in range(blocks):
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = c.join(F.broadcast(own), F.col("id") != F.col("query_id"))
+        scored = pairs.select("query_id", "id", F.round(dot(F.col("qv"), F.col("v")), digits).alias("score"))
+        if threshold is not None:
+            scored = scored.filter(F.col("score") >= threshold)
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, condition: str, **options) -> DataFrame:

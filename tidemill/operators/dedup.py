@@ -7,16 +7,20 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NULL_TOKEN = "\x00null"
+#: No value reads like it: in values a backslash stands before each backslash and each |.
+NULL_TOKEN = "\\N"
+_PLAIN = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "date", "timestamp")
 
 
 def row_hash(df: DataFrame, columns: tuple[str, ...] = (), null_token: str | None = NULL_TOKEN) -> Column:
     """SHA-256 of the columns (all that do not begin with an underscore, if none are named) joined by |.
 
-    A null counts as null_token, so (a, null, b) and (a, b) differ; null_token=None leaves nulls out.
+    | and backslashes inside values are escaped, so ("a|b", "c") and ("a", "b|c") differ. A null counts as null_token, so
+    (a, null, b) and (a, b) differ too; null_token=None leaves nulls out.
     """
-    named = columns or tuple(c for c in df.columns if not c.startswith("_"))
+    named, kinds = columns or tuple(c for c in df.columns if not c.startswith("_")), dict(df.dtypes)
     texts = [F.col(c).cast("string") for c in named]
+    texts = [t if kinds.get(c, "").startswith(_PLAIN) else F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c, t in zip(named, texts)]
     if null_token is not None:
         texts = [F.coalesce(t, F.lit(null_token)) for t in texts]
     return F.sha2(F.concat_ws("|", *texts), 256)
@@ -60,7 +64,7 @@ def latest(df: DataFrame, key: tuple[str, ...], order_by: str) -> DataFrame:
 
 def new_by_hash(df: DataFrame, target: DataFrame) -> DataFrame:
     """Rows whose row_hash target lacks."""
-    return df.join(target.select("row_hash").distinct(), "row_hash", "left_anti").select(*df.columns)
+    return df.join(target.select("row_hash"), "row_hash", "left_anti").select(*df.columns)
 
 
 def drop_copies(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def keyword_scores(fields: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     fields: table, column; synonyms: term, synonym.
     """
-    f, s = _plain(F.col("column")), _plain(F.col("synonym"))
+    f, s = _plain(F.col("column")), _plain(F.col("synonym"))  # parts of words match too, so names share no key to join by
     pairs = fields.join(_reference(synonyms), f.contains(s) | s.contains(f))
     short, long_ = F.least(F.char_length(f), F.char_length(s)), F.greatest(F.char_length(f), F.char_length(s))
     return pairs.groupBy("table", "column", "term").agg(F.max(F.when(f == s, 1.0).otherwise(F.round(short / long_, 3))).alias("keyword"))
@@ -85,13 +85,51 @@ def information_type(profiled: DataFrame, term_type: Column | None = None) -> Da
     return profiled.withColumn("information_type", F.coalesce(term_type, own) if term_type is not None else own)
 
 
-def name_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """table, column, rule_id, effect, value, confidence: rules (rule_id, pattern, effect, value, confidence) that a name matches.
-
-    pattern is a regular expression over the lower-case name; effect says what follows: information_type, pii_level, dq_rule,
-    key_candidate or foreign_table.
+#: What the last part of a name says of it, and the first.
+NAME_ENDS = {
+    "identifiers": ("Identifier", "id key no num code ref"),
+    "temporal": ("Temporal", "dt date ts timestamp time at"),
+    "measures": ("Measure", "amt amount qty count total price cost fee rate score"),
+    "flags": ("Dimension", "flag ind yn"),
+    "references": ("Reference", "type status category tier level channel method"),
+}
+NAME_BEGINS = {"flags": ("Dimension", "is_ has_")}
+#: Rules that such names suggest.
+SUGGESTED = {"identifiers": ("not_null", "unique"), "measures": ("not_null", "positive"), "flags": ("accepted_values",)}
+#: Parts of names of personal data, by level: what they are, and how sure that is.
+PERSONAL = {
+    "high_confidence": ("PII", 0.9, "email phone mobile name addr address ssn dob birth pan aadhaar aadhar passport license licence national_id nin nino"),
+    "medium_confidence": ("PII", 0.7, "contact person first last surname postcode zip city"),
+    "low_confidence": ("Sensitive", 0.5, "ip_addr device_id user_agent location lat lon"),
+}
+#: What a type says.
+TYPES = {"decimal": "Measure", "double": "Measure", "float": "Measure", "numeric": "Measure", "date": "Temporal", "timestamp": "Temporal", "datetime": "Temporal", "boolean": "Dimension", "bool": "Dimension"}
+#: Columns that name the table they refer to.
+REFERRING = {"customer_id": "customers.customer_id", "order_id": "orders.order_id", "product_id": "products.product_id"}
+
+
+def name_rules(fields: DataFrame) -> DataFrame:
+    """table, column, rule_type, rule, value, confidence, suggests of fields (table, column, data_type).
+
+    naming: the information type that a name's last part (0.85) or beginning (0.80) tells, a name counts once for each
+    group; pii: the highest level one of whose words the name holds; type: what the data type tells (0.70); fk: the column
+    that it refers to, by a known name (0.80) or as <name>s.<name>_id (0.50). All are expressions of the row, no join.
     """
-    return fields.join(_reference(rules), F.expr("lower(column) rlike pattern")).select("table", "column", "rule_id", "effect", "value", "confidence")
+    name, last = F.lower("column"), F.element_at(F.split(F.lower("column"), "_"), -1)
+
+    def said(when: Column, kind: str, rule: str, value: Column, confidence: float, suggests: tuple[str, ...] = ()) -> Column:
+        listed = F.array(*map(F.lit, suggests)) if suggests else F.array().cast("array<string>")
+        return F.when(when, F.struct(F.lit(kind).alias("rule_type"), F.lit(rule).alias("rule"), value.alias("value"), F.lit(confidence).alias("confidence"), listed.alias("suggests")))
+
+    rows = [said(last.isin(ends.split()), "naming", f"{group}:end", F.lit(kind), 0.85, SUGGESTED.get(group, ())) for group, (kind, ends) in NAME_ENDS.items()]
+    rows += [said(name.rlike("^(" + "|".join(begins.split()) + ")"), "naming", f"{group}:begin", F.lit(kind), 0.80, SUGGESTED.get(group, ())) for group, (kind, begins) in NAME_BEGINS.items()]
+    levels = [said(name.rlike("|".join(words.split())), "pii", level, F.lit(kind), sure) for level, (kind, sure, words) in PERSONAL.items()]
+    rows.append(F.coalesce(*levels))
+    kind = F.regexp_extract(F.lower("data_type"), r"^\w+", 0)
+    rows.append(said(kind.isin(list(TYPES)), "type", "data_type", F.element_at(F.create_map(*[F.lit(x) for k, v in TYPES.items() for x in (k, v)]), kind), 0.70))
+    rows += [said(name == own, "fk", own, F.lit(target), 0.80) for own, target in REFERRING.items()]
+    rows.append(said(name.endswith("_id"), "fk", "stem", F.concat(F.regexp_replace(name, "_id", ""), F.lit("s."), name), 0.50))
+    return fields.select("table", "column", F.inline(F.array_compact(F.array(*rows))))
 
 
 def application_matches(datasets: DataFrame, applications: DataFrame, top: int = 3) -> DataFrame:

@@ -69,8 +69,9 @@ def stage_summary(log: DataFrame, subject: str, stage: str, at: str, stages: lis
     return log.groupBy(subject).agg(*[F.max(F.when(F.col(stage) == s, F.col(at))).alias(f"last_{s}") for s in stages], fails.alias("failures"), F.max(at).alias("last_seen"))
 
 
-def latest_runs(log: DataFrame, stage: str, n: int, at: str = "event_time") -> DataFrame:
-    return log.filter(F.col("stage") == stage).orderBy(F.desc(at)).limit(n)
+def latest_runs(log: DataFrame, stage: str, n: int, at: str = "event_time", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The latest n rows of a stage; of equal times in the order of ties."""
+    return log.filter(F.col("stage") == stage).orderBy(F.desc(at), *ties).limit(n)
 
 
 def log_errors(logs: DataFrame, as_of, hours: int) -> DataFrame:
@@ -86,7 +87,7 @@ def log_latency(logs: DataFrame, path: str = "$.duration_seconds") -> DataFrame:
     return logs.withColumn("_s", seconds).filter("_s IS NOT NULL").groupBy("module").agg(F.percentile_approx("_s", 0.5).alias("p50"), F.percentile_approx("_s", 0.95).alias("p95"))
 
 
-LINEAGE = "run_id string, stage string, status string, inputs array<string>, outputs array<string>, columns array<struct<column: string, inputs: array<string>, transform: string>>, rows_in long, rows_out long, details string, at timestamp"
+LINEAGE = "run_id string, stage string, status string, inputs array<string>, outputs array<string>, columns array<struct<column: string, inputs: array<string>, transform: string>>, rows_in long, rows_out long, details string, at timestamp, schema_changes array<struct<change: string, column: string, old: string, new: string, status: string>>, quality array<struct<column: string, rule: string, fail_count: long, total: long>>"
 
 
 def column_lineage(spark: SparkSession, source: StructType, target: StructType) -> DataFrame:
@@ -105,10 +106,14 @@ def column_lineage(spark: SparkSession, source: StructType, target: StructType)
     return spark.createDataFrame(rows, "column string, inputs array<string>, transform string")
 
 
-def lineage_event(spark: SparkSession, run_id: str, stage: str, inputs: list[str], outputs: list[str], source: StructType, target: StructType, rows_in: int | None, rows_out: int | None, at, status: str = "COMPLETE", details: str | None = None) -> DataFrame:
-    """One row of LINEAGE. Row counts come from the caller, who has them from an observation or a count."""
+def lineage_event(spark: SparkSession, run_id: str, stage: str, inputs: list[str], outputs: list[str], source: StructType, target: StructType, rows_in: int | None, rows_out: int | None, at, status: str = "COMPLETE", details: str | None = None, audit: list[tuple] = (), checks: DataFrame | None = None) -> DataFrame:
+    """One row of LINEAGE. Row counts come from the caller, who has them from an observation or a count.
+
+    audit: the changes of a schema.Decision; checks: a row per rule (quality.check_rules).
+    """
+    quality = [] if checks is None else [tuple(r) for r in checks.select("column", "rule", "fail_count", "total").collect()]  # one row a rule
     columns = [tuple(r) for r in column_lineage(spark, source, target).collect()]
-    return spark.createDataFrame([(run_id, stage, status, inputs, outputs, columns, rows_in, rows_out, details, at)], LINEAGE)
+    return spark.createDataFrame([(run_id, stage, status, inputs, outputs, columns, rows_in, rows_out, details, at, list(audit), quality)], LINEAGE)
 
 
 def lineage_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,3 +131,38 @@ def column_paths(events: DataFrame) -> DataFrame:
     rows = events.select("at", "stage", F.explode("columns").alias("c")).select("at", "stage", "c.*")
     steps = F.transform(F.array_sort(F.collect_list(F.struct("at", "stage", "transform"))), lambda x: F.concat_ws(":", x["stage"], x["transform"]))
     return rows.groupBy("column").agg(F.array_join(steps, " > ").alias("path"))
+
+
+AUDIT = "run_id string, stage string, version string, table_name string, status string, source_count long, target_count long, audited_at timestamp"
+
+
+def audit(run_id: str, stage: str, version: str, tables: dict[str, tuple[str, DataFrame | None, DataFrame | None]], at) -> DataFrame:
+    """One row of AUDIT for each table of a run. tables: name -> (status, source rows, target rows); a layer that is not
+    there counts 0. All counts are one plan."""
+    out = None
+    for name, (status, source, target) in tables.items():
+        counts = [(df.agg(F.count("*").alias(c)) if df is not None else None, c) for df, c in ((source, "source_count"), (target, "target_count"))]
+        known = [df for df, _ in counts if df is not None]
+        row = known[0] if len(known) == 1 else known[0].crossJoin(known[1]) if known else None  # one row each
+        if row is None:
+            raise ValueError(f"{name}: neither source nor target is given")
+        row = row.select(*[F.lit(v).alias(c) for c, v in (("run_id", run_id), ("stage", stage), ("version", version), ("table_name", name), ("status", status))], *[F.col(c) if df is not None else F.lit(0).cast("long").alias(c) for df, c in counts], F.lit(at).cast("timestamp").alias("audited_at"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def dataset_history(log: DataFrame, dataset: str, n: int, *, name: str = "dataset_name", at: str = "event_time") -> DataFrame:
+    """The latest n events of a dataset."""
+    return log.filter(F.col(name) == dataset).orderBy(F.desc(at)).limit(n)
+
+
+def log_activity(logs: DataFrame, module: str, message: str, path: str = "$.asset_name") -> DataFrame:
+    """dataset, events, last_seen of a module's messages, by what the metadata name."""
+    own = logs.filter((F.col("module") == module) & (F.col("message") == message))
+    return own.groupBy(F.get_json_object("metadata", path).alias("dataset")).agg(F.count("*").alias("events"), F.max("timestamp").alias("last_seen"))
+
+
+def log_failures(logs: DataFrame, module: str) -> DataFrame:
+    """timestamp, table_name, error of a module's errors."""
+    own = logs.filter((F.col("module") == module) & (F.col("level") == "ERROR"))
+    return own.select("timestamp", F.get_json_object("metadata", "$.table_name").alias("table_name"), F.get_json_object("metadata", "$.error").alias("error"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DATE_SHAPES, PATTERNS
+from ..functions.text import DATE_SHAPES, PATTERNS, holds
 
 #: Texts that count as null, and how values look by type.
 NULL_TEXTS = ("", "null", "none", "na")
 INTEGER, DECIMAL, BOOLEAN = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"^(?i:true|false|yes|no|y|n)$"
 
 
+#: Names of columns that hold personal data.
+PERSONAL_NAMES = "first_name last_name email phone mobile date_of_birth dob address postcode ssn national_id passport aadhaar pan".split()
+
+
 def long_form(df: DataFrame, columns: tuple[str, ...] = (), null_texts: tuple[str, ...] = NULL_TEXTS) -> DataFrame:
     """column, value (null where it counts as null), rows: values of all columns as text, counted."""
     named = columns or tuple(df.columns)
@@ -21,11 +25,11 @@ def long_form(df: DataFrame, columns: tuple[str, ...] = (), null_texts: tuple[st
     return rows.withColumn("value", value).groupBy("column", "value").agg(F.count("*").alias("rows"))
 
 
-def profile(df: DataFrame, columns: tuple[str, ...] = (), *, null_texts: tuple[str, ...] = NULL_TEXTS, share: float = 0.7, list_up_to: int = 20) -> DataFrame:
+def profile(df: DataFrame, columns: tuple[str, ...] = (), *, null_texts: tuple[str, ...] = NULL_TEXTS, share: float = 0.7, list_up_to: int = 20, over: bool = False) -> DataFrame:
     """One row per column: rows, nulls, distinct_values, null_ratio, distinct_ratio (3 places), inferred_type, pattern,
-    min_number, max_number, mean_number, min_length, max_length, values (all, if at most list_up_to), is_key, is_reference.
+    min_number, max_number, mean_number, sample (the least value), min_length, max_length, values (all, if at most list_up_to), is_key, is_reference.
 
-    A type or pattern counts if at least `share` of the values have its shape: integers (with commas), decimals, booleans,
+    A type or pattern counts if at least `share` of the values (more than that, with over) have its shape: integers (with commas), decimals, booleans,
     dates, in that order, else string. is_key: distinct ratio over 0.95 and under 1 % null; is_reference: 1 to 15 distinct
     values and a ratio under 5 %. Values are first counted by (column, value), so a frequent value is one row after the
     map side, and no column is gathered in one place.
@@ -46,16 +50,18 @@ def profile(df: DataFrame, columns: tuple[str, ...] = (), *, null_texts: tuple[s
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
         F.round(F.sum(number * n) / F.sum(F.when(number.isNotNull(), n)), 3).alias("mean_number"),
+        F.min("value").alias("sample"),
         F.min(F.char_length("value")).alias("min_length"),
         F.max(F.char_length("value")).alias("max_length"),
     )
     few = counted.filter(has).join(sums.filter(F.col("distinct_values") <= list_up_to).select("column"), "column")
     lists = few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
     full = F.col("rows") - F.col("nulls")
+    enough = lambda n: n > share * full if over else n >= share * full
     kind = F.lit("string")
     for k in reversed(list(shapes)):
-        kind = F.when((full > 0) & (F.col(f"_t_{k}") >= share * full), k).otherwise(kind)
-    best = F.array_max(F.array_compact(F.array(*[F.when((full > 0) & (F.col(f"_p_{k}") >= share * full), F.struct((F.col(f"_p_{k}") / full).alias("share"), F.lit(k).alias("name"))) for k in PATTERNS])))
+        kind = F.when((full > 0) & enough(F.col(f"_t_{k}")), k).otherwise(kind)
+    best = F.array_max(F.array_compact(F.array(*[F.when((full > 0) & enough(F.col(f"_p_{k}")), F.struct((F.col(f"_p_{k}") / full).alias("share"), F.lit(k).alias("name"))) for k in PATTERNS])))
     ratio = F.when(full > 0, F.col("distinct_values") / full).otherwise(0.0)
     null_ratio = F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).otherwise(0.0)
     out = sums.join(lists, "column", "left")
@@ -71,17 +77,21 @@ def profile(df: DataFrame, columns: tuple[str, ...] = (), *, null_texts: tuple[s
         "min_number",
         "max_number",
         "mean_number",
+        "sample",
         "min_length",
         "max_length",
         "values",
         ((ratio > 0.95) & (null_ratio < 0.01)).alias("is_key"),
         (F.col("distinct_values").between(1, 15) & (ratio < 0.05)).alias("is_reference"),
+        F.when(full > 0, F.round(F.col("_p_email") / full, 4)).otherwise(0.0).alias("email_share"),
     )
 
 
 def trigger_profile(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The variant of the loading trigger: `na` is a value, at most 10 values are listed."""
-    return profile(df, columns, null_texts=("", "null", "none"), list_up_to=10)
+    """The variant of the loading trigger: `na` is a value, at most 10 values are listed, shares must exceed their limits,
+    and is_pii says that a column is named like personal data or that over half its values are e-mail addresses."""
+    out = profile(df, columns, null_texts=("", "null", "none"), list_up_to=10, over=True)
+    return out.withColumn("is_pii", F.lower("column").isin(*PERSONAL_NAMES) | (F.col("email_share") > 0.5))
 
 
 def without_values(profiled: DataFrame) -> DataFrame:
@@ -107,9 +117,9 @@ def fingerprint_codes(df: DataFrame, codes: DataFrame, columns: tuple[str, ...]
 
     codes: code_set, value.
     """
-    values = long_form(df, columns).filter("value IS NOT NULL").select("column", F.lower("value").alias("value")).distinct()
+    values = long_form(df, columns).filter("value IS NOT NULL").select("column", F.lower(F.trim("value")).alias("value")).distinct()
     sizes = values.groupBy("column").agg(F.count("*").alias("n"))
-    own = codes.select("code_set", F.lower("value").alias("value")).distinct()
+    own = codes.select("code_set", F.lower(F.trim("value")).alias("value")).distinct()
     hits = values.join(own, "value").groupBy("column", "code_set").agg(F.count("*").alias("hits"))
     scored = hits.join(sizes, "column").withColumn("score", F.round(F.col("hits") / F.col("n"), 3)).filter(F.col("score") >= least)
     best = Window.partitionBy("column").orderBy(F.desc("score"), "code_set")
@@ -121,8 +131,9 @@ def fingerprint_codes(df: DataFrame, codes: DataFrame, columns: tuple[str, ...]
 
 
 def pattern_shares(df: DataFrame, column: str, by: tuple[str, ...], patterns: dict[str, str]) -> DataFrame:
-    """by, rows, and the share of rows that hold each pattern (4 places)."""
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.round(F.avg(F.coalesce(F.col(column).rlike(p), F.lit(False)).cast("double")), 4).alias(n) for n, p in patterns.items()])
+    """by, rows, and for each pattern how many rows hold it (name) and their share (name_share, 4 places)."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(holds(F.col(column), p)).alias(n) for n, p in patterns.items()])
+    return counts.select(*by, "rows", *[x for n in patterns for x in (n, F.round(F.col(n) / F.col("rows"), 4).alias(f"{n}_share"))])
 
 
 def is_cdc(df: DataFrame) -> bool:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EMAIL_IN_TEXT
+from ..functions.text import EMAIL_IN_TEXT, PATTERNS, holds
 from ..spec import DqRules, TableSpec
 
 
@@ -121,7 +121,8 @@ def column_scores(checks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def table_score(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return scores.groupBy(*by).agg(F.bround(F.avg("score")).alias("score"))
+    """The rounded mean of column scores; 100 without any."""
+    return scores.groupBy(*by).agg(F.coalesce(F.bround(F.avg("score")), F.lit(100.0)).alias("score"))
 
 
 def roll_up(scores: DataFrame, elements: DataFrame, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,12 +167,18 @@ def freshness(df: DataFrame, column: str, as_of, hours: int) -> DataFrame:
     return df.agg(at.alias("latest"), F.coalesce(at >= F.lit(as_of).cast("timestamp") - F.make_interval(hours=F.lit(hours)), F.lit(False)).alias("fresh"))
 
 
-def sla_report(checks: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """dimension, measured, target, met. completeness, validity and uniqueness in percent of checked values."""
+def sla_report(checks: DataFrame, targets: dict[str, float], newest: DataFrame | None = None, as_of=None) -> DataFrame:
+    """dimension, measured, target, met. completeness, validity and uniqueness in percent of checked values, met from the
+    target on; with newest (of freshness) also freshness, in hours behind as_of, met up to the target."""
     kind = F.when(F.col("rule") == "not_null", "completeness").when(F.col("rule") == "unique", "uniqueness").otherwise("validity")
     measured = checks.filter("error IS NULL").groupBy(kind.alias("dimension")).agg(F.round(100 * (1 - F.sum("fail_count") / F.sum("total")), 2).alias("measured"))
     target = F.element_at(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))]), F.col("dimension"))
-    return measured.withColumn("target", target).withColumn("met", F.col("measured") >= F.col("target"))
+    out = measured.withColumn("target", target).withColumn("met", F.col("measured") >= F.col("target"))
+    if newest is None:
+        return out
+    hours = F.round((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("latest").cast("timestamp"))) / 3600, 2)
+    late = newest.select(F.lit("freshness").alias("dimension"), hours.alias("measured"), F.lit(float(targets["freshness"])).alias("target"))
+    return out.unionByName(late.withColumn("met", F.coalesce(F.col("measured") <= F.col("target"), F.lit(False))))
 
 
 def suggest_rules(profile: DataFrame) -> DataFrame:
@@ -198,9 +205,17 @@ def leaked_columns(product: DataFrame, pii_fields: tuple[str, ...]) -> list[str]
     return [c for c in product.columns if c in set(pii_fields)]
 
 
+def leaked_values(product: DataFrame, share: float = 0.7) -> DataFrame:
+    """column, pattern, hits, filled: text columns of which at least `share` of the values look personal, whatever their names."""
+    own = [c for c, kind in product.dtypes if kind == "string" and not c.startswith("_")]
+    counts = product.agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(own)], *[F.count_if(holds(F.trim(c), p)).alias(f"h{k}_{n}") for k, c in enumerate(own) for n, p in PATTERNS.items()])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(n).alias("pattern"), F.col(f"h{k}_{n}").alias("hits"), F.col(f"n{k}").alias("filled")) for k, c in enumerate(own) for n in PATTERNS]
+    return counts.select(F.inline(F.array(*rows))).filter(F.col("hits") > 0).filter(F.col("hits") >= share * F.col("filled"))
+
+
 def flag_free_text(df: DataFrame, columns: tuple[str, ...], pattern: str = EMAIL_IN_TEXT) -> DataFrame:
     """df with _pii_in_text: whether one of the text columns holds what looks personal."""
-    return df.withColumn("_pii_in_text", F.greatest(F.lit(False), *[F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns]))
+    return df.withColumn("_pii_in_text", F.greatest(F.lit(False), *[holds(F.col(c), pattern) for c in columns]))
 
 
 def new_values(df: DataFrame, column: str, accepted: DataFrame) -> DataFrame:

@@ -175,6 +175,36 @@ def check_contract(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Contract:
+    """What consumers rely on. required columns are there, of their type and never null; optional ones may lack; key is unique."""
+
+    version: str
+    required: dict[str, str]
+    optional: dict[str, str] = field(default_factory=dict)
+    key: tuple[str, ...] = ()
+
+
+def contract_violations(df: DataFrame, contract: Contract) -> DataFrame:
+    """column, problem (missing, type, null or repeated), rows: what of a table breaks its contract, null rows where all do.
+
+    A type that widens to the contract's is none. Nulls are counted in one pass; the key in one aggregation.
+    """
+    kinds, spark = dict(df.dtypes), df.sparkSession
+    said = [(c, "missing", None) for c in contract.required if c not in kinds]
+    said += [(c, "type", None) for c, t in (contract.required | contract.optional).items() if c in kinds and not widens(kinds[c], t)]
+    out = spark.createDataFrame(said, "column string, problem string, rows long")
+    there = [c for c in contract.required if c in kinds]
+    if there:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in there])
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit("null").alias("problem"), F.col(c).alias("rows")) for c in there])
+        out = out.unionByName(nulls.select(F.inline(rows)).filter("rows > 0"))
+    if contract.key and set(contract.key) <= set(kinds):
+        again = df.groupBy(*contract.key).agg(F.count("*").alias("n")).filter("n > 1").agg(F.sum("n").alias("rows"))
+        out = out.unionByName(again.filter("rows > 0").select(F.lit(",".join(contract.key)).alias("column"), F.lit("repeated").alias("problem"), "rows"))
+    return out
+
+
 def version_bump(old: StructType, new: StructType, required: tuple[str, ...] = ()) -> str:
     """major: a column goes, narrows or becomes required; minor: a column comes or widens; patch: neither."""
     found = diff(new, old)

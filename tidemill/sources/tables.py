@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,19 @@ from pyspark.sql import functions as F
 MANIFEST = "snapshot long, parts array<string>, committed_at timestamp"
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(p.getParent())
+    return store.createNewFile(p)
+
+
 class SnapshotTable:
-    """A table as a folder. parts of a snapshot are its data folders, so an append shares those of the one before."""
+    """A table as a folder. parts of a snapshot are its data folders, so an append shares those of the one before.
+
+    One writer at a time: each claims its number first by a file that only one can make, and a second one fails before it
+    writes. A claim that was left behind by a writer that died is a file to be removed.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -43,8 +55,10 @@ class SnapshotTable:
         return self.spark.read.option("mergeSchema", True).parquet(*at["parts"])
 
     def _commit(self, df: DataFrame, keep: list[str], number: int, at: datetime, partition_by: list[str]) -> int:
-        part = f"{self.path}/v={number:06d}"
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(part)
+        if not _claimed(self.spark, f"{self.path}/_claims/{number:06d}"):
+            raise ValueError(f"{self.path}: snapshot {number} is another writer's; try again")
+        part = f"{self.path}/data-{number:06d}-{uuid.uuid4().hex[:8]}"
+        df.write.partitionBy(*partition_by).parquet(part)
         row = self.spark.createDataFrame([(number, [*keep, part], at)], MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/_manifest")
         return number
