@@ -17,7 +17,9 @@ def rows(df, *order):
 def test_hash_tells_null_places_apart(spark):
     df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None)], "x string, y string, z string")
     assert len({r.row_hash for r in dedup.with_row_hash(df).collect()}) == 3
-    assert len({r.row_hash for r in dedup.with_row_hash(df, null_token=None).collect()}) == 1
+    assert len({r.row_hash for r in dedup.with_row_hash(df, null_token=None).collect()}) == 2
+    odd = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a\\", "|b"), ("a\\|", "b"), (None, "b"), ("\\N", "b"), ("\x00null", "b")], "x string, y string")
+    assert len({r.row_hash for r in dedup.with_row_hash(odd).collect()}) == 7
 
 
 def test_latest_is_total_and_skips_missing_order(spark):
@@ -67,6 +69,24 @@ def test_scores_roll_up_and_unknown_rules(spark):
     assert rows(applications) == [("A", 66.0)]
 
 
+def test_leaks_service_levels_and_table_scores(spark):
+    df = spark.createDataFrame([("a@x.org", "n", "1"), ("b@x.org", None, "2"), (None, "m", "3")], "c string, d string, _e string")
+    assert [(r.column, r.pattern, r.hits, r.filled) for r in quality.leaked_values(df).collect()] == [("c", "email", 2, 2)]
+    assert quality.leaked_values(df.limit(0)).count() == 0
+    checks = quality.check_rules(df, {"c": {"not_null": True}})
+    newest = quality.freshness(spark.createDataFrame([(datetime(2024, 3, 9),)], "t timestamp"), "t", AT, 48)
+    got = {r.dimension: (r.measured, r.met) for r in quality.sla_report(checks, {"completeness": 99, "freshness": 12}, newest, AT).collect()}
+    assert got == {"completeness": (66.67, False), "freshness": (24.0, False)}
+    assert rows(quality.table_score(quality.column_scores(checks).limit(0))) == [(100.0,)]
+
+
+def test_contract_is_checked(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, None, 2), (None, "b", 3)], "k long, s string, n long")
+    said = schema.Contract("1.0.0", {"k": "bigint", "s": "string", "gone": "date"}, {"n": "int"}, ("k",))
+    assert {tuple(r) for r in schema.contract_violations(df, said).collect()} == {("gone", "missing", None), ("n", "type", None), ("k", "null", 1), ("s", "null", 1), ("k", "repeated", 2)}
+    assert schema.contract_violations(df.filter("n = 1").drop("n"), schema.Contract("1", {"k": "bigint"}, {"n": "int"}, ("k",))).count() == 0
+
+
 def test_rule_inheritance_and_contract(spark):
     fields = spark.createDataFrame([("t", "a", "T1", 0.9, True, True), ("t", "b", "T1", 0.9, False, False), ("t", "c", "T1", 0.4, False, True)], "table string, column string, term string, confidence double, is_key boolean, is_pii boolean")
     terms = spark.createDataFrame([("T1", "unique", "true"), ("T1", "not_null", "true"), ("T1", "magic", "x")], "term string, rule string, value string")
@@ -147,6 +167,9 @@ def test_matching(spark):
     assert scores["loan_id", "LOAN"] == 1.0 and scores["customer_pan", "PAN"] == 0.25
     best = {(r.column, r.term): r.score for r in match.synonym_matches(fields, syn).collect()}
     assert best["loan_id", "LOAN"] == 0.95 and best["customer_pan", "PAN"] == 0.45 and len(best) == 2
+    typed = spark.createDataFrame([("t", "customer_id", "bigint"), ("t", "is_first_name", "boolean"), ("t", "total", "decimal(10,2)"), ("t", "x", "int")], "table string, column string, data_type string")
+    told = {(r.column, r.rule_type, r.rule, r.value, r.confidence) for r in match.name_rules(typed).collect()}
+    assert told == {("customer_id", "naming", "identifiers:end", "Identifier", 0.85), ("customer_id", "fk", "customer_id", "customers.customer_id", 0.8), ("customer_id", "fk", "stem", "customers.customer_id", 0.5), ("is_first_name", "naming", "flags:begin", "Dimension", 0.8), ("is_first_name", "pii", "high_confidence", "PII", 0.9), ("is_first_name", "type", "data_type", "Dimension", 0.7), ("total", "naming", "measures:end", "Measure", 0.85), ("total", "type", "data_type", "Measure", 0.7)}
     prof = fields.withColumn("is_key", F.col("column") == "loan_id")
     assert rows(match.primary_key(prof)) == [("loans", "loan_id", True)]
     keys = spark.createDataFrame([("customers", "customer_id")], "table string, primary_key string")
@@ -164,6 +187,12 @@ def test_monitoring_and_lineage(spark):
     assert rows(monitor.content_checksum(df)) == rows(monitor.content_checksum(df.repartition(3)))
     e1 = monitor.lineage_event(spark, "r", "bronze", ["landing.t"], ["bronze.t"], spark.range(1).schema, df.schema, 5, 5, AT)
     e2 = monitor.lineage_event(spark, "r", "silver", ["bronze.t"], ["silver.t"], df.schema, df.schema, 5, 3, datetime(2024, 3, 11))
+    said = schema.decide(df.drop("id").schema, df.schema, schema.SILVER)
+    facets = monitor.lineage_event(spark, "r", "gold", [], [], df.schema, df.schema, 5, 3, AT, "FAIL", audit=said.audit, checks=quality.check_rules(df, {"id": {"unique": True}})).collect()[0]
+    assert [tuple(c) for c in facets.schema_changes] == [("drop", "id", "bigint", None, "graceful_null_fill")] and [tuple(c) for c in facets.quality] == [("id", "unique", 0, 5)]
+    assert rows(monitor.audit("r", "s", "v", {"t": ("OK", df, None)}, AT).select("table_name", "source_count", "target_count")) == [("t", 5, 0)]
+    history = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "dataset_name string, event_time long")
+    assert [r.event_time for r in monitor.dataset_history(history, "a", 1).collect()] == [3]
     nodes, edges = monitor.lineage_graph(e1.unionByName(e2))
     assert edges.count() == 4 and nodes.count() == 5
     assert {r.column: r.path for r in monitor.column_paths(e1.unionByName(e2)).collect()} == {"id": "bronze:IDENTITY > silver:IDENTITY", "row_hash": "bronze:HASH > silver:IDENTITY"}
@@ -173,6 +202,9 @@ def test_vectors_and_chunks(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "i long, v array<float>")
     got = rows(vectors.top_k_cosine(v.filter("i = 1"), v, id_col="i", vector_col="v", k=2), "rank")
     assert [(g[1], round(g[2], 3)) for g in got] == [(3, 0.707), (2, 0.0)]
+    many = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)], "i long, v array<float>")
+    whole, parts = (rows(vectors.top_k_cosine(many, many, id_col="i", vector_col="v", k=3, block=b)) for b in (1000, 7))
+    assert whole == parts and len(whole) == 180
     t = spark.createDataFrame([(1, "x" * 1600), (2, None), (3, "short"), (4, "")], "doc_id long, text string")
     assert rows(vectors.chunks(t).select("doc_id", "chunk_index", F.length("chunk"))) == [(1, 0, 1500), (1, 1, 300)]
     vec = t.select(vectors.trigram_vector(F.col("text")).alias("v")).collect()

@@ -40,7 +40,7 @@ def bronze(lake: Lake, spec: TableSpec, landed: DataFrame, batch_id: str, at, po
     df = dedup.with_row_hash(df, spec.hash_fields)
     df = df.withColumn("_batch_id", F.lit(batch_id)).withColumn("_ingested_at", F.lit(at).cast("timestamp"))
     df = quality.flag(df, spec.dq_rules)
-    if stored is not None:
+    if stored is not None and not schema.unchanged(df.schema, schema.fingerprint(stored.schema), stored.schema):
         df, quarantined, said = schema.evolve(df, stored.schema, policy)
         lake.table("control", "schema_change_audit").append(schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at)
         if df is None:
@@ -54,28 +54,28 @@ def bronze(lake: Lake, spec: TableSpec, landed: DataFrame, batch_id: str, at, po
 def silver(lake: Lake, spec: TableSpec, at, batch_id: str | None = None, *, dialect: str = "lenient") -> DataFrame:
     """Takes bronze rows (of a batch, or all) into the history of the table; returns the reconciliation rows.
 
-    Rows known by hash, broken rules and late rows leave on the way, the latter two to quarantine. Texts are cleaned and
-    masked after the late check. Of a batch the latest row per key goes into history.
+    Broken rules, late rows and rows that equal their key's current one leave on the way, the first two to quarantine. Texts
+    are cleaned and masked after the late check. Of the valid rows of a batch the latest per key goes into history, so a
+    rejected row hides no earlier one, and values that a key had before count as a change when they return.
     """
     source, target = lake.table("bronze", spec.table).read(), lake.table("silver", spec.table)
     history = target.read() if target.exists() else None
     df = source if batch_id is None else source.filter(F.col("_batch_id") == batch_id)
     if "_cdc_operation" in df.columns:
         df = cdc.without_deletes(df)
-    order = spec.dedup_order_by or "_ingested_at DESC"
-    df = dedup.latest(df, spec.primary_key, order)
-    if history is not None:
-        df = dedup.new_by_hash(df, history)
-    df = df.drop(*INTERNAL)
     if spec.record_filter:
         df = df.filter(F.expr(spec.record_filter))
-    passed, rejected = quality.reject(schema.apply_type_overrides(df, spec.type_overrides), spec, dialect=dialect)
+    if history is not None:
+        df = dedup.new_by_hash(df, history.filter("is_current"))
+    passed, rejected = quality.reject(schema.apply_type_overrides(df.drop("_dq_flags"), spec.type_overrides), spec, dialect=dialect)
+    rejected = rejected.drop(*[c for c in INTERNAL if c != "_dq_flags"])
     quarantine = lake.table("quarantine", spec.table)
     quarantine.append(rejected.withColumn("_quarantine_reason", F.array_join("_dq_flags", ",")).withColumn("_quarantined_at", F.lit(at).cast("timestamp")).drop("_dq_flags"), at)
     if spec.event_time_column:
         split = late.split_late(passed, spec.event_time_column, at, spec.late_arrival_window_days, first_load=history is None)
-        quarantine.append(split.late, at)
+        quarantine.append(split.late.drop(*INTERNAL), at)
         passed = split.on_time
+    passed = dedup.latest(passed, spec.primary_key, spec.dedup_order_by or "_ingested_at DESC").drop(*INTERNAL)
     clean = apply_masking(trim_all(strip_non_printable(passed)), spec.masking)
     if history is None:
         history = lake.spark.createDataFrame([], scd.empty_target(clean, 2))
@@ -107,6 +107,9 @@ def land_and_load(lake: Lake, spec: TableSpec, landing: str, at) -> list[int]:
     done = control.read().select("table", F.regexp_extract("version", r"(\d+)", 1).try_cast("int").alias("version"), "processed_at") if control.exists() else lake.spark.createDataFrame([], "table string, version int, processed_at timestamp")
     todo = files.unprocessed(lake.spark, landing, done, spec.table)
     for v in todo:
-        bronze(lake, spec, files.read_files(lake.spark, f"{landing}/v{v}", spec.source_format), f"v{v}", at)
+        landed = files.read_files(lake.spark, f"{landing}/v{v}", spec.source_format)
+        if landed.isEmpty():
+            raise ValueError(f"{landing}/v{v} holds no rows")
+        bronze(lake, spec, landed, f"v{v}", at)
         silver(lake, spec, at, f"v{v}")
     return todo

@@ -83,6 +83,15 @@ def customer_360(customers: DataFrame, orders: DataFrame, payments: DataFrame, *
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_orders", "lifetime_value", "avg_order_value", "total_payments", "total_paid")})
 
 
+def bands_of_two(column, state, limits: list[tuple[float, str, str]], otherwise: str):
+    """The name of the first (least value, state, name) that a pair of columns meets; a null meets none."""
+    out = None
+    for least, wanted, name in limits:
+        meets = (column >= least) & (state == wanted)
+        out = F.when(meets, name) if out is None else out.when(meets, name)
+    return out.otherwise(otherwise)
+
+
 def bands(column, limits: list[tuple[float, str]], otherwise: str):
     """The name of the first limit that column reaches."""
     out = None

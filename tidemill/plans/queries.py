@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..functions import text, vectors
 from ..operators import cdc, dedup, late, match, monitor, profile, quality, schema, scd
-from ..sources import scratch, tables
+from ..sources import files, scratch, tables
 from ..spec import DqRules, TableSpec
 from ..streaming import streams
 from . import medallion as medallion_plan
@@ -49,6 +50,13 @@ def day(column: str | Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
+def _view(df: DataFrame) -> str:
+    """df as a view of a name of its own, so that runs in one session do not meet."""
+    name = f"_view_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 # Data products
 
 
@@ -104,8 +112,9 @@ def product_performance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part")
 def feed(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "part").createOrReplaceTempView("_part_feed")
-    return products.run_sql(spark, "-- a pass-through product\nSELECT p_partkey, p_name, p_brand, p_retailprice FROM ${SOURCE}", {"SOURCE": "_part_feed"})
+    """A product without SQL of its own: its source as it is."""
+    source = _view(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice"))
+    return products.refresh(spark, source, "no-such-folder", scratch.new_path(spark, "feed"))
 
 
 @query(f"""
@@ -179,7 +188,7 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
     return dedup.latest(o, ("o_custkey",), "o_orderdate DESC").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT sha256(lang || '|' || text) AS row_hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(lang || '|' || replace(replace(text, '\\', '\\\\'), '|', '\\|')) AS row_hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
 def row_hash_dups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicate_report(dedup.with_row_hash(table(spark, d, "documents").select("lang", "text"), ("lang", "text")))
 
@@ -199,11 +208,13 @@ def hash_antijoin(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_id, user_id, op AS _cdc_operation,
            CASE WHEN op = 'UPDATE' THEN last_value(event_type IGNORE NULLS) OVER w ELSE event_type END AS event_type,
            CASE WHEN op = 'UPDATE' THEN last_value(value IGNORE NULLS) OVER w ELSE value END AS value
-    FROM l WINDOW w AS (PARTITION BY user_id, life ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+    FROM l WINDOW w AS (PARTITION BY user_id, life ORDER BY event_id ROWS UNBOUNDED PRECEDING) QUALIFY event_id > (SELECT max(event_id) // 2 FROM events)""")
 def cdc_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of the events as partial updates, made whole from the stored earlier half."""
     op = F.when(F.expr("event_id % 50 = 7"), "DELETE").when(F.expr("event_id % 20 = 0"), "INSERT").otherwise("UPDATE")
     batch = table(spark, d, "events").select("event_id", "user_id", F.when(F.expr("event_id % 3 = 0"), F.col("event_type")).alias("event_type"), F.when(F.expr("event_id % 4 = 0"), F.col("value")).alias("value"), op.alias("_cdc_operation"))
-    return cdc.rebuild(batch, None, ("user_id",), "event_id")
+    half = batch.agg(F.expr("max(event_id) div 2")).first()[0]
+    return cdc.rebuild(batch.filter(F.col("event_id") > half), batch.filter(F.col("event_id") <= half), ("user_id",), "event_id")
 
 
 # Quality
@@ -290,14 +301,14 @@ def governance_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT CASE WHEN rule = 'not_null' THEN 'completeness' WHEN rule = 'unique' THEN 'uniqueness' ELSE 'validity' END AS dimension, CAST(sum(total) AS BIGINT) AS total, CAST(sum(fail_count) AS BIGINT) AS failed
-    FROM (""" + _CHECK_SQL + """) GROUP BY 1""")
+    WITH m AS (SELECT CASE WHEN rule = 'not_null' THEN 'completeness' WHEN rule = 'unique' THEN 'uniqueness' ELSE 'validity' END AS dimension, round(100 * (1 - sum(fail_count) / sum(total)), 2) AS measured
+    FROM (""" + _CHECK_SQL + """) GROUP BY 1)
+    SELECT dimension, measured, CASE dimension WHEN 'validity' THEN 90.0::DOUBLE ELSE 99.0::DOUBLE END AS target, measured >= CASE dimension WHEN 'validity' THEN 90 ELSE 99 END AS met FROM m
+    UNION ALL SELECT 'freshness', round((epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts)))) / 3600, 2), 48.0, round((epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts)))) / 3600, 2) <= 48 FROM events""")
 def sla_dimensions(spark: SparkSession, d: str) -> DataFrame:
     checks = quality.check_rules(table(spark, d, "orders"), _CHECKS["orders"])
-    report = quality.sla_report(checks, {"completeness": 99, "uniqueness": 99, "validity": 90})
-    kind = F.when(F.col("rule") == "not_null", "completeness").when(F.col("rule") == "unique", "uniqueness").otherwise("validity")
-    sums = checks.groupBy(kind.alias("dimension")).agg(F.sum("total").alias("total"), F.sum("fail_count").alias("failed"))
-    return sums.join(report.select("dimension"), "dimension")
+    newest = quality.freshness(table(spark, d, "events"), "ts", datetime(2024, 1, 31), 48)
+    return quality.sla_report(checks, {"completeness": 99, "uniqueness": 99, "validity": 90, "freshness": 48}, newest, datetime(2024, 1, 31))
 
 
 # Dimensions with history
@@ -391,11 +402,15 @@ def scd6(spark: SparkSession, d: str) -> DataFrame:
     SELECT k, v, strftime(t, '%Y-%m-%d') AS valid_from, strftime(coalesce(lead(t) OVER (PARTITION BY k ORDER BY t), DATE '9999-12-31'), '%Y-%m-%d') AS valid_to,
            lead(t) OVER (PARTITION BY k ORDER BY t) IS NULL AS is_current, row_number() OVER (PARTITION BY k ORDER BY t) AS version FROM q""")
 def scd2_late(spark: SparkSession, d: str) -> DataFrame:
-    """History from events in any order: the older half is there first, then the other half splits its intervals."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), F.to_date("ts").cast("timestamp").alias("t"), "event_id")
+    """A history of the users' first events of every other day, then all other events, late ones among them, split its intervals."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), F.to_date("ts").cast("timestamp").alias("t"))
+    e = e.groupBy("k", "t").agg(F.max("v").alias("v")).select("k", "v", "t")
     empty = spark.createDataFrame([], "k long, v string, valid_from timestamp, valid_to timestamp, is_current boolean, version long")
-    out = scd.rebuild_intervals(empty, e.select("k", "v", "t"), ("k",), ("v",), "t")
-    return _stamp(out)
+    even = F.dayofmonth("t") % 2 == 0
+    # a day that repeats the value before it is no row of the history, and comes again with what is late
+    history = scd.rebuild_intervals(empty, e.filter(even), ("k",), ("v",), "t")
+    repeated = e.filter(even).join(history.select("k", F.col("valid_from").alias("t")), ["k", "t"], "left_anti")
+    return _stamp(scd.rebuild_intervals(history, e.filter(~even).unionByName(repeated), ("k",), ("v",), "t"))
 
 
 @query(f"""
@@ -430,19 +445,30 @@ def late_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, left(c_name, 2) || '***' || left(sha256(c_name), 8) AS c_name, sha256(c_mktsegment) AS c_mktsegment, repeat('*', greatest(length(CAST(c_custkey AS VARCHAR)) - 4, 0)) || right(CAST(c_custkey AS VARCHAR), 4) AS masked_key
+    SELECT c_custkey, left(c_name, 2) || '***' || left(sha256(c_name), 8) AS c_name, sha256(c_mktsegment) AS c_mktsegment, repeat('*', greatest(length(CAST(c_custkey AS VARCHAR)) - 4, 0)) || right(CAST(c_custkey AS VARCHAR), 4) AS masked_key,
+           'c***@x.org' AS mail, '2024' AS born, 'REDACTED' AS gone
     FROM customer""")
 def masking(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_custkey").alias("masked_key"))
-    return text.apply_masking(c, {"c_name": "tokenise", "c_mktsegment": "sha256", "masked_key": "last_4"})
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_custkey").alias("masked_key"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org")).alias("mail"), F.lit("2024-05-06").alias("born"), F.col("c_name").alias("gone"))
+    return text.apply_masking(c, {"mail": "email", "born": "year_only", "gone": "redact", "c_name": "tokenise", "c_mktsegment": "sha256", "masked_key": "last_4"})
 
 
-@query()
+@query("""
+    SELECT 'widen' AS change_type, 'c_nationkey' AS column_name, 'int' AS old_type, 'bigint' AS new_type, 'applied' AS status, count(c_nationkey) AS stored_values FROM customer
+    UNION ALL SELECT 'add', 'segment_code', NULL, 'int', 'applied', 0 UNION ALL SELECT 'drop', 'c_name', 'string', NULL, 'graceful_null_fill', count(c_name) FROM customer""")
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    """What happens to each changed column, and how many stored values it has."""
     c = table(spark, d, "customer")
     incoming = c.drop("c_name").withColumn("c_nationkey", F.col("c_nationkey").cast("bigint")).withColumn("segment_code", F.lit(1))
     said = schema.decide(incoming.schema, c.schema, schema.SILVER)
-    return schema.audit_rows(spark, said, "customer", "silver", "run", AS_OF)
+    audit = schema.audit_rows(spark, said, "customer", "silver", "run", AS_OF)
+    return audit.join(_filled(c), "column_name", "left").select("change_type", "column_name", "old_type", "new_type", "status", F.coalesce("stored_values", F.lit(0)).alias("stored_values"))
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """column_name, stored_values: values that are not null, of all columns in one pass."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("stored_values")) for c in df.columns])))
 
 
 @query("""
@@ -455,21 +481,25 @@ def schema_evolved(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH b AS (SELECT sha256(o_orderkey || '|' || o_orderstatus) AS h, o_orderstatus FROM orders)
-    SELECT 'source_bronze' AS check_type, (SELECT count(*) FROM lineitem) AS source_count, (SELECT count(*) FROM orders) AS target_count, (SELECT count(*) FROM orders) - (SELECT count(*) FROM lineitem) AS delta, (SELECT count(*) FROM orders) >= (SELECT count(*) FROM lineitem) AS passed
-    UNION ALL SELECT 'bronze_silver', count(*), count_if(o_orderstatus <> 'P'), count_if(o_orderstatus <> 'P') - count(*), 100 * abs(count(*) - count_if(o_orderstatus <> 'P')) / count(*) < 5 FROM b
-    UNION ALL SELECT 'hash', count(DISTINCT h), count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN h END), count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN h END) - count(DISTINCT h), true FROM b""")
+    SELECT 'source_bronze' AS check_type, (SELECT count(*) FROM lineitem) AS source_count, (SELECT count(*) FROM orders) AS target_count, (SELECT count(*) FROM orders) - (SELECT count(*) FROM lineitem) AS delta, round(100 * ((SELECT count(*) FROM orders) - (SELECT count(*) FROM lineitem)) / (SELECT count(*) FROM lineitem), 2) AS delta_pct, (SELECT count(*) FROM orders) >= (SELECT count(*) FROM lineitem) AS passed
+    UNION ALL SELECT 'bronze_silver', count(*), count_if(o_orderstatus <> 'P'), count_if(o_orderstatus <> 'P') - count(*), round(100 * (count_if(o_orderstatus <> 'P') - count(*)) / count(*), 2), 100 * abs(count(*) - count_if(o_orderstatus <> 'P')) / count(*) < 5 FROM b
+    UNION ALL SELECT 'hash', count(DISTINCT h), count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN h END), count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN h END) - count(DISTINCT h), round(100 * (count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN h END) - count(DISTINCT h)) / count(DISTINCT h), 2), true FROM b""")
 def recon(spark: SparkSession, d: str) -> DataFrame:
     b = dedup.with_row_hash(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ("o_orderkey", "o_orderstatus"))
     s = b.filter("o_orderstatus <> 'P'")
     checks = [monitor.reconcile_counts(table(spark, d, "lineitem"), b), monitor.reconcile_layers(b, s, b.limit(0)), monitor.reconcile_hashes(b, s)]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2]).select("check_type", "source_count", "target_count", "delta", "passed")
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).select("check_type", "source_count", "target_count", "delta", "delta_pct", "passed")
 
 
-@query()
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM customer)
+    SELECT c AS "column", t AS transform, i AS inputs, n AS filled FROM n, (VALUES ('c_custkey', 'IDENTITY', 1), ('c_nationkey', 'IDENTITY', 1), ('c_acctbal', 'IDENTITY', 1), ('c_mktsegment', 'IDENTITY', 1), ('balance_band', 'DERIVED', 5), ('_batch_id', 'ADDED', 0), ('row_hash', 'HASH', 5)) v(c, t, i)""")
 def lineage_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Where each column of a table comes from, and how many of its values are filled."""
     c = table(spark, d, "customer")
     out = dedup.with_row_hash(c.drop("c_name").withColumn("balance_band", F.lit("x")).withColumn("_batch_id", F.lit("b")))
-    return monitor.column_lineage(spark, c.schema, out.schema)
+    said = monitor.column_lineage(spark, c.schema, out.schema).select(F.col("column").alias("column_name"), "transform", F.size("inputs").alias("inputs"))
+    return said.join(_filled(out), "column_name").select(F.col("column_name").alias("column"), "transform", "inputs", F.col("stored_values").alias("filled"))
 
 
 @query("""
@@ -499,10 +529,12 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     WITH l AS (SELECT 'c_custkey' AS "column", CAST(c_custkey AS VARCHAR) AS v FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer)
     SELECT "column", count(*) AS rows, count_if(v IS NULL OR lower(trim(v)) IN ('', 'null', 'none', 'na')) AS nulls, count(DISTINCT v) AS distinct_values, min(length(v)) AS min_length, max(length(v)) AS max_length,
            CASE WHEN avg(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN 1.0 ELSE 0.0 END) >= 0.7 THEN 'integer' ELSE 'string' END AS inferred_type,
+           0.0::DOUBLE AS null_ratio, round(count(DISTINCT v) / count(*), 3) AS distinct_ratio, min(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN CAST(v AS DOUBLE) END) AS min_number, max(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN CAST(v AS DOUBLE) END) AS max_number,
+           min(v) AS sample, NULL::VARCHAR AS pattern, CASE WHEN count(DISTINCT v) <= 20 THEN string_agg(DISTINCT v, ',' ORDER BY v) END AS "values",
            count(DISTINCT v) / count(*) > 0.95 AS is_key, count(DISTINCT v) BETWEEN 1 AND 15 AND count(DISTINCT v) / count(*) < 0.05 AS is_reference FROM l GROUP BY 1""")
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
     out = profile.profile(table(spark, d, "customer"), ("c_custkey", "c_mktsegment", "c_name", "c_nationkey"))
-    return out.select("column", "rows", "nulls", "distinct_values", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "inferred_type", "is_key", "is_reference")
+    return out.select("column", "rows", "nulls", "distinct_values", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "inferred_type", "null_ratio", "distinct_ratio", "min_number", "max_number", "sample", "pattern", F.array_join("values", ",").alias("values"), "is_key", "is_reference")
 
 
 @query("""
@@ -527,25 +559,25 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return profile.fingerprint_codes(table(spark, d, "customer"), codes, ("c_mktsegment", "c_name")).drop("unmatched")
 
 
-@query("SELECT source, count(*) AS rows, count_if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS with_email FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS rows, count_if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS with_email, round(count_if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) / count(*), 4) AS share FROM documents GROUP BY 1")
 def pii_scan(spark: SparkSession, d: str) -> DataFrame:
     shares = profile.pattern_shares(table(spark, d, "documents"), "text", ("source",), {"email": text.EMAIL_IN_TEXT})
-    return shares.select("source", "rows", F.round(F.col("email") * F.col("rows")).cast("long").alias("with_email"))
+    return shares.select("source", "rows", F.col("email").alias("with_email"), F.col("email_share").alias("share"))
 
 
-@query("SELECT count(DISTINCT l_partkey) AS \"values\", count(DISTINCT CASE WHEN p_partkey IS NOT NULL THEN l_partkey END) AS contained FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey")
+@query("SELECT count(DISTINCT l_partkey) AS \"values\", count(DISTINCT CASE WHEN p_partkey IS NOT NULL THEN l_partkey END) AS contained, round(count(DISTINCT CASE WHEN p_partkey IS NOT NULL THEN l_partkey END) / count(DISTINCT l_partkey), 4) AS ratio FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0) ON l_partkey = p_partkey")
 def key_containment(spark: SparkSession, d: str) -> DataFrame:
-    return match.containment(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").filter("p_partkey % 4 <> 0"), "p_partkey").drop("ratio")
+    return match.containment(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").filter("p_partkey % 4 <> 0"), "p_partkey")
 
 
 @query("""
     WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
                FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
-    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+    SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar vectors to each whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
-    return vectors.top_k_cosine(e.filter("vec_id % 100 = 0"), e, id_col="vec_id", vector_col="embedding", k=5, max_queries=100_000).drop("score")
+    return vectors.top_k_cosine(e.filter("vec_id % 100 = 0"), e, id_col="vec_id", vector_col="embedding", k=5)
 
 
 @query("""
@@ -569,11 +601,11 @@ def batch_lineage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("items"), F.countDistinct("l_suppkey").alias("suppliers"), populated.alias("populated"), day(F.min("l_shipdate")).alias("first_day"))
 
 
-@query("SELECT event_type, count(DISTINCT event_id) AS events FROM events WHERE event_id % 10 = 0 GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Events as JSON messages, delivered twice in two sets of files, through the stream into a table that keeps one of each."""
     root = scratch.new_path(spark, "stream-dedup")
-    events = table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", "event_type", "user_id")
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id")
     for k in range(2):
         events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{root}/in")
     fields = StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("user_id", LongType())])
@@ -597,32 +629,40 @@ def time_travel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, c_mktsegment, sha256(c_name) AS c_name FROM customer WHERE c_custkey IS NOT NULL AND c_acctbal > 0""")
+    SELECT c_custkey, sha256(c_name) AS c_name, c_mktsegment, CASE WHEN c_acctbal <= 0 THEN 1 WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END AS versions FROM customer WHERE c_custkey IS NOT NULL AND c_nationkey <> 3""")
 def medallion(spark: SparkSession, d: str) -> DataFrame:
-    """Customers from bronze through silver to gold, with a masked name."""
+    """Customers over four batches to gold, with a masked name: what odd keys change back to counts again, a rejected row of
+    a batch hides no valid earlier one, and a filter keeps one nation out."""
     lake = medallion_plan.Lake(spark, scratch.new_path(spark, "lake"))
-    spec = TableSpec("customer", ("c_custkey",), hash_fields=("c_custkey", "c_mktsegment"), dq_rules=DqRules(positive=("c_acctbal",)), masking={"c_name": "sha256"}, pii_fields=("c_name",))
-    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    medallion_plan.bronze(lake, spec, rows, "b1", _T0)
-    medallion_plan.silver(lake, spec, _T0, "b1")
-    return medallion_plan.gold(lake, spec, f"{lake.root}/gold/customer", _T1).select("c_custkey", "c_mktsegment", "c_name")
+    spec = TableSpec("customer", ("c_custkey",), dedup_order_by="seq DESC", hash_fields=("c_custkey", "c_mktsegment", "c_acctbal"), dq_rules=DqRules(positive=("c_acctbal",)), masking={"c_name": "sha256"}, pii_fields=("c_name",), record_filter="c_nationkey <> 3")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    for k in range(4):  # balance 1, its own (null where negative), 1 again for even keys, its own again for even ones
+        own = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) if k % 2 else F.lit(1.0)
+        batch = rows.filter("c_custkey % 2 = 0") if k >= 2 else rows
+        batch = batch.withColumn("c_acctbal", own).filter("c_acctbal IS NOT NULL").withColumn("seq", F.lit(2 * k))
+        broken = batch.filter("c_custkey % 4 < 2").withColumns({"c_acctbal": F.lit(-1.0), "seq": F.lit(2 * k + 1)})
+        at = datetime(2024, 1, 1 + k)
+        medallion_plan.bronze(lake, spec, batch.unionByName(broken), f"b{k}", at)
+        medallion_plan.silver(lake, spec, at, f"b{k}")
+    versions = lake.table("silver", "customer").read().groupBy("c_custkey").agg(F.max("version").cast("int").alias("versions"))
+    return medallion_plan.gold(lake, spec, f"{lake.root}/gold/customer", _T1).join(versions, "c_custkey").select("c_custkey", "c_mktsegment", "c_name", "versions")
 
 
 @query(f"""
     SELECT c_custkey, c_name, CASE WHEN c_mktsegment IS NULL THEN 'none' WHEN c_mktsegment = 'BUILDING' THEN 'core' ELSE 'other' END AS generation FROM customer WHERE c_nationkey < 5""")
 def sql_product(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "customer").createOrReplaceTempView("_customer_product")
+    source = _view(table(spark, d, "customer"))
     said = """
         -- customers of five nations by segment
         SELECT c_custkey, c_name, CASE WHEN c_mktsegment IS NULL THEN 'none' WHEN c_mktsegment = 'BUILDING' THEN 'core' ELSE 'other' END AS generation
         FROM ${SOURCE} WHERE c_nationkey < :least"""
-    return products.run_sql(spark, said, {"SOURCE": "_customer_product"}, {"least": 5})
+    return products.run_sql(spark, said, {"SOURCE": source}, {"least": 5})
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM events GROUP BY 1")
 def quartiles(spark: SparkSession, d: str) -> DataFrame:
     q = profile.quantiles(table(spark, d, "events"), "value", ("event_type",))
-    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], *[F.round(c, 4).alias(c) for c in ("mean", "std")])
 
 
 @query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
@@ -632,10 +672,10 @@ def batch_samples(spark: SparkSession, d: str) -> DataFrame:
     return dedup.latest(rows, ("l_returnflag", "l_linestatus"), "l_orderkey DESC")
 
 
-@query("SELECT doc_id, TRY_CAST(substring(text, 1, 4) AS BIGINT) AS text, CAST(n_chars AS INTEGER) AS n_chars FROM documents WHERE lang <> 'de'")
+@query("SELECT doc_id, TRY_CAST(text AS BIGINT) AS text, CAST(n_chars AS INTEGER) AS n_chars, doc_id * 3 AS code FROM documents")
 def type_overrides(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.expr("lang <> 'de'")).select("doc_id", F.substring("text", 1, 4).alias("text"), "n_chars")
-    return schema.apply_type_overrides(docs, {"text": "bigint", "n_chars": "int", "absent": "int"})
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars", (F.col("doc_id") * 3).cast("string").alias("code"))
+    return schema.apply_type_overrides(docs, {"text": "bigint", "n_chars": "int", "code": "bigint", "absent": "int"})
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
@@ -653,9 +693,9 @@ def encryption(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", text.decrypt(F.col("secret"), key).alias("c_name"), (F.col("secret") != F.col("plain")).alias("hidden"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[^\\x20-\\x7E\\x{A0}-\\x{FF}]', '', 'g'), ' ') AS text FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, trim(regexp_replace(text, '[^\\x20-\\x7E\\x{A0}-\\x{FF}]', '', 'g'), ' ') AS text, upper(trim(lang, ' ')) AS lang FROM documents")
 def cleaning(spark: SparkSession, d: str) -> DataFrame:
-    return text.trim_all(text.strip_non_printable(table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "text")))
+    return text.trim_all(text.strip_non_printable(table(spark, d, "documents").select("doc_id", "text", "lang")), upper=("lang",))
 
 
 @query("SELECT c_custkey, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS lifetime FROM customer")
@@ -689,10 +729,10 @@ def table_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
                FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND e.label % 2 = 0)
-    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+    SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vectors.retrieve(e.filter("vec_id % 100 = 0"), e, "label % 2 = 0", id_col="vec_id", vector_col="embedding", k=3, max_queries=100_000).drop("score")
+    return vectors.retrieve(e.filter("vec_id % 100 = 0"), e, "label % 2 = 0", id_col="vec_id", vector_col="embedding", k=3)
 
 
 @query("""
@@ -709,7 +749,9 @@ def trigram_vectors(spark: SparkSession, d: str) -> DataFrame:
     return names.select("p_partkey", vectors.trigram_vector(F.col("p_name"), 32).alias("vector"))
 
 
-@query()
+@query("""
+    SELECT 'landing.customer' AS name, 'dataset' AS kind, NULL::BIGINT AS last_rows_out UNION ALL SELECT 'bronze.customer', 'dataset', NULL UNION ALL SELECT 'silver.customer', 'dataset', NULL
+    UNION ALL SELECT 'bronze', 'stage', count(*) FROM customer UNION ALL SELECT 'silver', 'stage', count(*) FROM customer""")
 def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     out = dedup.with_row_hash(c)
@@ -719,11 +761,376 @@ def lineage_nodes(spark: SparkSession, d: str) -> DataFrame:
     return monitor.lineage_graph(events)[0]
 
 
-@query()
+@query("""
+    WITH l AS (SELECT 'o_orderkey' AS "column", CAST(o_orderkey AS VARCHAR) AS v, CAST(o_orderkey AS DOUBLE) AS x FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, NULL FROM orders
+               UNION ALL SELECT 'o_totalprice', CAST(o_totalprice AS VARCHAR), o_totalprice FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL FROM orders),
+    p AS (SELECT "column", count(*) AS n, count(DISTINCT v) AS d, min(x) AS low, max(x) AS high, string_agg(DISTINCT v, ',' ORDER BY v) AS vs FROM l GROUP BY 1)
+    SELECT "column", 'not_null' AS rule, 'true' AS value FROM p UNION ALL SELECT "column", 'unique', 'true' FROM p WHERE d / n > 0.95
+    UNION ALL SELECT "column", 'range', CAST(low AS VARCHAR) || '..' || CAST(high AS VARCHAR) FROM p WHERE low IS NOT NULL
+    UNION ALL SELECT "column", 'accepted_values', vs FROM p WHERE d BETWEEN 1 AND 15 AND d / n < 0.05""")
 def suggested_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.suggest_rules(profile.profile(table(spark, d, "orders"), ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
 
 
+# Landed files, logs, contracts
+
+
+def _landed(spark: SparkSession, d: str) -> str:
+    """Customers as JSON lines in two versions, the first without balances."""
+    root, c = scratch.new_path(spark, "landing"), table(spark, d, "customer")
+    c.filter("c_custkey % 2 = 0").drop("c_acctbal").write.json(f"{root}/v1")
+    c.filter("c_custkey % 2 = 1").write.json(f"{root}/v2")
+    return root
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS version, count(*) AS rows, count_if(c_custkey % 2 = 1) AS with_balance, CAST(sum(c_nationkey) AS BIGINT) AS nations, 'v2' AS latest, '2' AS todo FROM customer GROUP BY 1")
+def landed_versions(spark: SparkSession, d: str) -> DataFrame:
+    """All landed versions with the union of their columns, the latest one, and those not processed yet."""
+    root = _landed(spark, d)
+    done = spark.createDataFrame([("customer", 1, datetime(2100, 1, 1))], "table string, version int, processed_at timestamp")
+    todo = ",".join(map(str, files.unprocessed(spark, root, done, "customer")))
+    rows = files.all_versions(spark, root, "json").groupBy(F.col("_version").alias("version")).agg(F.count("*").alias("rows"), F.count("c_acctbal").alias("with_balance"), F.sum("c_nationkey").alias("nations"))
+    return rows.withColumns({"latest": F.lit(files.latest_version(spark, root)), "todo": F.lit(todo)})
+
+
+@query("SELECT k AS kind, n_nationkey, n_name, n_regionkey, 'b1' AS batch, '2024-01-30' AS day, true AS named FROM nation, (VALUES ('csv'), ('json'), ('parquet')) v(k)")
+def landed_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Nations written and read in three formats, with what a load adds to them."""
+    root, out = scratch.new_path(spark, "formats"), None
+    for kind in ("csv", "json", "parquet"):
+        rows = table(spark, d, "nation")
+        rows.write.option("header", True).format(kind).save(f"{root}/{kind}")
+        read = files.with_ingest_columns(files.read_files(spark, f"{root}/{kind}", kind, None if kind == "csv" else rows.schema), "b1", AS_OF)
+        said = read.select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey", F.col("_batch_id").alias("batch"), day("_ingested_at").alias("day"), F.col("_source_file").contains(f"/{kind}/").alias("named"))
+        out = said if out is None else out.unionByName(said)
+    return out
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The events as lines of an application's log."""
+    path = scratch.new_path(spark, "log")
+    e = table(spark, d, "events")
+    metadata = F.to_json(F.struct(F.col("value").alias("duration_seconds"), F.col("user_id").cast("string").alias("asset_name"), F.concat(F.lit("t"), F.col("user_id") % 7).alias("table_name"), F.col("event_type").alias("error")))
+    level = F.when(F.col("value") > 50, "ERROR").otherwise("INFO")
+    e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), level.alias("level"), F.col("event_type").alias("module"), F.lit("done").alias("message"), metadata.alias("metadata")).write.json(path)
+    return files.json_log(spark, path)
+
+
+@query("""
+    SELECT 'errors' AS report, event_type AS subject, count(*) AS n FROM events WHERE value > 50 AND date_trunc('second', ts) >= TIMESTAMP '2024-01-30' - INTERVAL 48 HOURS GROUP BY 2
+    UNION ALL SELECT 'activity', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_type = 'view' GROUP BY 2
+    UNION ALL SELECT 'failures', 't' || (user_id % 7), count(*) FROM events WHERE event_type = 'click' AND value > 50 GROUP BY 2
+    UNION ALL SELECT 'latency', event_type, 1 FROM events GROUP BY 2""")
+def log_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Errors, activity and failures of a log, and whether its approximate percentiles are within a hundredth of the rank."""
+    logs = _log(spark, d)
+    errors = monitor.log_errors(logs, AS_OF, 48).select(F.lit("errors").alias("report"), F.col("module").alias("subject"), F.col("errors").alias("n"))
+    activity = monitor.log_activity(logs, "view", "done").select(F.lit("activity").alias("report"), F.col("dataset").alias("subject"), F.col("events").alias("n"))
+    failures = monitor.log_failures(logs, "click").groupBy(F.col("table_name").alias("subject")).agg(F.count("*").alias("n")).select(F.lit("failures").alias("report"), "subject", "n")
+    seconds = logs.select("module", F.get_json_object("metadata", "$.duration_seconds").cast("double").alias("s"))
+    ranks = seconds.join(monitor.log_latency(logs), "module").groupBy("module").agg((F.avg((F.col("s") <= F.col("p50")).cast("double")) - 0.5).alias("a"), (F.avg((F.col("s") <= F.col("p95")).cast("double")) - 0.95).alias("b"))
+    near = ((F.abs("a") <= 0.01) & (F.abs("b") <= 0.01)).cast("long")
+    return errors.unionByName(activity).unionByName(failures).unionByName(ranks.select(F.lit("latency").alias("report"), F.col("module").alias("subject"), near.alias("n")))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 50 <> 7")
+def cdc_deletes(spark: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.expr("event_id % 50 = 7"), "DELETE").when(F.expr("event_id % 3 = 0"), "UPDATE")
+    return cdc.without_deletes(table(spark, d, "events").select("event_id", "event_type", op.alias("_cdc_operation")))
+
+
+@query(f"SELECT *, '2024-02-01' AS valid_from, '9999-12-31' AS valid_to, true AS is_current, CAST(1 AS BIGINT) AS version FROM ({_BASE_SQL})")
+def scd2_from_empty(spark: SparkSession, d: str) -> DataFrame:
+    """The first load of a history, into a table made from the batch's schema."""
+    c = _base(spark, d)
+    return _stamp(scd.scd2(spark.createDataFrame([], scd.empty_target(c, 2)), c, _KEY, _TRACKED, _T1))
+
+
+@query("""
+    WITH o AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+    SELECT o_orderstatus, count(*) AS customers, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1""")
+def product_latest(spark: SparkSession, d: str) -> DataFrame:
+    """A product over the latest order of each customer."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return products.build(products.ProductSpec((products.Source("orders", o, key=("o_custkey",), order_by="o_orderdate DESC"),), ("o_orderstatus",), {"customers": "count(*)", "keys": "sum(o_orderkey)"}))
+
+
+_KYC = "CASE WHEN c_acctbal >= 7500 AND status = 'verified' THEN 'pre_approved' WHEN c_acctbal >= 2500 AND status = 'verified' THEN 'eligible' WHEN c_acctbal >= 2500 AND status = 'pending' THEN 'kyc_required' ELSE 'not_eligible' END"
+
+
+@query(f"""
+    WITH k AS (SELECT o_custkey, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'F' THEN 'verified' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+    SELECT 'left' AS variant, c_custkey, status, {_KYC} AS band FROM customer LEFT JOIN k ON o_custkey = c_custkey
+    UNION ALL SELECT 'inner', c_custkey, status, {_KYC} FROM customer JOIN k ON o_custkey = c_custkey""")
+def eligibility_kyc(spark: SparkSession, d: str) -> DataFrame:
+    """Bands from two inputs, a balance and a state that not every customer has, by a left and an inner join."""
+    said = F.max_by("o_orderstatus", "o_orderkey")
+    k = table(spark, d, "orders").filter("o_orderdate >= '1996-01-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.when(said == "F", "verified").when(said == "O", "pending").otherwise("rejected").alias("status"))
+    limits = [(7500, "verified", "pre_approved"), (2500, "verified", "eligible"), (2500, "pending", "kyc_required")]
+    band = products.bands_of_two(F.col("c_acctbal"), F.col("status"), limits, "not_eligible")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    left, inner = (c.join(k, "c_custkey", how).select(F.lit(how).alias("variant"), "c_custkey", "status", band.alias("band")) for how in ("left", "inner"))
+    return left.unionByName(inner)
+
+
+@query(f'SELECT round_even(avg(score), 0) AS score FROM (SELECT "column", greatest(0, 100 - sum(least(40, round_even(fail_count / total * 200, 0)))) AS score FROM ({_CHECK_SQL}) GROUP BY 1)')
+def dq_table_score(spark: SparkSession, d: str) -> DataFrame:
+    return quality.table_score(quality.column_scores(quality.check_rules(table(spark, d, "orders"), _CHECKS["orders"])))
+
+
+@query(f"""
+    WITH s AS (SELECT "column", greatest(0, 100 - sum(least(40, round_even(fail_count / total * 200, 0)))) AS score FROM ({_CHECK_SQL}) GROUP BY 1),
+    e AS (SELECT CASE WHEN "column" IN ('o_orderkey', 'o_custkey') THEN 'identity' ELSE 'content' END AS element, round_even(avg(score), 0) AS element_score FROM s GROUP BY 1)
+    SELECT 'sales' AS application, round_even(avg(element_score), 0) AS application_score FROM e""")
+def dq_application(spark: SparkSession, d: str) -> DataFrame:
+    scores = quality.column_scores(quality.check_rules(table(spark, d, "orders"), _CHECKS["orders"])).withColumn("table", F.lit("orders"))
+    element = F.when(F.col("column").isin("o_orderkey", "o_custkey"), "identity").otherwise("content")
+    return quality.roll_up(scores, scores.select("table", "column", element.alias("element")), scores.select("table", F.lit("sales").alias("application")).distinct())[1]
+
+
+@query("""
+    SELECT 'customer' AS "table", 'c_acctbal' AS "column", false AS is_pii, 'not_null:true:term' AS rules WHERE (SELECT count(*) FROM customer) > 0
+    UNION ALL SELECT 'customer', 'c_custkey', false, 'not_null:true:term,unique:true:term' UNION ALL SELECT 'customer', 'c_mktsegment', false, 'not_null:false:field' UNION ALL SELECT 'customer', 'c_name', true, NULL""")
+def dq_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Columns with a rule or personal data, and their rules."""
+    fields = profile.profile(table(spark, d, "customer"), ("c_custkey", "c_acctbal", "c_mktsegment", "c_name", "c_nationkey")).select(F.lit("customer").alias("table"), "column", F.col("column").contains("name").alias("is_pii"))
+    out = quality.contract_rows(fields, inherited_rules(spark, d))
+    return out.withColumn("rules", F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["rule"], r["value"], r["origin"])), ","))
+
+
+@query("SELECT 'contact' AS \"column\", 'email' AS pattern, count(*) AS hits, count(*) AS filled FROM customer UNION ALL SELECT 'line', 'phone', count(*), count(*) FROM customer")
+def leaked_personal_values(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of a product that hold e-mail addresses and numbers under names that do not say so."""
+    c = table(spark, d, "customer")
+    return quality.leaked_values(c.select("c_mktsegment", F.concat(F.lit("c"), "c_custkey", F.lit("@x.org")).alias("contact"), F.concat(F.lit("+44"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("line")))
+
+
+@query("""
+    SELECT 'channel' AS "column", 'missing' AS problem, NULL::BIGINT AS rows UNION ALL SELECT 'o_totalprice', 'type', NULL
+    UNION ALL SELECT 'o_custkey', 'null', count(*) FROM orders WHERE o_orderkey % 7 = 0
+    UNION ALL SELECT 'o_orderdate', 'repeated', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderdate HAVING count(*) > 1) HAVING sum(n) > 0""")
+def contract_check(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END"))
+    said = schema.Contract("1.0.0", {"o_orderkey": "bigint", "o_custkey": "bigint", "channel": "string"}, {"o_totalprice": "int", "note": "string"}, ("o_orderdate",))
+    return schema.contract_violations(o, said)
+
+
+@query("SELECT 'K' || c_custkey AS c_custkey, c_name, 'schema change not allowed' AS reason, true AS told FROM customer")
+def schema_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """A batch whose key became text goes to quarantine as it is."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    strict = schema.Policy(allowed=("add",), on_narrow="fail")
+    _, bad, _ = schema.evolve(c.withColumn("c_custkey", F.concat(F.lit("K"), "c_custkey")), c.schema, strict)
+    return bad.select("c_custkey", "c_name", F.col("_quarantine_reason").alias("reason"), F.col("_schema_diff").contains("c_custkey").alias("told"))
+
+
+@query("SELECT 'p_size' AS \"column\", count_if(p_size % 5 = 0) AS lost FROM part UNION ALL SELECT 'p_name', count(p_name) FROM part")
+def lost_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values that the types of a stored table cannot hold."""
+    p = table(spark, d, "part").select(F.when(F.expr("p_size % 5 = 0"), F.concat(F.lit("size "), "p_size")).otherwise(F.col("p_size").cast("string")).alias("p_size"), "p_name", "p_partkey")
+    return schema.values_lost(p, StructType([StructField("p_size", LongType()), StructField("p_name", DoubleType()), StructField("p_partkey", LongType())]))
+
+
+@query("""
+    SELECT 'customer' AS table_name, 3 AS changes, 0 AS blocked, 'WARNING' AS severity, true AS repeated_drift, count(*) AS rows FROM customer
+    UNION ALL SELECT 'part', 1, 1, 'CRITICAL', false, count(*) FROM part UNION ALL SELECT 'nation', 1, 0, 'INFO', false, count(*) FROM nation""")
+def drift(spark: SparkSession, d: str) -> DataFrame:
+    """Schema changes of three tables by severity, with the rows that they concern."""
+    c, p, n = (table(spark, d, t) for t in ("customer", "part", "nation"))
+    incoming = {"customer": (c, c.drop("c_name").withColumn("c_nationkey", F.col("c_nationkey").cast("bigint")).withColumn("code", F.lit(1)), schema.SILVER), "part": (p, p.withColumn("p_size", F.lit("x").cast("binary")), schema.SILVER), "nation": (n, n.withColumn("code", F.lit(1)), schema.Policy.for_classification("pii"))}
+    audit, counts = None, None
+    for name, (stored, new, policy) in incoming.items():
+        rows = schema.audit_rows(spark, schema.decide(new.schema, stored.schema, policy), name, "silver", "r", AS_OF)
+        size = stored.agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
+        audit, counts = (rows, size) if audit is None else (audit.unionByName(rows), counts.unionByName(size))
+    return schema.drift_report(audit).join(counts, "table_name").withColumns({"changes": F.col("changes").cast("int"), "blocked": F.col("blocked").cast("int")})
+
+
+@query("SELECT count(*) AS rows, true AS same, true AS differs FROM lineitem")
+def content_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """The checksum of a table is that of its rows in any order, and not that of other rows."""
+    li = table(spark, d, "lineitem")
+    a, b, c = (monitor.content_checksum(x).withColumnsRenamed({"checksum": f"c{k}", "rows": f"r{k}"}) for k, x in enumerate((li, li.repartition("l_partkey"), li.filter("l_linenumber <> 1"))))
+    return a.crossJoin(b).crossJoin(c).select(F.col("r0").alias("rows"), (F.col("c0") == F.col("c1")).alias("same"), (F.col("c0") != F.col("c2")).alias("differs"))
+
+
+@query("SELECT 'r1' AS run_id, 'orders' AS table_name, 'WARN' AS status, count(*) AS rows FROM orders UNION ALL SELECT 'r1', 'customer', 'SUCCESS', count(*) FROM customer")
+def table_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Reconciliation results of two tables, as logged, and the state of each."""
+    out = None
+    for name, key in (("orders", "o_orderstatus = 'F'"), ("customer", "true")):
+        b = dedup.with_row_hash(table(spark, d, name))
+        s = b.filter(key)
+        checks = monitor.reconciliation_log([monitor.reconcile_counts(b, b), monitor.reconcile_layers(b, s, b.limit(0)), monitor.reconcile_hashes(b, s)], "r1", name, AS_OF)
+        out = checks if out is None else out.unionByName(checks)
+    rows = out.filter("check_type = 'source_bronze'").select("table_name", F.col("source_count").alias("rows"))
+    return monitor.table_status(out).join(rows, "table_name")
+
+
+@query("""
+    SELECT 'r1' AS run_id, 'curate' AS stage, 'v2' AS version, 'orders' AS table_name, 'SUCCESS' AS status, count(*) AS source_count, count_if(o_orderstatus <> 'P') AS target_count, '2024-01-30' AS day FROM orders
+    UNION ALL SELECT 'r1', 'curate', 'v2', 'part', 'FAILED', count(*), 0, '2024-01-30' FROM part""")
+def pipeline_audit(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return monitor.audit("r1", "curate", "v2", {"orders": ("SUCCESS", o, o.filter("o_orderstatus <> 'P'")), "part": ("FAILED", table(spark, d, "part"), None)}, AS_OF).withColumn("day", day("audited_at")).drop("audited_at")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25")
+def latest_error_runs(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("stage"), F.col("ts").alias("event_time"))
+    return monitor.latest_runs(log, "error", 25, ties=("event_id",)).select("event_id", "user_id")
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY 1")
+def stream_within(spark: SparkSession, d: str) -> DataFrame:
+    """Events delivered twice; the first of each within a span of event time stays, by a stream's state."""
+    root = scratch.new_path(spark, "stream-within")
+    for _ in range(2):
+        table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))).alias("value")).write.mode("append").text(f"{root}/in")
+    fields = StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("ts", StringType()), StructField("later", StringType())])
+    parsed = streams.parse(streams.text_source(spark, f"{root}/in", 1), fields).rows.withColumn("at", F.to_timestamp("ts"))
+    once = streams.dedup_within(parsed, "at", ("event_id", "event_type"), "60 days")
+    streams.append_stream(once.select("event_id", "event_type"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, event_type string").parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("events"))
+
+
+# Matching of columns
+
+
+_NAMED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+_FIELDS_SQL = "SELECT table_name AS \"table\", column_name AS \"column\", data_type FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _NAMED) + ")"
+_SYNONYMS = [("Customer", "custkey"), ("Customer", "customer"), ("Name", "name"), ("Event", "event_id"), ("Event", "event"), ("Kind", "type"), ("Document", "doc_id"), ("Price", "total price"), ("Text", "text")]
+_SYNONYM_SQL = "(VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in _SYNONYMS) + ") s(term, synonym)"
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    """table, column, data_type and filled (values that are not null) of every column of the tables."""
+    out = None
+    for t in _NAMED:
+        df = table(spark, d, t)
+        kinds = spark.createDataFrame([(t, c, kind) for c, kind in df.dtypes], "table string, column string, data_type string")
+        rows = kinds.join(_filled(df), F.col("column") == F.col("column_name")).select("table", "column", "data_type", F.col("stored_values").alias("filled"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _synonyms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SYNONYMS, "term string, synonym string")
+
+
+_PLAIN_SQL = "regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g')"
+
+
+@query(f"""
+    WITH f AS (SELECT *, {_PLAIN_SQL.format('"column"')} AS a FROM ({_FIELDS_SQL})), s AS (SELECT term, {_PLAIN_SQL.format('synonym')} AS b FROM {_SYNONYM_SQL})
+    SELECT "table", "column", term, max(CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(least(length(a), length(b)) / greatest(length(a), length(b)), 3) END) AS keyword
+    FROM f JOIN s ON contains(a, b) OR contains(b, a) GROUP BY ALL""")
+def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
+    return match.keyword_scores(_fields(spark, d), _synonyms(spark))
+
+
+@query(f"""
+    WITH f AS (SELECT *, {_PLAIN_SQL.format('"column"')} AS a, list_distinct(list_filter(string_split({_PLAIN_SQL.format('"column"')}, '_'), lambda x: x <> '')) AS fp FROM ({_FIELDS_SQL})),
+    s AS (SELECT term, {_PLAIN_SQL.format('synonym')} AS b, list_distinct(list_filter(string_split({_PLAIN_SQL.format('synonym')}, '_'), lambda x: x <> '')) AS sp FROM {_SYNONYM_SQL}),
+    m AS (SELECT "table", "column", term, CASE WHEN a = b THEN 0.95::DOUBLE WHEN (contains(a, b) OR contains(b, a)) AND len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)) >= 0.5 THEN round(0.9 * len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)), 2) END AS score
+          FROM f, s WHERE len(list_intersect(fp, sp)) > 0),
+    b AS (SELECT "table", "column", term, max(score) AS score FROM m WHERE score IS NOT NULL GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY "table", "column" ORDER BY score DESC, term) AS INTEGER) AS rank FROM b QUALIFY rank <= 3""")
+def synonym_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match.synonym_matches(_fields(spark, d), _synonyms(spark))
+
+
+def _rule_sql() -> str:
+    last, out = "string_split(c, '_')[-1]", []
+    for group, (kind, ends) in match.NAME_ENDS.items():
+        out.append(f"SELECT \"table\", c, 'naming', '{group}:end', '{kind}', 0.85 FROM f WHERE {last} IN ({', '.join(repr(e) for e in ends.split())})")
+    for group, (kind, begins) in match.NAME_BEGINS.items():
+        out.append(f"SELECT \"table\", c, 'naming', '{group}:begin', '{kind}', 0.8 FROM f WHERE regexp_matches(c, '^({'|'.join(begins.split())})')")
+    before: list[str] = []
+    for level, (kind, sure, words) in match.PERSONAL.items():
+        own = f"regexp_matches(c, '{'|'.join(words.split())}')"
+        out.append(f"SELECT \"table\", c, 'pii', '{level}', '{kind}', {sure} FROM f WHERE " + " AND ".join([own, *[f"NOT {x}" for x in before]]))
+        before.append(own)
+    out.append("SELECT \"table\", c, 'type', 'data_type', CASE WHEN data_type = 'DOUBLE' THEN 'Measure' ELSE 'Temporal' END, 0.7 FROM f WHERE data_type = 'DOUBLE' OR data_type LIKE 'TIMESTAMP%'")
+    out.append("SELECT \"table\", c, 'fk', 'stem', replace(c, '_id', '') || 's.' || c, 0.5 FROM f WHERE c LIKE '%\\_id' ESCAPE '\\'")
+    return f'WITH f AS (SELECT "table", lower("column") AS c, data_type FROM ({_FIELDS_SQL})), r("table", "column", rule_type, rule, value, confidence) AS (' + " UNION ALL ".join(out) + ') SELECT "table", "column", rule_type, rule, value, confidence::DOUBLE AS confidence FROM r'
+
+
+@query(_rule_sql())
+def name_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the names and types of all columns tell."""
+    fields = _fields(spark, d).withColumn("data_type", F.regexp_replace("data_type", "timestamp_ntz", "timestamp"))
+    return match.name_rules(fields).drop("suggests")
+
+
+@query(f"""
+    WITH w AS (SELECT "table", unnest(list_distinct(string_split(string_agg(lower("column"), '_'), '_'))) AS word FROM ({_FIELDS_SQL}) GROUP BY 1),
+    a(application, word) AS (VALUES ('sales', 'price'), ('sales', 'custkey'), ('sales', 'l'), ('sales', 'o'), ('web', 'url'), ('web', 'html'), ('web', 'text'), ('web', 'id')),
+    h AS (SELECT "table", application, count(*) AS hits FROM w JOIN a USING (word) GROUP BY 1, 2)
+    SELECT *, CAST(row_number() OVER (PARTITION BY "table" ORDER BY hits DESC, application) AS INTEGER) AS rank FROM h QUALIFY rank <= 3""")
+def application_matches(spark: SparkSession, d: str) -> DataFrame:
+    words = _fields(spark, d).groupBy("table").agg(F.split(F.concat_ws("_", F.collect_list("column")), "_").alias("words"))
+    apps = spark.createDataFrame([("sales", ["Price", "custkey", "l", "o"]), ("web", ["url", "html", "text", "id"])], "application string, keywords array<string>")
+    return match.application_matches(words, apps)
+
+
+@query("""
+    WITH l AS (SELECT 'c_custkey' AS "column", CAST(c_custkey AS VARCHAR) AS v, CAST(c_custkey AS DOUBLE) AS x FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment, NULL FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), c_nationkey FROM customer),
+    p AS (SELECT "column", count(DISTINCT v) / count(*) > 0.95 AS is_key, count(DISTINCT v) BETWEEN 1 AND 15 AND count(DISTINCT v) / count(*) < 0.05 AS is_reference, count(x) > 0 AS whole, min(x) AS low, max(x) AS high, count(DISTINCT v) / count(*) AS ratio,
+                 round(count(DISTINCT CASE WHEN lower(v) IN ('automobile', 'building', 'machinery') THEN v END) / count(DISTINCT v), 3) AS codes FROM l GROUP BY 1),
+    t(term, expected, low, high, t_key, t_ref, synonym) AS (VALUES ('Customer', 'integer', 1, 1e9, true, false, 'custkey'), ('Segment', 'string', NULL, NULL, false, true, 'mktsegment'), ('Nation', 'string', 0, 10, false, true, 'nationkey')),
+    s AS (SELECT p."column", term, expected, round(length(synonym) / length(p."column"), 3) AS keyword, CASE WHEN codes >= 0.3 THEN codes ELSE 0 END AS codes, is_key, is_reference, whole, ratio,
+                 least(1.0, (CASE WHEN expected = CASE WHEN whole THEN 'integer' ELSE 'string' END THEN 0.5 ELSE 0 END) + (CASE WHEN p.low >= t.low * 0.8 AND p.high <= t.high * 1.2 THEN 0.3 ELSE 0 END) + (CASE WHEN is_key AND t_key THEN 0.2 ELSE 0 END) + (CASE WHEN is_reference AND t_ref THEN 0.3 ELSE 0 END)) AS stat
+          FROM p JOIN t ON contains(p."column", synonym))
+    SELECT "column", term, CAST(keyword AS DOUBLE) AS keyword, CAST(stat AS DOUBLE) AS stat, CAST(round(0.3 * keyword + 0.25 * codes + 0.2 * stat, 3) AS DOUBLE) AS score,
+           CASE WHEN is_key THEN 'Identifier' WHEN whole AND ratio > 0.3 THEN 'Measure' WHEN is_reference THEN 'Reference' ELSE 'Dimension' END AS information_type,
+           expected = CASE WHEN whole THEN 'integer' ELSE 'string' END AS linked, is_key, CASE WHEN codes >= 0.5 THEN 'segments' END AS accepted_from,
+           CAST(least(0.99, round(0.6 + CASE WHEN codes >= 0.5 THEN 0.05 ELSE 0 END, 3)) AS DOUBLE) AS confidence FROM s""")
+def term_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of customer against three terms: the best by name, codes and statistics, and what the data say of it."""
+    c = table(spark, d, "customer")
+    names = ("c_custkey", "c_mktsegment", "c_nationkey")
+    p = profile.profile(c, names).withColumn("table", F.lit("customer"))
+    rows = [("Customer", "integer", 1.0, 1e9, True, False, None), ("Segment", "string", None, None, False, True, None), ("Nation", "string", 0.0, 10.0, False, True, None)]
+    terms = spark.createDataFrame(rows, "term string, expected_type string, min_value double, max_value double, is_key boolean, is_reference boolean, expected_pattern string")
+    words = spark.createDataFrame([("Customer", "custkey"), ("Segment", "mktsegment"), ("Nation", "nationkey")], "term string, synonym string")
+    pairs = match.keyword_scores(p.select("table", "column"), words)
+    codes = profile.fingerprint_codes(c, spark.createDataFrame([("segments", v) for v in ("automobile", "building", "machinery")], "code_set string, value string"), names)
+    found = codes.select("column", "code_set", F.col("score").alias("fingerprint"))
+    signals = pairs.join(match.stat_scores(p, terms, pairs), ["table", "column", "term"]).join(p.select("column", "pattern", "inferred_type", "is_key", "is_reference", "distinct_ratio"), "column").join(found, "column", "left")
+    best = match.information_type(match.best_match(match.composite(signals)))
+    told = match.contradictions(best.select("table", "column", "term"), p, terms.select("term", "expected_type", "expected_pattern"))
+    sure = match.with_evidence(told.withColumn("confidence", F.lit(0.6)), signals.select("table", "column", "pattern", "is_key", "code_set", "fingerprint"))
+    out = best.select("column", "term", "keyword", "stat", "score", "information_type")
+    return out.join(sure.select("column", "term", "linked", "is_key", "accepted_from", "confidence"), ["column", "term"])
+
+
+@query("""
+    WITH l AS (SELECT 'n_name' AS "column", n_name AS v FROM nation UNION ALL SELECT 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT 'email', 'n' || n_nationkey || '@x.org' FROM nation UNION ALL SELECT 'contact', CASE WHEN n_nationkey % 5 < 3 THEN 'n' || n_nationkey || '@x.org' ELSE n_name END FROM nation)
+    SELECT "column", count(*) AS rows, "column" IN ('email', 'contact') AS is_pii, CASE WHEN "column" = 'n_regionkey' THEN 'integer' ELSE 'string' END AS inferred_type, CASE WHEN "column" = 'email' THEN 'email' END AS pattern, count(DISTINCT v) / count(*) > 0.95 AS is_key, NULL::VARCHAR AS shown FROM l GROUP BY 1""")
+def trigger_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The loading trigger's profile, without values."""
+    n = table(spark, d, "nation")
+    mail = F.concat(F.lit("n"), "n_nationkey", F.lit("@x.org"))
+    rows = n.select("n_name", "n_regionkey", mail.alias("email"), F.when(F.expr("n_nationkey % 5 < 3"), mail).otherwise(F.col("n_name")).alias("contact"))
+    out = profile.without_values(profile.trigger_profile(rows))
+    return out.select("column", "rows", "is_pii", "inferred_type", "pattern", "is_key", F.array_join("values", ",").alias("shown"))
+
+
+@query("""
+    WITH p AS (SELECT 'events' AS "table", 'event_id' AS primary_key, count(DISTINCT event_id) = count(*) AS measured_unique FROM events UNION ALL SELECT 'documents', 'doc_id', count(DISTINCT doc_id) = count(*) FROM documents UNION ALL SELECT 'labels', 'doc_id', count(DISTINCT doc_id) = count(*) FROM labels)
+    SELECT p.*, string_agg(f.child, ',' ORDER BY f.child) AS referred_from FROM p LEFT JOIN (VALUES ('events', NULL), ('documents', 'labels'), ('labels', 'documents')) f(t, child) ON f.t = p."table" GROUP BY ALL""")
+def key_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Primary keys by name and by the data, and the tables that have them as columns."""
+    profiled = None
+    for t, names in (("events", ("event_id", "user_id")), ("documents", ("doc_id", "source")), ("labels", ("doc_id", "quality"))):
+        own = profile.profile(table(spark, d, t), names).select(F.lit(t).alias("table"), "column", "is_key")
+        profiled = own if profiled is None else profiled.unionByName(own)
+    keys = match.primary_key(profiled)
+    children = match.foreign_keys(profiled, keys).groupBy(F.col("parent_table").alias("table")).agg(F.array_join(F.array_sort(F.collect_set("table")), ",").alias("referred_from"))
+    return keys.join(children, "table", "left")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
