@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,18 +114,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cells = [ngrams(t) for t in texts_of(batch)]
+            cells = [np.sort(ngrams(t)) for t in texts_of(batch)]
             columns = {"doc_id": (pa.int64(), batch.column(0)), "quality": (pa.int32(), batch.column(2)), "n": (pa.int64(), [len(c) for c in cells])}
-            yield to_batch(columns | {"cells": (pa.binary(), [c.tobytes() for c in cells])})
+            packed = [zlib.compress(np.diff(c, prepend=0).astype("<i4").tobytes(), 1) for c in cells]
+            yield to_batch(columns | {"cells": (pa.binary(), packed)})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
     once = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
     rows = materialize(once.mapInArrow(run, "doc_id long, quality int, n long, cells binary"), "fit-rows")
     sizes = rows.select("doc_id", "n").orderBy(place, "doc_id").limit(max_rows).toPandas()
-    ids = sizes["doc_id"][sizes["n"].cumsum() <= max_cells]
-    found = rows.filter(F.col("doc_id").isin(ids.tolist())).toArrow() if len(ids) else rows.limit(0).toArrow()
+    fits = int((sizes["n"].cumsum() <= max_cells).sum())
+    found = rows.orderBy(place, "doc_id").limit(fits).select("doc_id", "quality", "cells").toArrow()
     order = np.argsort(found["doc_id"].to_numpy())
-    cells = [np.frombuffer(found["cells"][int(i)].as_buffer(), dtype=np.int32) for i in order]  # views of the one table
+    cells = [np.cumsum(np.frombuffer(zlib.decompress(found["cells"][int(i)].as_buffer()), dtype="<i4"), dtype=np.int32) for i in order]
     return NbSvm(cells, np.array([found["quality"][int(i)].as_py() == 1 for i in order], dtype=bool))
 
 
