@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -46,12 +47,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Written tables of each open passing_tables, with their paths.
+_PASSING: list[list[tuple[DataFrame, str]]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df as a written table: later reads do not run its lineage again and survive the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _PASSING:
+        _PASSING[-1].append((out, path))
+    return out
+
+
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Tables written inside are deleted at its end, but for those that are put into the list that it gives."""
+    keep: list[DataFrame] = []
+    _PASSING.append([])
+    try:
+        yield keep
+    finally:
+        own = _PASSING.pop()
+        stay = [(df, path) for df, path in own if any(df is k for k in keep)]
+        for _, path in own:
+            if path not in [p for _, p in stay]:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if _PASSING:
+            _PASSING[-1] += stay
 
 
 def workers_import_this(spark: SparkSession) -> None:

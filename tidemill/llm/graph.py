@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, passing_tables
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stays short and a node that many others hook to is a skewed join, which adaptive execution splits. Nodes may be of any
     ordered type. Null nodes and loops are ignored; edges that repeat count once; no edges give no rows.
     """
+    with passing_tables(edges.sparkSession) as keep:
+        keep.append(_contracted(edges))
+    return keep[0]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     place = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("id"))
     edges = materialize(edges.filter("a <> b").select(place("a").alias("a"), place("b").alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
@@ -32,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = materialize(moved.filter("a <> b").distinct(), "edges")
         steps.append(hooks)
     if not steps:
-        return edges.select(F.col("a.id").alias("node"), F.col("b.id").alias("root"))
+        return materialize(edges.select(F.col("a.id").alias("node"), F.col("b.id").alias("root")), "roots")
     roots = steps[0].select("node", F.col("up").alias("root"))
     for hooks in steps[1:]:
         step = hooks.select(F.col("node").alias("root"), "up")

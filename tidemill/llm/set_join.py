@@ -13,6 +13,8 @@ from .common import group_starts, materialize, slices, texts_of, to_batch, whole
 
 #: Counters of shingles by their lower bits, dealt over so many rows.
 COUNTERS, PARTS = 1 << 20, 64
+#: Cells of parity_bits.
+BITS = 512
 #: (64-bit digest of the set, the set in ascending order) of a text.
 SetOf = Callable[[str], tuple[int, np.ndarray]]
 
@@ -28,7 +30,7 @@ def counters(docs: DataFrame, set_of: SetOf) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             held = [set_of(text)[1] & np.uint64(COUNTERS - 1) for text in texts_of(batch)]
             total += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
         if total.any():
@@ -92,49 +94,96 @@ def shared_members(docs: DataFrame, set_of: SetOf, similarity: float, hot: int =
     return materialize(dealt.mapInArrow(shared, "id long, n int, member long, place int"), "shared")
 
 
+def parity_bits(kept: np.ndarray) -> list[int]:
+    """For each of 512 cells whether an odd number of the set's members falls to it, as longs. Two sets differ in at least
+    as many members as their bits do, which bounds their similarity from above."""
+    odd = np.bincount((kept >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 def sets(docs: DataFrame, shared: DataFrame, distinct: DataFrame, set_of: SetOf) -> DataFrame:
-    """id, members: the whole sets of ids in shared, written. No other set has a similar one. distinct: node, first (the
-    least doc_id with that set)."""
-    none = F.lit(-(1 << 63))
+    """id, members: the whole sets of ids in shared, written. No other set has a similar one.
+
+    docs: key and text_key, which say which rows are the same, and text; distinct: node, key, text_key of a row with that
+    set. Equal rows meet in their own task first, so many copies of a row are no hot group.
+    """
     wanted = shared.select(F.col("id").alias("node")).distinct()
-    keys = distinct.join(wanted, "node", "left_semi").select(F.coalesce("first", none).alias("key")).distinct()
+    keys = materialize(distinct.join(wanted, "node", "left_semi").select("key", "text_key"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [set_of(t) for t in texts_of(batch)]
             yield to_batch({"id": (pa.int64(), [n for n, _ in found]), "members": (pa.list_(pa.int64()), [s.view(np.int64) for _, s in found])})
 
-    own = docs.select(F.coalesce("doc_id", none).alias("key"), "text").join(materialize(keys, "wanted"), "key", "left_semi").select("text")
-    return materialize(own.mapInArrow(run, "id long, members array<long>").groupBy("id").agg(F.first("members").alias("members")), "sets")
+    own = docs.dropDuplicates(["key", "text_key"]).join(keys, ["key", "text_key"], "left_semi").select("text")
+    return materialize(own.mapInArrow(run, "id long, members array<long>"), "sets")
 
 
-def pairs_apart(shared: DataFrame, roots: DataFrame, similarity: float, every: bool, hot: int = 2000) -> DataFrame:
-    """a, b: pairs of ids that share a member and meet the bounds of such a similarity, under different roots.
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: the pairs under different roots."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rows = pairs.join(a, "a", "left").join(b, "b", "left")
+    return rows.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    Without `every` each root sends one of its sets to a member; with it, all pairs come. The sets of a member's largest
-    root do not meet each other, so a large group of copies costs no more rows than it has; a member of many rows is
-    dealt over tasks by a salt on one side that is repeated on the other.
-    """
-    p = permille(similarity)
-    rows = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    if not every:
-        rows = rows.groupBy("member", "root").agg(F.min(F.struct("place", "id", "n")).alias("s")).select("s.*", "member", "root")
+
+def members_apart(shared: DataFrame, roots: DataFrame, bits: DataFrame, hot: int = 2000, many: int = 32) -> DataFrame:
+    """The rows of shared whose member is under several roots, written, with root, largest (the member's root with most
+    rows), salts (1, or more for a member of over `hot` rows), and the bits of sets (bits: id, bits) for members of over
+    `many` rows, whose pairs are many."""
+    rows = shared.select("id", "n", "member", "place").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = materialize(rows, "rooted-members")
     per = rows.groupBy("member", "root").agg(F.count("*").alias("own"))
     mixed = per.groupBy("member").agg(F.sum("own").alias("total"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = materialize(mixed.select("member", "largest", F.ceil(F.col("total") / hot).cast("int").alias("salts")), "mixed")
+    mixed = materialize(mixed.select("member", "largest", "roots", (F.col("total") > many).alias("often"), F.ceil(F.col("total") / hot).cast("int").alias("salts")), "mixed")
     rows = materialize(rows.join(mixed, "member"), "apart")
-    few = rows.filter("root <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    all_ = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    least = f"({p} * (x.n + y.n) + {999 + p}) div {1000 + p}"
-    near = f"x.member = y.member AND x.salt = y.salt AND x.root <> y.root AND 1000 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) AND x.place + {least} <= x.n AND y.place + {least} <= y.n"
-    return few.alias("x").join(all_.alias("y"), F.expr(near)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    with_bits = rows.filter("often").join(bits.select("id", "bits"), "id")
+    return materialize(rows.filter("NOT often").unionByName(with_bits, allowMissingColumns=True).drop("often"), "apart")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the pairs whose whole sets have such a similarity or more, written. A pair that sets lacks has none."""
-    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_members")) for c in "ab")
-    both = materialize(pairs.select("a", "b").distinct(), "pairs").join(a, "a").join(b, "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("a_members", "b_members")).cast("long"))
-    alike = 1000 * F.col("shared") >= permille(similarity) * (F.size("a_members") + F.size("b_members") - F.col("shared"))
+def pairs_apart(rows: DataFrame, similarity: float, few: int | None = None) -> DataFrame:
+    """a, b: pairs of ids that share a member and meet the bounds of such a similarity, under different roots.
+
+    rows: of members_apart. With few, a root sends one of its sets to each member, sets meet in random lots of about so
+    many, and of each two roots one pair comes: rows grow with their number. Without, all pairs come; the sets of a
+    member's largest root do not meet each other, and members of many rows are dealt over tasks by a salt on one side that
+    is repeated on the other.
+    """
+    p = permille(similarity)
+    if few:
+        rows = rows.groupBy("member", "root", "roots").agg(F.min(F.struct("place", "id", "n", "bits")).alias("s")).select("s.*", "member", "root", "roots")
+        lots = F.ceil(F.col("roots") / few).cast("int")
+        left = right = rows.withColumn("salt", F.pmod(F.xxhash64("id", "member"), lots).cast("int"))
+        once = "x.root < y.root"
+    else:
+        left = rows.filter("root <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        right = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+        once = "x.root <> y.root AND (y.root = y.largest OR x.root < y.root)"
+    least = f"({p} * (x.n + y.n) + {999 + p}) div {1000 + p}"
+    unlike = " + ".join(f"bit_count(x.bits[{k}] ^ y.bits[{k}])" for k in range(BITS // 64))
+    near = f"x.member = y.member AND x.salt = y.salt AND {once} AND 1000 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) AND x.place + {least} <= x.n AND y.place + {least} <= y.n"
+    near += f" AND (x.bits IS NULL OR {1000 + p} * ({unlike}) <= {1000 - p} * (x.n + y.n))"
+    met = left.alias("x").join(right.alias("y"), F.expr(near))
+    if few:
+        best = met.groupBy("x.root", "y.root").agg(F.min(F.struct(F.col("x.place") + F.col("y.place"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))).alias("s"))
+        met = best.select(F.col("s.a").alias("x"), F.col("s.b").alias("y"))
+    else:
+        met = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs whose whole sets have such a similarity or more, written. A pair that sets lacks has none.
+
+    bits (id, bits, n) bound the similarity from above, so whole sets are joined to few pairs that have less.
+    """
+    p = permille(similarity)
+    a, b = (bits.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    near = pairs.select("a", "b").join(a, "a").join(b, "b")
+    unlike = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(BITS // 64))
+    pairs = materialize(near.filter(F.expr(f"{1000 + p} * ({unlike}) <= {1000 - p} * (a_n + b_n)")).select("a", "b"), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = sets.join(materialize(ids, "pair-ids"), "id", "left_semi")
+    a, b = (own.select(F.col("id").alias(c), F.col("members").alias(f"{c}_members")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("a_members", "b_members")).cast("long"))
+    alike = 1000 * F.col("shared") >= p * (F.size("a_members") + F.size("b_members") - F.col("shared"))
     return materialize(both.filter(alike).select("a", "b"), "similar")

@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join
-from .common import group_starts, materialize, texts_of, to_batch, whole_groups
+from .common import group_starts, materialize, passing_tables, slices, texts_of, to_batch, whole_groups
 from .graph import connected_components
 
 SEED = 42
 #: Places of a similarity sketch, a byte each.
 PLACES = 128
 _LONG = pa.int64()
+#: Stands for a null doc_id in joins; text_key tells it from the number itself.
+_NO_ID = -(1 << 63)
 #: A trie node pair is compared fingerprint by fingerprint once it has no more pairs than this.
 LEAF_PAIRS = 64
 #: Node pairs, and pairs of fingerprints, that are held at once.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -325,11 +327,11 @@ def shingle_set(text: str, n: int) -> tuple[int, np.ndarray]:
 
 
 def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFrame:
-    """doc_id, text_key, node (digest of the set of shingles), fp (of single words by count ** damping), sketch. Map only."""
+    """doc_id, text_key, node (digest of the set of shingles), fp (of single words by count ** damping), sketch, bits, n (of the set). Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, fp, sketch = [], [], []
+        for batch in slices(batches):
+            node, fp, sketch, bits, sizes = [], [], [], [], []
             for text in texts_of(batch):
                 digest, kept = shingle_set(text, shingle)
                 counts = Counter(words_of(text))
@@ -338,9 +340,12 @@ def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFr
                 weights = np.rint(64 * np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) ** damping)
                 fp.append(fingerprint(own, weights.astype(np.int64)))
                 sketch.append(sketch_of(kept))
-            yield to_batch({"doc_id": (_LONG, batch.column(0)), "text_key": (_LONG, batch.column(1)), "node": (_LONG, node), "fp": (_LONG, fp), "sketch": (pa.binary(), sketch)})
+                bits.append(set_join.parity_bits(kept))
+                sizes.append(len(kept))
+            columns = {"doc_id": (_LONG, batch.column(0)), "text_key": (_LONG, batch.column(1)), "node": (_LONG, node), "fp": (_LONG, fp)}
+            yield to_batch(columns | {"sketch": (pa.binary(), sketch), "bits": (pa.list_(_LONG), bits), "n": (_LONG, sizes)})
 
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, sketch binary")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, sketch binary, bits array<long>, n long")
 
 
 def text_key():
@@ -350,17 +355,29 @@ def text_key():
 
 def grouped(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, node of every row; node, root of every set with a near copy): see near_duplicates."""
-    features = materialize(text_features(docs, shingle, damping), "features")
-    distinct = materialize(features.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
-    set_of = partial(shingle_set, n=shingle)
-    close = links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin)
-    shared = set_join.shared_members(docs, set_of, similarity)
-    sets = set_join.sets(docs, shared, distinct.select("node", "first"), set_of)
-    found = set_join.similar(close, sets, similarity)
-    for every in (False, True):
-        pairs = set_join.pairs_apart(shared, connected_components(found), similarity, every)
-        found = found.unionByName(set_join.similar(pairs, sets, similarity))
-    return features, connected_components(found)
+    with passing_tables(docs.sparkSession) as keep:
+        features = materialize(text_features(docs, shingle, damping), "features")
+        row = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_key")).alias("s")
+        distinct = materialize(features.groupBy("node").agg(row, *[F.first(c).alias(c) for c in ("fp", "sketch", "bits", "n")]).select("node", "s.key", "s.text_key", "fp", "sketch", "bits", "n"), "distinct")
+        set_of = partial(shingle_set, n=shingle)
+        close = materialize(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin), "close")
+        shared = set_join.shared_members(docs, set_of, similarity)
+        sets = set_join.sets(docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), text_key().alias("text_key"), "text"), shared, distinct, set_of)
+        bits = distinct.select(F.col("node").alias("id"), "bits", "n")
+        # One link of each node of the tries' trees first; others only between what is not joined by then.
+        tried = materialize(close.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")), "tried")
+        found = set_join.similar(tried, sets, bits, similarity)
+        for few in (4, None):
+            roots = connected_components(found)
+            shared = set_join.members_apart(shared, roots, bits)
+            pairs = set_join.pairs_apart(shared, similarity, few)
+            if few is None:
+                pairs = pairs.unionByName(set_join.apart(close, roots)).distinct()
+            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = found.unionByName(set_join.similar(pairs, sets, bits, similarity))
+            tried = tried.unionByName(pairs)
+        keep += [features, connected_components(found)]
+    return keep[0], keep[1]
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -373,7 +390,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Trie and sketch leave pairs out, more so of short texts and where a stretch was added or cut off. These are found by a
     join on the rarest shingles of each set, among sets that are not in one component yet, and checked in the same way;
-    so no link between two sets is lost. Texts with equal sets of shingles are one node, told apart by 64-bit digests.
+    so no link between two sets is lost. First a few pairs of each shingle's components are tried, then all that are left:
+    a large group of near copies is one component before its pairs would come. Texts with equal sets of shingles are one node, told apart by 64-bit digests.
 
     Options and their defaults are those of grouped. Rows as in simhash_components: null and empty texts have the empty
     set and are copies of one another; a null doc_id is never a component_id unless its component has no other (then
@@ -391,13 +409,13 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     texts with that id (or null) one. Rows of other components all stay, whatever their ids: null and repeated doc_ids are
     no copies by themselves. Null and empty texts are one component; an empty table gives an empty result.
     """
-    none, key, text = F.lit(-(1 << 63)), "_key", "_text_key"
+    key, text = "_key", "_text_key"
     while {key, text} & set(docs.columns):
         key, text = "_" + key, "_" + text
     features, roots = grouped(docs, **options)
     rooted = features.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("s"))
-    keep = materialize(keep.select(F.coalesce("s.doc_id", none).alias(key), F.col("s.text_key").alias(text)), "keep")
+    keep = materialize(keep.select(F.coalesce("s.doc_id", F.lit(_NO_ID)).alias(key), F.col("s.text_key").alias(text)), "keep")
     # Equal rows meet in their own task first, so that many copies of one row are no hot group behind the exchange.
-    own = docs.withColumns({key: F.coalesce("doc_id", none), text: text_key()}).dropDuplicates([key, text])
+    own = docs.withColumns({key: F.coalesce("doc_id", F.lit(_NO_ID)), text: text_key()}).dropDuplicates([key, text])
     return own.join(keep, [key, text], "left_semi").select(*docs.columns)
