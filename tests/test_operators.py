@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -207,6 +208,14 @@ def test_vectors_and_chunks(spark):
     assert whole == parts and len(whole) == 180
     t = spark.createDataFrame([(1, "x" * 1600), (2, None), (3, "short"), (4, "")], "doc_id long, text string")
     assert rows(vectors.chunks(t).select("doc_id", "chunk_index", F.length("chunk"))) == [(1, 0, 1500), (1, 1, 300)]
+    names = spark.createDataFrame([("Abcabc é",), ("ab",), (None,)], "s string")
+    for r in names.select("s", vectors.trigram_vector(F.col("s"), 16).alias("v")).collect():
+        low, counts = (r.s or "").lower(), [0] * 16
+        for k in range(len(low) - 2):
+            h = xxhash.xxh64_intdigest(low[k : k + 3].encode(), 42)
+            counts[(h - (1 << 64) if h >> 63 else h) % 16] += 1
+        norm = sum(c * c for c in counts) ** 0.5
+        assert r.v is None and r.s is None or all(abs(a - (c / norm if norm else 0)) < 1e-6 for a, c in zip(r.v, counts))
     vec = t.select(vectors.trigram_vector(F.col("text")).alias("v")).collect()
     assert abs(sum(x * x for x in vec[0].v) - 1) < 1e-5 and sum(vec[3].v) == 0
 

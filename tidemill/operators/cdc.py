@@ -11,11 +11,13 @@ def rebuild(batch: DataFrame, history: DataFrame | None, key: tuple[str, ...], o
 
     History and batch are one sequence by key, in order_by; a null field of an UPDATE takes the last value before it, back
     to the last INSERT of the key. An update without a base keeps its nulls; inserts and deletes stay as they are. A null
-    means "unchanged": in JSON and CSV it cannot be told from a field set to null. batch and history must share order_by.
+    means "unchanged": in JSON and CSV it cannot be told from a field set to null. batch and history must share order_by. Of
+    the history only rows of the batch's keys are sorted.
     """
     fields = [c for c in batch.columns if c not in (*key, op, order_by)]
     rows = batch.withColumn("_in_batch", F.lit(True))
     if history is not None:
+        history = history.join(batch.select(*key).distinct(), list(key), "left_semi")
         rows = rows.unionByName(history.select(*[c for c in batch.columns if c in history.columns]).withColumn("_in_batch", F.lit(False)), allowMissingColumns=True)
     order = Window.partitionBy(*key).orderBy(order_by, "_in_batch", F.when(F.col(op) == "INSERT", 0).otherwise(1))
     life = F.sum(F.when(F.col(op) == "INSERT", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -7,15 +7,30 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path under spark.checkpoint.dir, or in local mode without it under a temporary folder; it goes with the application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-tidemill-")
-    path = f"{base.rstrip('/')}/tidemill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or in local mode where that is unset one temporary folder for the application."""
+    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if said:
+        return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-tidemill-")
+        drop_at_exit(spark, _OWN[app])
+    return _OWN[app]
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     return path

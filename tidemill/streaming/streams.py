@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.dedup import with_row_hash
+from ..operators.dedup import drop_copies, with_row_hash
 from ..operators.quality import violations
 from ..sources.tables import SnapshotTable
 from ..spec import DqRules
@@ -68,7 +68,7 @@ def dedup_into(stream: DataFrame, target: SnapshotTable, checkpoint: str, hash_f
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        fresh = with_row_hash(df, hash_fields).dropDuplicates(["row_hash"])
+        fresh = drop_copies(with_row_hash(df, hash_fields))
         if target.exists():
             fresh = fresh.join(target.read().select("row_hash"), "row_hash", "left_anti")
         fresh = fresh.withColumn("_batch_id", F.lit(str(batch_id))).persist()
