@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -80,8 +81,16 @@ def passing_tables(spark: SparkSession):
             _PASSING[-1] += stay
 
 
+#: Arrow batches end at so many bytes, so that a worker's and an executor's buffers do not grow with the length of texts.
+BATCH_BYTES = 4 << 20
+
+
 def workers_import_this(spark: SparkSession) -> None:
-    """Python workers find this package as the driver does, whatever their working directory."""
+    """Python workers find this package as the driver does, whatever their working directory, and are sent small batches:
+    the session's limit in bytes is lowered to BATCH_BYTES where it is greater."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _REPO not in paths:
@@ -93,6 +102,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def each_text(texts: pa.Array, rows: int = 256) -> Iterator[str]:
+    """Whole texts of a column, of which few are Python strings at a time; null reads as empty."""
+    for at in range(0, len(texts), rows):
+        for text in texts.slice(at, rows).to_pylist():
+            yield text or ""
+
+
 def slices(batches, rows: int = 256):
     """Batches of at most so many rows, for tasks whose output is as large as their input: neither side holds more at once."""
     for batch in batches:

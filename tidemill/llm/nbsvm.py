@@ -6,12 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts_of, to_batch
+from .common import each_text, materialize, slices, texts_of, to_batch
 
 #: Cells that n-grams are hashed to.
 DIMS = 1 << 18
@@ -131,10 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells:
 
 
 def scorer(model: NbSvm):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([model.score(t or "") for t in texts], dtype=float)
+            yield pa.array([model.score(t) for t in each_text(texts)], pa.float64())
 
     return score
 

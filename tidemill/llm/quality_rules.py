@@ -7,12 +7,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of, to_batch
+from .common import each_text, materialize, slices, texts_of, to_batch
 
 SYMBOLS, UPPER = b"#*$%&|<>", bytes(range(0x41, 0x5B))
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -55,7 +54,7 @@ def rule_stats(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of BASE and MORE for every row. Map only; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [stats_of(t) for t in texts_of(batch)]
             columns = {c: (pa.int64(), [r[k] for r in rows]) for k, c in enumerate(BASE + MORE)}
             yield to_batch({"doc_id": (pa.int64(), batch.column(0))} | columns)
@@ -162,10 +161,10 @@ def choose_threshold(cells: list[tuple[int, bool, int]], max_good_rejected: floa
 
 
 def scorer(forest: IsolationForest):
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
-            yield pd.Series(forest.score(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
+            yield pa.array(forest.score(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])))
 
     return score
 
@@ -199,14 +198,14 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame, *, max_fit: int = 20_000,
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words").alias("base_failed")
     forest, threshold = fit(rule_stats(docs).select("*", failed), labels, max_fit=max_fit, max_good_rejected=max_good_rejected, trees=trees, sample=sample)
 
-    @F.pandas_udf("boolean")
-    def keeps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def keeps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = np.array([stats_of(t or "") for t in texts], dtype=np.int64).reshape(-1, len(BASE + MORE))
+            rows = np.array([stats_of(t) for t in each_text(texts)], dtype=np.int64).reshape(-1, len(BASE + MORE))
             own = dict(zip(BASE + MORE, rows.T))
             failed = (own["n_words"] < 10) | (100 * own["n_repeat_words"] > 20 * own["n_words"])
             words, chars = np.maximum(own["n_words"], 1), np.maximum(own["word_chars"], 1)
             features = np.column_stack([own["word_chars"] / words, own["n_symbols"] / words, own["n_repeat_words"] / words, own["n_upper"] / chars, own["n_marks"] / chars])
-            yield pd.Series(~failed & (forest.score(features) < threshold))
+            yield pa.array(~failed & (forest.score(features) < threshold))
 
     return docs.filter(keeps("text"))
