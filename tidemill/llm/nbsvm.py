@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells:
 
     Rows are chosen by a hash of doc_id, in its order, one for each doc_id (of texts that repeat an id the one with the
     least hash). They are counted first: what reaches the driver is a number, then the sizes of max_rows rows, then the
-    rows that fit into max_cells. Of ids that repeat in labels the least label counts; null ids and labels are left out.
+    rows that fit into max_cells, by the tasks that hold them. Of ids that repeat in labels the least label counts; null ids and labels are left out.
     """
     own = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = materialize(own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
@@ -121,12 +121,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_cells:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
     once = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
     rows = materialize(once.mapInArrow(run, "doc_id long, quality int, n long, cells binary"), "fit-rows")
-    sizes = rows.select("doc_id", "n").orderBy(place, "doc_id").limit(max_rows).toPandas()
-    fits = int((sizes["n"].cumsum() <= max_cells).sum())
-    found = rows.orderBy(place, "doc_id").limit(fits).select("doc_id", "quality", "cells").toArrow()
+    sizes = rows.select("doc_id", "n", place.alias("place")).toArrow()
+    ids, places, n = (sizes[c].to_numpy() for c in ("doc_id", "place", "n"))
+    order = np.lexsort((ids, places))
+    fits = order[np.cumsum(n[order]) <= max_cells]
+    if len(fits) < len(order):
+        last = fits[-1:].tolist()
+        rows = rows.filter(F.struct(place, "doc_id") <= F.struct(*(F.lit(int(x[last[0]])) for x in (places, ids)))) if last else rows.filter("false")
+    found = rows.select("doc_id", "quality", "cells").toArrow()
+    cells, at, flat = [], 0, np.empty(int(n[fits].sum()), dtype=np.int32)  # one array of all rows, given back as a whole
     order = np.argsort(found["doc_id"].to_numpy())
-    cells = [np.cumsum(np.frombuffer(zlib.decompress(found["cells"][int(i)].as_buffer()), dtype="<i4"), dtype=np.int32) for i in order]
-    return NbSvm(cells, np.array([found["quality"][int(i)].as_py() == 1 for i in order], dtype=bool))
+    for i in order.tolist():
+        steps = np.frombuffer(zlib.decompress(found["cells"][i].as_buffer()), dtype="<i4")
+        cells.append(np.cumsum(steps, dtype=np.int32, out=flat[at : at + len(steps)]))
+        at += len(steps)
+    good = found["quality"].to_numpy()[order] == 1
+    del found
+    pa.default_memory_pool().release_unused()
+    return NbSvm(cells, good)
 
 
 def scorer(model: NbSvm):
