@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, media, nbsvm, packing, quality_rules, simhash, token_count, token_output, warc
+from . import bitplanes, bpe, chat, common, media, nbsvm, packing, quality_rules, simhash, token_count, token_output, warc, whitening
 from . import pipeline as stages
 from .pipeline import BYTE_BPE, table
 
@@ -61,11 +61,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-_QUERIES = [op1_token_output, op2_bpe, op3_warc, op4_chat, op5_simhash, op6_quality_rules, op7_nbsvm, op8_token_counts, op9_packing, op10_media, pipeline]
+_QUERIES = [op1_token_output, op2_bpe, op3_warc, op4_chat, op5_simhash, op6_quality_rules, op7_nbsvm, op8_token_counts, op9_packing, op10_media, op11_whitening, op13_bitplanes, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
