@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -48,8 +49,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-#: Written tables of each open passing_tables, with their paths.
-_PASSING: list[list[tuple[DataFrame, str]]] = []
+#: Written tables of each open passing_tables, with their paths; each thread of a driver has its own.
+_PASSING: ContextVar[tuple[list[tuple[DataFrame, str]], ...]] = ContextVar("passing", default=())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -58,27 +59,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if _PASSING:
-        _PASSING[-1].append((out, path))
+    if open_ := _PASSING.get():
+        open_[-1].append((out, path))
     return out
 
 
 @contextmanager
 def passing_tables(spark: SparkSession):
-    """Tables written inside are deleted at its end, but for those that are put into the list that it gives."""
+    """Tables that this thread writes inside are deleted at its end, but for those that are put into the list that it gives."""
     keep: list[DataFrame] = []
-    _PASSING.append([])
+    outer, own = _PASSING.get(), []
+    _PASSING.set((*outer, own))
     try:
         yield keep
     finally:
-        own = _PASSING.pop()
+        _PASSING.set(outer)
         stay = [(df, path) for df, path in own if any(df is k for k in keep)]
         for _, path in own:
             if path not in [p for _, p in stay]:
                 p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        if _PASSING:
-            _PASSING[-1] += stay
+        if outer:
+            outer[-1].extend(stay)
 
 
 #: Arrow batches end at so many bytes, so that a worker's and an executor's buffers do not grow with the length of texts.

@@ -44,3 +44,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
         step = hooks.select(F.col("node").alias("root"), "up")
         roots = roots.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     return materialize(roots.select(F.col("node.id").alias("node"), F.col("root.id").alias("root")), "roots")
+
+
+def components_of(nodes: DataFrame, key: str, roots: DataFrame, out: str | None = None) -> DataFrame:
+    """out (key itself by default), component_id: the least `first` among the nodes with one root; nodes without a root stand alone. Written.
+
+    What is least of each root is written before it is joined, so a root of many nodes is a skewed join and no hot task.
+    Nulls in first are passed over, no nodes give no rows.
+    """
+    rooted = materialize(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return materialize(rooted.join(least, "root").select(out or key, "component_id"), "components")

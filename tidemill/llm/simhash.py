@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -14,16 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import set_join
+from . import minhash
 from .common import group_starts, materialize, passing_tables, slices, texts_of, to_batch, whole_groups
-from .graph import connected_components
+from .graph import components_of, connected_components
 
 SEED = 42
-#: Places of a similarity sketch, a byte each.
-PLACES = 128
-_LONG = pa.int64()
-#: Stands for a null doc_id in joins; text_key tells it from the number itself.
-_NO_ID = -(1 << 63)
 #: A trie node pair is compared fingerprint by fingerprint once it has no more pairs than this.
 LEAF_PAIRS = 64
 #: Node pairs, and pairs of fingerprints, that are held at once.
@@ -168,11 +160,32 @@ def _compare(keys, nodes, radius, forest, verify) -> None:
         at = stop
 
 
+class Coordinates:
+    """Says of pairs of rows whether so large a share of their signatures' coordinates is equal."""
+
+    def __init__(self, own: np.ndarray, similarity: float):
+        self.own, self.least = own, similarity * own.shape[1]
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.own[i] == self.own[j]).sum(axis=1) >= self.least
+
+    def neighbours(self, rows: np.ndarray, width: int = 6):
+        """Pairs of rows next to each other in the order of each of several bands of coordinates, those that agree in a whole band among them."""
+        for at in range(0, self.own.shape[1], width):
+            order = rows[np.lexsort(self.own[rows, at : at + width].T)]
+            yield order[:-1], order[1:]
+
+
 def _across(keys, a: int, b: int, c: int, d: int, radius, forest, verify) -> None:
-    """Two large nodes at the end of the trie, all keys of each alike: only what lies in different trees is compared.
+    """Two large nodes at the end of the trie, all keys of each alike.
 
-    Each key of the side's smaller trees meets the other side once; keys of the largest tree need not meet each other.
+    Where verify knows neighbours, those in the order of bands are tried, so work grows as rows and not as their square.
+    Otherwise each key of the side's smaller trees meets the other side once; keys of the largest tree do not meet each other.
     """
+    if isinstance(verify, Coordinates):
+        for i, j in verify.neighbours(np.unique(np.r_[a:b, c:d])):
+            _try(keys, i, j, radius, forest, verify)
+        return
     roots, counts = np.unique(forest.root[np.r_[a:b, c:d]], return_counts=True)
     largest = roots[counts.argmax()]
     left, right = np.arange(a, b), np.arange(c, d)
@@ -215,8 +228,11 @@ def _split(rows: DataFrame, hot: DataFrame, radius: int) -> DataFrame:
     return rows.withColumns(changed).drop("_hot", "_m")
 
 
-def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: float = 0.0, hot: int = 100_000) -> DataFrame:
-    """a, b: edges that join all prints (node, fp, and sketch if asked) within radius bits, and nothing else.
+def links(prints: DataFrame, radius: int, *, similarity: float | None = None, hot: int = 100_000) -> DataFrame:
+    """a, b: edges that join all prints (node, fp) within radius bits, and nothing else.
+
+    With similarity, prints have a form (of minhash.features) too, and pairs count only if so large a share of their
+    coordinates is equal; equal fingerprints whose forms differ are then compared with their neighbours only.
 
     radius + 1 tries hold each fingerprint turned so that another of its blocks comes first; links agree in a first
     block, so each block value, the top of a trie, is a bucket of its own. Of each set of fingerprints that a task joins it
@@ -231,7 +247,7 @@ def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: f
         return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
     tops = [F.struct(F.concat_ws(":", F.lit(str(k)), F.hex(F.shiftrightunsigned(turned(by), 64 - w))).alias("bucket"), turned(by).alias("key"), F.lit(w).alias("depth")) for k, (by, w) in enumerate(block_bits(radius))]
-    rows = prints.select("node", *(["sketch"] if sketch else []), F.explode(F.array(*tops)).alias("_t")).select("*", "_t.*").drop("_t")
+    rows = prints.select("node", *(["form"] if similarity else []), F.explode(F.array(*tops)).alias("_t")).select("*", "_t.*").drop("_t")
     rows = rows.select("*", F.lit(0).alias("used"), F.lit(0).alias("side"), F.lit(True).alias("same"))
     for _ in range(64 // SPLIT):
         large = materialize(rows.filter(F.col("depth") + SPLIT <= 64).groupBy("bucket").count().filter(F.col("count") > hot).drop("count"), "hot")
@@ -257,14 +273,9 @@ def links(prints: DataFrame, radius: int, *, sketch: bool = False, similarity: f
             if not found:
                 continue
             forest, verify = Forest(table.num_rows), None
-            if sketch:
-                flat = table.column("sketch").chunk(0)
-                own = np.frombuffer(flat.buffers()[2], dtype=np.uint8)[flat.offset * PLACES :][: table.num_rows * PLACES].reshape(-1, PLACES)
-
-                def verify(i, j, own=own):
-                    u, v = own[i], own[j]
-                    return (u == v).sum(axis=1) - (both := ((u == 0) & (v == 0)).sum(axis=1)) >= similarity * (PLACES - both)
-
+            if similarity:
+                own = np.ascontiguousarray(minhash.fixed_rows(table.column("form").chunk(0), minhash.FORM)[:, : minhash.COORDS])
+                verify = Coordinates(own, similarity)
             trie_links(keys, found, radius, forest, verify)
             i, j = (np.concatenate(side) for side in zip(*forest.edges))
             if len(i):
@@ -301,105 +312,48 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def components_of(distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
-    """key, component_id: the least `first` among the keys with one root; keys without a root stand alone.
-
-    What is least of each root is written before it is joined, so a root of many keys is a skewed join and no hot task.
-    """
-    rooted = materialize(distinct.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    return materialize(rooted.join(least, "root").select(key, "component_id"), "components")
-
-
-def sketch_of(kept: np.ndarray) -> bytes:
-    """One-permutation MinHash of a sorted set of hashes: of those with equal upper bits the least one gives a byte; 0: none."""
-    out = np.zeros(PLACES, dtype=np.uint8)
-    place = (kept >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(kept) else []
-    out[place[first]] = 1 + (kept[first] & np.uint64(0xFF)) % np.uint64(255)
-    return out.tobytes()
+def word_print(damping: float):
+    """Fingerprints of hashed words by count ** damping, so that common words do not decide most bits."""
 
+    def of(words: np.ndarray) -> int:
+        own, counts = np.unique(words, return_counts=True)
+        return fingerprint(own, np.rint(64 * counts.astype(np.float64) ** damping).astype(np.int64))
 
-def shingle_set(text: str, n: int) -> tuple[int, np.ndarray]:
-    """A 64-bit digest of the set of n-word shingles, and the set in ascending order."""
-    kept = np.unique(shingle_hashes(words_of(text), n))
-    return int.from_bytes(hashlib.md5(kept.tobytes()).digest()[:8], "little", signed=True), kept
+    return of
 
 
-def text_features(docs: DataFrame, shingle: int, damping: float = 0.8) -> DataFrame:
-    """doc_id, text_key, node (digest of the set of shingles), fp (of single words by count ** damping), sketch, bits, n (of the set). Map only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            node, fp, sketch, bits, sizes = [], [], [], [], []
-            for text in texts_of(batch):
-                digest, kept = shingle_set(text, shingle)
-                counts = Counter(words_of(text))
-                own = np.fromiter(map(xxhash.xxh64_intdigest, counts, repeat(SEED)), dtype=np.uint64, count=len(counts))
-                node.append(digest)
-                weights = np.rint(64 * np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) ** damping)
-                fp.append(fingerprint(own, weights.astype(np.int64)))
-                sketch.append(sketch_of(kept))
-                bits.append(set_join.parity_bits(kept))
-                sizes.append(len(kept))
-            columns = {"doc_id": (_LONG, batch.column(0)), "text_key": (_LONG, batch.column(1)), "node": (_LONG, node), "fp": (_LONG, fp)}
-            yield to_batch(columns | {"sketch": (pa.binary(), sketch), "bits": (pa.list_(_LONG), bits), "n": (_LONG, sizes)})
-
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, sketch binary, bits array<long>, n long")
-
-
-def text_key():
-    """A 64-bit digest of a row's text and of whether it has a doc_id; with the doc_id it says which rows are the same."""
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
-
-
-def grouped(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, node of every row; node, root of every set with a near copy): see near_duplicates."""
+def grouped(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 5, damping: float = 0.8, margin: float = 0.1) -> DataFrame:
+    """doc_id, key, text_key, root of every row, written: rows of one component have one root. See near_duplicates."""
     with passing_tables(docs.sparkSession) as keep:
-        features = materialize(text_features(docs, shingle, damping), "features")
-        row = F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_key")).alias("s")
-        distinct = materialize(features.groupBy("node").agg(row, *[F.first(c).alias(c) for c in ("fp", "sketch", "bits", "n")]).select("node", "s.key", "s.text_key", "fp", "sketch", "bits", "n"), "distinct")
-        set_of = partial(shingle_set, n=shingle)
-        close = materialize(links(distinct.select("node", "fp", "sketch"), radius, sketch=True, similarity=similarity - margin), "close")
-        shared = set_join.shared_members(docs, set_of, similarity)
-        sets = set_join.sets(docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), text_key().alias("text_key"), "text"), shared, distinct, set_of)
-        bits = distinct.select(F.col("node").alias("id"), "bits", "n")
-        # One link of each node of the tries' trees first; others only between what is not joined by then.
-        tried = materialize(close.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")), "tried")
-        found = set_join.similar(tried, sets, bits, similarity)
-        for few in (4, None):
-            roots = connected_components(found)
-            shared = set_join.members_apart(shared, roots, bits)
-            pairs = set_join.pairs_apart(shared, similarity, few)
-            if few is None:
-                pairs = pairs.unionByName(set_join.apart(close, roots)).distinct()
-            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            found = found.unionByName(set_join.similar(pairs, sets, bits, similarity))
-            tried = tried.unionByName(pairs)
-        keep += [features, connected_components(found)]
-    return keep[0], keep[1]
+        told = materialize(minhash.features(docs, shingle, word_print(damping)), "features")
+        distinct = minhash.distinct_sets(told)
+        close = materialize(links(distinct.select(F.col("id").alias("node"), "fp", "form"), radius, similarity=similarity - margin), "close")
+        roots = connected_components(minhash.links(docs, distinct, shingle, similarity, proposals=close))
+        rooted = distinct.select("node", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+        # No node has the empty set: rows without words are one component.
+        keep.append(materialize(told.select("doc_id", "key", "text_key", "node").join(rooted, "node", "left").select("doc_id", "key", "text_key", F.coalesce("root", F.lit(-1)).alias("root")), "grouped"))
+    return keep[0]
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, component_id of near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more.
 
     Edits of a few words in a hundred change most bits' votes of shingles but few of single words: fingerprints of the
-    words, by damped count so that common words do not decide most bits, within `radius` bits are the candidates of the
-    trie join. Its tasks try each candidate pair that is not joined yet by a 128-place sketch of the shingles, from
-    similarity - margin. That only proposes: a link counts if the whole sets have the similarity.
+    words, by damped count so that common words do not decide most bits, within `radius` bits are what the trie join
+    proposes. Its tasks try each pair that is not joined yet by the sets' MinHash signatures, from similarity - margin.
+    That only proposes: a link counts if the whole sets have the similarity.
 
-    Trie and sketch leave pairs out, more so of short texts and where a stretch was added or cut off. These are found by a
-    join on the rarest shingles of each set, among sets that are not in one component yet, and checked in the same way;
-    so no link between two sets is lost. First a few pairs of each shingle's components are tried, then all that are left:
-    a large group of near copies is one component before its pairs would come. Texts with equal sets of shingles are one node, told apart by 64-bit digests.
+    A fingerprint of 64 bits leaves pairs out, more so of short texts and where a stretch was added or cut off. The
+    signature join (minhash.links) finds these among sets that are not in one component yet, checked in the same way.
+    Texts with equal sets of shingles are one node, told apart by 128-bit digests.
 
     Options and their defaults are those of grouped. Rows as in simhash_components: null and empty texts have the empty
     set and are copies of one another; a null doc_id is never a component_id unless its component has no other (then
     null); rows that repeat a doc_id each get a row; an empty table gives an empty result; other columns are not read.
     """
-    features, roots = grouped(docs, **options)
-    distinct = features.groupBy("node").agg(F.min("doc_id").alias("first"))
-    return features.select("doc_id", "node").join(components_of(distinct, "node", roots), "node", "left").select("doc_id", "component_id")
+    rows = grouped(docs, **options)
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return rows.select("doc_id", "root").join(least, "root").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -412,10 +366,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     key, text = "_key", "_text_key"
     while {key, text} & set(docs.columns):
         key, text = "_" + key, "_" + text
-    features, roots = grouped(docs, **options)
-    rooted = features.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("s"))
-    keep = materialize(keep.select(F.coalesce("s.doc_id", F.lit(_NO_ID)).alias(key), F.col("s.text_key").alias(text)), "keep")
+    keep = grouped(docs, **options).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "key", "text_key")).alias("s"))
+    keep = materialize(keep.select(F.col("s.key").alias(key), F.col("s.text_key").alias(text)), "keep")
     # Equal rows meet in their own task first, so that many copies of one row are no hot group behind the exchange.
-    own = docs.withColumns({key: F.coalesce("doc_id", F.lit(_NO_ID)), text: text_key()}).dropDuplicates([key, text])
+    own = docs.withColumns(dict(zip((key, text), minhash.row_key()))).dropDuplicates([key, text])
     return own.join(keep, [key, text], "left_semi").select(*docs.columns)
