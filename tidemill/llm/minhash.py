@@ -262,28 +262,39 @@ def screen(posted: DataFrame, similarity: float, hot: int) -> DataFrame:
 
 
 def apart(posted: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """Rows of the lists that hold several roots, written. Rows under a list's largest root do not meet each other: of a
-    list of over `hot` rows they are dealt by a salt, and the other rows go to each salt, at home in one."""
-    rows = posted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = materialize(rows.select("id", "n", "root", "form", F.explode("own.token").alias("token")), "rooted")
+    """token, salt, id, root, home: the rows of lists that hold several roots, written. Rows under a list's largest root do
+    not meet each other: of a list of over `hot` rows they are dealt by a salt, and the other rows go to each salt, at home
+    in one."""
+    rows = posted.select("id", F.explode("own.token").alias("token")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rows = materialize(rows.select("token", "id", F.coalesce("root", "id").alias("root")), "rooted")
     per = rows.groupBy("token", "root").agg(F.count("*").alias("own"))
     lists = per.groupBy("token").agg(F.sum("own").alias("total"), F.max_by("root", F.struct("own", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
-    lists = materialize(lists.select("token", "largest", F.ceil(F.col("total") / hot).cast("int").alias("salts")), "lists")
-    own = rows.join(lists, "token").withColumn("at", F.pmod(F.xxhash64("id", "token"), F.col("salts")).cast("int"))
+    own = rows.join(lists.select("token", "largest", F.ceil(F.col("total") / hot).cast("int").alias("salts")), "token")
+    own = own.withColumn("at", F.pmod(F.xxhash64("id", "token"), F.col("salts")).cast("int"))
     every = F.when(F.col("root") == F.col("largest"), F.array("at")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = own.select("token", "id", "n", "form", "root", "at", F.explode(every).alias("salt"))
-    return materialize(dealt.select("token", "salt", "id", "n", "form", "root", (F.col("salt") == F.col("at")).alias("home")), "apart")
+    dealt = own.select("token", "id", "root", "at", F.explode(every).alias("salt"))
+    return materialize(dealt.select("token", "salt", "id", "root", (F.col("salt") == F.col("at")).alias("home")), "apart")
+
+
+#: Texts are looked up by so many places of their digests, first: what is broadcast is as large at most, at any size of the tables.
+PLACES = 1 << 20
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """id, members (ascending 64-bit hashes, packed) of the sets that wanted (id, key, text_key of a row) names, written."""
+    """id, members (ascending 64-bit hashes, packed) of the sets that wanted (id, key, text_key of a row) names, written.
+
+    Texts whose place none of wanted has leave before the exchange, so that few others are moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield to_batch({"id": (pa.int64(), batch.column(1)), "members": (pa.binary(), [shingle_set(word_hashes(t), shingle).tobytes() for t in texts_of(batch)])})
 
-    own = docs.select(*row_key(), "text").join(wanted.select("key", "text_key", "id"), ["key", "text_key"])
-    return materialize(own.select("text", "id").mapInArrow(run, "id long, members binary").dropDuplicates(["id"]), "sets")
+    place = F.pmod(F.xxhash64("text_key"), F.lit(PLACES)).cast("int")
+    places = F.broadcast(wanted.select(place.alias("place")).distinct())  # PLACES rows at most
+    some = docs.select(*row_key(), "text").withColumn("place", place).join(places, "place", "left_semi")
+    own = some.drop("place").dropDuplicates(["key", "text_key"]).join(wanted.select("key", "text_key", "id"), ["key", "text_key"])
+    return materialize(own.select("text", "id").mapInArrow(run, "id long, members binary"), "sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -328,6 +339,7 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float,
         rows = apart(posted, connected_components(found), hot)
         if rows.isEmpty():
             break
+        rows = rows.join(posted.select("id", "n", "form"), "id")
         pairs = materialize(meet(rows, similarity, mode).join(tried, ["a", "b"], "left_anti"), "pairs")
         found, tried = found.unionByName(similar(pairs, sets, similarity)), tried.unionByName(pairs)
     return materialize(found, "links")
