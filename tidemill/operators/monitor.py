@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,6 +43,20 @@ def content_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum"))
 
 
+def counted(df: DataFrame, name: str, **more) -> tuple[DataFrame, Observation]:
+    """df and an observation of its rows (and further plain aggregates): the first action over it counts as it goes."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in more.items()]), seen
+
+
+def observed_layers(spark: SparkSession, source: int, parts: dict[str, int], most_pct: float = 0.0) -> DataFrame:
+    """One check: rows of a batch against those that each way out of it took, from observations. Passes up to most_pct of them lost."""
+    total = sum(parts.values())
+    row = spark.createDataFrame([(source, total, ", ".join(f"{k} {v}" for k, v in parts.items()))], "s long, t long, d string")
+    share = F.when(F.col("s") != 0, 100 * F.abs(F.col("s") - F.col("t")) / F.col("s")).otherwise(0.0)
+    return row.select(_check("bronze_silver", "s", "t", share <= most_pct, "").alias("r"), "d").select("r.*", "d").withColumn("details", F.col("d")).drop("d")
+
+
 def reconciliation_log(checks: list[DataFrame], run_id: str, table: str, at) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:
@@ -90,8 +104,7 @@ def log_latency(logs: DataFrame, path: str = "$.duration_seconds") -> DataFrame:
 LINEAGE = "run_id string, stage string, status string, inputs array<string>, outputs array<string>, columns array<struct<column: string, inputs: array<string>, transform: string>>, rows_in long, rows_out long, details string, at timestamp, schema_changes array<struct<change: string, column: string, old: string, new: string, status: string>>, quality array<struct<column: string, rule: string, fail_count: long, total: long>>"
 
 
-def column_lineage(spark: SparkSession, source: StructType, target: StructType) -> DataFrame:
-    """column, inputs, transform: ADDED for _columns, HASH for row_hash, IDENTITY for equal names, else DERIVED."""
+def _column_rows(source: StructType, target: StructType) -> list[tuple]:
     business = [c for c in source.names if not c.startswith("_") and c != "row_hash"]
     rows = []
     for c in target.names:
@@ -103,7 +116,12 @@ def column_lineage(spark: SparkSession, source: StructType, target: StructType)
             rows.append((c, [c], "IDENTITY"))
         else:
             rows.append((c, business, "DERIVED"))
-    return spark.createDataFrame(rows, "column string, inputs array<string>, transform string")
+    return rows
+
+
+def column_lineage(spark: SparkSession, source: StructType, target: StructType) -> DataFrame:
+    """column, inputs, transform: ADDED for _columns, HASH for row_hash, IDENTITY for equal names, else DERIVED."""
+    return spark.createDataFrame(_column_rows(source, target), "column string, inputs array<string>, transform string")
 
 
 def lineage_event(spark: SparkSession, run_id: str, stage: str, inputs: list[str], outputs: list[str], source: StructType, target: StructType, rows_in: int | None, rows_out: int | None, at, status: str = "COMPLETE", details: str | None = None, audit: list[tuple] = (), checks: DataFrame | None = None) -> DataFrame:
@@ -111,9 +129,11 @@ def lineage_event(spark: SparkSession, run_id: str, stage: str, inputs: list[str
 
     audit: the changes of a schema.Decision; checks: a row per rule (quality.check_rules).
     """
-    quality = [] if checks is None else [tuple(r) for r in checks.select("column", "rule", "fail_count", "total").collect()]  # one row a rule
-    columns = [tuple(r) for r in column_lineage(spark, source, target).collect()]
-    return spark.createDataFrame([(run_id, stage, status, inputs, outputs, columns, rows_in, rows_out, details, at, list(audit), quality)], LINEAGE)
+    row = spark.createDataFrame([(run_id, stage, status, inputs, outputs, _column_rows(source, target), rows_in, rows_out, details, at, list(audit), [])], LINEAGE)
+    if checks is None:
+        return row
+    told = checks.agg(F.collect_list(F.struct("column", "rule", "fail_count", "total")).alias("_told"))  # one row a rule
+    return row.crossJoin(told).withColumn("quality", F.col("_told")).drop("_told")
 
 
 def lineage_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:

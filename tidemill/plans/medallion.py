@@ -6,11 +6,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import apply_masking, strip_non_printable, trim_all
-from ..operators import cdc, dedup, late, monitor, quality, schema, scd
+from ..operators import cdc, dedup, late, monitor, quality, schema
 from ..sources import files
-from ..sources.tables import SnapshotTable
+from ..sources.tables import Batches, History, Keyed
 from ..spec import TableSpec
 
 INTERNAL = ("_ingested_at", "_source_file", "_batch_id", "_dq_flags")
@@ -22,76 +23,124 @@ class Lake(NamedTuple):
     spark: SparkSession
     root: str
 
-    def table(self, layer: str, name: str) -> SnapshotTable:
-        return SnapshotTable(self.spark, f"{self.root}/{layer}/{name}")
+    def table(self, layer: str, name: str) -> Batches:
+        return Batches(self.spark, f"{self.root}/{layer}/{name}")
+
+    def history(self, spec: TableSpec) -> History:
+        return History(self.spark, f"{self.root}/silver/{spec.table}", spec.primary_key, spec.buckets)
+
+    def state(self, spec: TableSpec) -> Keyed:
+        """The latest complete row of each key of a table of change data."""
+        return Keyed(self.spark, f"{self.root}/state/{spec.table}", spec.primary_key, spec.buckets)
+
+
+def _completed(lake: Lake, spec: TableSpec, df: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
+    """(change data with whole rows, the state of its keys after it)."""
+    target, state = lake.table("bronze", spec.table), lake.state(spec)
+    order = spec.dedup_order_by.split()[0] if spec.dedup_order_by else "_ingested_at"
+    known = state.read(state.touched(df)) if state.exists() else None
+
+    def stored(keys: DataFrame) -> DataFrame:
+        return target.read(but=batch_id).join(keys, list(spec.primary_key), "left_semi").select(*[c for c in df.columns if c in target.fields().names])
+
+    return cdc.rebuild_from_state(df, known, stored if known is not None else None, spec.primary_key, order)
 
 
 def bronze(lake: Lake, spec: TableSpec, landed: DataFrame, batch_id: str, at, policy: schema.Policy = schema.BRONZE) -> int:
-    """Appends a landed batch as it came, with hash, ingest columns and flags. Returns the snapshot's number.
+    """Writes a landed batch as it came, with hash, ingest columns and flags. Returns its number; a batch that is loaded
+    again replaces what it wrote.
 
-    landed: read_files(...) with ingest columns, or any rows. Updates that carry only changed fields are made whole first.
+    landed: read_files(...) with ingest columns, or any rows. Updates that carry only changed fields are made whole first,
+    from the state of their keys. Values that do not fit the stored types become null and are counted in control.values_lost.
     """
     target, df = lake.table("bronze", spec.table), schema.apply_aliases(landed, spec.aliases)
-    stored = target.read() if target.exists() else None
+    mark, latest = f"{spec.table}-{batch_id}", None
     if spec.is_cdc:
         if "_ingested_at" not in df.columns:
             df = df.withColumn("_ingested_at", F.lit(at).cast("timestamp"))
-        df = cdc.rebuild(df, stored, spec.primary_key, spec.dedup_order_by.split()[0] if spec.dedup_order_by else "_ingested_at")
+        df, latest = _completed(lake, spec, df, batch_id)
     df = dedup.with_row_hash(df, spec.hash_fields)
     df = df.withColumn("_batch_id", F.lit(batch_id)).withColumn("_ingested_at", F.lit(at).cast("timestamp"))
     df = quality.flag(df, spec.dq_rules)
-    if stored is not None and not schema.unchanged(df.schema, schema.fingerprint(stored.schema), stored.schema):
-        df, quarantined, said = schema.evolve(df, stored.schema, policy)
-        lake.table("control", "schema_change_audit").append(schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at)
+    stored, lost = target.fields(), None
+    if stored is not None and not schema.unchanged(df.schema, schema.fingerprint(stored), stored):
+        came = df
+        df, quarantined, said = schema.evolve(df, stored, policy)
+        lake.table("control", "schema_change_audit").append(schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at, mark)
         if df is None:
-            return lake.table("quarantine", f"{spec.table}_schema").append(quarantined, at)
-    number = target.append(df, at)
+            return lake.table("quarantine", f"{spec.table}_schema").append(quarantined.select(*[F.col(c).cast("string").alias(c) for c in quarantined.columns]), at, batch_id)
+        lost = schema.values_lost(came, said.target)
+    df, seen = monitor.counted(df, f"bronze-{mark}")
+    number = target.append(df, at, batch_id)
+    if lost is not None:
+        lake.table("control", "values_lost").append(lost.select(F.lit(spec.table).alias("table"), F.lit(batch_id).alias("batch"), "*"), at, mark)
+    if latest is not None:
+        _update_state(lake.state(spec), latest, at)
+    rows = seen.get["rows"]
+    lineage = monitor.lineage_event(lake.spark, batch_id, "bronze", [f"landing.{spec.table}"], [f"bronze.{spec.table}"], landed.schema, df.schema, rows, rows, at, audit=[] if lost is None else said.audit)
+    lake.table("control", "lineage").append(lineage, at, f"bronze-{mark}")
     done = lake.spark.createDataFrame([(spec.table, batch_id, at)], "table string, version string, processed_at timestamp")
-    lake.table("control", "watermark").append(done, at)
+    lake.table("control", "watermark").append(done, at, mark)
     return number
 
 
+def _update_state(state: Keyed, latest: DataFrame, at) -> None:
+    """Puts the latest rows of their keys beside what the same buckets hold of other keys."""
+    rows = latest
+    if state.exists():
+        rows = rows.unionByName(state.read(state.touched(latest)).join(latest.select(*state.key), list(state.key), "left_anti"), allowMissingColumns=True)
+    state.replace(rows, at)
+
+
 def silver(lake: Lake, spec: TableSpec, at, batch_id: str | None = None, *, dialect: str = "lenient") -> DataFrame:
-    """Takes bronze rows (of a batch, or all) into the history of the table; returns the reconciliation rows.
+    """Takes bronze rows (of a batch, or all) into the history of the table; returns the reconciliation rows, which are
+    also in control.reconciliation.
 
-    Broken rules, late rows and rows that equal their key's current one leave on the way, the first two to quarantine. Texts
-    are cleaned and masked after the late check. Of the valid rows of a batch the latest per key goes into history, so a
-    rejected row hides no earlier one, and values that a key had before count as a change when they return.
+    Rows that break a rule and late rows leave on the way, to quarantine. Texts are cleaned and masked after the late check.
+    Of the valid rows the latest per key is compared with its key's current row, so a rejected row hides no earlier one,
+    values that come and go within a batch leave no trace, and values that a key had before count as a change when they
+    return. Late rows that equal their key's current one are known and leave nothing. Rows are counted as they pass.
     """
-    source, target = lake.table("bronze", spec.table).read(), lake.table("silver", spec.table)
-    history = target.read() if target.exists() else None
-    df = source if batch_id is None else source.filter(F.col("_batch_id") == batch_id)
+    bronze_rows, target = lake.table("bronze", spec.table), lake.history(spec)
+    first_load = not target.exists()
+    source, read = monitor.counted(bronze_rows.read(batch=batch_id), f"read-{batch_id}")
+    df = source
     if "_cdc_operation" in df.columns:
         df = cdc.without_deletes(df)
     if spec.record_filter:
         df = df.filter(F.expr(spec.record_filter))
-    if history is not None:
-        df = dedup.new_by_hash(df, history.filter("is_current"))
+    df, judged = monitor.counted(df, f"judged-{batch_id}")
     passed, rejected = quality.reject(schema.apply_type_overrides(df.drop("_dq_flags"), spec.type_overrides), spec, dialect=dialect)
-    rejected = rejected.drop(*[c for c in INTERNAL if c != "_dq_flags"])
+    rejected, bad = monitor.counted(rejected.drop(*[c for c in INTERNAL if c != "_dq_flags"]), f"rejected-{batch_id}")
+    rejected = rejected.withColumn("_quarantine_reason", F.array_join("_dq_flags", ",")).withColumn("_quarantined_at", F.lit(at).cast("timestamp")).drop("_dq_flags")
+    name = batch_id or "full"
     quarantine = lake.table("quarantine", spec.table)
-    quarantine.append(rejected.withColumn("_quarantine_reason", F.array_join("_dq_flags", ",")).withColumn("_quarantined_at", F.lit(at).cast("timestamp")).drop("_dq_flags"), at)
+    quarantine.append(rejected, at, f"{name}-rejected")
+    tardy = None
     if spec.event_time_column:
-        split = late.split_late(passed, spec.event_time_column, at, spec.late_arrival_window_days, first_load=history is None)
-        quarantine.append(split.late.drop(*INTERNAL), at)
-        passed = split.on_time
+        split = late.split_late(passed, spec.event_time_column, at, spec.late_arrival_window_days, first_load=first_load)
+        passed, (late_rows, tardy) = split.on_time, monitor.counted(split.late.drop(*INTERNAL), f"late-{batch_id}")
+        if not first_load:
+            late_rows = late_rows.join(target.current().select(*spec.primary_key, "row_hash"), [*spec.primary_key, "row_hash"], "left_anti")
+        quarantine.append(late_rows, at, f"{name}-late")
+    passed, good = monitor.counted(passed, f"passed-{batch_id}")
     passed = dedup.latest(passed, spec.primary_key, spec.dedup_order_by or "_ingested_at DESC").drop(*INTERNAL)
     clean = apply_masking(trim_all(strip_non_printable(passed)), spec.masking)
-    if history is None:
-        history = lake.spark.createDataFrame([], scd.empty_target(clean, 2))
-    else:
-        said = schema.decide(clean.schema, history.drop("valid_from", "valid_to", "is_current", "version").schema, schema.SILVER)
+    if not first_load:
+        said = schema.decide(clean.schema, StructType([f for f in target.fields() if f.name not in ("valid_from", "valid_to", "is_current", "version")]), schema.SILVER)
         clean = schema.align(clean, said.target)
-        missing = [f for f in said.target if f.name not in history.columns]
-        history = history.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-    target.replace(scd.scd2(history, clean, spec.primary_key, ("row_hash",), at), at)
-    kept = target.read()
-    return monitor.reconciliation_log([monitor.reconcile_layers(source, kept, quarantine.read()), monitor.reconcile_hashes(source, kept)], batch_id or "full", spec.table, at)
+    target.merge(clean, ("row_hash",), at, name)
+    counts = {"filtered": read.get["rows"] - judged.get["rows"], "rejected": bad.get["rows"], "late": tardy.get["rows"] if tardy else 0, "passed": good.get["rows"]}
+    check = monitor.reconciliation_log([monitor.observed_layers(lake.spark, read.get["rows"], counts)], name, spec.table, at)
+    lake.table("control", "reconciliation").append(check, at, f"{spec.table}-{name}")
+    lineage = monitor.lineage_event(lake.spark, name, "silver", [f"bronze.{spec.table}"], [f"silver.{spec.table}", f"quarantine.{spec.table}"], source.schema, target.fields(), read.get["rows"], good.get["rows"], at)
+    lake.table("control", "lineage").append(lineage, at, f"silver-{spec.table}-{name}")
+    return check
 
 
 def gold(lake: Lake, spec: TableSpec, out: str, at) -> DataFrame:
     """Current rows under the contract, one per key, published."""
-    current = lake.table("silver", spec.table).read().filter("is_current")
+    current = lake.history(spec).current()
     required = tuple(dict.fromkeys((*spec.primary_key, *spec.dq_rules.not_null)))
     df = dedup.unique_for_publishing(schema.check_contract(current, required), spec.primary_key)
     df = df.drop("row_hash", "valid_from", "valid_to", "is_current", "version").withColumn("_gold_published_at", F.lit(at).cast("timestamp"))

@@ -610,7 +610,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
         events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{root}/in")
     fields = StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("user_id", LongType())])
     parsed = streams.parse(streams.text_source(spark, f"{root}/in", 4), fields)
-    target = tables.SnapshotTable(spark, f"{root}/sink")
+    target = tables.Batches(spark, f"{root}/sink")
     streams.create_empty(spark, dedup.with_row_hash(events).withColumn("_batch_id", F.lit("")).schema, target, AS_OF)
     valid = streams.keep_valid(parsed.rows, DqRules(not_null=("event_id",)))
     streams.dedup_into(valid, target, f"{root}/checkpoint", ("event_id", "event_type"), AS_OF).awaitTermination()
@@ -620,7 +620,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 UNION ALL SELECT 'snapshots', 2")
 def time_travel(spark: SparkSession, d: str) -> DataFrame:
     """Two snapshots of a table; the first one is read back."""
-    t = tables.SnapshotTable(spark, scratch.new_path(spark, "time-travel"))
+    t = tables.Batches(spark, scratch.new_path(spark, "time-travel"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     t.append(o.filter("o_custkey % 2 = 0"), _T0)
     last = t.append(o.filter("o_custkey % 2 = 1"), _T1)
@@ -631,20 +631,24 @@ def time_travel(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT c_custkey, sha256(c_name) AS c_name, c_mktsegment, CASE WHEN c_acctbal <= 0 THEN 1 WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END AS versions FROM customer WHERE c_custkey IS NOT NULL AND c_nationkey <> 3""")
 def medallion(spark: SparkSession, d: str) -> DataFrame:
-    """Customers over four batches to gold, with a masked name: what odd keys change back to counts again, a rejected row of
-    a batch hides no valid earlier one, and a filter keeps one nation out."""
+    """Customers over five batches to gold, with a masked name, by a hash that lacks the key: what odd keys change back to
+    counts again, a rejected row of a batch hides no valid earlier one, values that come and go within a batch leave no
+    trace, and a filter keeps one nation out."""
     lake = medallion_plan.Lake(spark, scratch.new_path(spark, "lake"))
-    spec = TableSpec("customer", ("c_custkey",), dedup_order_by="seq DESC", hash_fields=("c_custkey", "c_mktsegment", "c_acctbal"), dq_rules=DqRules(positive=("c_acctbal",)), masking={"c_name": "sha256"}, pii_fields=("c_name",), record_filter="c_nationkey <> 3")
+    spec = TableSpec("customer", ("c_custkey",), dedup_order_by="seq DESC", hash_fields=("c_mktsegment", "c_acctbal"), dq_rules=DqRules(positive=("c_acctbal",)), masking={"c_name": "sha256"}, pii_fields=("c_name",), record_filter="c_nationkey <> 3")
     rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
-    for k in range(4):  # balance 1, its own (null where negative), 1 again for even keys, its own again for even ones
-        own = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) if k % 2 else F.lit(1.0)
+    for k in range(5):  # balance 1, its own (null where negative), 1 again for even keys, its own again for even ones, 2 and back
+        own = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")) if k % 2 or k == 4 else F.lit(1.0)
         batch = rows.filter("c_custkey % 2 = 0") if k >= 2 else rows
-        batch = batch.withColumn("c_acctbal", own).filter("c_acctbal IS NOT NULL").withColumn("seq", F.lit(2 * k))
-        broken = batch.filter("c_custkey % 4 < 2").withColumns({"c_acctbal": F.lit(-1.0), "seq": F.lit(2 * k + 1)})
+        batch = batch.withColumn("c_acctbal", own).filter("c_acctbal IS NOT NULL").withColumn("seq", F.lit(3 * k + 1))
+        broken = batch.filter("c_custkey % 4 < 2").withColumns({"c_acctbal": F.lit(-1.0), "seq": F.lit(3 * k + 2)})
+        batch = batch.unionByName(broken)
+        if k == 4:
+            batch = batch.unionByName(rows.filter("c_custkey % 2 = 0 AND c_acctbal > 0").withColumns({"c_acctbal": F.lit(2.0), "seq": F.lit(3 * k)}))
         at = datetime(2024, 1, 1 + k)
-        medallion_plan.bronze(lake, spec, batch.unionByName(broken), f"b{k}", at)
+        medallion_plan.bronze(lake, spec, batch, f"b{k}", at)
         medallion_plan.silver(lake, spec, at, f"b{k}")
-    versions = lake.table("silver", "customer").read().groupBy("c_custkey").agg(F.max("version").cast("int").alias("versions"))
+    versions = lake.history(spec).read().groupBy("c_custkey").agg(F.max("version").cast("int").alias("versions"))
     return medallion_plan.gold(lake, spec, f"{lake.root}/gold/customer", _T1).join(versions, "c_custkey").select("c_custkey", "c_mktsegment", "c_name", "versions")
 
 

@@ -23,15 +23,21 @@ def read_files(spark: SparkSession, path: str | list[str], kind: str, schema: St
     raise ValueError(f"unknown source format {kind!r}")
 
 
-def _listed(spark: SparkSession, path: str) -> list:
+def listed(spark: SparkSession, path: str) -> list:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [store, list(store.listStatus(p))] if store.exists(p) else [store, []]
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def versions(spark: SparkSession, path: str) -> dict[int, int]:
     """Version folders v<digits> under path that hold a file with data, and the latest change of each (ms)."""
-    store, entries = _listed(spark, path)
+    store, entries = listed(spark, path)
     found = {}
     for entry in entries:
         name = re.fullmatch(r"v(\d+)", entry.getPath().getName())

@@ -40,6 +40,7 @@ class TableSpec:
     aliases: dict[str, str] = field(default_factory=dict)
     schema_policy: dict[str, dict] = field(default_factory=dict)
     record_filter: str | None = None
+    buckets: int = 8
     contract_version: str = "1.0.0"
 
     @staticmethod

@@ -7,11 +7,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import drop_copies, with_row_hash
+from ..operators.monitor import lineage_event
 from ..operators.quality import violations
-from ..sources.tables import SnapshotTable
+from ..sources.tables import Batches, HashStore
 from ..spec import DqRules
 
 
@@ -61,20 +63,22 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, *, every: str |
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def dedup_into(stream: DataFrame, target: SnapshotTable, checkpoint: str, hash_fields: tuple[str, ...], at, *, every: str | None = None) -> StreamingQuery:
-    """Appends rows whose hash the batch and the target have not had. Replayed batches add nothing.
+def dedup_into(stream: DataFrame, target: Batches, checkpoint: str, hash_fields: tuple[str, ...], at, *, every: str | None = None, digits: int = 2) -> StreamingQuery:
+    """Appends rows whose hash the batch and the target have not had. Replayed batches write the same rows again.
 
-    Exact and without state, but each batch reads the target's hashes; dedup_within is the bounded way.
+    Exact and without state: hashes lie beside the target in partitions by their first `digits`, of which a batch reads
+    those that its own hashes fall to. dedup_within is the way that is bounded by a watermark.
     """
+    store = HashStore(target.spark, f"{target.path}/hashes", digits)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        fresh = drop_copies(with_row_hash(df, hash_fields))
-        if target.exists():
-            fresh = fresh.join(target.read().select("row_hash"), "row_hash", "left_anti")
-        fresh = fresh.withColumn("_batch_id", F.lit(str(batch_id))).persist()
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        name = f"{query}-{batch_id}"
+        fresh = drop_copies(with_row_hash(df, hash_fields)).persist()
         try:
-            if not fresh.isEmpty():
-                target.append(fresh, at)
+            fresh = fresh.join(store.known(fresh.select("row_hash"), name), "row_hash", "left_anti").select(*fresh.columns)
+            target.append(fresh.withColumn("_batch_id", F.lit(str(batch_id))), at, name)
+            store.add(target.read(batch=name).select("row_hash"), name)
         finally:
             fresh.unpersist()
 
@@ -82,7 +86,39 @@ def dedup_into(stream: DataFrame, target: SnapshotTable, checkpoint: str, hash_f
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def create_empty(spark: SparkSession, schema: StructType, target: SnapshotTable, at) -> None:
+def create_empty(spark: SparkSession, schema: StructType, target: Batches, at) -> None:
     """The target with no rows, before the first batch."""
     if not target.exists():
         target.append(spark.createDataFrame([], schema), at)
+
+
+def observed(stream: DataFrame, name: str) -> DataFrame:
+    """stream whose progress tells how many rows each batch had, under a name: see RowCounts."""
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+class RowCounts(StreamingQueryListener):
+    """Appends a lineage row for each batch of a stream, with the rows that its observations counted; no second count.
+
+    into, out: the names given to observed on the stream's input and output.
+    """
+
+    def __init__(self, log: Batches, stage: str, into: str, out: str, inputs: list[str], outputs: list[str], at):
+        self.log, self.stage, self.into, self.out, self.inputs, self.outputs, self.at = log, stage, into, out, inputs, outputs, at
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics
+        if self.into not in seen and self.out not in seen:
+            return
+        rows = [seen[n].rows if n in seen else None for n in (self.into, self.out)]
+        name, spark = f"{event.progress.id}-{event.progress.batchId}", self.log.spark
+        self.log.append(lineage_event(spark, name, self.stage, self.inputs, self.outputs, StructType([]), StructType([]), *rows, self.at), self.at, name)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
