@@ -1,55 +1,75 @@
-"""Matching of fields to terms, by name and by evidence. Fields are rows, so an estate of any size is one join.
-
-Terms, synonyms and rules are reference tables. Those that join by containment or pattern have no equi key and are
-broadcast; their size is checked first.
+"""Matching of fields to terms, by name and by evidence. Fields, terms, synonyms and rules are rows, so an estate of any
+size is a few joins by key: names that hold one another meet by their n-grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import csv
+from functools import partial
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Weights of the signals.
 WEIGHTS = {"keyword": 0.30, "pattern": 0.25, "fingerprint": 0.25, "stat": 0.20}
 
 
-#: Most rows of a reference table that joins without an equi key.
-MOST_REFERENCE_ROWS = 100_000
+def _plain(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
 
 
-def _reference(df: DataFrame) -> DataFrame:
-    if df.limit(MOST_REFERENCE_ROWS + 1).count() > MOST_REFERENCE_ROWS:
-        raise ValueError(f"over {MOST_REFERENCE_ROWS} reference rows; join them in blocks")
-    return F.broadcast(df)
+def _grams(text: Column) -> Column:
+    """Distinct one-, two- and three-character strings of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+    whole = lambda n: F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))), lambda g: F.char_length(g) == n)
+    return F.array_distinct(F.concat(whole(1), whole(2), whole(3)))
 
 
-def _plain(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner_text, outer_text: each distinct text of inner (inner_text) with the texts of outer (outer_text) that contain it.
+
+    Outer texts are posted under their n-grams; an inner text looks itself up under the one of its own trigrams (of its
+    whole, if it is shorter) that fewest outer texts have, so candidates come by an equi join and are then checked. Empty
+    and null texts meet nothing.
+    """
+    i, o = inner.select("inner_text").filter("inner_text <> ''").distinct(), outer.select("outer_text").filter("outer_text <> ''").distinct()
+    posted = o.select("outer_text", F.explode(_grams(F.col("outer_text"))).alias("gram"))
+    common = posted.groupBy("gram").agg(F.count("*").alias("_texts"))
+    own = i.select("inner_text", F.explode(F.filter(_grams(F.col("inner_text")), lambda g: F.char_length(g) == F.least(F.char_length("inner_text"), F.lit(3)))).alias("gram"))
+    asked = own.join(common, "gram", "left").groupBy("inner_text").agg(F.min_by("gram", F.struct(F.coalesce("_texts", F.lit(0)), "gram")).alias("gram"))
+    return asked.join(posted, "gram").filter(F.contains("outer_text", "inner_text")).select("inner_text", "outer_text")
 
 
 def keyword_scores(fields: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """table, column, term, keyword: 1 for an equal name, else the best ratio of lengths where one holds the other.
+    """fields' columns, term, keyword: 1 for an equal name, else the best ratio of lengths where one holds the other.
 
-    fields: table, column; synonyms: term, synonym.
+    fields: table, column (and further ones, which are kept); synonyms: term, synonym. Both may be of any size: names meet
+    by n-grams (containing), in either direction.
     """
-    f, s = _plain(F.col("column")), _plain(F.col("synonym"))  # parts of words match too, so names share no key to join by
-    pairs = fields.join(_reference(synonyms), f.contains(s) | s.contains(f))
-    short, long_ = F.least(F.char_length(f), F.char_length(s)), F.greatest(F.char_length(f), F.char_length(s))
-    return pairs.groupBy("table", "column", "term").agg(F.max(F.when(f == s, 1.0).otherwise(F.round(short / long_, 3))).alias("keyword"))
+    f = fields.withColumn("_f", _plain(F.col("column")))
+    s = synonyms.select("term", _plain(F.col("synonym")).alias("_s")).distinct()
+    inside = containing(s.select(F.col("_s").alias("inner_text")), f.select(F.col("_f").alias("outer_text"))).select(F.col("inner_text").alias("_s"), F.col("outer_text").alias("_f"))
+    around = containing(f.select(F.col("_f").alias("inner_text")), s.select(F.col("_s").alias("outer_text"))).select(F.col("outer_text").alias("_s"), F.col("inner_text").alias("_f"))
+    pairs = inside.unionByName(around).distinct()
+    short, long_ = F.least(F.char_length("_f"), F.char_length("_s")), F.greatest(F.char_length("_f"), F.char_length("_s"))
+    scored = pairs.withColumn("_score", F.when(F.col("_f") == F.col("_s"), 1.0).otherwise(F.round(short / long_, 3)))
+    best = scored.join(s, "_s").groupBy("_f", "term").agg(F.max("_score").alias("keyword"))
+    return f.join(best, "_f").select(*fields.columns, "term", "keyword")
 
 
 def synonym_matches(fields: DataFrame, synonyms: DataFrame, top: int = 3) -> DataFrame:
-    """table, column, term, score, rank: 0.95 for an equal name, else, where one name holds the other, 0.9 times the share of
+    """fields' columns, term, score, rank: 0.95 for an equal name, else, where one name holds the other, 0.9 times the share of
     name parts in common (2 places), from a half. Only names with a part in common meet."""
     parts = lambda c: F.array_distinct(F.filter(F.split(_plain(F.col(c)), "_"), lambda p: p != ""))
-    f = fields.select("table", "column", parts("column").alias("fp"), F.explode(parts("column")).alias("part"))
+    f = fields.select(*fields.columns, parts("column").alias("fp"), F.explode(parts("column")).alias("part"))
     s = synonyms.select("term", "synonym", parts("synonym").alias("sp"), F.explode(parts("synonym")).alias("part"))
-    pairs = f.join(s, "part").select("table", "column", "fp", "term", "synonym", "sp").distinct()
+    pairs = f.join(s, "part").select(*fields.columns, "fp", "term", "synonym", "sp").distinct()
     share = F.size(F.array_intersect("fp", "sp")) / F.greatest(F.size("fp"), F.size("sp"))
     name, synonym = _plain(F.col("column")), _plain(F.col("synonym"))
     holds = name.contains(synonym) | synonym.contains(name)
     score = F.when(name == synonym, 0.95).when(holds & (share >= 0.5), F.round(0.9 * share, 2))
-    best = pairs.withColumn("score", score).filter("score IS NOT NULL").groupBy("table", "column", "term").agg(F.max("score").alias("score"))
+    best = pairs.withColumn("score", score).filter("score IS NOT NULL").groupBy(*fields.columns, "term").agg(F.max("score").alias("score"))
     order = Window.partitionBy("table", "column").orderBy(F.desc("score"), "term")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -85,51 +105,51 @@ def information_type(profiled: DataFrame, term_type: Column | None = None) -> Da
     return profiled.withColumn("information_type", F.coalesce(term_type, own) if term_type is not None else own)
 
 
-#: What the last part of a name says of it, and the first.
-NAME_ENDS = {
-    "identifiers": ("Identifier", "id key no num code ref"),
-    "temporal": ("Temporal", "dt date ts timestamp time at"),
-    "measures": ("Measure", "amt amount qty count total price cost fee rate score"),
-    "flags": ("Dimension", "flag ind yn"),
-    "references": ("Reference", "type status category tier level channel method"),
-}
-NAME_BEGINS = {"flags": ("Dimension", "is_ has_")}
-#: Rules that such names suggest.
-SUGGESTED = {"identifiers": ("not_null", "unique"), "measures": ("not_null", "positive"), "flags": ("accepted_values",)}
-#: Parts of names of personal data, by level: what they are, and how sure that is.
-PERSONAL = {
-    "high_confidence": ("PII", 0.9, "email phone mobile name addr address ssn dob birth pan aadhaar aadhar passport license licence national_id nin nino"),
-    "medium_confidence": ("PII", 0.7, "contact person first last surname postcode zip city"),
-    "low_confidence": ("Sensitive", 0.5, "ip_addr device_id user_agent location lat lon"),
-}
-#: What a type says.
-TYPES = {"decimal": "Measure", "double": "Measure", "float": "Measure", "numeric": "Measure", "date": "Temporal", "timestamp": "Temporal", "datetime": "Temporal", "boolean": "Dimension", "bool": "Dimension"}
-#: Columns that name the table they refer to.
-REFERRING = {"customer_id": "customers.customer_id", "order_id": "orders.order_id", "product_id": "products.product_id"}
-
-
-def name_rules(fields: DataFrame) -> DataFrame:
-    """table, column, rule_type, rule, value, confidence, suggests of fields (table, column, data_type).
-
-    naming: the information type that a name's last part (0.85) or beginning (0.80) tells, a name counts once for each
-    group; pii: the highest level one of whose words the name holds; type: what the data type tells (0.70); fk: the column
-    that it refers to, by a known name (0.80) or as <name>s.<name>_id (0.50). All are expressions of the row, no join.
+RULES = "rule_type string, rule string, pattern string, value string, confidence double, is_key boolean, suggests string"
+#: The rules that come with the library.
+OWN_RULES = Path(__file__).resolve().parents[1] / "config" / "name_rules.csv"
+
+
+def load_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Rules as rows of RULES, from a CSV file with a header (# begins a comment): those at path, or the library's own."""
+    if path is not None:
+        return spark.read.schema(RULES).csv(path, header=True, comment="#")
+    lines = [x for x in OWN_RULES.read_text().splitlines() if not x.startswith("#")]
+    rows = [(*r[:4], float(r[4]), r[5] == "true", r[6] or None) for r in list(csv.reader(lines))[1:]]
+    return spark.createDataFrame(rows, RULES)
+
+
+def name_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """fields' columns less data_type, rule_type, rule, value, confidence, is_key, suggests (an array): what rules say of fields.
+
+    fields: table, column, data_type (and further ones, which are kept). A pattern's * becomes a key to join by: *_x the
+    last part of a name, x* its beginning, *x* a text inside it (containing), a plain name itself or a type. naming rules
+    of one group count once for a field; of pii levels the one with the highest confidence counts; {stem} and {name} in a
+    value are the field's name without its ending and with it.
     """
-    name, last = F.lower("column"), F.element_at(F.split(F.lower("column"), "_"), -1)
-
-    def said(when: Column, kind: str, rule: str, value: Column, confidence: float, suggests: tuple[str, ...] = ()) -> Column:
-        listed = F.array(*map(F.lit, suggests)) if suggests else F.array().cast("array<string>")
-        return F.when(when, F.struct(F.lit(kind).alias("rule_type"), F.lit(rule).alias("rule"), value.alias("value"), F.lit(confidence).alias("confidence"), listed.alias("suggests")))
-
-    rows = [said(last.isin(ends.split()), "naming", f"{group}:end", F.lit(kind), 0.85, SUGGESTED.get(group, ())) for group, (kind, ends) in NAME_ENDS.items()]
-    rows += [said(name.rlike("^(" + "|".join(begins.split()) + ")"), "naming", f"{group}:begin", F.lit(kind), 0.80, SUGGESTED.get(group, ())) for group, (kind, begins) in NAME_BEGINS.items()]
-    levels = [said(name.rlike("|".join(words.split())), "pii", level, F.lit(kind), sure) for level, (kind, sure, words) in PERSONAL.items()]
-    rows.append(F.coalesce(*levels))
-    kind = F.regexp_extract(F.lower("data_type"), r"^\w+", 0)
-    rows.append(said(kind.isin(list(TYPES)), "type", "data_type", F.element_at(F.create_map(*[F.lit(x) for k, v in TYPES.items() for x in (k, v)]), kind), 0.70))
-    rows += [said(name == own, "fk", own, F.lit(target), 0.80) for own, target in REFERRING.items()]
-    rows.append(said(name.endswith("_id"), "fk", "stem", F.concat(F.regexp_replace(name, "_id", ""), F.lit("s."), name), 0.50))
-    return fields.select("table", "column", F.inline(F.array_compact(F.array(*rows))))
+    named = fields.withColumns({"_name": F.lower("column"), "_type": F.regexp_extract(F.lower("data_type"), r"^\w+", 0)})
+    p, core = F.col("pattern"), F.regexp_replace("pattern", r"[*]", "")
+    starred, ending = p.startswith("*"), p.endswith("*")
+    how = F.when(F.col("rule_type") == "type", "type").when(starred & ending, "inside").when((F.col("rule_type") == "naming") & p.startswith("*_"), "part").when(starred, "end").when(ending, "begin").otherwise("name")
+    r = rules.withColumns({"_how": how, "_key": F.lower(F.when(how == "part", F.substring(core, 2, 1000)).otherwise(core))})
+    names = named.select("_name", "_type").distinct()
+    parts = lambda n, c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.substring(c, F.lit(1) if n == "begin" else i, i if n == "begin" else F.lit(1000)))
+    key = lambda n, x: F.struct(F.lit(n).alias("_how"), x.alias("_key"))
+    keys = F.array(key("type", F.col("_type")), key("name", F.col("_name")), key("part", F.element_at(F.split("_name", "_"), -1)))
+    edges = F.flatten(F.array(*[F.transform(parts(n, F.col("_name")), partial(key, n)) for n in ("begin", "end")]))
+    posted = names.select("_name", "_type", F.inline(F.concat(keys, edges)))
+    met = posted.join(r, ["_how", "_key"])
+    inside = r.filter("_how = 'inside'")
+    held = containing(inside.select(F.col("_key").alias("inner_text")), names.select(F.col("_name").alias("outer_text")))
+    by_text = held.select(F.col("inner_text").alias("_key"), F.col("outer_text").alias("_name")).join(names, "_name").join(inside, "_key")
+    all_ = met.unionByName(by_text)
+    group = F.when(F.col("rule_type") == "pii", "").otherwise(F.col("rule"))
+    best = all_.groupBy("_name", "_type", "rule_type", group.alias("_group")).agg(F.max_by(F.struct("rule", "value", "confidence", "is_key", "suggests"), F.struct("confidence", "pattern")).alias("s")).select("_name", "_type", "rule_type", "s.*")
+    stem = F.regexp_replace("_name", "_id", "")
+    value = F.replace(F.replace("value", F.lit("{stem}"), stem), F.lit("{name}"), F.col("_name"))
+    told = best.withColumns({"value": value, "suggests": F.when(F.col("suggests").isNotNull(), F.split("suggests", " ")).otherwise(F.array().cast("array<string>"))})
+    kept = [c for c in fields.columns if c != "data_type"]
+    return named.join(told, ["_name", "_type"]).select(*kept, "rule_type", "rule", "value", "confidence", "is_key", "suggests")
 
 
 def application_matches(datasets: DataFrame, applications: DataFrame, top: int = 3) -> DataFrame:

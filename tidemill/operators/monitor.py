@@ -83,6 +83,17 @@ def stage_summary(log: DataFrame, subject: str, stage: str, at: str, stages: lis
     return log.groupBy(subject).agg(*[F.max(F.when(F.col(stage) == s, F.col(at))).alias(f"last_{s}") for s in stages], fails.alias("failures"), F.max(at).alias("last_seen"))
 
 
+EVENTS = "dataset_name string, stage string, status string, details string, event_time timestamp"
+
+
+def log_events(log, events: DataFrame, at, name: str | None = None) -> int:
+    """Appends events (EVENTS; what they lack is null) to an event log (sources.tables.Batches); of a name given again the
+    events replace those before. Returns the batch's number."""
+    kinds = dict(events.dtypes)
+    columns = [F.col(c).cast(t).alias(c) if c in kinds else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in EVENTS.split(", "))]
+    return log.append(events.select(*columns), at, name)
+
+
 def latest_runs(log: DataFrame, stage: str, n: int, at: str = "event_time", ties: tuple[str, ...] = ()) -> DataFrame:
     """The latest n rows of a stage; of equal times in the order of ties."""
     return log.filter(F.col("stage") == stage).orderBy(F.desc(at), *ties).limit(n)
@@ -171,9 +182,9 @@ def audit(run_id: str, stage: str, version: str, tables: dict[str, tuple[str, Da
     return out
 
 
-def dataset_history(log: DataFrame, dataset: str, n: int, *, name: str = "dataset_name", at: str = "event_time") -> DataFrame:
-    """The latest n events of a dataset."""
-    return log.filter(F.col(name) == dataset).orderBy(F.desc(at)).limit(n)
+def dataset_history(log: DataFrame, dataset: str, n: int, *, name: str = "dataset_name", at: str = "event_time", ties: tuple = ()) -> DataFrame:
+    """The latest n events of a dataset; of equal times in the order of ties."""
+    return log.filter(F.col(name) == dataset).orderBy(F.desc(at), *ties).limit(n)
 
 
 def log_activity(logs: DataFrame, module: str, message: str, path: str = "$.asset_name") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DATE_SHAPES, PATTERNS, holds
+from ..sources import scratch
 
 #: Texts that count as null, and how values look by type.
 NULL_TEXTS = ("", "null", "none", "na")
@@ -105,11 +106,87 @@ def top_values(df: DataFrame, columns: tuple[str, ...] = (), n: int = 5) -> Data
     return long_form(df, columns).filter("value IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def exact_quantiles(df: DataFrame, column: str, by: tuple[str, ...] = (), shares: tuple[float, ...] = (0.25, 0.5, 0.75), *, cells: int = 1024, few: int = 10_000) -> DataFrame:
+    """by, q (an array): exact quantiles of each group, linear between neighbours, for all groups at once.
+
+    A pass counts a group's values by cells between its least and greatest; only the cells that hold the wanted ranks are
+    cut again, until each has one value or at most `few`, which alone are ranked. So no group's values meet in one place,
+    and a value that repeats is one row of counts. NaN and null are left out; a group without numbers has no row.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    v = df.select(*[F.coalesce(F.struct(F.col(c)), F.struct(F.lit(None).cast(dict(df.dtypes)[c]).alias(c))).alias(k) for k, c in zip(keys, by)], F.col(column).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
+    group = [*keys, "_one"]
+    v = v.withColumn("_one", F.lit(0))
+    stats = v.groupBy(*group).agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(q) * (F.col("n") - 1)), F.ceil(F.lit(q) * (F.col("n") - 1))) for q in shares])))
+    targets = scratch.materialize(stats.select(*group, "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.explode(wanted).alias("rank")), "ranks")
+    for _ in range(64):
+        open_ = targets.filter((F.col("low") < F.col("high")) & (F.col("inside") > few))
+        cut = open_.select(*group, "low", "high", "below").distinct()
+        if cut.isEmpty():
+            break
+        share = (F.col("_x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves do not overflow
+        place = F.least(F.floor(share * cells), F.lit(cells - 1)).alias("_cell")
+        counted = v.join(cut, group).filter("_x >= low AND _x <= high").groupBy(*group, "low", "high", "below", place).agg(F.count("*").alias("c"), F.min("_x").alias("cl"), F.max("_x").alias("ch"))
+        before = Window.partitionBy(*group, "low").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # `cells` rows at most
+        counted = counted.withColumn("cb", F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0)))
+        own = open_.drop("below", "inside").join(counted.drop("below"), [*group, "low", "high"]).filter("rank >= cb AND rank < cb + c")
+        done = targets.filter((F.col("low") >= F.col("high")) | (F.col("inside") <= few))
+        targets = scratch.materialize(done.unionByName(own.select(*group, F.col("cl").alias("low"), F.col("ch").alias("high"), F.col("cb").alias("below"), F.col("c").alias("inside"), "rank")), "ranks")
+    flat = targets.filter("low = high").select(*group, "rank", F.col("low").alias("_x"))
+    last = targets.filter("low < high").select(*group, "low", "high", "below").distinct()
+    ranked = v.join(last, group).filter("_x >= low AND _x <= high").withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy(*group, "low").orderBy("_x")) - 1)
+    found = flat.unionByName(ranked.select(*group, "rank", "_x").join(targets.filter("low < high").select(*group, "rank"), [*group, "rank"], "left_semi"))
+    values = found.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_x"))).alias("m"))  # two ranks a share
+    rows = values.join(stats.select(*group, "n"), group)
+
+    def at(q: float) -> F.Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low, high = F.element_at("m", F.floor(place)), F.element_at("m", F.ceil(place))
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise(low + (high - low) * (place - F.floor(place)))
+
+    return rows.select(*[F.col(f"{k}.{c}").alias(c) for k, c in zip(keys, by)], F.array(*[at(q) for q in shares]).alias("q"))
+
+
 def quantiles(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact quartiles, mean and sample deviation."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(q.alias("q"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
-    return out.select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "mean", "std")
+    q = exact_quantiles(df, column, by).select(*by, *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+    rest = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    if not by:
+        return rest.join(q, how="left").select("q25", "q50", "q75", "mean", "std")
+    own, same = rest.alias("r"), [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+    return own.join(q.alias("q"), same, "left").select(*[F.col(f"r.{c}") for c in by], "q25", "q50", "q75", "mean", "std")
+
+
+#: HLL sketches of 2 ** 12 cells: a relative error of 1.04 / 2 ** 6, about 1.6 %; KLL sketches of k 200: ranks within about 1.7 %.
+HLL_BITS, KLL_K = 12, 200
+
+
+def sketches(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """column, rows, filled, distinct_sketch, rank_sketch (of numbers, else null): a row for each column, to be stored with a batch.
+
+    One aggregation over the rows as they are. Sketches of batches merge (merged_sketches), so a table's profile needs no
+    second reading of the batches before.
+    """
+    kinds, named = dict(df.dtypes), columns or tuple(df.columns)
+    aggs = [F.count("*").alias("_rows")]
+    for i, c in enumerate(named):
+        numeric = kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+        ranks = F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(KLL_K)) if numeric else F.lit(None).cast("binary")
+        aggs += [F.count(c).alias(f"_n{i}"), F.hll_sketch_agg(F.col(c).cast("string"), HLL_BITS).alias(f"_d{i}"), ranks.alias(f"_r{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"_n{i}").alias("filled"), F.col(f"_d{i}").alias("distinct_sketch"), F.col(f"_r{i}").alias("rank_sketch")) for i, c in enumerate(named)])
+    return df.agg(*aggs).select(F.inline(rows))
+
+
+def merged_sketches(stored: DataFrame) -> DataFrame:
+    """Sketches of the same columns of several batches as one row a column."""
+    return stored.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("rank_sketch").alias("rank_sketch"))
+
+
+def estimates(merged: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """column, rows, filled, distinct_values (estimated), q (estimated quantiles of numbers)."""
+    q = F.when(F.col("rank_sketch").isNotNull(), F.array(*[F.kll_sketch_get_quantile_double("rank_sketch", F.lit(s)) for s in shares]))
+    return merged.select("column", "rows", "filled", F.hll_sketch_estimate("distinct_sketch").alias("distinct_values"), q.alias("q"))
 
 
 def fingerprint_codes(df: DataFrame, codes: DataFrame, columns: tuple[str, ...] = (), least: float = 0.3) -> DataFrame:

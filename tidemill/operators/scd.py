@@ -166,13 +166,31 @@ def valid_at(history: DataFrame, at) -> DataFrame:
     return history.filter((F.col("valid_from") <= _at(at)) & (F.col("valid_to") > _at(at)))
 
 
-def as_of_join(facts: DataFrame, history: DataFrame, key: dict[str, str], fact_time: str, *, how: str = "left") -> DataFrame:
+def as_of_join(facts: DataFrame, history: DataFrame, key: dict[str, str], fact_time: str, *, how: str = "left", slice_days: int = 30) -> DataFrame:
     """facts with the columns of the history row that was valid at fact_time. key: fact column -> history column.
 
-    An equi join on the key with the interval as a residual: a key's versions meet its facts only.
+    Facts and versions of a key are one sequence in time, filled forward, so each row is looked at once: no pairs are made.
+    A key's sequence is cut into slices of time, each begun by the version that the slices before hand on, so a hot key is
+    spread over its slices. A key's versions may not overlap; where they do, the one that began last counts. Facts without a
+    time, or with a null in their key, find nothing. Columns that facts have too are named _h_<column>.
     """
-    renamed = history.select(*[F.col(c).alias(f"_h_{c}") if c in set(key.values()) or c in facts.columns else F.col(c) for c in history.columns])
-    on = [F.col(f) == F.col(f"_h_{h}") for f, h in key.items()]
+    keys, width = [f"_k{i}" for i in range(len(key))], slice_days * 86_400
+    shown = [c for c in history.columns if c not in key.values()]
     at = F.col(fact_time).cast("timestamp")
-    on += [at >= F.col("valid_from"), at < F.col("valid_to")]
-    return facts.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*[f"_h_{h}" for h in key.values()])
+    cut = lambda t: F.floor(F.unix_seconds(t) / width)
+    version = F.struct(*[F.col(c) for c in shown], F.col("valid_to").alias("_until"))
+    v = history.filter("valid_from < valid_to").select(*[F.col(h).alias(k) for k, h in zip(keys, key.values())], F.col("valid_from").cast("timestamp").alias("_at"), version.alias("_v"))
+    f = facts.select(*[F.col(c).alias(k) for k, c in zip(keys, key)], at.alias("_at"), F.struct("*").alias("_f"))
+    rows = v.withColumn("_kind", F.lit(0)).unionByName(f.withColumn("_kind", F.lit(1)), allowMissingColumns=True).withColumn("_slice", cut(F.col("_at")))
+    ended = F.max_by("_v", F.when(F.col("_kind") == 0, F.struct("_at", "_v._until")))
+    slices = rows.groupBy(*keys, "_slice").agg(ended.alias("_last"), F.max("_kind").alias("_facts"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.withColumn("_v", F.last("_last", ignorenulls=True).over(before)).filter("_facts = 1 AND _v IS NOT NULL")
+    rows = rows.unionByName(carried.select(*keys, "_slice", "_v", F.lit(-1).alias("_kind")), allowMissingColumns=True)
+    sequence = Window.partitionBy(*keys, "_slice").orderBy(F.when(F.col("_kind") >= 0, F.col("_at")).asc_nulls_first(), "_kind", "_v._until").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(sequence)).filter("_kind = 1")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    filled = filled.withColumn("_v", F.when(whole & (F.col("_at") < F.col("_v._until")), F.col("_v")))
+    if how == "inner":
+        filled = filled.filter("_v IS NOT NULL")
+    return filled.select("_f.*", *[F.col(f"_v.{c}").alias(f"_h_{c}" if c in facts.columns else c) for c in shown])

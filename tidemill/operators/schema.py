@@ -7,7 +7,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -151,6 +151,32 @@ def unchanged(incoming: StructType, stored_fingerprint: str | None, existing: St
     return fingerprint(incoming) == stored_fingerprint and set(incoming.names) <= set(existing.names)
 
 
+SCHEMA_HISTORY = "table_name string, generation long, batch string, fingerprint string, fields array<struct<name: string, type: string>>, recorded_at timestamp"
+
+
+def history_row(spark: SparkSession, said: StructType, table: str, generation: int, batch: str, at) -> DataFrame:
+    """One row of SCHEMA_HISTORY: how a table's landed batch looked. Control columns are left out."""
+    own = [f for f in said if not f.name.startswith(CONTROL_PREFIX)]
+    return spark.createDataFrame([(table, generation, batch, fingerprint(StructType(own)), [(f.name, f.dataType.simpleString()) for f in own], at)], SCHEMA_HISTORY)
+
+
+def generation_changes(history: DataFrame) -> DataFrame:
+    """table_name, generation, change (new, removed or retyped), field, old, new: what each generation of a schema history
+    changes of the one before it. A generation whose fingerprint is the one before has no rows, nor has the first one."""
+    before = Window.partitionBy("table_name").orderBy("generation")
+    rows = history.withColumns({"_was": F.lag("fields").over(before), "_print": F.lag("fingerprint").over(before)}).filter("_was IS NOT NULL AND fingerprint <> _print")
+    name = lambda fs: F.transform(fs, lambda f: f["name"])
+    now, was = F.col("fields"), F.col("_was")
+    change = lambda kind, f, old, new: F.struct(F.lit(kind).alias("change"), f["name"].alias("field"), old.alias("old"), new.alias("new"))
+    nothing = F.lit(None).cast("string")
+    added = F.transform(F.filter(now, lambda f: ~F.array_contains(name(was), f["name"])), lambda f: change("new", f, nothing, f["type"]))
+    gone = F.transform(F.filter(was, lambda f: ~F.array_contains(name(now), f["name"])), lambda f: change("removed", f, f["type"], nothing))
+    old_type = lambda f: F.filter(was, lambda g: g["name"] == f["name"])[0]["type"]
+    kept = F.filter(now, lambda f: F.exists(was, lambda g: (g["name"] == f["name"]) & (g["type"] != f["type"])))
+    retyped = F.transform(kept, lambda f: change("retyped", f, old_type(f), f["type"]))
+    return rows.select("table_name", "generation", F.inline(F.concat(added, gone, retyped)))
+
+
 AUDIT = "table_name string, layer string, change_type string, column_name string, old_type string, new_type string, status string, run_id string, recorded_at timestamp"
 
 

@@ -34,6 +34,11 @@ class Lake(NamedTuple):
         return Keyed(self.spark, f"{self.root}/state/{spec.table}", spec.primary_key, spec.buckets)
 
 
+def _note(lake: Lake, name: str, rows: DataFrame, at, mark: str) -> None:
+    """A few rows of a control table."""
+    lake.table("control", name).append(rows.coalesce(1), at, mark)
+
+
 def _completed(lake: Lake, spec: TableSpec, df: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
     """(change data with whole rows, the state of its keys after it)."""
     target, state = lake.table("bronze", spec.table), lake.state(spec)
@@ -66,21 +71,22 @@ def bronze(lake: Lake, spec: TableSpec, landed: DataFrame, batch_id: str, at, po
     if stored is not None and not schema.unchanged(df.schema, schema.fingerprint(stored), stored):
         came = df
         df, quarantined, said = schema.evolve(df, stored, policy)
-        lake.table("control", "schema_change_audit").append(schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at, mark)
+        _note(lake, "schema_change_audit", schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at, mark)
         if df is None:
             return lake.table("quarantine", f"{spec.table}_schema").append(quarantined.select(*[F.col(c).cast("string").alias(c) for c in quarantined.columns]), at, batch_id)
         lost = schema.values_lost(came, said.target)
     df, seen = monitor.counted(df, f"bronze-{mark}")
     number = target.append(df, at, batch_id)
     if lost is not None:
-        lake.table("control", "values_lost").append(lost.select(F.lit(spec.table).alias("table"), F.lit(batch_id).alias("batch"), "*"), at, mark)
+        _note(lake, "values_lost", lost.select(F.lit(spec.table).alias("table"), F.lit(batch_id).alias("batch"), "*"), at, mark)
     if latest is not None:
         _update_state(lake.state(spec), latest, at)
     rows = seen.get["rows"]
     lineage = monitor.lineage_event(lake.spark, batch_id, "bronze", [f"landing.{spec.table}"], [f"bronze.{spec.table}"], landed.schema, df.schema, rows, rows, at, audit=[] if lost is None else said.audit)
-    lake.table("control", "lineage").append(lineage, at, f"bronze-{mark}")
+    _note(lake, "lineage", lineage, at, f"bronze-{mark}")
+    _note(lake, "schema_history", schema.history_row(lake.spark, landed.schema, spec.table, number, batch_id, at), at, mark)
     done = lake.spark.createDataFrame([(spec.table, batch_id, at)], "table string, version string, processed_at timestamp")
-    lake.table("control", "watermark").append(done, at, mark)
+    _note(lake, "watermark", done, at, mark)
     return number
 
 
@@ -132,9 +138,9 @@ def silver(lake: Lake, spec: TableSpec, at, batch_id: str | None = None, *, dial
     target.merge(clean, ("row_hash",), at, name)
     counts = {"filtered": read.get["rows"] - judged.get["rows"], "rejected": bad.get["rows"], "late": tardy.get["rows"] if tardy else 0, "passed": good.get["rows"]}
     check = monitor.reconciliation_log([monitor.observed_layers(lake.spark, read.get["rows"], counts)], name, spec.table, at)
-    lake.table("control", "reconciliation").append(check, at, f"{spec.table}-{name}")
+    _note(lake, "reconciliation", check, at, f"{spec.table}-{name}")
     lineage = monitor.lineage_event(lake.spark, name, "silver", [f"bronze.{spec.table}"], [f"silver.{spec.table}", f"quarantine.{spec.table}"], source.schema, target.fields(), read.get["rows"], good.get["rows"], at)
-    lake.table("control", "lineage").append(lineage, at, f"silver-{spec.table}-{name}")
+    _note(lake, "lineage", lineage, at, f"silver-{spec.table}-{name}")
     return check
 
 

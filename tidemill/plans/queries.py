@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -13,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ..functions import text, vectors
 from ..operators import cdc, dedup, late, match, monitor, profile, quality, schema, scd
 from ..sources import files, scratch, tables
-from ..spec import DqRules, TableSpec
+from ..spec import DqRules, TableSpec, load_specs
 from ..streaming import streams
 from . import medallion as medallion_plan
 from . import products
@@ -512,8 +513,9 @@ def monitor_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS events FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.count("*").alias("events")).select("event_type", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), "events")
+    e = table(spark, d, "events")
+    q = profile.exact_quantiles(e, "value", ("event_type",), (0.5, 0.95))
+    return q.join(e.groupBy("event_type").agg(F.count("*").alias("events")), "event_type").select("event_type", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), "events")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS events FROM events GROUP BY 1")
@@ -1002,7 +1004,8 @@ def stream_within(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
-_FIELDS_SQL = "SELECT table_name AS \"table\", column_name AS \"column\", data_type FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _NAMED) + ")"
+_FILLED_SQL = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", name AS \"column\", filled FROM (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM {t}) ON COLUMNS(*) INTO NAME name VALUE filled)" for t in _NAMED)
+_FIELDS_SQL = f'SELECT c.table_name AS "table", c.column_name AS "column", c.data_type, n.filled FROM information_schema.columns c JOIN ({_FILLED_SQL}) n ON c.table_name = n."table" AND c.column_name = n."column"'
 _SYNONYMS = [("Customer", "custkey"), ("Customer", "customer"), ("Name", "name"), ("Event", "event_id"), ("Event", "event"), ("Kind", "type"), ("Document", "doc_id"), ("Price", "total price"), ("Text", "text")]
 _SYNONYM_SQL = "(VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in _SYNONYMS) + ") s(term, synonym)"
 
@@ -1027,55 +1030,52 @@ _PLAIN_SQL = "regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g')"
 
 @query(f"""
     WITH f AS (SELECT *, {_PLAIN_SQL.format('"column"')} AS a FROM ({_FIELDS_SQL})), s AS (SELECT term, {_PLAIN_SQL.format('synonym')} AS b FROM {_SYNONYM_SQL})
-    SELECT "table", "column", term, max(CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(least(length(a), length(b)) / greatest(length(a), length(b)), 3) END) AS keyword
+    SELECT "table", "column", filled, term, max(CASE WHEN a = b THEN 1.0::DOUBLE ELSE round(least(length(a), length(b)) / greatest(length(a), length(b)), 3) END) AS keyword
     FROM f JOIN s ON contains(a, b) OR contains(b, a) GROUP BY ALL""")
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    return match.keyword_scores(_fields(spark, d), _synonyms(spark))
+    """Names of columns against synonyms, with how many values each column holds."""
+    return match.keyword_scores(_fields(spark, d).drop("data_type"), _synonyms(spark))
 
 
 @query(f"""
     WITH f AS (SELECT *, {_PLAIN_SQL.format('"column"')} AS a, list_distinct(list_filter(string_split({_PLAIN_SQL.format('"column"')}, '_'), lambda x: x <> '')) AS fp FROM ({_FIELDS_SQL})),
     s AS (SELECT term, {_PLAIN_SQL.format('synonym')} AS b, list_distinct(list_filter(string_split({_PLAIN_SQL.format('synonym')}, '_'), lambda x: x <> '')) AS sp FROM {_SYNONYM_SQL}),
-    m AS (SELECT "table", "column", term, CASE WHEN a = b THEN 0.95::DOUBLE WHEN (contains(a, b) OR contains(b, a)) AND len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)) >= 0.5 THEN round(0.9 * len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)), 2) END AS score
+    m AS (SELECT "table", "column", filled, term, CASE WHEN a = b THEN 0.95::DOUBLE WHEN (contains(a, b) OR contains(b, a)) AND len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)) >= 0.5 THEN round(0.9 * len(list_intersect(fp, sp)) / greatest(len(fp), len(sp)), 2) END AS score
           FROM f, s WHERE len(list_intersect(fp, sp)) > 0),
-    b AS (SELECT "table", "column", term, max(score) AS score FROM m WHERE score IS NOT NULL GROUP BY ALL)
+    b AS (SELECT "table", "column", filled, term, max(score) AS score FROM m WHERE score IS NOT NULL GROUP BY ALL)
     SELECT *, CAST(row_number() OVER (PARTITION BY "table", "column" ORDER BY score DESC, term) AS INTEGER) AS rank FROM b QUALIFY rank <= 3""")
 def synonym_matches(spark: SparkSession, d: str) -> DataFrame:
-    return match.synonym_matches(_fields(spark, d), _synonyms(spark))
+    return match.synonym_matches(_fields(spark, d).drop("data_type"), _synonyms(spark))
 
 
 def _rule_sql() -> str:
-    last, out = "string_split(c, '_')[-1]", []
-    for group, (kind, ends) in match.NAME_ENDS.items():
-        out.append(f"SELECT \"table\", c, 'naming', '{group}:end', '{kind}', 0.85 FROM f WHERE {last} IN ({', '.join(repr(e) for e in ends.split())})")
-    for group, (kind, begins) in match.NAME_BEGINS.items():
-        out.append(f"SELECT \"table\", c, 'naming', '{group}:begin', '{kind}', 0.8 FROM f WHERE regexp_matches(c, '^({'|'.join(begins.split())})')")
-    before: list[str] = []
-    for level, (kind, sure, words) in match.PERSONAL.items():
-        own = f"regexp_matches(c, '{'|'.join(words.split())}')"
-        out.append(f"SELECT \"table\", c, 'pii', '{level}', '{kind}', {sure} FROM f WHERE " + " AND ".join([own, *[f"NOT {x}" for x in before]]))
-        before.append(own)
-    out.append("SELECT \"table\", c, 'type', 'data_type', CASE WHEN data_type = 'DOUBLE' THEN 'Measure' ELSE 'Temporal' END, 0.7 FROM f WHERE data_type = 'DOUBLE' OR data_type LIKE 'TIMESTAMP%'")
-    out.append("SELECT \"table\", c, 'fk', 'stem', replace(c, '_id', '') || 's.' || c, 0.5 FROM f WHERE c LIKE '%\\_id' ESCAPE '\\'")
-    return f'WITH f AS (SELECT "table", lower("column") AS c, data_type FROM ({_FIELDS_SQL})), r("table", "column", rule_type, rule, value, confidence) AS (' + " UNION ALL ".join(out) + ') SELECT "table", "column", rule_type, rule, value, confidence::DOUBLE AS confidence FROM r'
+    """Rules as a table; what matches is said by patterns, the best of a group by rank."""
+    lines = list(csv.reader([x for x in match.OWN_RULES.read_text().splitlines() if not x.startswith("#")]))[1:]
+    rules = ", ".join("(" + ", ".join("'" + x + "'" for x in r) + ")" for r in lines)
+    return f"""
+        WITH f AS (SELECT *, lower("column") AS c, regexp_extract(lower(data_type), '^[a-z0-9]+') AS kind FROM ({_FIELDS_SQL})),
+        r(rule_type, rule, pattern, value, confidence, is_key, suggests) AS (VALUES {rules}),
+        m AS (SELECT "table", "column", filled, rule_type, rule, replace(replace(value, '{{stem}}', replace(c, '_id', '')), '{{name}}', c) AS value, CAST(confidence AS DOUBLE) AS confidence, is_key = 'true' AS is_key, replace(suggests, ' ', ',') AS suggests, pattern
+              FROM f JOIN r ON CASE WHEN rule_type = 'type' THEN kind = pattern WHEN rule_type = 'naming' AND pattern LIKE '*%' THEN string_split(c, '_')[-1] = pattern[3:] ELSE c GLOB pattern END)
+        SELECT * EXCLUDE (pattern) FROM m QUALIFY row_number() OVER (PARTITION BY "table", "column", rule_type, CASE WHEN rule_type <> 'pii' THEN rule END ORDER BY confidence DESC, pattern DESC) = 1"""
 
 
 @query(_rule_sql())
 def name_rules(spark: SparkSession, d: str) -> DataFrame:
-    """What the names and types of all columns tell."""
+    """What the names and types of all columns tell, by the rules that come with the library."""
     fields = _fields(spark, d).withColumn("data_type", F.regexp_replace("data_type", "timestamp_ntz", "timestamp"))
-    return match.name_rules(fields).drop("suggests")
+    return match.name_rules(fields, match.load_rules(spark)).withColumn("suggests", F.array_join("suggests", ","))
 
 
 @query(f"""
-    WITH w AS (SELECT "table", unnest(list_distinct(string_split(string_agg(lower("column"), '_'), '_'))) AS word FROM ({_FIELDS_SQL}) GROUP BY 1),
+    WITH w AS (SELECT "table", CAST(sum(filled) AS BIGINT) AS filled, unnest(list_distinct(string_split(string_agg(lower("column"), '_'), '_'))) AS word FROM ({_FIELDS_SQL}) GROUP BY 1),
     a(application, word) AS (VALUES ('sales', 'price'), ('sales', 'custkey'), ('sales', 'l'), ('sales', 'o'), ('web', 'url'), ('web', 'html'), ('web', 'text'), ('web', 'id')),
-    h AS (SELECT "table", application, count(*) AS hits FROM w JOIN a USING (word) GROUP BY 1, 2)
+    h AS (SELECT "table", filled, application, count(*) AS hits FROM w JOIN a USING (word) GROUP BY ALL)
     SELECT *, CAST(row_number() OVER (PARTITION BY "table" ORDER BY hits DESC, application) AS INTEGER) AS rank FROM h QUALIFY rank <= 3""")
 def application_matches(spark: SparkSession, d: str) -> DataFrame:
-    words = _fields(spark, d).groupBy("table").agg(F.split(F.concat_ws("_", F.collect_list("column")), "_").alias("words"))
+    words = _fields(spark, d).groupBy("table").agg(F.split(F.concat_ws("_", F.collect_list("column")), "_").alias("words"), F.sum("filled").alias("filled"))
     apps = spark.createDataFrame([("sales", ["Price", "custkey", "l", "o"]), ("web", ["url", "html", "text", "id"])], "application string, keywords array<string>")
-    return match.application_matches(words, apps)
+    return match.application_matches(words.drop("filled"), apps).join(words.select("table", "filled"), "table")
 
 
 @query("""
@@ -1135,6 +1135,178 @@ def key_candidates(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(children, "table", "left")
 
 
+# Runs over several landed batches
+
+
+_PARTS = "CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 2 ELSE 3 END"
+
+
+def _landed(spark: SparkSession, d: str) -> tuple[medallion_plan.Lake, TableSpec]:
+    """Orders in three batches: with fewer columns, as they are, and with a retyped and a removed one; some break a rule."""
+    lake = medallion_plan.Lake(spark, scratch.new_path(spark, "lake"))
+    spec = TableSpec("orders", ("o_orderkey",), dedup_order_by="o_orderkey DESC", dq_rules=DqRules(positive=("o_totalprice",)))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(F.expr("o_orderkey % 7 = 0"), F.lit(-1.0)).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    for k, shape in enumerate((lambda x: x.drop("o_custkey"), lambda x: x, lambda x: x.withColumn("o_custkey", F.col("o_custkey").cast("string")).drop("o_orderstatus"))):
+        at = datetime(2024, 1, 1 + k)
+        medallion_plan.bronze(lake, spec, shape(o.filter(f"{_PARTS} = {k + 1}")), f"b{k + 1}", at)
+        medallion_plan.silver(lake, spec, at, f"b{k + 1}")
+    return lake, spec
+
+
+@query("""
+    WITH g AS (SELECT * FROM (VALUES (2, 'new', 'o_custkey', NULL, 'bigint'), (3, 'removed', 'o_orderstatus', 'string', NULL), (3, 'retyped', 'o_custkey', 'bigint', 'string')) t(generation, change, field, old, new))
+    SELECT generation, change, field, old, new, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = generation - 1) AS rows FROM g""")
+def schema_generations(spark: SparkSession, d: str) -> DataFrame:
+    """How each of three landed generations of a table differs from the one before, with the rows of its batch."""
+    lake, _ = _landed(spark, d)
+    changes = schema.generation_changes(lake.table("control", "schema_history").read())
+    rows = lake.table("control", "lineage").read().filter("stage = 'bronze'").select(F.regexp_extract("run_id", r"(\d+)", 1).cast("long").alias("generation"), F.col("rows_in").alias("rows"))
+    return changes.join(rows, "generation").select(F.col("generation").cast("int").alias("generation"), "change", "field", "old", "new", "rows")
+
+
+@query(f"""
+    WITH b AS (SELECT {_PARTS} AS n, count(*) AS came, count_if(o_orderkey % 7 <> 0 AND o_totalprice > 0) AS good FROM orders GROUP BY 1)
+    SELECT 'b' || n AS run_id, stage, CASE WHEN stage = 'bronze' THEN 'landing.orders>bronze>bronze.orders' ELSE 'bronze.orders>silver>quarantine.orders,silver.orders' END AS edges, came AS rows_in, CASE WHEN stage = 'bronze' THEN came ELSE good END AS rows_out,
+           CASE WHEN stage = 'silver' OR n = 1 THEN '' WHEN n = 2 THEN 'add:o_custkey' ELSE 'drop:o_orderstatus,widen:o_custkey' END AS changes, stage = 'silver' AND came - good > 0 AS lost_some
+    FROM b, (VALUES ('bronze'), ('silver')) s(stage)""")
+def run_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """What each stage of three loads read and wrote, its changes of schema, and its rows, which were counted as they passed."""
+    lake, _ = _landed(spark, d)
+    rows = lake.table("control", "lineage").read()
+    edges = F.concat_ws(">", F.array_join("inputs", ","), "stage", F.array_join(F.array_sort("outputs"), ","))
+    changes = F.array_join(F.array_sort(F.transform("schema_changes", lambda c: F.concat_ws(":", c["change"], c["column"]))), ",")
+    return rows.select("run_id", "stage", edges.alias("edges"), "rows_in", "rows_out", changes.alias("changes"), (F.col("rows_in") > F.col("rows_out")).alias("lost_some"))
+
+
+@query(f"""
+    SELECT 'b' || {_PARTS} AS run_id, 'orders' AS table_name, count(*) AS source_count, count(*) AS target_count, true AS passed,
+           'filtered 0, rejected ' || count_if(o_orderkey % 7 = 0 OR o_totalprice <= 0) || ', late 0, passed ' || count_if(o_orderkey % 7 <> 0 AND o_totalprice > 0) AS details FROM orders GROUP BY {_PARTS}""")
+def run_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Each batch's rows against those of each way out of it."""
+    lake, _ = _landed(spark, d)
+    return lake.table("control", "reconciliation").read().select("run_id", "table_name", "source_count", "target_count", "passed", "details")
+
+
+@query("""
+    WITH h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+    SELECT event_type AS dataset_name, details, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT event_type, CAST(event_id AS VARCHAR) AS details, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'error') WHERE k <= 50""")
+def event_history(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 latest events of a dataset, out of a log to which the events of each hour of the day are appended; one hour is sent again."""
+    log = tables.Batches(spark, scratch.new_path(spark, "event-log"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("dataset_name"), F.col("ts").alias("event_time"), F.col("event_id").cast("string").alias("details"))
+    for k in (0, 1, 2, 1):
+        monitor.log_events(log, e.filter(F.floor(F.hour("event_time") / 8) == k), AS_OF, f"part{k}")
+    return monitor.dataset_history(log.read(), "error", 50, ties=(F.desc(F.col("details").cast("long")),)).select("dataset_name", "details", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""
+    SELECT c_mktsegment AS segment, count(*) AS customers, sum(CAST(c_custkey AS BIGINT))::BIGINT AS keys, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS products FROM customer GROUP BY 1""")
+def dropped_specs(spark: SparkSession, d: str) -> DataFrame:
+    """A table specification and a product's SQL that were dropped as files make a table and a product; a bad file is left out."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory(prefix="spark-specs-") as folder:  # read by the driver only
+        for name, said in (("customer.json", '{"table": "customer", "primary_key": "c_custkey", "dedup_order_by": "c_custkey DESC"}'), ("bad.json", "{"), ("odd.json", '{"table": "x", "primary_key": "k", "rules": []}')):
+            Path(folder, name).write_text(said)
+        Path(folder, "segments.sql").write_text("SELECT c_mktsegment AS segment, count(*) AS customers, sum(c_custkey) AS `keys` FROM ${SOURCE} GROUP BY c_mktsegment")
+        specs = load_specs(folder)
+        out = []
+        for spec in specs.values():
+            source = dedup.latest(table(spark, d, spec.table), spec.primary_key, spec.dedup_order_by)
+            out.append(products.run_sql(spark, Path(folder, "segments.sql").read_text(), {"SOURCE": _view(source)}))
+    size = out[0].agg(F.count("*").alias("products"))
+    return out[0].crossJoin(size)  # one row
+
+
+@query("""
+    SELECT 1 AS version, count(*) AS rows, 'loaded' AS outcome FROM nation UNION ALL SELECT 2, 0, 'v2 holds no rows'""")
+def landing_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Two landed versions: one is loaded, one without rows is an error and leaves nothing."""
+    root = scratch.new_path(spark, "landing")
+    lake, n = medallion_plan.Lake(spark, f"{root}/lake"), table(spark, d, "nation")
+    n.write.json(f"{root}/in/v1")
+    spark.createDataFrame([("",)], "value string").coalesce(1).write.text(f"{root}/in/v2")
+    said = "loaded"
+    try:
+        medallion_plan.land_and_load(lake, TableSpec("nation", ("n_nationkey",)), f"{root}/in", AS_OF)
+    except ValueError as e:
+        said = str(e).removeprefix(f"{root}/in/")
+    rows = lake.table("bronze", "nation").read().groupBy("_batch_id").agg(F.count("*").alias("rows"))
+    return rows.select(F.lit(1).alias("version"), "rows", F.lit("loaded").alias("outcome")).unionByName(rows.select(F.lit(2).alias("version"), F.lit(0).cast("long").alias("rows"), F.lit(said).alias("outcome")))
+
+
+@query("SELECT 'events' AS \"table\", true AS is_cdc, count(*) AS rows FROM events UNION ALL SELECT 'orders', false, count(*) FROM orders")
+def change_data_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Which tables carry change data."""
+    own = {"events": table(spark, d, "events").withColumn("_cdc_operation", F.lit("INSERT")), "orders": table(spark, d, "orders")}
+    rows = [df.agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), F.lit(profile.is_cdc(df)).alias("is_cdc"), "rows") for t, df in own.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""
+    WITH b AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS event_type, CASE WHEN event_id % 4 = 0 THEN value END AS value,
+                      CASE WHEN event_id % 50 = 7 THEN 'DELETE' WHEN event_id % 20 = 0 THEN 'INSERT' ELSE 'UPDATE' END AS op FROM events),
+    l AS (SELECT *, sum(CASE WHEN op = 'INSERT' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS life FROM b)
+    SELECT event_id, user_id, op AS _cdc_operation,
+           CASE WHEN op = 'UPDATE' THEN last_value(event_type IGNORE NULLS) OVER w ELSE event_type END AS event_type,
+           CASE WHEN op = 'UPDATE' THEN last_value(value IGNORE NULLS) OVER w ELSE value END AS value
+    FROM l WINDOW w AS (PARTITION BY user_id, life ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def cdc_state(spark: SparkSession, d: str) -> DataFrame:
+    """All events as partial updates in three batches, each made whole from one stored row a key."""
+    lake = medallion_plan.Lake(spark, scratch.new_path(spark, "lake"))
+    spec = TableSpec("events", ("user_id",), is_cdc=True, dedup_order_by="event_id DESC")
+    op = F.when(F.expr("event_id % 50 = 7"), "DELETE").when(F.expr("event_id % 20 = 0"), "INSERT").otherwise("UPDATE")
+    e = table(spark, d, "events").select("event_id", "user_id", F.when(F.expr("event_id % 3 = 0"), F.col("event_type")).alias("event_type"), F.when(F.expr("event_id % 4 = 0"), F.col("value")).alias("value"), op.alias("_cdc_operation"))
+    most = e.agg(F.max("event_id")).first()[0]
+    for k in range(3):
+        medallion_plan.bronze(lake, spec, e.filter(f"event_id * 3 div {most + 1} = {k}"), f"b{k}", AS_OF)
+    return lake.table("bronze", "events").read().select("event_id", "user_id", "_cdc_operation", "event_type", "value")
+
+
+@query("""
+    SELECT 'l_partkey' AS "column", count(*) AS rows, count(l_partkey) AS filled, true AS distinct_close, true AS ranks_close FROM lineitem UNION ALL SELECT 'l_extendedprice', count(*), count(l_extendedprice), true, true FROM lineitem
+    UNION ALL SELECT 'l_returnflag', count(*), count(l_returnflag), true, NULL FROM lineitem""")
+def merged_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of four batches, stored and merged, against exact figures: within 5 % of distinct values, and ranks within 3.5 %."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_returnflag", "l_linenumber")
+    names = ("l_partkey", "l_extendedprice", "l_returnflag")
+    store = tables.Batches(spark, scratch.new_path(spark, "sketches"))
+    for k in range(4):
+        store.append(profile.sketches(li.filter(F.pmod("l_linenumber", F.lit(4)) == k), names), AS_OF, f"b{k}")
+    told = profile.estimates(profile.merged_sketches(store.read()))
+    distinct = li.agg(*[F.countDistinct(c).alias(c) for c in names])
+    exact = distinct.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in names])))
+    around = None
+    for c in names[:2]:
+        near = profile.exact_quantiles(li, c, (), (0.215, 0.285, 0.465, 0.535, 0.715, 0.785)).select(F.lit(c).alias("column"), F.col("q").alias("bounds"))
+        around = near if around is None else around.unionByName(near)
+    inside = F.forall(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get("q", k).between(F.get("bounds", 2 * k), F.get("bounds", 2 * k + 1)))
+    rows = told.join(exact, "column").join(around, "column", "left")
+    return rows.select("column", "rows", "filled", (F.abs(F.col("distinct_values") / F.col("exact") - 1) <= 0.05).alias("distinct_close"), F.when(F.col("bounds").isNotNull(), inside).alias("ranks_close"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, least(5, count(*) - 1) * count(*) FILTER (vec_id % 100 = 0) AS wanted, true AS enough FROM embeddings")
+def cell_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index of cells against the exact search, for the vectors whose ids are divisible by 100: recall of 0.9 or more."""
+    e = table(spark, d, "embeddings")
+    q, named = e.filter("vec_id % 100 = 0"), {"id_col": "vec_id", "vector_col": "embedding"}
+    found = vectors.CellIndex(e, **named).search(q, 5, probes=48)
+    out = vectors.recall(found, vectors.top_k_cosine(q, e, k=5, **named))
+    return out.select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("""
+    WITH c AS (SELECT 'part' AS t, 'p_retailprice' AS c, count(*) AS rows, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part UNION ALL SELECT 'orders', 'o_orderdate', count(*), NULL, NULL FROM orders UNION ALL SELECT 'orders', 'closed', count(*), NULL, NULL FROM orders)
+    SELECT t AS "table", c AS "column", rows, CASE c WHEN 'p_retailprice' THEN 'decimal' WHEN 'o_orderdate' THEN 'date' ELSE 'boolean' END AS inferred_type, low, high FROM c""")
+def inferred_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Decimals, dates and booleans told from values of the tables."""
+    p = profile.profile(table(spark, d, "part"), ("p_retailprice",)).withColumn("table", F.lit("part"))
+    o = table(spark, d, "orders").select(day("o_orderdate").alias("o_orderdate"), (F.col("o_orderstatus") == "F").cast("string").alias("closed"))
+    rows = p.unionByName(profile.profile(o).withColumn("table", F.lit("orders")))
+    return rows.select("table", "column", "rows", "inferred_type", F.col("min_number").alias("low"), F.col("max_number").alias("high"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ def listed(spark: SparkSession, path: str) -> list:
     return [store, list(store.listStatus(p))] if store.exists(p) else [store, []]
 
 
+def read_small(spark: SparkSession, path: str) -> list[str]:
+    """Lines of the small files of a folder, in the order of their names, read by the driver."""
+    store, entries = listed(spark, path)
+    lines = []
+    for entry in sorted(entries, key=lambda e: e.getPath().getName()):
+        stream = store.open(entry.getPath())
+        try:
+            lines += spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        finally:
+            stream.close()
+    return lines
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, seen as a whole or not at all; one that is there is not replaced."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.getParent().getParent(), f".{uuid.uuid4().hex}")
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = store.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    store.mkdirs(p.getParent())
+    if not store.rename(part, p):
+        store.delete(part, False)
+        raise ValueError(f"{path} is there already: another writer's; run again")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a folder, if it is there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import schema as schemas
-from .files import drop, listed
+from .files import drop, listed, read_small, write_small
 
 GENERATIONS = "generation long, epoch int, fingerprint string, fields array<struct<name: string, type: string>>, said string, at timestamp"
 END_OF_TIME = "9999-12-31 00:00:00"
@@ -35,15 +35,17 @@ class Stored:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _generations(self) -> list[dict]:
+        return [json.loads(line) for line in read_small(self.spark, f"{self.path}/_schemas")]
+
     def generations(self) -> DataFrame:
         """generation, epoch, fingerprint, fields, said (as JSON), at of each schema that the table had."""
-        if not self.exists():
-            return self.spark.createDataFrame([], GENERATIONS)
-        return self.spark.read.schema(GENERATIONS).json(f"{self.path}/_schemas")
+        rows = [(g["generation"], g["epoch"], g["fingerprint"], [(f["name"], f["type"]) for f in g["fields"]], g["said"], datetime.fromisoformat(g["at"])) for g in self._generations()]
+        return self.spark.createDataFrame(rows, GENERATIONS)
 
     def epochs(self) -> dict[int, StructType]:
-        """The last schema of each epoch, in order: a row for each time that the schema changed is read."""
-        return {r.epoch: StructType.fromJson(json.loads(r.said)) for r in self.generations().orderBy("generation").collect()}
+        """The last schema of each epoch, in order: a small file for each time that the schema changed is read."""
+        return {g["epoch"]: StructType.fromJson(json.loads(g["said"])) for g in self._generations()}
 
     def schema(self) -> StructType | None:
         return list(self.epochs().values())[-1] if self.exists() else None
@@ -64,10 +66,9 @@ class Stored:
         both = StructType([StructField(f.name, kinds.get(f.name, f.dataType), metadata=f.metadata) for f in old] + [f for f in new if f.name not in old.names])
         if not epochs or schemas.fingerprint(both) != schemas.fingerprint(old):
             epoch = epoch + 1 if not epochs or any(now not in READ_AS.get(was, ()) for was, now, _ in changed) else epoch
-            own = [(f.name, said(f.dataType)) for f in both]
-            number = self.generations().agg(F.coalesce(F.max("generation"), F.lit(0)) + 1).first()[0]
-            row = self.spark.createDataFrame([(number, epoch, schemas.fingerprint(both), own, both.json(), at)], GENERATIONS)
-            row.coalesce(1).write.mode("append").json(f"{self.path}/_schemas")
+            fields, number = [{"name": f.name, "type": said(f.dataType)} for f in both], len(self._generations()) + 1
+            row = {"generation": number, "epoch": epoch, "fingerprint": schemas.fingerprint(both), "fields": fields, "said": both.json(), "at": at.isoformat()}
+            write_small(self.spark, f"{self.path}/_schemas/{number:06d}.json", json.dumps(row))
         return epoch, both
 
     def _shaped(self, df: DataFrame, said: StructType, *more: str) -> DataFrame:
