@@ -2,53 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_REPO = str(Path(__file__).resolve().parents[2])
-_OWN: dict[str, str] = {}
+from ..sources import scratch
+from ..sources.scratch import new_path
 
 #: Words are runs of bytes other than these; bytes.split() and bytes.lower() follow the same ASCII rules.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own in local mode where that is unset."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-tidemill-")
-        drop_at_exit(spark, _OWN[app])
-    return _OWN[app]
-
-
-def drop_at_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    drop_at_exit(spark, path)
-    return path
-
-
 #: Written tables of each open passing_tables, with their paths; each thread of a driver has its own.
 _PASSING: ContextVar[tuple[list[tuple[DataFrame, str]], ...]] = ContextVar("passing", default=())
 
@@ -93,10 +62,7 @@ def workers_import_this(spark: SparkSession) -> None:
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
         spark.conf.set(limit, f"{BATCH_BYTES}b")
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_REPO, *paths])
+    scratch.workers_import_this(spark)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
