@@ -118,7 +118,7 @@ def test_silver_within_a_batch_and_by_key(spark, tmp_path):
     assert sorted((r.k, r.version, r.v or "", r.is_current) for r in history.collect()) == [(1, 1, "A", False), (1, 2, "B", True), (2, 1, "A", True), (3, 1, "", True)]
     medallion.silver(lake, spec, datetime(2024, 1, 3), "b2")  # again
     assert lake.history(spec).read().count() == 4
-    assert sorted((r.stage, r.rows_in, r.rows_out) for r in lake.table("control", "lineage").read(batch="silver-c-b1").collect()) == [("silver", 3, 3)]
+    assert sorted((r.stage, r.rows_in, r.rows_out) for r in lake.notes("lineage").read("silver-c-b1").collect()) == [("silver", 3, 3)]
 
 
 def test_values_lost_and_late_rows_are_recorded(spark, tmp_path):
@@ -128,7 +128,7 @@ def test_values_lost_and_late_rows_are_recorded(spark, tmp_path):
         df = spark.createDataFrame(rows, "k long, t string, n string")
         medallion.bronze(lake, spec, df.withColumn("n", F.col("n").try_cast("boolean")) if b == 0 else df, f"b{b}", T[b])
         medallion.silver(lake, spec, datetime(2024, 1, 4 + b), f"b{b}")
-    assert [(r.column, r.lost) for r in lake.table("control", "values_lost").read().collect()] == [("n", 1)]
+    assert [(r.column, r.lost) for r in lake.notes("values_lost").read().collect()] == [("n", 1)]
     assert [(r.k, r._quarantine_reason) for r in lake.table("quarantine", "c").read().collect()] == [(2, "event time is over 2 days old")]
     assert sorted((r.k, r.n, r.version) for r in lake.history(spec).read().collect()) == [(1, True, 1), (3, False, 1)]
 

@@ -49,12 +49,12 @@ def counted(df: DataFrame, name: str, **more) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in more.items()]), seen
 
 
-def observed_layers(spark: SparkSession, source: int, parts: dict[str, int], most_pct: float = 0.0) -> DataFrame:
-    """One check: rows of a batch against those that each way out of it took, from observations. Passes up to most_pct of them lost."""
+def observed_layers(run_id: str, table: str, source: int, parts: dict[str, int], at, most_pct: float = 0.0) -> tuple:
+    """A row of RECONCILIATION: a batch's rows against those that each way out of it took, from observations. Passes up to
+    most_pct of them unaccounted for."""
     total = sum(parts.values())
-    row = spark.createDataFrame([(source, total, ", ".join(f"{k} {v}" for k, v in parts.items()))], "s long, t long, d string")
-    share = F.when(F.col("s") != 0, 100 * F.abs(F.col("s") - F.col("t")) / F.col("s")).otherwise(0.0)
-    return row.select(_check("bronze_silver", "s", "t", share <= most_pct, "").alias("r"), "d").select("r.*", "d").withColumn("details", F.col("d")).drop("d")
+    pct = 100 * (total - source) / source if source else 0.0
+    return (run_id, table, "bronze_silver", source, total, total - source, round(pct, 2), abs(pct) <= most_pct, ", ".join(f"{k} {v}" for k, v in parts.items()), at)
 
 
 def reconciliation_log(checks: list[DataFrame], run_id: str, table: str, at) -> DataFrame:
@@ -140,13 +140,18 @@ def lineage_event(spark: SparkSession, run_id: str, stage: str, inputs: list[str
 
     audit: the changes of a schema.Decision; checks: a row per rule (quality.check_rules).
     """
-    row = spark.createDataFrame([(run_id, stage, status, inputs, outputs, _column_rows(source, target), rows_in, rows_out, details, at, list(audit), [])], LINEAGE)
+    row = spark.createDataFrame([lineage_row(run_id, stage, inputs, outputs, source, target, rows_in, rows_out, at, status, details, audit)], LINEAGE)
     if checks is None:
         return row
     told = checks.agg(F.collect_list(F.struct("column", "rule", "fail_count", "total")).alias("_told"))  # one row a rule
     return row.crossJoin(told).withColumn("quality", F.col("_told")).drop("_told")
 
 
+def lineage_row(run_id: str, stage: str, inputs: list[str], outputs: list[str], source: StructType, target: StructType, rows_in: int | None, rows_out: int | None, at, status: str = "COMPLETE", details: str | None = None, audit: list[tuple] = ()) -> tuple:
+    """A row of LINEAGE without quality facets, as plain values."""
+    return (run_id, stage, status, inputs, outputs, _column_rows(source, target), rows_in, rows_out, details, at, list(audit), [])
+
+
 def lineage_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: name, kind, last_rows_out), (edges: source, target): datasets and stages, and what feeds what."""
     into = events.select(F.explode("inputs").alias("source"), F.col("stage").alias("target"))
@@ -164,6 +169,7 @@ def column_paths(events: DataFrame) -> DataFrame:
     return rows.groupBy("column").agg(F.array_join(steps, " > ").alias("path"))
 
 
+RECONCILIATION = "run_id string, table_name string, check_type string, source_count long, target_count long, delta long, delta_pct double, passed boolean, details string, reconciled_at timestamp"
 AUDIT = "run_id string, stage string, version string, table_name string, status string, source_count long, target_count long, audited_at timestamp"
 
 

@@ -180,7 +180,7 @@ def sketches(df: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
 
 def merged_sketches(stored: DataFrame) -> DataFrame:
     """Sketches of the same columns of several batches as one row a column."""
-    return stored.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("rank_sketch").alias("rank_sketch"))
+    return stored.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.when(F.count("rank_sketch") > 0, F.kll_merge_agg_double("rank_sketch")).alias("rank_sketch"))
 
 
 def estimates(merged: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:

@@ -154,10 +154,10 @@ def unchanged(incoming: StructType, stored_fingerprint: str | None, existing: St
 SCHEMA_HISTORY = "table_name string, generation long, batch string, fingerprint string, fields array<struct<name: string, type: string>>, recorded_at timestamp"
 
 
-def history_row(spark: SparkSession, said: StructType, table: str, generation: int, batch: str, at) -> DataFrame:
-    """One row of SCHEMA_HISTORY: how a table's landed batch looked. Control columns are left out."""
+def history_row(said: StructType, table: str, generation: int, batch: str, at) -> tuple:
+    """A row of SCHEMA_HISTORY, as plain values: how a table's landed batch looked. Control columns are left out."""
     own = [f for f in said if not f.name.startswith(CONTROL_PREFIX)]
-    return spark.createDataFrame([(table, generation, batch, fingerprint(StructType(own)), [(f.name, f.dataType.simpleString()) for f in own], at)], SCHEMA_HISTORY)
+    return (table, generation, batch, fingerprint(StructType(own)), [(f.name, f.dataType.simpleString()) for f in own], at)
 
 
 def generation_changes(history: DataFrame) -> DataFrame:
@@ -181,8 +181,12 @@ AUDIT = "table_name string, layer string, change_type string, column_name string
 
 
 def audit_rows(spark: SparkSession, said: Decision, table: str, layer: str, run_id: str, at) -> DataFrame:
-    rows = [(table, layer, act, c, old, new, status, run_id, at) for act, c, old, new, status in said.audit]
-    return spark.createDataFrame(rows, AUDIT)
+    return spark.createDataFrame(audit_tuples(said, table, layer, run_id, at), AUDIT)
+
+
+def audit_tuples(said: Decision, table: str, layer: str, run_id: str, at) -> list[tuple]:
+    """Rows of AUDIT, as plain values."""
+    return [(table, layer, act, c, old, new, status, run_id, at) for act, c, old, new, status in said.audit]
 
 
 def drift_report(audit: DataFrame, repeated: int = 3) -> DataFrame:

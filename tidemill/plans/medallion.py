@@ -11,9 +11,17 @@ from pyspark.sql.types import StructType
 from ..functions.text import apply_masking, strip_non_printable, trim_all
 from ..operators import cdc, dedup, late, monitor, quality, schema
 from ..sources import files
-from ..sources.tables import Batches, History, Keyed
+from ..sources.tables import Batches, History, Keyed, Notes
 from ..spec import TableSpec
 
+NOTES = {
+    "lineage": monitor.LINEAGE,
+    "reconciliation": monitor.RECONCILIATION,
+    "schema_history": schema.SCHEMA_HISTORY,
+    "schema_change_audit": schema.AUDIT,
+    "values_lost": "table string, batch string, column string, lost long",
+    "watermark": "table string, version string, processed_at timestamp",
+}
 INTERNAL = ("_ingested_at", "_source_file", "_batch_id", "_dq_flags")
 
 
@@ -26,6 +34,10 @@ class Lake(NamedTuple):
     def table(self, layer: str, name: str) -> Batches:
         return Batches(self.spark, f"{self.root}/{layer}/{name}")
 
+    def notes(self, name: str) -> Notes:
+        """A control table: lineage, reconciliation, schema_history, schema_change_audit, values_lost or watermark."""
+        return Notes(self.spark, f"{self.root}/control/{name}", NOTES[name])
+
     def history(self, spec: TableSpec) -> History:
         return History(self.spark, f"{self.root}/silver/{spec.table}", spec.primary_key, spec.buckets)
 
@@ -34,11 +46,6 @@ class Lake(NamedTuple):
         return Keyed(self.spark, f"{self.root}/state/{spec.table}", spec.primary_key, spec.buckets)
 
 
-def _note(lake: Lake, name: str, rows: DataFrame, at, mark: str) -> None:
-    """A few rows of a control table."""
-    lake.table("control", name).append(rows.coalesce(1), at, mark)
-
-
 def _completed(lake: Lake, spec: TableSpec, df: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
     """(change data with whole rows, the state of its keys after it)."""
     target, state = lake.table("bronze", spec.table), lake.state(spec)
@@ -71,22 +78,21 @@ def bronze(lake: Lake, spec: TableSpec, landed: DataFrame, batch_id: str, at, po
     if stored is not None and not schema.unchanged(df.schema, schema.fingerprint(stored), stored):
         came = df
         df, quarantined, said = schema.evolve(df, stored, policy)
-        _note(lake, "schema_change_audit", schema.audit_rows(lake.spark, said, spec.table, "bronze", batch_id, at), at, mark)
+        lake.notes("schema_change_audit").put(schema.audit_tuples(said, spec.table, "bronze", batch_id, at), mark)
         if df is None:
             return lake.table("quarantine", f"{spec.table}_schema").append(quarantined.select(*[F.col(c).cast("string").alias(c) for c in quarantined.columns]), at, batch_id)
         lost = schema.values_lost(came, said.target)
     df, seen = monitor.counted(df, f"bronze-{mark}")
     number = target.append(df, at, batch_id)
     if lost is not None:
-        _note(lake, "values_lost", lost.select(F.lit(spec.table).alias("table"), F.lit(batch_id).alias("batch"), "*"), at, mark)
+        lake.notes("values_lost").put([(spec.table, batch_id, r["column"], r["lost"]) for r in lost.collect()], mark)  # one row a column
     if latest is not None:
         _update_state(lake.state(spec), latest, at)
     rows = seen.get["rows"]
-    lineage = monitor.lineage_event(lake.spark, batch_id, "bronze", [f"landing.{spec.table}"], [f"bronze.{spec.table}"], landed.schema, df.schema, rows, rows, at, audit=[] if lost is None else said.audit)
-    _note(lake, "lineage", lineage, at, f"bronze-{mark}")
-    _note(lake, "schema_history", schema.history_row(lake.spark, landed.schema, spec.table, number, batch_id, at), at, mark)
-    done = lake.spark.createDataFrame([(spec.table, batch_id, at)], "table string, version string, processed_at timestamp")
-    _note(lake, "watermark", done, at, mark)
+    lineage = monitor.lineage_row(batch_id, "bronze", [f"landing.{spec.table}"], [f"bronze.{spec.table}"], landed.schema, df.schema, rows, rows, at, audit=[] if lost is None else said.audit)
+    lake.notes("lineage").put([lineage], f"bronze-{mark}")
+    lake.notes("schema_history").put([schema.history_row(landed.schema, spec.table, number, batch_id, at)], mark)
+    lake.notes("watermark").put([(spec.table, batch_id, at)], mark)
     return number
 
 
@@ -137,11 +143,10 @@ def silver(lake: Lake, spec: TableSpec, at, batch_id: str | None = None, *, dial
         clean = schema.align(clean, said.target)
     target.merge(clean, ("row_hash",), at, name)
     counts = {"filtered": read.get["rows"] - judged.get["rows"], "rejected": bad.get["rows"], "late": tardy.get["rows"] if tardy else 0, "passed": good.get["rows"]}
-    check = monitor.reconciliation_log([monitor.observed_layers(lake.spark, read.get["rows"], counts)], name, spec.table, at)
-    _note(lake, "reconciliation", check, at, f"{spec.table}-{name}")
-    lineage = monitor.lineage_event(lake.spark, name, "silver", [f"bronze.{spec.table}"], [f"silver.{spec.table}", f"quarantine.{spec.table}"], source.schema, target.fields(), read.get["rows"], good.get["rows"], at)
-    _note(lake, "lineage", lineage, at, f"silver-{spec.table}-{name}")
-    return check
+    mark, checks, lineage = f"{spec.table}-{name}", lake.notes("reconciliation"), lake.notes("lineage")
+    checks.put([monitor.observed_layers(name, spec.table, read.get["rows"], counts, at)], mark)
+    lineage.put([monitor.lineage_row(name, "silver", [f"bronze.{spec.table}"], [f"silver.{spec.table}", f"quarantine.{spec.table}"], source.schema, target.fields(), read.get["rows"], good.get["rows"], at)], f"silver-{mark}")
+    return checks.read(mark)
 
 
 def gold(lake: Lake, spec: TableSpec, out: str, at) -> DataFrame:
@@ -158,8 +163,7 @@ def gold(lake: Lake, spec: TableSpec, out: str, at) -> DataFrame:
 
 def land_and_load(lake: Lake, spec: TableSpec, landing: str, at) -> list[int]:
     """Every landed version not yet processed, through bronze and silver."""
-    control = lake.table("control", "watermark")
-    done = control.read().select("table", F.regexp_extract("version", r"(\d+)", 1).try_cast("int").alias("version"), "processed_at") if control.exists() else lake.spark.createDataFrame([], "table string, version int, processed_at timestamp")
+    done = lake.notes("watermark").read().select("table", F.regexp_extract("version", r"(\d+)", 1).try_cast("int").alias("version"), "processed_at")
     todo = files.unprocessed(lake.spark, landing, done, spec.table)
     for v in todo:
         landed = files.read_files(lake.spark, f"{landing}/v{v}", spec.source_format)

@@ -1159,8 +1159,8 @@ def _landed(spark: SparkSession, d: str) -> tuple[medallion_plan.Lake, TableSpec
 def schema_generations(spark: SparkSession, d: str) -> DataFrame:
     """How each of three landed generations of a table differs from the one before, with the rows of its batch."""
     lake, _ = _landed(spark, d)
-    changes = schema.generation_changes(lake.table("control", "schema_history").read())
-    rows = lake.table("control", "lineage").read().filter("stage = 'bronze'").select(F.regexp_extract("run_id", r"(\d+)", 1).cast("long").alias("generation"), F.col("rows_in").alias("rows"))
+    changes = schema.generation_changes(lake.notes("schema_history").read())
+    rows = lake.notes("lineage").read().filter("stage = 'bronze'").select(F.regexp_extract("run_id", r"(\d+)", 1).cast("long").alias("generation"), F.col("rows_in").alias("rows"))
     return changes.join(rows, "generation").select(F.col("generation").cast("int").alias("generation"), "change", "field", "old", "new", "rows")
 
 
@@ -1172,7 +1172,7 @@ def schema_generations(spark: SparkSession, d: str) -> DataFrame:
 def run_lineage(spark: SparkSession, d: str) -> DataFrame:
     """What each stage of three loads read and wrote, its changes of schema, and its rows, which were counted as they passed."""
     lake, _ = _landed(spark, d)
-    rows = lake.table("control", "lineage").read()
+    rows = lake.notes("lineage").read()
     edges = F.concat_ws(">", F.array_join("inputs", ","), "stage", F.array_join(F.array_sort("outputs"), ","))
     changes = F.array_join(F.array_sort(F.transform("schema_changes", lambda c: F.concat_ws(":", c["change"], c["column"]))), ",")
     return rows.select("run_id", "stage", edges.alias("edges"), "rows_in", "rows_out", changes.alias("changes"), (F.col("rows_in") > F.col("rows_out")).alias("lost_some"))
@@ -1184,7 +1184,7 @@ def run_lineage(spark: SparkSession, d: str) -> DataFrame:
 def run_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Each batch's rows against those of each way out of it."""
     lake, _ = _landed(spark, d)
-    return lake.table("control", "reconciliation").read().select("run_id", "table_name", "source_count", "target_count", "passed", "details")
+    return lake.notes("reconciliation").read().select("run_id", "table_name", "source_count", "target_count", "passed", "details")
 
 
 @query("""

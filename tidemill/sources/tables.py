@@ -1,4 +1,4 @@
-"""Tables as Parquet folders that Spark writes partition by partition: rows by batch, and one row a key by bucket.
+"""Tables as Parquet folders that Spark writes partition by partition: rows by batch, and one row a key by bucket; and notes.
 
 A batch writes into folders of its own and can be written again after a failure: the same name replaces what it wrote. Of
 the schemas that a table had, each is a row of its schema history, so reads are given one and open no footers for it.
@@ -14,7 +14,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import schema as schemas
 from .files import drop, listed, read_small, write_small
@@ -246,6 +246,42 @@ class HashStore:
         own.write.partitionBy("_prefix", "_batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.data)
 
 
+def _plain(value, kind: DataType):
+    """A value as JSON has it, by its Spark type."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _plain(v, f.dataType) for f, v in zip(kind, value)}
+    if isinstance(kind, ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    return value.isoformat(timespec="microseconds") if isinstance(value, datetime) else value
+
+
+class Notes:
+    """A control table of few rows: a small file of JSON lines for each mark, written by the driver that has the rows.
+
+    Rows put again under a mark replace those before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, said: str):
+        self.spark, self.path, self.said = spark, path.rstrip("/"), said
+
+    def put(self, rows: list[tuple], mark: str) -> None:
+        kind = StructType.fromDDL(self.said)
+        name = f"{self.path}/notes/{quote(mark, safe='')}.json"
+        drop(self.spark, name)
+        write_small(self.spark, name, "".join(json.dumps(_plain(r, kind)) + "\n" for r in rows))
+
+    def exists(self) -> bool:
+        return bool(listed(self.spark, f"{self.path}/notes")[1])
+
+    def read(self, mark: str | None = None) -> DataFrame:
+        """All rows, or those of a mark."""
+        if not self.exists():
+            return self.spark.createDataFrame([], self.said)
+        return self.spark.read.schema(self.said).json(f"{self.path}/notes" if mark is None else f"{self.path}/notes/{quote(quote(mark, safe=''), safe='')}.json")
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Overwrites a product table."""
     df.write.mode("overwrite").parquet(path)
