@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
@@ -161,7 +162,7 @@ def test_profile_boundaries(spark):
     assert quality.suggest_rules(profile.profile(df)).filter("column = 'e'").count() >= 2
 
 
-def test_matching(spark):
+def test_matching(spark, tmp_path):
     fields = spark.createDataFrame([("loans", "customer_pan"), ("loans", "loan_id"), ("loans", "customer_id")], "table string, column string")
     syn = spark.createDataFrame([("PAN", "pan"), ("LOAN", "Loan ID")], "term string, synonym string")
     scores = {(r.column, r.term): r.keyword for r in match.keyword_scores(fields, syn).collect()}
@@ -169,8 +170,13 @@ def test_matching(spark):
     best = {(r.column, r.term): r.score for r in match.synonym_matches(fields, syn).collect()}
     assert best["loan_id", "LOAN"] == 0.95 and best["customer_pan", "PAN"] == 0.45 and len(best) == 2
     typed = spark.createDataFrame([("t", "customer_id", "bigint"), ("t", "is_first_name", "boolean"), ("t", "total", "decimal(10,2)"), ("t", "x", "int")], "table string, column string, data_type string")
-    told = {(r.column, r.rule_type, r.rule, r.value, r.confidence) for r in match.name_rules(typed).collect()}
+    told = {(r.column, r.rule_type, r.rule, r.value, r.confidence) for r in match.name_rules(typed, match.load_rules(spark)).collect()}
     assert told == {("customer_id", "naming", "identifiers:end", "Identifier", 0.85), ("customer_id", "fk", "customer_id", "customers.customer_id", 0.8), ("customer_id", "fk", "stem", "customers.customer_id", 0.5), ("is_first_name", "naming", "flags:begin", "Dimension", 0.8), ("is_first_name", "pii", "high_confidence", "PII", 0.9), ("is_first_name", "type", "data_type", "Dimension", 0.7), ("total", "naming", "measures:end", "Measure", 0.85), ("total", "type", "data_type", "Measure", 0.7)}
+    keyed = {(r.column, r.is_key, tuple(r.suggests)) for r in match.name_rules(typed, match.load_rules(spark)).filter("rule_type = 'naming'").collect()}
+    assert keyed == {("customer_id", True, ("not_null", "unique")), ("is_first_name", False, ("accepted_values",)), ("total", False, ("not_null", "positive"))}
+    (tmp_path / "rules.csv").write_text("# own rules\nrule_type,rule,pattern,value,confidence,is_key,suggests\nnaming,own,*_x,X,0.5,false,\npii,some,*tot*,PII,0.6,false,\npii,more,*otal,PII,0.7,true,unique\n")
+    own = match.name_rules(typed, match.load_rules(spark, str(tmp_path / "rules.csv"))).collect()
+    assert {(r.column, r.rule, r.value, r.confidence, r.is_key) for r in own} == {("x", "own", "X", 0.5, False), ("total", "more", "PII", 0.7, True)}
     prof = fields.withColumn("is_key", F.col("column") == "loan_id")
     assert rows(match.primary_key(prof)) == [("loans", "loan_id", True)]
     keys = spark.createDataFrame([("customers", "customer_id")], "table string, primary_key string")
@@ -224,3 +230,70 @@ def test_specs(tmp_path):
     (tmp_path / "a.json").write_text('{"table": "a", "primary_key": "k", "dq_rules": {"not_null": ["k"]}}')
     (tmp_path / "b.json").write_text('{"table": "b", "primary_key": "k", "dq_rulez": {}}')
     assert list(load_specs(str(tmp_path))) == ["a"]
+
+
+def test_names_meet_by_grams(spark):
+    """200,000 synonyms, no nested loop."""
+    names = spark.range(200_000).select(F.concat(F.lit("term"), F.col("id") % 1000).alias("term"), F.concat(F.lit("n"), F.hex(F.xxhash64("id"))).alias("synonym"))
+    fields = spark.createDataFrame([("t", "my_n" + hex(5)[2:]), ("t", "x")], "table string, column string").unionByName(names.limit(3).select(F.lit("t").alias("table"), F.concat(F.lit("pre_"), "synonym").alias("column")))
+    fields = spark.createDataFrame(fields.collect(), fields.schema)
+    got = match.keyword_scores(fields, names)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.column for r in got.filter("keyword > 0.5").collect()} == {r.column for r in fields.filter("column LIKE 'pre%'").collect()}
+    odd = spark.createDataFrame([("",), (None,), ("ab",), ("b",), ("xabc",), ("aba",)], "t string")
+    met = {(r.inner_text, r.outer_text) for r in match.containing(odd.select(F.col("t").alias("inner_text")), odd.select(F.col("t").alias("outer_text"))).collect()}
+    texts = ["ab", "b", "xabc", "aba"]
+    assert met == {(a, b) for a in texts for b in texts if a in b}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", 1.0)] * 2000 + [("b", 2.0), (None, 5.0), (None, 7.0), ("c", None), ("d", float("nan")), ("d", 3.0)]
+    rows += [("e", float(v)) for v in np.r_[rng.exponential(size=2000) ** 9, 1e300, -1e300]]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.1, 0.5, 0.99, 1.0)
+    for few in (10, 10_000):
+        got = profile.exact_quantiles(df, "x", ("g",), shares, cells=16, few=few)
+        assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: r.q for r in got.collect()}
+        assert set(got) == {"a", "b", None, "d", "e"}
+        for g, q in got.items():
+            own = [x for k, x in rows if k == g and x is not None and x == x]
+            assert np.allclose(q, np.quantile(own, shares), rtol=1e-9), g
+    assert profile.exact_quantiles(df, "x").collect()[0].q[1] == np.quantile([x for _, x in rows if x is not None and x == x], 0.5)
+    assert profile.exact_quantiles(df.limit(0), "x").collect() == []
+    assert [r.q50 for r in profile.quantiles(df.filter("g = 'c'"), "x", ("g",)).collect()] == [None]
+
+
+def test_search_in_cells_and_grid(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8))
+    x = np.vstack([c + 0.05 * rng.normal(size=(50, 8)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)], "i long, v array<double>")
+    q, named = df.filter("i % 50 = 0"), {"id_col": "i", "vector_col": "v"}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    scores = np.round(unit[::50] @ unit.T, 6)
+    want = {(50 * a, b) for a in range(20) for b in [b for b in sorted(range(1000), key=lambda b: (-scores[a, b], b)) if b != 50 * a][:4]}
+    for options in ({}, {"rows": 100, "block": 3}):
+        got = vectors.top_k_cosine(q, df, k=4, **named, **options)
+        assert {(r.query_id, r.id) for r in got.collect()} == want
+    index = vectors.CellIndex(df, **named, cells=20, rows=30)  # cells are dealt into parts
+    assert index.rows.count() == 1000
+    assert vectors.recall(index.search(q, 4, probes=3), vectors.top_k_cosine(q, df, k=4, **named)).collect()[0].recall >= 0.95
+    assert vectors.CellIndex(df.limit(0), **named).rows.count() == 0
+    assert index.search(q.limit(0), 4).count() == 0
+
+
+def test_sketches_merge(spark):
+    df = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("c"))
+    parts = [profile.sketches(df.filter(F.col("a") % 3 == k)) for k in range(3)]
+    got = {r.column: r for r in profile.estimates(profile.merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2])), (0.5,)).collect()}
+    assert got["a"].rows == got["b"].filled == 20_000 and got["c"].filled == 10_000 and got["b"].q is None
+    assert abs(got["a"].distinct_values / 20_000 - 1) < 0.05 and got["b"].distinct_values == 7 and abs(got["c"].q[0] - 10_000) < 700
+
+
+def test_generations(spark):
+    kinds = ("a int, b string", "a int, b string", "a bigint, c string", "c string, b int, _batch string")
+    rows = [schema.history_row(spark.createDataFrame([], k).schema, "t", n, f"b{n}", AT) for n, k in enumerate(kinds)]
+    got = schema.generation_changes(spark.createDataFrame(rows, schema.SCHEMA_HISTORY)).collect()
+    assert {tuple(r)[1:] for r in got} == {(2, "new", "c", None, "string"), (2, "removed", "b", "string", None), (2, "retyped", "a", "int", "bigint"), (3, "new", "b", None, "int"), (3, "removed", "a", "bigint", None)}

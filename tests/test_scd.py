@@ -101,3 +101,24 @@ def test_invariants_over_random_batches(spark, seed):
         if r.k == s.k:
             assert r.valid_to == s.valid_from and not r.is_current and s.version == r.version + 1
     assert h.filter("is_current").groupBy("k").count().agg(F.max("count")).collect()[0][0] == 1
+
+
+def test_as_of_makes_no_pairs(spark):
+    """A key with 20,000 versions and facts: the sequence has a row for each, and for each slice of time."""
+    day = F.expr("TIMESTAMP '2020-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT) * 30, 0)")
+    ids = spark.range(20_000)
+    h = ids.select(F.lit(1).alias("k"), day.alias("valid_from"), F.expr("TIMESTAMP '2020-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT) * 30 + 20, 0)").alias("valid_to"), F.col("id").alias("v"))
+    f = ids.select(F.lit(1).alias("k"), (day + F.expr("make_interval(0, 0, 0, 0, 0, CAST(id % 30 AS INT), 0)")).alias("at"), F.col("id").alias("n"))
+    got = scd.as_of_join(f, h, {"k": "k"}, "at", slice_days=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert {(r.miss, r.right, r["count"]) for r in got.groupBy((F.col("v").isNull()).alias("miss"), (F.col("v") == F.col("n")).alias("right")).count().collect()} == {(False, True, 13_340), (True, None, 6_660)}
+
+
+def test_as_of_odd_rows(spark):
+    h = spark.createDataFrame([(1, "a", T[0], T[1]), (1, "b", T[1], T[2]), (None, "n", T[0], T[2]), (2, "z", T[1], T[1])], "k long, v string, valid_from timestamp, valid_to timestamp")
+    f = spark.createDataFrame([(1, T[0], "x"), (1, T[1], "y"), (1, T[2], "z"), (1, None, "t"), (None, T[0], "k"), (2, T[1], "e"), (1, datetime(2030, 1, 1), "late")], "k long, at timestamp, v string")
+    got = scd.as_of_join(f, h, {"k": "k"}, "at", slice_days=1)
+    assert got.columns == ["k", "at", "v", "_h_v", "valid_from", "valid_to"]
+    assert {(r.v, r._h_v) for r in got.collect()} == {("x", "a"), ("y", "b"), ("z", None), ("t", None), ("k", None), ("e", None), ("late", None)}
+    assert scd.as_of_join(f, h, {"k": "k"}, "at", how="inner").count() == 2 and scd.as_of_join(f, h.limit(0), {"k": "k"}, "at").count() == 7
