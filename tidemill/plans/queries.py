@@ -493,8 +493,10 @@ def recon(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT count(*) AS n FROM customer)
-    SELECT c AS "column", t AS transform, i AS inputs, n AS filled FROM n, (VALUES ('c_custkey', 'IDENTITY', 1), ('c_nationkey', 'IDENTITY', 1), ('c_acctbal', 'IDENTITY', 1), ('c_mktsegment', 'IDENTITY', 1), ('balance_band', 'DERIVED', 5), ('_batch_id', 'ADDED', 0), ('row_hash', 'HASH', 5)) v(c, t, i)""")
+    WITH own AS (SELECT name AS c, filled FROM (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM customer) ON COLUMNS(*) INTO NAME name VALUE filled)),
+    made AS (SELECT c, filled FROM own WHERE c <> 'c_name' UNION ALL SELECT c, (SELECT count(*) FROM customer) FROM (VALUES ('balance_band'), ('_batch_id'), ('row_hash')) v(c)),
+    told AS (SELECT c, filled, CASE WHEN c LIKE '\\_%' ESCAPE '\\' THEN 'ADDED' WHEN c = 'row_hash' THEN 'HASH' WHEN c IN (SELECT c FROM own) THEN 'IDENTITY' ELSE 'DERIVED' END AS transform FROM made)
+    SELECT c AS "column", transform, CASE transform WHEN 'ADDED' THEN 0 WHEN 'IDENTITY' THEN 1 ELSE n END AS inputs, filled FROM told, (SELECT count(*) AS n FROM own)""")
 def lineage_columns(spark: SparkSession, d: str) -> DataFrame:
     """Where each column of a table comes from, and how many of its values are filled."""
     c = table(spark, d, "customer")
@@ -710,9 +712,17 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
     return schema.align(schema.apply_aliases(table(spark, d, "customer"), {"c_mktsegment": "segment"}), target)
 
 
-@query("""
-    SELECT * FROM (VALUES ('c_acctbal', 'not_null', 'true', 'term'), ('c_custkey', 'not_null', 'true', 'term'), ('c_custkey', 'unique', 'true', 'term'), ('c_mktsegment', 'not_null', 'false', 'field')) v("column", rule, value, origin),
-    (SELECT 'customer' AS "table" WHERE (SELECT count(*) FROM customer) > 0)""")
+_INHERITED_SQL = """
+    WITH l AS (SELECT 'c_custkey' AS "column", CAST(c_custkey AS VARCHAR) AS v FROM customer UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer),
+    p AS (SELECT "column", count(DISTINCT v) > 0.95 * count(v) AND count(v) > 0.99 * count(*) AND count_if(regexp_full_match(v, '[+-]?[0-9]+')) >= 0.7 * count(v) AS is_key FROM l GROUP BY 1),
+    t(term, rule, value) AS (VALUES ('id', 'unique', 'true'), ('id', 'not_null', 'true'), ('fact', 'unique', 'true'), ('fact', 'not_null', 'true')),
+    own("column", rule, value) AS (VALUES ('c_mktsegment', 'not_null', 'false')),
+    theirs AS (SELECT "column", rule, value FROM p JOIN t ON term = CASE WHEN is_key THEN 'id' ELSE 'fact' END WHERE rule <> 'unique' OR is_key)
+    SELECT 'customer' AS "table", coalesce(o."column", h."column") AS "column", coalesce(o.rule, h.rule) AS rule, coalesce(o.value, h.value) AS value, CASE WHEN o.rule IS NULL THEN 'term' ELSE 'field' END AS origin
+    FROM theirs h FULL JOIN own o ON o."column" = h."column" AND o.rule = h.rule"""
+
+
+@query(_INHERITED_SQL)
 def inherited_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules of the columns of customer, matched to two terms; keys as the data shows them."""
     p = profile.profile(table(spark, d, "customer"), ("c_custkey", "c_acctbal", "c_mktsegment"))
@@ -894,9 +904,10 @@ def dq_application(spark: SparkSession, d: str) -> DataFrame:
     return quality.roll_up(scores, scores.select("table", "column", element.alias("element")), scores.select("table", F.lit("sales").alias("application")).distinct())[1]
 
 
-@query("""
-    SELECT 'customer' AS "table", 'c_acctbal' AS "column", false AS is_pii, 'not_null:true:term' AS rules WHERE (SELECT count(*) FROM customer) > 0
-    UNION ALL SELECT 'customer', 'c_custkey', false, 'not_null:true:term,unique:true:term' UNION ALL SELECT 'customer', 'c_mktsegment', false, 'not_null:false:field' UNION ALL SELECT 'customer', 'c_name', true, NULL""")
+@query(f"""
+    WITH r AS ({_INHERITED_SQL}), k AS (SELECT "column", string_agg(rule || ':' || value || ':' || origin, ',' ORDER BY rule) AS rules FROM r GROUP BY 1),
+    f AS (SELECT column_name AS "column", contains(column_name, 'name') AS is_pii FROM information_schema.columns WHERE table_name = 'customer')
+    SELECT 'customer' AS "table", "column", is_pii, rules FROM f LEFT JOIN k USING ("column") WHERE is_pii OR rules IS NOT NULL""")
 def dq_contract(spark: SparkSession, d: str) -> DataFrame:
     """Columns with a rule or personal data, and their rules."""
     fields = profile.profile(table(spark, d, "customer"), ("c_custkey", "c_acctbal", "c_mktsegment", "c_name", "c_nationkey")).select(F.lit("customer").alias("table"), "column", F.col("column").contains("name").alias("is_pii"))

@@ -14,7 +14,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType, TimestampType
 
 from ..operators import schema as schemas
 from .files import drop, listed, read_small, write_small
@@ -90,34 +90,39 @@ class Stored:
 
 
 class Batches(Stored):
-    """Rows by batch, in folders _snapshot=<number>/_batch=<name>; numbers rise with each new batch.
+    """Rows by batch, in folders _batch=<number>.<name>; numbers rise with each new batch.
 
     A batch that failed is not seen, as Spark publishes a folder's files when its job ends, and is written again under its
     name. Writers at one time have different names, so neither replaces what the other wrote.
     """
 
-    _PARTITIONS = [StructField("_snapshot", LongType()), StructField("_batch", StringType())]
+    _PARTITIONS = [StructField("_batch", StringType())]
 
     def _folders(self) -> dict[str, tuple[int, int]]:
+        """Number and epoch by name: one listing an epoch."""
         found = {}
         for epoch in self.epochs():
-            for snapshot in listed(self.spark, f"{self.path}/data-{epoch}")[1]:
-                for batch in listed(self.spark, str(snapshot.getPath()))[1]:
-                    if any(not f.getPath().getName().startswith(("_", ".")) for f in listed(self.spark, str(batch.getPath()))[1]):
-                        found[unquote(batch.getPath().getName().removeprefix("_batch="))] = (int(snapshot.getPath().getName().removeprefix("_snapshot=")), epoch)
+            for folder in listed(self.spark, f"{self.path}/data-{epoch}")[1]:
+                if folder.isDirectory() and "=" in folder.getPath().getName():
+                    number, name = unquote(folder.getPath().getName().removeprefix("_batch=")).split(".", 1)
+                    found[name] = (int(number), epoch)
         return found
 
     def numbers(self) -> dict[str, int]:
-        """Batches that are written, with their numbers."""
+        """Batches by name, with their numbers."""
         return {batch: number for batch, (number, _) in self._folders().items()}
 
+    @staticmethod
+    def _folder(number: int, batch: str) -> str:
+        return f"{number:09d}.{batch}"
+
     def append(self, df: DataFrame, at: datetime, batch: str | None = None) -> int:
         """Adds a batch, or writes it anew if its name is known; makes the table on first write. Returns its number."""
         epoch, said = self.adopt(StructType([*df.schema.fields, StructField("_committed_at", TimestampType())]), at)
         known, batch = self._folders(), batch or uuid.uuid4().hex
         number, was = known.get(batch, (max((n for n, _ in known.values()), default=0) + 1, epoch))
         rows = self._shaped(df.withColumn("_committed_at", F.lit(at).cast("timestamp")), said)
-        folder = f"_snapshot={number}/_batch={quote(batch, safe='')}"
+        folder = "_batch=" + quote(self._folder(number, batch), safe="")
         rows.write.mode("overwrite").parquet(f"{self.path}/data-{epoch}/{folder}")
         if was != epoch:  # it was written before a type changed
             drop(self.spark, f"{self.path}/data-{was}/{folder}")
@@ -133,10 +138,11 @@ class Batches(Stored):
             raise ValueError(f"{self.path} is no table")
         if version is not None and version not in self.numbers().values():
             raise ValueError(f"{self.path} has no snapshot {version}")
-        rows = self._rows("data", self._PARTITIONS)
-        for wanted, value in ((F.col("_snapshot") <= F.lit(version), version), (F.col("_committed_at") <= F.lit(as_of), as_of), (F.col("_batch") == F.lit(batch), batch), (F.col("_batch") != F.lit(but), but)):
+        rows, known = self._rows("data", self._PARTITIONS), self.numbers() if batch is not None or but is not None else {}
+        named = lambda name: F.lit(self._folder(known.get(name, 0), name or ""))
+        for wanted, value in ((F.substring("_batch", 1, 9).cast("long") <= F.lit(version), version), (F.col("_committed_at") <= F.lit(as_of), as_of), (F.col("_batch") == named(batch), batch), (F.col("_batch") != named(but), but)):
             rows = rows.filter(wanted) if value is not None else rows
-        return rows.drop("_snapshot", "_batch", "_committed_at")
+        return rows.drop("_batch", "_committed_at")
 
 
 class Keyed(Stored):

@@ -74,13 +74,13 @@ def dedup_into(stream: DataFrame, target: Batches, checkpoint: str, hash_fields:
     def batch(df: DataFrame, batch_id: int) -> None:
         query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         name = f"{query}-{batch_id}"
-        fresh = drop_copies(with_row_hash(df, hash_fields)).persist()
+        hashed = drop_copies(with_row_hash(df, hash_fields)).persist()
         try:
-            fresh = fresh.join(store.known(fresh.select("row_hash"), name), "row_hash", "left_anti").select(*fresh.columns)
+            fresh = hashed.join(store.known(hashed.select("row_hash"), name), "row_hash", "left_anti").select(*hashed.columns)
             target.append(fresh.withColumn("_batch_id", F.lit(str(batch_id))), at, name)
             store.add(target.read(batch=name).select("row_hash"), name)
         finally:
-            fresh.unpersist()
+            hashed.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
