@@ -216,7 +216,9 @@ FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """Digests and a feature of each row of a media store (digest, media), from the stored bytes. Map only."""
+    """Digests and a feature of each row of a media store (digest, media), from the stored bytes. Map only.
+
+    Rows that repeat a digest each get a row, and an empty store gives none; media are never null (media_store)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -114,7 +114,8 @@ def features(docs: DataFrame, shingle: int, word_print=None) -> DataFrame:
     """doc_id, key, text_key, node (128-bit digest of the set of shingles), n (its size), form, tokens (see signature), fp of every row. Map only.
 
     A task gives form, tokens and fp for the first row of each set that is not empty, and nulls for its other rows.
-    word_print makes fp of the hashes of a text's words; without it, it is null. Null and empty texts have the empty set.
+    word_print makes fp of the hashes of a text's words; without it, it is null. Null and empty texts have the empty set;
+    null and repeated doc_ids each keep their rows; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,8 @@ def features(docs: DataFrame, shingle: int, word_print=None) -> DataFrame:
 
 
 def distinct_sets(told: DataFrame) -> DataFrame:
-    """id, node, n, form, tokens, fp, key and text_key of a row, for each set of features that is not empty, written."""
+    """id, node, n, form, tokens, fp, key and text_key of a row, for each set of features that is not empty, written. Rows of
+    equal sets, however many, are one."""
     return materialize(told.filter("tokens IS NOT NULL").drop("doc_id").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "distinct")
 
 

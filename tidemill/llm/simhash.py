@@ -239,7 +239,8 @@ def links(prints: DataFrame, radius: int, *, similarity: float | None = None, ho
     returns a spanning tree of links, so rows stay below radius + 2 for each fingerprint, however dense a group is.
 
     Buckets of over `hot` rows are dealt out by pairs of nodes further down the trie, and those again, as deep as the
-    keys go. Rows come sorted, so a task holds one bucket at a time.
+    keys go. Rows come sorted, so a task holds one bucket at a time. Nodes are not null and each once, as are their fps; no
+    prints give no rows.
     """
     fp = F.col("fp")
 
@@ -288,7 +289,8 @@ def links(prints: DataFrame, radius: int, *, similarity: float | None = None, ho
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer) of every row; null and empty texts have zero. Map only."""
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) of every row; null and empty texts have zero, null and repeated
+    doc_ids are kept. Map only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

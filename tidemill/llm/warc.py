@@ -29,7 +29,9 @@ def records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
 
     Of equal payloads of at least min_revisit bytes the row with the largest page_id is the response and the others, whose
     payload is null here, revisit it. Copies are counted by (digest, salt) first, so no task gets all copies of a payload,
-    and only digests move to find the response; payloads move once.
+    and only digests move to find the response; payloads move once. A null html is an empty payload; a null page_id is a
+    record that is never another's response; rows that repeat a page_id each get a record; no rows give none; other columns
+    are not read.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -53,7 +55,8 @@ def records(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
 def chunk_table(found: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """records with the payload as rows (chunk, n_chunks, data) of at most chunk_bytes; a revisit has one empty chunk.
 
-    The chunks of a record follow one another in one partition.
+    The chunks of a record follow one another in one partition. An empty or null payload has one empty chunk, so no record is
+    left out; no records give no rows.
     """
     n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / chunk_bytes)).cast("int")
     rows = found.select("*", n.alias("n_chunks")).select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
@@ -220,5 +223,6 @@ def archive_pages(pages: DataFrame, *, min_revisit: int = 1000, chunk_bytes: int
 
 
 def page_digests(chunks: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to from the last chunk of each record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to from the last chunk of each record: a row for each,
+    null and repeated page_ids and empty payloads included; no chunks give no rows."""
     return chunks.filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
