@@ -1152,7 +1152,7 @@ def key_candidates(spark: SparkSession, d: str) -> DataFrame:
 _PARTS = "CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 2 ELSE 3 END"
 
 
-def _landed(spark: SparkSession, d: str) -> tuple[medallion_plan.Lake, TableSpec]:
+def _loaded(spark: SparkSession, d: str) -> tuple[medallion_plan.Lake, TableSpec]:
     """Orders in three batches: with fewer columns, as they are, and with a retyped and a removed one; some break a rule."""
     lake = medallion_plan.Lake(spark, scratch.new_path(spark, "lake"))
     spec = TableSpec("orders", ("o_orderkey",), dedup_order_by="o_orderkey DESC", dq_rules=DqRules(positive=("o_totalprice",)))
@@ -1169,7 +1169,7 @@ def _landed(spark: SparkSession, d: str) -> tuple[medallion_plan.Lake, TableSpec
     SELECT generation, change, field, old, new, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = generation - 1) AS rows FROM g""")
 def schema_generations(spark: SparkSession, d: str) -> DataFrame:
     """How each of three landed generations of a table differs from the one before, with the rows of its batch."""
-    lake, _ = _landed(spark, d)
+    lake, _ = _loaded(spark, d)
     changes = schema.generation_changes(lake.notes("schema_history").read())
     rows = lake.notes("lineage").read().filter("stage = 'bronze'").select(F.regexp_extract("run_id", r"(\d+)", 1).cast("long").alias("generation"), F.col("rows_in").alias("rows"))
     return changes.join(rows, "generation").select(F.col("generation").cast("int").alias("generation"), "change", "field", "old", "new", "rows")
@@ -1182,7 +1182,7 @@ def schema_generations(spark: SparkSession, d: str) -> DataFrame:
     FROM b, (VALUES ('bronze'), ('silver')) s(stage)""")
 def run_lineage(spark: SparkSession, d: str) -> DataFrame:
     """What each stage of three loads read and wrote, its changes of schema, and its rows, which were counted as they passed."""
-    lake, _ = _landed(spark, d)
+    lake, _ = _loaded(spark, d)
     rows = lake.notes("lineage").read()
     edges = F.concat_ws(">", F.array_join("inputs", ","), "stage", F.array_join(F.array_sort("outputs"), ","))
     changes = F.array_join(F.array_sort(F.transform("schema_changes", lambda c: F.concat_ws(":", c["change"], c["column"]))), ",")
@@ -1194,7 +1194,7 @@ def run_lineage(spark: SparkSession, d: str) -> DataFrame:
            'filtered 0, rejected ' || count_if(o_orderkey % 7 = 0 OR o_totalprice <= 0) || ', late 0, passed ' || count_if(o_orderkey % 7 <> 0 AND o_totalprice > 0) AS details FROM orders GROUP BY {_PARTS}""")
 def run_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Each batch's rows against those of each way out of it."""
-    lake, _ = _landed(spark, d)
+    lake, _ = _loaded(spark, d)
     return lake.notes("reconciliation").read().select("run_id", "table_name", "source_count", "target_count", "passed", "details")
 
 
