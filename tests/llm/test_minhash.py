@@ -160,3 +160,18 @@ def test_a_signature_collision_is_no_link(ready):
     sets = ready.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes())), (3, bytearray(a.tobytes()))], "id long, members binary")
     pairs = ready.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert [(r.a, r.b) for r in minhash.similar(pairs, sets, 0.8).collect()] == [(1, 3)]
+
+
+def test_a_list_says_each_row_twice_at_most(ready):
+    """The first round's rows grow with a group of near copies, not with its square; each row of it is told."""
+    rnd = random.Random(6)
+    base = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(80))
+    kinds = "token long, salt int, id long, n long, form binary, root long, home boolean, busy boolean"
+    for count in (100, 200):
+        sets = [minhash.shingle_set(minhash.word_hashes(near(rnd, base, 2)), 2) for _ in range(count)]
+        forms = [minhash.signature(s).astype(np.uint8).tobytes() + minhash.parity_bits(s).tobytes() for s in sets]
+        rows = ready.createDataFrame([(1, 0, k, len(s), bytearray(f), k, True, False) for k, (s, f) in enumerate(zip(sets, forms))], kinds)
+        told = [(r.a, r.b) for r in minhash.meet(rows, 0.8, "screen").collect()]
+        paired = {k for pair in told if pair[1] is not None for k in pair}
+        assert paired | {a for a, _ in told} == set(range(count)) and len(told) <= 2 * count
+        assert not paired & {a for a, b in told if b is None}

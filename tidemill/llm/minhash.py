@@ -229,7 +229,8 @@ def meet(rows: DataFrame, similarity: float, mode: str) -> DataFrame:
     """a, b: pairs of ids that may be similar, from rows of lists (token, salt, id, n, form, root, home, busy).
 
     mode "screen": each row with its list's first row of a like size and with the best match before it, and (id, null) for
-    every row that has a match or whose list is busy; "best": the best match alone; "all": all matches.
+    every row that is in no such pair, but has a match or is of a busy list; so two rows for each at most. "best": the best
+    match alone; "all": all matches.
     """
     p = permille(similarity)
 
@@ -249,7 +250,7 @@ def meet(rows: DataFrame, similarity: float, mode: str) -> DataFrame:
             once = np.unique(np.stack([a, b]), axis=1)
             yield to_batch({"a": (pa.int64(), once[0]), "b": (pa.int64(), once[1])})
             if mode == "screen":
-                told = np.unique(lists.ids[some | table.column("busy").chunk(0).to_numpy(zero_copy_only=False)])
+                told = np.setdiff1d(lists.ids[some | table.column("busy").chunk(0).to_numpy(zero_copy_only=False)], once)
                 yield to_batch({"a": (pa.int64(), told), "b": (pa.int64(), [None] * len(told))})
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
