@@ -213,6 +213,19 @@ def test_stream_dedup_within_watermark(spark, tmp_path):
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
 
 
+def test_stream_batches_by_bytes(spark, tmp_path):
+    """Batches of a size in bytes: their number does not follow the number of files, and any number gives the same rows."""
+    (tmp_path / "in").mkdir()
+    for k in range(12):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"{k % 4}\nall\n")
+    for name, size, batches in (("one", 1 << 30, 1), ("many", 1, 12)):
+        rows = streams.text_source(spark, str(tmp_path / "in"), bytes_per_trigger=size).withColumn("t", F.lit(T[0]).cast("timestamp"))
+        query = streams.append_stream(streams.dedup_within(rows, "t", ("value",)), str(tmp_path / name), str(tmp_path / f"cp-{name}"))
+        query.awaitTermination()
+        assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == batches
+        assert sorted(r.value for r in spark.read.parquet(str(tmp_path / name)).collect()) == ["0", "1", "2", "3", "all"]
+
+
 def test_products(spark, tmp_path):
     spark.range(3).createOrReplaceTempView("plain")
     (tmp_path / "sql").mkdir()

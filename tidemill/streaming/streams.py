@@ -23,9 +23,11 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, starting: str =
     return spark.readStream.format("kafka").options(**said).load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "timestamp")
 
 
-def text_source(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """value: lines of files as they land."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+def text_source(spark: SparkSession, path: str, files_per_trigger: int = 100, *, bytes_per_trigger: int | None = None) -> DataFrame:
+    """value: lines of files as they land. With bytes_per_trigger (one file at least) a batch is as large whatever
+    files the input lies in, so what each batch costs by itself does not grow with their number."""
+    size = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return spark.readStream.option(*size).text(path)
 
 
 class Parsed(NamedTuple):
