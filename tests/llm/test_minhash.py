@@ -175,3 +175,49 @@ def test_a_list_says_each_row_twice_at_most(ready):
         paired = {k for pair in told if pair[1] is not None for k in pair}
         assert paired | {a for a, _ in told} == set(range(count)) and len(told) <= 2 * count
         assert not paired & {a for a, b in told if b is None}
+
+
+def test_matches_across_components_grow_with_rows(ready):
+    """A list whose rows all match and all stand alone gives fewer matches than rows; they join what any match joins."""
+    rnd = random.Random(7)
+    kinds = "token long, salt int, id long, n long, form binary, root long, home boolean"
+    base = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(100))
+    for count in (60, 120):
+        sets = [minhash.shingle_set(minhash.word_hashes(near(rnd, base, 2)), 2) for _ in range(count)]
+        forms = [minhash.signature(s).astype(np.uint8).tobytes() + minhash.parity_bits(s).tobytes() for s in sets]
+        rows = ready.createDataFrame([(1, 0, k, len(s), bytearray(f), k, True) for k, (s, f) in enumerate(zip(sets, forms))], kinds)
+        told = [(r.a, r.b) for r in minhash.meet(rows, 0.8, "all").collect()]
+        assert len(told) < count
+        lists = minhash.Lists(rows.sort("n", "id").toArrow().combine_chunks(), 800, ["token", "salt"])
+        matches = [(a, b) for i, j, _ in lists.pairs() for a, b in zip(lists.ids[i].tolist(), lists.ids[j].tolist())]
+        whole, part = simhash.Forest(count), simhash.Forest(count)
+        whole.join(*np.array(matches).T), part.join(*np.array(told).T)
+        assert len(matches) > 5 * count and np.array_equal(whole.root, part.root)
+        assert {(min(m), max(m)) for m in matches} >= set(told)
+
+
+def test_blocks_compare_all_pairs_of_a_group(ready):
+    """Groups dealt into shares of three rows, and whole: the links join what comparing all whole sets joins."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(3):
+        base = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(60))
+        texts += [near(rnd, base, rnd.randint(1, 6)) for _ in range(25)]
+    sets = [minhash.shingle_set(minhash.word_hashes(t), 2) for t in texts]
+    forms = ready.createDataFrame([(k, len(s), bytearray(minhash.signature(s).astype(np.uint8).tobytes() + minhash.parity_bits(s).tobytes())) for k, s in enumerate(sets)], "id long, n long, form binary")
+    members = ready.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "id long, members binary")
+    matched = ready.createDataFrame([(k, k + 1) for k in range(len(sets) - 1) if (k + 1) % 25], "a long, b long")
+    want = plain_components(list(enumerate(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 10 >= 8 * len(np.union1d(sets[i], sets[j]))]
+    known = simhash.Forest(len(sets))
+    known.join(*np.array([p for p in links if max(p) < 20]).T)  # one large root, and many others
+    roots = ready.createDataFrame([(k, int(known.root[k])) for k in range(20)], "node long, root long")
+    assert 5 < len({c for _, _, c in want}) < len(sets) - 10
+    for hot in (3, 2000):
+        dealt = minhash.blocks(matched, roots, forms, hot)
+        assert dealt.groupBy("group", "x", "y").count().agg(F.max("count")).first()[0] <= (24 if hot == 3 else 25)
+        got = [(r.a, r.b) for r in minhash.settle(dealt.join(forms, "id").join(members, "id"), 0.8).collect()]
+        assert {(max(p), min(p)) for p in got} <= set(links)
+        forest = simhash.Forest(len(sets))
+        forest.join(*np.array(got + [p for p in links if max(p) < 20]).T)
+        assert [(k, int(r)) for k, r in enumerate(forest.root)] == [(d, c) for d, _, c in want]

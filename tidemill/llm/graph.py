@@ -1,7 +1,8 @@
-"""Connected components of an edge table, by contraction."""
+"""Connected components: of an edge table by contraction, of a task's rows by union-find."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,26 @@ def components_of(nodes: DataFrame, key: str, roots: DataFrame, out: str | None
     rooted = materialize(nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return materialize(rooted.join(least, "root").select(out or key, "component_id"), "components")
+
+
+class Forest:
+    """Union-find over arrays; a root is the least index of its tree. Of the pairs joined, edges are those that span the trees."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.edges = [(self.root[:0], self.root[:0])]
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(self.root, high, low)
+            hooked = np.flatnonzero(self.root[high] == low)
+            hooked = hooked[np.unique(high[hooked], return_index=True)[1]]
+            self.edges.append((i[hooked], j[hooked]))
+            while not np.array_equal(jumped := self.root[self.root], self.root):
+                self.root = jumped

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_starts, materialize, passing_tables, slices, texts_of, to_batch, whole_groups
-from .graph import components_of, connected_components
+from .graph import Forest, components_of, connected_components
 
 #: Coordinates of a signature, and how many of two signatures must be equal for their sets to be compared. Sets of a
 #: similarity of 0.8 have fewer in 2.4 of 10 ** 11 cases.
@@ -23,6 +23,8 @@ FORM = COORDS + BITS // 8
 #: Pairs that are compared at once.
 CHUNK = 1 << 16
 _ODD = np.random.default_rng(12).integers(0, 1 << 63, size=COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of sets that a share of a group may hold, 8 bytes each; a task holds two shares.
+SHARE = 1 << 20
 #: Stands for a null doc_id in joins; text_key tells it from the number itself.
 NO_ID = -(1 << 63)
 
@@ -168,24 +170,29 @@ def fixed_rows(column: pa.Array, width: int) -> np.ndarray:
 
 
 class Lists:
-    """Posting lists of a table whose rows are sorted by list, then size: which pairs of a list may be similar.
+    """Lists of a table whose rows are sorted by list (keys), then size: which pairs of a list may be similar.
 
-    Merging skips what lies beyond a row's bounds of size, then pairs under one root, then those that collide in fewer
-    than MATCHES coordinates, then those whose parity bits rule the similarity out.
+    Merging skips what lies beyond a row's bounds of size, then pairs under one root or in one tree, then those that
+    collide in fewer than MATCHES coordinates, then those whose parity bits rule the similarity out.
     """
 
-    def __init__(self, table: pa.Table, p: int):
+    #: Of rows; whoever sets it joins what it has no further pairs of.
+    tree: Forest | None = None
+
+    def __init__(self, table: pa.Table, p: int, keys: list[str]):
         column = lambda c: table.column(c).chunk(0)
         self.ids, self.n = column("id").to_numpy(), column("n").to_numpy()
         self.root, self.home = column("root").to_numpy(), column("home").to_numpy(zero_copy_only=False)
         self.p, form = p, fixed_rows(column("form"), FORM)
         self.coords, self.bits = np.ascontiguousarray(form[:, :COORDS]), np.ascontiguousarray(form[:, COORDS:]).view(np.uint64)
-        starts = group_starts(table, ["token", "salt"])
+        starts = group_starts(table, keys)
         self.group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(self.ids)]))
 
     def matches(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Those of the pairs i, j that may be similar, and how many coordinates they share."""
         keep = self.root[i] != self.root[j]
+        if self.tree:
+            keep &= self.tree.root[i] != self.tree.root[j]
         i, j = i[keep], j[keep]
         same = (self.coords[i] == self.coords[j]).sum(axis=1)
         keep = same >= MATCHES
@@ -229,23 +236,28 @@ def meet(rows: DataFrame, similarity: float, mode: str) -> DataFrame:
     """a, b: pairs of ids that may be similar, from rows of lists (token, salt, id, n, form, root, home, busy).
 
     mode "screen": each row with its list's first row of a like size and with the best match before it, and (id, null) for
-    every row that is in no such pair, but has a match or is of a busy list; so two rows for each at most. "best": the best
-    match alone; "all": all matches.
+    every row that is in no such pair, but has a match or is of a busy list; so two rows for each at most. "all": those
+    matches that join all rows with a match in one list, so fewer than its rows, however many match; busy is not read.
     """
-    p = permille(similarity)
+    p, keys = permille(similarity), ["token", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["token", "salt"]):
-            lists = Lists(table, p)
-            found, some = [lists.leaders()] if mode == "screen" else [], np.zeros(table.num_rows, dtype=bool)
-            for i, j, same in lists.pairs():
-                some[i] = some[j] = True
-                if mode != "all" and len(i):
-                    best = np.lexsort((-same, i))
-                    best = best[np.r_[True, np.diff(i[best]) != 0]]
-                    i, j = i[best], j[best]
-                found.append((i, j))
-            i, j = (np.concatenate(side) for side in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+        for table in whole_groups(batches, keys):
+            lists = Lists(table, p, keys)
+            if mode == "all":
+                lists.tree = Forest(table.num_rows)
+                for i, j, _ in lists.pairs():
+                    lists.tree.join(i, j)
+                found = lists.tree.edges
+            else:
+                found, some = [lists.leaders()], np.zeros(table.num_rows, dtype=bool)
+                for i, j, same in lists.pairs():
+                    some[i] = some[j] = True
+                    if len(i):
+                        best = np.lexsort((-same, i))
+                        best = best[np.r_[True, np.diff(i[best]) != 0]]
+                        found.append((i[best], j[best]))
+            i, j = (np.concatenate(side) for side in zip(*found))
             a, b = np.minimum(lists.ids[i], lists.ids[j]), np.maximum(lists.ids[i], lists.ids[j])
             once = np.unique(np.stack([a, b]), axis=1)
             yield to_batch({"a": (pa.int64(), once[0]), "b": (pa.int64(), once[1])})
@@ -253,7 +265,7 @@ def meet(rows: DataFrame, similarity: float, mode: str) -> DataFrame:
                 told = np.setdiff1d(lists.ids[some | table.column("busy").chunk(0).to_numpy(zero_copy_only=False)], once)
                 yield to_batch({"a": (pa.int64(), told), "b": (pa.int64(), [None] * len(told))})
 
-    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -306,32 +318,81 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return materialize(own.select("text", "id").mapInArrow(run, "id long, members binary"), "sets")
 
 
+def alike(u: pa.BinaryScalar, v: pa.BinaryScalar, p: int) -> bool:
+    """Whether two packed sets have a Jaccard similarity of p thousandths or more."""
+    u, v = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (u, v))
+    shared = len(np.intersect1d(u, v, assume_unique=True))
+    return 1000 * shared >= p * (len(u) + len(v) - shared)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: the pairs whose whole sets have such a Jaccard similarity or more, written."""
     p = permille(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            alike = []
-            for u, v in zip(batch.column(2), batch.column(3)):
-                u, v = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (u, v))
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                alike.append(1000 * shared >= p * (len(u) + len(v) - shared))
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+            kept = [alike(u, v, p) for u, v in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_members")) for c in "ab")
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_members", "b_members")
     return materialize(both.mapInArrow(run, "a long, b long"), "similar")
 
 
+def blocks(matched: DataFrame, roots: DataFrame, forms: DataFrame, hot: int) -> DataFrame:
+    """group, x, y, id, root, home of the sets that matched (a, b) joins, written: groups in which any two may be similar.
+
+    A group is dealt into shares of about `hot` rows and SHARE members at most: first shares of its largest root, whose rows
+    do not meet each other, then shares of the others. A block is for two shares, x < y; the rows of y, at home, meet each
+    other and those of x. So a task holds two shares, however large a group is.
+    """
+    rows = connected_components(matched).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").join(forms.select("id", "n"), "id")
+    rows = materialize(rows.select("group", "id", F.coalesce("root", "id").alias("root"), "n"), "matched")
+    per = rows.groupBy("group", "root").agg(F.count("*").alias("own"), F.sum("n").alias("members"))
+    sums = per.groupBy("group").agg(F.max(F.struct("own", "members", "root")).alias("l"), F.sum("own").alias("own"), F.sum("members").alias("members"))
+    shares = lambda own, members: F.ceil(F.greatest(F.lit(1), own / hot, members / SHARE)).cast("int")
+    sums = sums.select("group", F.col("l.root").alias("largest"), shares(F.col("l.own"), F.col("l.members")).alias("first"), shares(F.col("own") - F.col("l.own"), F.col("members") - F.col("l.members")).alias("rest"))
+    own, place, first, last = rows.join(sums, "group"), F.xxhash64("id"), F.col("first"), F.col("first") + F.col("rest") - 1
+    inner = F.col("root") == F.col("largest")
+    own = own.withColumn("at", F.when(inner, F.pmod(place, first)).otherwise(first + F.pmod(place, "rest")).cast("int"))
+    met = own.select("group", "id", "root", "at", F.explode(F.when(inner, F.sequence(first, last)).otherwise(F.sequence(F.lit(0), last))).alias("other")).filter("at <> other")
+    return materialize(met.select("group", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "id", "root", (F.col("at") > F.col("other")).alias("home")), "blocks")
+
+
+def settle(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of such a similarity that join all roots which any link of a block joins, written; from rows of blocks
+    (group, x, y, id, root, home, n, form, members). Whole sets are compared in the tasks, so a block gives fewer links than
+    it has roots, however many of its pairs have to be compared."""
+    p, keys = permille(similarity), ["group", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys, 256):
+            lists, members = Lists(table, p, keys), table.column("members").chunk(0)
+            names, own = np.unique(lists.root, return_inverse=True)
+            joined, found = Forest(len(names)), []
+            for i, j, same in lists.pairs():
+                order = np.argsort(-same, kind="stable")
+                for u, v in zip(i[order].tolist(), j[order].tolist()):
+                    if joined.root[own[u]] != joined.root[own[v]] and alike(members[u], members[v], p):
+                        joined.join(own[[u]], own[[v]])
+                        found.append((u, v))
+            i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            yield to_batch({"a": (pa.int64(), lists.ids[i]), "b": (pa.int64(), lists.ids[j])})
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "id")
+    return materialize(dealt.mapInArrow(run, "a long, b long"), "settled")
+
+
 def links(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float, *, proposals: DataFrame | None = None, hot: int = 2000) -> DataFrame:
     """a, b: links between ids of distinct that join all pairs of sets of such a similarity, and no others. Written.
 
     Sets are posted under their rarest coordinate-value pairs. A first round goes through each list and proposes pairs
     that grow with its rows, not with their square, and says which sets have any match; only these are looked at further.
-    Then lists whose sets lie in several components give each set its best match in another one, and in the last round
-    every match between different components is compared. What makes a link is the similarity of the whole sets.
-    proposals (a, b) are compared in the first round too.
+    Then lists whose sets lie in several components say which sets match across components, by matches that join them, and
+    the whole sets of each group that these join meet in blocks of bounded size, where every match between different
+    components is compared. No round gives more rows than grow with the rows of its lists or blocks. What makes a link is
+    the similarity of the whole sets. proposals (a, b) are compared in the first round too.
     """
     posted = postings(distinct)
     told = screen(posted, similarity, hot)
@@ -340,18 +401,16 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float,
     if proposals is not None:
         pairs = pairs.unionByName(proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
         ids = ids.unionByName(proposals.select(F.explode(F.array("a", "b")).alias("id")))
-    wanted = materialize(distinct.select("id", "key", "text_key").join(ids.distinct(), "id", "left_semi"), "wanted")
-    sets = whole_sets(docs, wanted, shingle)
-    found, tried = similar(pairs, sets, similarity), pairs
-    posted = posted.join(wanted.select("id"), "id", "left_semi")
-    for mode in ("best", "all"):
-        rows = apart(posted, connected_components(found), hot)
-        if rows.isEmpty():
-            break
-        rows = rows.join(posted.select("id", "n", "form"), "id")
-        pairs = materialize(meet(rows, similarity, mode).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found, tried = found.unionByName(similar(pairs, sets, similarity)), tried.unionByName(pairs)
-    return materialize(found, "links")
+    wanted = materialize(distinct.select("id", "key", "text_key", "n", "form").join(ids.distinct(), "id", "left_semi"), "wanted")
+    sets, forms = whole_sets(docs, wanted, shingle), wanted.select("id", "n", "form")
+    found = similar(pairs, sets, similarity)
+    roots = connected_components(found)
+    rows = apart(posted.join(wanted.select("id"), "id", "left_semi"), roots, hot)
+    if rows.isEmpty():
+        return found
+    matched = materialize(meet(rows.join(forms, "id"), similarity, "all"), "matches")
+    met = blocks(matched, roots, forms, hot).join(forms, "id").join(sets, "id")
+    return materialize(found.unionByName(settle(met, similarity)), "links")
 
 
 def near_components(docs: DataFrame, *, shingle: int = 2, similarity: float = 0.8, hot: int = 2000) -> DataFrame:

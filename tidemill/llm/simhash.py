@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import group_starts, materialize, passing_tables, slices, texts_of, to_batch, whole_groups
-from .graph import components_of, connected_components
+from .graph import Forest, components_of, connected_components
 
 SEED = 42
 #: A trie node pair is compared fingerprint by fingerprint once it has no more pairs than this.
@@ -47,29 +47,6 @@ def fingerprint(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
 
 
-class Forest:
-    """Union-find over arrays; a root is the least index of its tree. Of the pairs joined, edges are those that span the trees."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-        self.edges = [(self.root[:0], self.root[:0])]
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j = i[apart], j[apart]
-            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-            np.minimum.at(self.root, high, low)
-            hooked = np.flatnonzero(self.root[high] == low)
-            hooked = hooked[np.unique(high[hooked], return_index=True)[1]]
-            self.edges.append((i[hooked], j[hooked]))
-            while not np.array_equal(jumped := self.root[self.root], self.root):
-                self.root = jumped
-
-
 def trie_links(keys: np.ndarray, tops: list[tuple[int, int, int, int, int, int]], radius: int, forest: Forest, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
     """Joins in forest what lies within radius bits, of the node pairs in tops.
 
